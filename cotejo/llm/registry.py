@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import simhash
+from cotejo.llm import simhash, toxicity
 
 _OPERATORS = {
+    "op1_toxicity": toxicity,
     "op7_simhash_near_dedup": simhash,
 }
 
