@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import simhash, toxicity
+from cotejo.llm import mixing, simhash, toxicity
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
+    "op4_mixing": mixing,
     "op7_simhash_near_dedup": simhash,
 }
 
