@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import merkle, mixing, secrets, simhash, toxicity, warc
+from cotejo.llm import merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
     "op3_merkle": merkle,
     "op4_mixing": mixing,
     "op5_warc": warc,
+    "op6_sentencepiece": sentencepiece_codec,
     "op7_simhash_near_dedup": simhash,
     "op9_secrets": secrets,
 }
