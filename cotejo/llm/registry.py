@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import brown, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
+from cotejo.llm import brown, licenses, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
@@ -15,6 +15,7 @@ _OPERATORS = {
     "op5_warc": warc,
     "op6_sentencepiece": sentencepiece_codec,
     "op7_simhash_near_dedup": simhash,
+    "op8_licenses": licenses,
     "op9_secrets": secrets,
     "op10_brown_lm": brown,
 }
