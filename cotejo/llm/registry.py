@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import brown, licenses, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
+from cotejo.llm import brown, embedding_graph, licenses, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
+    "op2_embedding_near_dedup": embedding_graph,
     "op3_merkle": merkle,
     "op4_mixing": mixing,
     "op5_warc": warc,
