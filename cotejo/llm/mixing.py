@@ -100,5 +100,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", part.cast("long").alias("part"))
 
 
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, and not at all if it takes none of it.
+
+    The document that a source's budget ends in is cut after the words it gives; n_chars follows
+    where there is such a column. Repeated rows share what is taken of them.
+    """
+    names = docs.columns
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_of"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash")]
+    keyed = docs.select("*", *key)
+    taken = mix(docs.select(F.struct(*[k for k in key]).alias("doc_id"), "text", "source"), weights, most)
+    plan = taken.groupBy(F.col("doc_id._id").alias("_id"), F.col("doc_id._of").alias("_of"), F.col("doc_id._hash").alias("_hash")).agg(
+        F.sum(F.col("epochs") * (F.col("size") > 0).cast("int") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("int")).cast("int").alias("_full"),
+        F.max(F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))).cast("int").alias("_cut"),
+    )
+    joined = keyed.join(plan.where("_full > 0 or _cut is not null"), ["_id", "_of", "_hash"]).dropDuplicates(["_id", "_of", "_hash"])
+    whole = F.array_repeat(F.lit(-1), F.col("_full"))
+    rows = joined.withColumn("_words", F.explode(F.when(F.col("_cut").isNull(), whole).otherwise(F.concat(whole, F.array("_cut")))))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words")), "")
+    rows = rows.withColumn("text", F.when(F.col("_words") >= 0, head).otherwise(F.col("text")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") >= 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

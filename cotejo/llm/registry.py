@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from cotejo.llm import brown, embedding_graph, licenses, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
@@ -23,8 +24,9 @@ _OPERATORS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _OPERATORS.items()}
+    return {name: module.query for name, module in _OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE_SQL for name, module in _OPERATORS.items() if hasattr(module, "ORACLE_SQL")}
+    of_pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return of_pipeline | {name: module.ORACLE_SQL for name, module in _OPERATORS.items() if hasattr(module, "ORACLE_SQL")}

@@ -175,13 +175,12 @@ def near_duplicates(docs: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row whose doc_id names it stays.
 
-    Of repeated rows with that id one stays; if all ids of a component are null, one row stays.
+    Of several rows with that id one stays. Rows without an id can't name a component and all stay.
     """
-    names = docs.columns
-    groups = near_duplicates(docs).select("doc_id", "component_id")
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*names)
+    identified = docs.where("doc_id is not null")
+    groups = near_duplicates(identified)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return identified.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
