@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from cotejo.plans import text_queries
+
+MODULES: list = [text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
