@@ -2,8 +2,8 @@
 
 Each text is cut into sentences, lines and paragraphs; those that name a license at all are
 compared with the templates by the cosine of TF-IDF vectors, and the best is the file's own
-license. A text that is, as a whole, close to a template is a license file and stands for its
-directory; files without a license of their own take that of the nearest ancestor directory which
+license. A text that is a template as a whole, or has a license and the name of a license file,
+stands for its directory; files without a license of their own take that of the nearest ancestor directory which
 has one. Document frequencies of the templates' terms are counted over all texts.
 
 Directories, not files, are expanded into their ancestors, so a directory with very many files
@@ -58,7 +58,9 @@ TEMPLATES = {
 TRIGGERS = (b"licens", b"licenc", b"copyright", b"permission", b"spdx")
 SPDX = re.compile(rb"spdx-license-identifier:\s*([\w.+-]+)", re.I)
 #: Least cosine of a passage, and of a whole text for it to be a license file.
-PASSAGE, FILE = 0.75, 0.6
+PASSAGE, FILE = 0.75, 0.9
+#: Names of license files, which need only hold a license.
+NAMES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 SALTS = 16
 _ALNUM = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n")
@@ -151,7 +153,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     found = F.pandas_udf(run, "license string, score double, is_file boolean")(F.col("text"))
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    own = cut(files.select(*kept, found.alias("_f")).select(*kept, F.col("_f.license").alias("_license"), F.col("_f.score").alias("_score"), F.col("_f.is_file").alias("_file"), directory.alias("_dir")))
+    own = cut(files.select(*kept, found.alias("_f")).select(*kept, F.col("_f.license").alias("_license"), F.col("_f.score").alias("_score"), (F.col("_f.is_file") | F.coalesce(F.regexp_like("path", F.lit(NAMES)) & F.col("_f.license").isNotNull(), F.lit(False))).alias("_file"), directory.alias("_dir")))
     holders = own.where("_file and _dir is not null").groupBy("_dir").agg(F.min(F.struct((-F.col("_score")).alias("low"), F.col("path"), F.col("_license").alias("license"))).alias("best"))
     holders = holders.select(F.col("_dir").alias("holder"), F.col("best.license").alias("up_license"), (-F.col("best.low")).alias("up_score"))
     parts = F.split("_dir", "/")
