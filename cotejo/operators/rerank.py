@@ -16,7 +16,7 @@ SEMANTIC, CROSS, NUMERIC, GATE, CROSS_TOP = 0.7, 0.2, 0.1, 0.75, 20
 HYBRID = {"tfidf": 0.25, "semantic": 0.40, "rerank": 0.20, "domain": 0.15}
 
 
-def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | None = None, weights: dict = WEIGHTS, **dictionaries) -> DataFrame:
+def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | None = None, weights: dict = WEIGHTS, bonus: bool = True, **dictionaries) -> DataFrame:
     """Scores (query_id, query, doc_id, text, score) by the query's intent; adds the parts and final_score.
 
     ``doc_type`` and ``doc_category`` name columns that take precedence over what the text shows.
@@ -35,7 +35,7 @@ def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | Non
         F.coalesce(F.col("doc.category") == F.col("parsed.main_category"), F.lit(False)).cast("int").alias("category_boost"),
         ((F.col("parsed.intent") == "EQUIPAMENTO") & (F.col("doc.doc_type") == "ACESSORIO")).cast("int").alias("accessory_penalty"),
         (numbers & ~F.col("doc.has_model")).cast("int").alias("missing_model_penalty"),
-        F.when((F.size("parsed.accessory_terms") > 0) & (F.col("doc.doc_type") == "EQUIPAMENTO"), F.least(F.lit(BONUS_MOST), BONUS_STEP * named)).otherwise(0.0).alias("accessory_bonus"),
+        F.when(F.lit(bonus) & (F.size("parsed.accessory_terms") > 0) & (F.col("doc.doc_type") == "EQUIPAMENTO"), F.least(F.lit(BONUS_MOST), BONUS_STEP * named)).otherwise(0.0).alias("accessory_bonus"),
     )
     total = (
         weights["bm25"] * F.col("bm25_norm") + weights["model"] * F.col("model_boost") + weights["category"] * F.col("category_boost") + F.col("accessory_bonus")

@@ -416,14 +416,15 @@ GRID = [
 
 @query("weight_grid")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of queries whose first result is of the wanted type, by weight set, best first."""
+    """Share of queries whose first result is of the wanted type, by weight set, with and without the guard."""
     out = None
     for name, *values in GRID:
-        scored = rerank.guard_first(rerank.rerank(_candidates(spark), weights=dict(zip(rerank.WEIGHTS, values, strict=True))))
-        good = (F.col("doc_type") == F.col("intent")) | (F.col("intent") == "INDEFINIDO")
-        rate = scored.where("rank = 1").agg(F.round(F.avg(good.cast("double")), 6).alias("success"), F.lit(name).alias("name"))
+        scored = rerank.guard_first(rerank.rerank(_candidates(spark), weights=dict(zip(rerank.WEIGHTS, values, strict=True)), bonus=name != "No Accessory Bonus"))
+        good = ((F.col("doc_type") == F.col("intent")) | (F.col("intent") == "INDEFINIDO")).cast("double")
+        rate = scored.agg(*[F.round(F.avg(F.when(F.col(c) == 1, good)), 6).alias(n) for n, c in (("plain", "rank"), ("guarded", "guarded_rank"))])
+        rate = rate.select(F.lit(name).alias("name"), "plain", "guarded")
         out = rate if out is None else out.unionByName(rate)
-    return out.select("name", "success")
+    return out
 
 
 @query("integrated_search")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import text
 from cotejo.functions.text import is_valid
-from cotejo.operators import aggregate, rank, state
+from cotejo.operators import aggregate, embed, rank, state
 from cotejo.plans import sqltext as s
+from cotejo.session import cut
 from cotejo.sources.tables import table
 from cotejo.streaming import analytics
 
@@ -253,10 +254,22 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All nodes that the start nodes lead to over (a, b), breadth first; each round adds a distance."""
-    seen = start.distinct()
-    fresh = seen
+    seen = fresh = cut(start.distinct())
     while True:
-        found = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").persist()
+        found = cut(fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if found.isEmpty():
             return seen
-        seen, fresh = seen.union(found), found
+        seen, fresh = cut(seen.union(found)), found
+
+
+@query("corpus_stamp", "SELECT sha256(count(*)::VARCHAR || '_' || count(DISTINCT text)::VARCHAR) AS stamp FROM documents")
+def corpus_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"), F.count_distinct("text").alias("texts"))
+    return counted.select(text.corpus_hash(F.col("rows"), F.col("texts")).alias("stamp"))
+
+
+@query("embedding_job")
+def embedding_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names embedded by the stand-in provider."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    return embed.embed(parts, embed.StandIn(16))

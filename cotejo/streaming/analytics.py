@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cotejo.operators.state import merge_analytics, query_analytics
+from cotejo.session import shared_dir
 
 WINDOW, LATE = "5 minutes", "1 hour"
 
@@ -58,10 +59,11 @@ def windows_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{sf_dir}/events.parquet"
     events = stream.parquet(folder if _is_folder(spark, folder) else f"{sf_dir}/events*.parquet")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{abs(hash((sf_dir, id(events))))}"
-    query = windowed(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    # each batch gives the whole result so far, which takes the place of the one before
+    sink = windowed(events).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/result"))
+    sink.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/result").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import aggregate, compare, index, rank, rerank, retrieve, rewrite, state
+from cotejo.operators import aggregate, compare, embed, index, rank, rerank, retrieve, rewrite, state
 from cotejo.plans.search import SearchConfig, check_queries, search_texts
 from cotejo.sources import tables
 from cotejo.streaming import analytics
@@ -237,3 +237,12 @@ def test_daily_table_of_a_stream(spark, sf_dir, tmp_path):
     analytics.keep_daily(stream, str(tmp_path / "daily"), str(tmp_path / "cp"))
     last = spark.read.parquet(str(tmp_path / "daily/version=2"))
     assert last.agg(F.sum("total_queries")).first()[0] == source.count()
+
+
+def test_embedding_job_keeps_valid_vectors(spark):
+    rows = [(1, "a", None), (2, "a", [1.0, 0.0, 0.0, 0.0]), (3, "b", [0.0, 0.0, 0.0, 0.0]), (4, None, None), (5, " ", [1.0])]
+    df = spark.createDataFrame(rows, "id int, text string, embedding array<double>")
+    got = {r["id"]: r["embedding"] for r in embed.embed(df, embed.StandIn(4), batch=1).collect()}
+    assert got[2] == [1.0, 0.0, 0.0, 0.0] and got[4] is None and got[5] is None
+    assert sum(x * x for x in got[1]) == pytest.approx(1) and got[1] != got[3]
+    assert embed.StandIn.seed("") == 5381 and embed.StandIn.seed("a") == abs(5381 * 33 ^ 97)
