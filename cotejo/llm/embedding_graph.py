@@ -28,7 +28,7 @@ from cotejo.llm.common import components, cut, table
 
 THRESHOLD = 0.98
 #: Vectors of a shard at most; pivots of a shard that is dealt again at most; times it is dealt.
-LIMIT, PIVOTS, LEVELS = 2_048, 256, 4
+LIMIT, PIVOTS, LEVELS = 8_192, 256, 4
 #: Degrees beyond its nearest pivot up to which a vector also joins others.
 MARGIN = 6.0
 #: Degrees that pivots are apart at least.
@@ -124,9 +124,9 @@ def shards(nodes: DataFrame, limit: int = LIMIT, margin: float = MARGIN, levels:
         if level == levels or split.isEmpty():
             break
         salts = F.ceil(F.col("n") / limit).cast("int")
-        salted = split.select("shard", "p", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("shard", "salt", F.explode("p").alias("x")).select("shard", "salt", "x.node", "x.vector")
+        salted = split.select("shard", "p", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select(F.col("shard").alias("of"), F.col("salt").alias("part"), F.explode("p").alias("x")).select("of", "part", "x.node", "x.vector")
         rows = crowded.join(split.select("shard"), "shard", "left_semi").select("shard", F.pmod(F.xxhash64(F.lit("salt"), "node"), salts).cast("int").alias("salt"), "node", "vector")
-        open_ = cut(rows.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(_deal(margin), "node long, vector array<double>, shard string"))
+        open_ = cut(rows.groupBy("shard", "salt").cogroup(salted.groupBy("of", "part")).applyInPandas(_deal(margin), "node long, vector array<double>, shard string"))
     return done
 
 
