@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cotejo.session import cut, shared_dir
+
+__all__ = ["WORD_PATTERN", "components", "cut", "fold", "may_be_among", "shared_dir", "table"]
 
 #: Words in every contract of this subpackage: runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -15,26 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='cotejo-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+def fold(doc_id: Column, modulus: int) -> Column:
+    """crc32 of the id as text, by a modulus; a null id counts as empty text."""
+    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+
 
+#: Bits of a filter that tells what may be in a set: 2 MB at any size of the set.
+FILTER_BITS = 1 << 24
+_BLOCK = 1 << 15
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a checkpoint in the shared folder, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def may_be_among(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test on hashes that never misses one of ``hashes`` (column hash, long) and seldom takes another.
 
-def fold(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id as text, by a modulus; a null id counts as empty text."""
-    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+    The set may have any size; the more of it, the more others pass, so what passes still meets
+    the set in a join, and what doesn't pass need not be shuffled.
+    """
+    at = F.pmod(F.col("hash"), F.lit(FILTER_BITS))
+    blocks = hashes.groupBy(F.floor(at / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(at % _BLOCK).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in blocks:
+        start = int(row["block"]) * _BLOCK // 8
+        bits[start : start + _BLOCK // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+
+    def run(hashes: pd.Series) -> pd.Series:
+        place = hashes.to_numpy(np.int64) % FILTER_BITS
+        return pd.Series((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+
+    return F.pandas_udf(run, T.BooleanType())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -23,6 +23,8 @@ MOST_REPEATS = 3
 #: Rows of a slice, about; a source has its rows divided by this many slices.
 SLICE_ROWS = 4_000
 SEED = "mix"
+#: Sources whose budgets are broadcast at most; more are joined by shuffling.
+BROADCAST_SOURCES = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -67,7 +69,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return final.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("shared") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def drawn(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, chars and key, the exponential one, of each row; and the columns named."""
+    size = size_of(F.col("text"))
+    sized = docs.select(*more, "doc_id", "source", size.alias("size"), quality_of(F.col("text"), size).alias("quality"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return sized.select(*more, "doc_id", "source", "size", "chars", (-F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("quality")).alias("key"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, slice_rows: int = SLICE_ROWS, keep_keys: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, epochs for every row of ``docs`` (doc_id, text, source).
 
     taken counts words with repeats. A null or wordless text has size 0 and nothing is taken of it.
@@ -75,9 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     draw the same key, stand next to each other and each count for themselves. An empty table
     gives no rows; other columns are ignored.
     """
-    size = size_of(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), quality_of(F.col("text"), size).alias("quality"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    keyed = cut(sized.select("doc_id", "source", "size", "chars", (-F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("quality")).alias("key")))
+    keyed = cut(drawn(docs))
     sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goals = targets(sources, weights, most).withColumnRenamed("source", "name")
     counted = goals.join(sources.select(F.col("source").alias("again"), "n"), F.col("name").eqNullSafe(F.col("again"))).drop("again")
@@ -97,31 +104,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     ranked = placed.withColumn("before", before).withColumn("epochs", epochs).withColumn("rest", rest)
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", part.cast("long").alias("part"))
+    keys = ["key", "chars"] if keep_keys else []
+    return ranked.select(*keys, "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", part.cast("long").alias("part"))
 
 
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, and not at all if it takes none of it.
 
-    The document that a source's budget ends in is cut after the words it gives; n_chars follows
-    where there is such a column. Repeated rows share what is taken of them.
+    What is taken of a row follows from its source's complete epochs and from where its key stands
+    to the key at which the source's budget ends, so texts are not shuffled: one row a source is
+    joined to them. The document that the budget ends in is cut after the words it gives, and
+    n_chars follows where there is such a column; rows equal to it in key, id and size are cut alike.
     """
     names = docs.columns
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_of"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash")]
-    keyed = docs.select("*", *key)
-    taken = mix(docs.select(F.struct(*[k for k in key]).alias("doc_id"), "text", "source"), weights, most)
-    plan = taken.groupBy(F.col("doc_id._id").alias("_id"), F.col("doc_id._of").alias("_of"), F.col("doc_id._hash").alias("_hash")).agg(
-        F.sum(F.col("epochs") * (F.col("size") > 0).cast("int") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("int")).cast("int").alias("_full"),
-        F.max(F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))).cast("int").alias("_cut"),
-    )
-    joined = keyed.join(plan.where("_full > 0 or _cut is not null"), ["_id", "_of", "_hash"]).dropDuplicates(["_id", "_of", "_hash"])
-    whole = F.array_repeat(F.lit(-1), F.col("_full"))
-    rows = joined.withColumn("_words", F.explode(F.when(F.col("_cut").isNull(), whole).otherwise(F.concat(whole, F.array("_cut")))))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words")), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") >= 0, head).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") >= 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    place = F.struct("key", "doc_id", "size", "chars")
+    end = F.min(F.when((F.col("part") < F.col("size")), F.struct(*[place.alias("place"), F.col("part").alias("part")])))
+    ends = cut(mix(docs, weights, most, keep_keys=True).groupBy(F.col("source").alias("_name")).agg(F.first("epochs").alias("_epochs"), end.alias("_end")))
+    few = ends.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    own = drawn(docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "text"), "_row")
+    rows = own.join(F.broadcast(ends) if few else ends, own["source"].eqNullSafe(ends["_name"]))
+    before = F.coalesce(place < F.col("_end.place"), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("_epochs") + before.cast("int")).otherwise(0).cast("int")
+    words = F.when(place == F.col("_end.place"), F.col("_end.part")).cast("int")
+    each = F.concat(F.array_repeat(F.lit(-1), copies), F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select("_row", F.explode(each).alias("_words"))
+    text = F.col("_row.text")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words")), "")
+    cut_text = F.when(F.col("_words") >= 0, head).otherwise(text)
+    columns = []
+    for name in names:
+        if name == "text":
+            columns.append(cut_text.alias("text"))
+        elif name == "n_chars":
+            columns.append(F.when(F.col("_words") >= 0, F.length(head)).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+        else:
+            columns.append(F.col("_row").getField(name).alias(name))
+    return rows.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

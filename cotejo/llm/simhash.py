@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import components, cut, table
+from cotejo.llm.common import components, cut, may_be_among, table
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Distinct fingerprints of one key that are compared in one go; keys with more are split.
@@ -178,9 +178,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of several rows with that id one stays. Rows without an id can't name a component and all stay.
     """
     identified = docs.where("doc_id is not null")
-    groups = near_duplicates(identified)
+    groups = cut(near_duplicates(identified))
+    several = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    leave = groups.where("doc_id <> component_id").select("doc_id").union(several)
+    # only rows that may have to go meet the decisions in a join; the texts of the others stay where they are
+    suspect = may_be_among(leave.select(F.xxhash64("doc_id").alias("hash")))
+    rows = identified.withColumn("_suspect", suspect(F.xxhash64("doc_id")))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return identified.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    judged = rows.where("_suspect").drop("_suspect").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.where("not _suspect").drop("_suspect").unionByName(judged).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,24 +16,21 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import quote
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import cut, shared_dir, table
+from cotejo.llm.common import cut, may_be_among, shared_dir, table
 
 #: Bytes of a block in one record, records of one archive, bytes of one HTTP chunk.
 SEGMENT, ARCHIVE_RECORDS, CHUNK = 32_768, 1_024, 8_192
 #: Payloads below this many bytes are never revisits.
 REVISIT_LEAST = 100
-#: Bits of the filter that tells which digests may be shared.
-FILTER_BITS = 1 << 22
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,19 +86,6 @@ def page_records(name: str, url: str | None, payload: bytes, digest: str, first:
         yield _record(more, block[at : at + segment])
 
 
-def _among(hashes: DataFrame) -> Callable[[Column], Column]:
-    """A test whether a hash may be among ``hashes``: a bit set of FILTER_BITS, small at any size."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = hashes.select(F.pmod(F.col("hash"), F.lit(FILTER_BITS)).alias("at")).distinct().toArrow()["at"].to_numpy()
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def run(hashes: pd.Series) -> pd.Series:
-        place = hashes.to_numpy() % FILTER_BITS
-        return pd.Series((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
-
-    return F.pandas_udf(run, T.BooleanType())
-
-
 def _revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, size, first: the page that has the same payload, for revisits.
 
@@ -113,7 +97,7 @@ def _revisits(pages: DataFrame) -> DataFrame:
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     shared = rows.where(F.col("size") >= REVISIT_LEAST).groupBy("digest").agg(F.min("page_id").alias("lowest"), F.count("*").alias("n")).where("n > 1 and lowest is not null").select("digest", "lowest")
     shared = cut(shared)
-    may_be = _among(shared.select(F.xxhash64("digest").alias("hash")))
+    may_be = may_be_among(shared.select(F.xxhash64("digest").alias("hash")))
     rows = rows.withColumn("shared", may_be(F.xxhash64("digest")))
     joined = rows.where("shared").join(shared.hint("merge"), "digest", "left")
     revisited = joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("lowest")), F.col("lowest"))).drop("lowest")
