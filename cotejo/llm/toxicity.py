@@ -228,7 +228,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in PREFIXES:
                 entries |= {f"{w[:k]}*" for w in words if len(w) > k}
             sums[int(toxic)].update(entries)
-        if len(sums[0]) + len(sums[1]) > 400_000:
+        if len(sums[0]) + len(sums[1]) > 100_000:
             yield _counted(sums)
             sums = (Counter(), Counter())
     yield _counted(sums)
