@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import text
-from cotejo.operators import compare, rank, rerank, retrieve, rewrite
+from cotejo.operators import compare, embed, rank, rerank, retrieve, rewrite
 from cotejo.operators.index import vocabulary
 from cotejo.plans import sqltext as s
-from cotejo.plans.search import SearchConfig, search
+from cotejo.plans.search import SearchConfig, embedding_search, search, smart_search
 from cotejo.plans.text_queries import PHRASE_SQL, PHRASES, phrases
 from cotejo.sources.tables import table
 
@@ -432,4 +432,14 @@ def integrated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(parts(spark, sf_dir), part_queries(spark), SearchConfig(top_k=10))
 
 
+@query("smart_search")
+def smart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smart_search(parts(spark, sf_dir), part_queries(spark), embed.StandIn(32))
+
+
+@query("embedding_search")
+def embedding_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_search(parts(spark, sf_dir), part_queries(spark), embed.StandIn(32))
+
+
 __all__ = ["ORACLE_SQL", "PHRASES", "QUERIES"]

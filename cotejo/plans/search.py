@@ -10,9 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cotejo.functions import taxonomy
-from cotejo.functions.text import normalize_key
-from cotejo.operators import rank, rerank, retrieve
+from cotejo.functions import attributes, domain, taxonomy
+from cotejo.functions.text import normalize_equipment, normalize_key
+from cotejo.operators import embed, rank, rerank, retrieve
 from cotejo.operators import rewrite as rewriting
 from cotejo.operators.index import small, vocabulary
 
@@ -80,3 +80,39 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
 def search_texts(spark: SparkSession, corpus: DataFrame, queries: list[str], config: SearchConfig | None = None) -> DataFrame:
     rows = list(enumerate(check_queries(queries)))
     return search(corpus, spark.createDataFrame(rows, "query_id int, query string"), config)
+
+
+#: Candidates that the lexical stage hands to the semantic ones.
+SMART_CANDIDATES = 50
+
+
+def smart_search(corpus: DataFrame, queries: DataFrame, provider: embed.EmbeddingProvider, top_k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """Hybrid results of (query_id, query) on (doc_id, text): lexical, semantic, cross and domain scores combined.
+
+    Only the lexical candidates are embedded. The least score is applied to the list that was cut
+    to top_k. Attributes that query and text share only order the semantic rerank, whose score is
+    given as rerank_score.
+    """
+    asked = queries.select("query_id", "query", normalize_equipment(F.col("query")).alias("norm"))
+    docs = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    normal = docs.select("doc_id", normalize_equipment(F.col("text")).alias("text"))
+    found = retrieve.tfidf_hybrid(normal, asked.select("query_id", F.col("norm").alias("query")), SMART_CANDIDATES).select("query_id", "doc_id", F.col("score").alias("tfidf"))
+    rows = found.join(docs, "doc_id").join(small(asked), "query_id")
+    vectors = embed.embed(rows.select("doc_id", "text").distinct(), provider).select("doc_id", F.col("embedding").alias("doc_vector"))
+    asked_vectors = embed.embed(asked.select("query_id", F.col("norm").alias("text")), provider).select("query_id", F.col("embedding").alias("query_vector"))
+    rows = rows.join(vectors, "doc_id").join(small(asked_vectors), "query_id")
+    rows = rows.withColumn("semantic", F.coalesce(retrieve.cosine(F.col("query_vector"), F.col("doc_vector")), F.lit(0.0)))
+    rows = rows.withColumn("cross", rerank.word_f1(F.col("query"), F.col("text")))
+    rows = rows.withColumn("numeric", attributes.numeric_boost(attributes.full_attributes(F.col("query")), attributes.full_attributes(F.col("text"))))
+    rows = rows.withColumn("domain", domain.domain_score(domain.classify(F.col("query")), domain.classify(F.col("text"))))
+    ranked = rerank.semantic_rerank(rows).withColumnRenamed("final_score", "rerank_score")
+    score = rerank.hybrid_score(F.col("tfidf"), F.col("semantic"), F.col("cross_norm"), F.col("domain"))
+    best = retrieve.top_k(ranked.withColumn("score", F.round(score, rerank.DIGITS)), top_k).where(F.col("score") >= min_score)
+    return best.select("query_id", "rank", "doc_id", "score", "tfidf", "semantic", "cross_norm", "domain", "rerank_score")
+
+
+def embedding_search(corpus: DataFrame, queries: DataFrame, provider: embed.EmbeddingProvider, top_k: int = 10) -> DataFrame:
+    """Results by cosine of embedded, normalised texts alone."""
+    docs = embed.embed(corpus.select("doc_id", normalize_equipment(F.col("text")).alias("text")), provider)
+    asked = embed.embed(queries.select("query_id", normalize_equipment(F.col("query")).alias("text")), provider)
+    return retrieve.dense_top(docs, asked.select("query_id", F.col("embedding").alias("query_vector")), top_k, provider.dimension)

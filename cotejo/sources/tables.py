@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cotejo.functions import domain
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,6 +88,13 @@ def normalize_corpus(df: DataFrame) -> DataFrame:
     )
 
 
+def with_domain(corpus: DataFrame) -> DataFrame:
+    """A corpus with its domain, as stored or else as classified, and the confidence in it."""
+    found = domain.classify_document(F.col("text"), F.col("raw_text"))
+    rows = corpus.withColumn("_found", found)
+    return rows.withColumn("domain_confidence", F.when(F.col("domain").isNull(), F.col("_found.confidence")).otherwise(1.0)).withColumn("domain", F.coalesce("domain", "_found.category")).drop("_found")
+
+
 def write_corpus(df: DataFrame, path: str) -> str:
     """Writes a new version of a corpus under the path and returns where; earlier versions stay as backup."""
     stamp = df.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).cast("binary"), 256)).first()[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cotejo.operators import aggregate, compare, embed, index, rank, rerank, retrieve, rewrite, state
-from cotejo.plans.search import SearchConfig, check_queries, search_texts
+from cotejo.plans.search import SearchConfig, check_queries, embedding_search, search_texts, smart_search
 from cotejo.sources import tables
 from cotejo.streaming import analytics
 
@@ -246,3 +246,20 @@ def test_embedding_job_keeps_valid_vectors(spark):
     assert got[2] == [1.0, 0.0, 0.0, 0.0] and got[4] is None and got[5] is None
     assert sum(x * x for x in got[1]) == pytest.approx(1) and got[1] != got[3]
     assert embed.StandIn.seed("") == 5381 and embed.StandIn.seed("a") == abs(5381 * 33 ^ 97)
+
+
+def test_smart_search_adds_its_parts_up(spark):
+    docs = [(1, "Enceradeira industrial 510 mm"), (2, "Disco para enceradeira 510"), (3, "Vassoura nylon"), (4, None), (5, "notebook")]
+    df, queries = spark.createDataFrame(docs, "doc_id int, text string"), asked(spark, "enceradeira 510", "vassoura", "")
+    rows = smart_search(df, queries, embed.StandIn(8), top_k=2).collect()
+    assert rows and {r["query_id"] for r in rows} == {0, 1}
+    for r in rows:
+        assert r["score"] == pytest.approx(0.25 * r["tfidf"] + 0.40 * r["semantic"] + 0.20 * r["cross_norm"] + 0.15 * r["domain"], abs=2e-6)
+    same = embedding_search(df, asked(spark, "Vassoura NYLON"), embed.StandIn(8), top_k=1).first()
+    assert same["doc_id"] == 3 and same["score"] == pytest.approx(1)
+
+
+def test_corpus_gets_its_domain(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "text": "mop"}, {"id": "2", "text": "x", "domain": "peripheral"}]))
+    got = {r["id"]: (r["domain"], r["domain_confidence"]) for r in tables.with_domain(tables.read_corpus(spark, str(tmp_path / "c.json"))).collect()}
+    assert got == {"1": ("cleaning_support", 0.9), "2": ("peripheral", 1.0)}
