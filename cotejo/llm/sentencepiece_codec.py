@@ -7,8 +7,8 @@ that prefix would end with. Exactly one of the pieces at a position is compatibl
 kept at its start (the merges of the two together leave both whole), so the same relaxation finds
 it, in one pass and without merging.
 
-Texts are read in units that no piece crosses, a space mark with the word after it; a worker
-remembers the units it has met, up to a bound. Characters without a piece fall back to byte
+Texts are read in units that no piece crosses, space marks with the letters or the other characters
+after them; a worker remembers the units it has met, up to a bound. Characters without a piece fall back to byte
 pieces. The model's path is a parameter; its pieces, not the file, go to the executors.
 """
 
@@ -16,25 +16,44 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cotejo.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units and pairs of pieces that one worker remembers at most.
-REMEMBERED = 400_000
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+REMEMBERED = 200_000
+#: Texts that are in work at a time.
+SLICE = 256
+_WHOLE = re.compile(" *[^ ]+| +")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+class Recent(dict):
+    """A dict that forgets what was not asked for lately: at most ``most`` keys in two halves."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.older = most // 2, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Codec:
     """Encodes and decodes by the pieces of one model; built once a process."""
 
@@ -51,24 +70,51 @@ class Codec:
         plain = {piece: k for k, piece in enumerate(pieces) if k not in reserved and not _BYTE.fullmatch(piece)}
         self.rank = {piece: scores[k] for piece, k in plain.items()}
         self.id = plain
-        self.fits: dict[int, bool] = {}
-        self.met: dict[str, list[int]] = {}
+        self.fits = Recent(REMEMBERED)
+        self.met = Recent(REMEMBERED)
         self.low = min(scores, default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
+        # of each piece its place in the order of merging, and the two that its last merge joins
+        places = {k: at for at, k in enumerate(sorted(plain.values(), key=lambda k: -scores[k]), start=1)}
+        self.place, self.halves = {}, {}
         for piece, k in plain.items():
             # a piece that its own merges do not lead to can't come out of any text
             if kind != "bpe" or len(piece) == 1 or self.merged(piece) == [k]:
                 self.automaton.add_word(piece, (k, len(piece)))
+                self.place[k] = 0 if len(piece) == 1 else places[k]
+        if kind == "bpe":
+            for k in self.place:
+                if len(pieces[k]) > 1:
+                    self.halves[k] = self._last_merge(pieces[k])
         self.automaton.make_automaton()
+        self.sizes = [len(p) for p in pieces]
+        self.broken: set[str] = set()
+        self.unit = self._unit_pattern([pieces[k] for k in self.place])
+
+    @staticmethod
+    def _unit_pattern(pieces: list[str]) -> re.Pattern:
+        """Units that no piece crosses: blanks with the letters, or with the other characters, after them.
+
+        Where some piece has letters and others side by side, units end at blanks alone.
+        """
+        odd = "".join(sorted({c for p in pieces for c in p if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha()}))
+        letters, others = rf"[^\W\d_{odd}]+", rf"(?:[^\w ]|[\d_{odd}])+"
+        one = re.compile(f"{letters}|{others}|")
+        if all(one.fullmatch(p.lstrip(SPACE)) and SPACE not in p.lstrip(SPACE) for p in pieces):
+            return re.compile(f" *(?:{letters}|{others})| +")
+        return _WHOLE
 
     def __reduce__(self):
         return (codec_of, tuple(tuple(x) if isinstance(x, list) else x for x in self.state))
 
-    def merged(self, text: str) -> list[int]:
-        """Byte-pair merges in order of score, leftmost first: the definition, for short or rare units."""
+    def merged(self, text: str, upto: int = 0) -> list[int]:
+        """Byte-pair merges in order of score, leftmost first: the definition, for short or rare units.
+
+        With ``upto`` the merges stop before the one that would leave so few pieces.
+        """
         size = len(text)
         after, before, end = list(range(1, size + 1)), list(range(-1, size - 1)), list(range(1, size + 1))
-        alive = [True] * size
+        alive, count = [True] * size, size
         heap: list[tuple[float, int, int, int]] = []
 
         def offer(left: int) -> None:
@@ -84,6 +130,9 @@ class Codec:
             _, left, right, stop = heapq.heappop(heap)
             if not alive[left] or not alive[right] or after[left] != right or end[right] != stop:
                 continue
+            count -= 1
+            if count == upto:
+                break
             end[left], alive[right], after[left] = stop, False, after[right]
             if after[left] < size:
                 before[after[left]] = left
@@ -101,15 +150,70 @@ class Codec:
     def _bytes(self, piece: str) -> list[int]:
         return [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
+    def _last_merge(self, piece: str) -> tuple[int, int]:
+        """The pieces that stand side by side before a piece's last merge."""
+        apart = self.merged(piece, upto=1)
+        return apart[0], apart[1]
+
     def _compatible(self, one: int, two: int) -> bool:
+        """Whether the merges of the two pieces' texts together leave both whole.
+
+        They don't if, at some time, what stands at the border on either side makes a piece before
+        either side's next merge. So both sides are taken apart, the later merge first.
+        """
         key = one << 24 | two
-        found = self.fits.get(key)
+        found = self.fits.older.get(key)
         if found is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(self.pieces[one] + self.pieces[two]) == [one, two]
+            found = self._stay_apart(one, two)
+        self.fits.keep(key, found)
         return found
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        pieces, ids, place, halves = self.pieces, self.id, self.place, self.halves
+        # a merge at the border happens if it comes before the merge that consumes a side
+        ends_left = ends_right = 1 << 60
+        while True:
+            joined = ids.get(pieces[left] + pieces[right])
+            if joined is not None:
+                # at the same place in the order the leftmost goes first
+                at = place.get(joined, 1 << 59)
+                if at < ends_left and at <= ends_right:
+                    return False
+            a, b = place[left], place[right]
+            if not a and not b:
+                return True
+            if a > b:
+                ends_left, left = a, halves[left][1]
+            else:
+                ends_right, right = b, halves[right][0]
+
+    def fitted(self, unit: str) -> list[int]:
+        """The pass for BPE models: at each position the one piece that is compatible with the piece before it."""
+        size = len(unit)
+        last = [-1] * (size + 1)
+        last[0] = -2
+        known = self.fits.get
+        for end, (piece, length) in self.automaton.iter(unit):
+            stop = end + 1
+            if last[stop] == -1:
+                left = last[stop - length]
+                if left == -1:  # after a character without a piece
+                    return self.relaxed(unit)
+                ok = left == -2 or known(left << 24 | piece)
+                if ok is None:
+                    ok = self._compatible(left, piece)
+                if ok:
+                    last[stop] = piece
+        out: list[int] = []
+        while size:
+            piece = last[size]
+            if piece < 0:
+                return self.relaxed(unit)
+            out.append(piece)
+            size -= self.sizes[piece]
+        out.reverse()
+        return out
+
     def relaxed(self, unit: str) -> list[int]:
         """One pass over the automaton's matches, keeping the best last piece at each position."""
         size = len(unit)
@@ -130,19 +234,21 @@ class Codec:
                 at += 1
             return max(reached, upto)
 
+        last[0] = -2
         for end, (piece, length) in self.automaton.iter(unit):
-            stop, start = end + 1, end + 1 - length
-            if reached < stop - 1:
-                reached = bridge(stop - 1)
+            stop = end + 1
+            if bpe and last[stop] != -1:
+                continue
+            if reached < end:
+                reached = bridge(end)
+            start = stop - length
             if bpe:
-                if last[stop] != -1:
-                    continue
-                left = last[start] if start else -2
+                left = last[start]
                 ok = left == -2 or fits.get(left << 24 | piece)
                 if ok is None:
                     ok = self._compatible(left, piece)
                 if ok:
-                    last[stop], start_of[stop] = piece, start
+                    last[stop], start_of[stop], reached = piece, start, stop
             elif best[start] + self.scores[piece] > best[stop]:
                 last[stop], start_of[stop], best[stop] = piece, start, best[start] + self.scores[piece]
         bridge(size)
@@ -155,22 +261,43 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; none for null or empty text."""
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """The ids, and whether they decode to the text.
+
+        Ids are decoded piece by piece, so a text comes back if each of its units does, which is
+        tried when a unit is encoded.
+        """
         if not text:
-            return np.zeros(0, np.int32)
-        marked = text.replace(" ", SPACE)
-        marked = SPACE + marked if self.dummy else marked
+            return np.zeros(0, np.int32), True
+        plain = text.replace(SPACE, " ")
+        exact = plain == text
+        plain = " " + plain if self.dummy else plain
         out: list[int] = []
-        met = self.met
-        for unit in _UNIT.findall(marked):
+        met, broken = self.met, self.broken
+        for unit in self.unit.findall(plain):
             ids = met.get(unit)
             if ids is None:
-                ids = self.merged(unit) if self.kind == "bpe" and unit.startswith(SPACE * 2) else self.relaxed(unit)
+                ids = met.older.get(unit)
+                if ids is None:
+                    ids = self._unit_ids(unit)
                 if len(unit) <= 64:
-                    if len(met) >= REMEMBERED:
-                        met.clear()
-                    met[unit] = ids
+                    met.keep(unit, ids)
+            if broken and unit in broken:
+                exact = False
             out += ids
-        return np.array(out, np.int32)
+        return np.array(out, np.int32), exact
+
+    def _unit_ids(self, unit: str) -> tuple[int, ...]:
+        marked = unit.replace(" ", SPACE)
+        if self.kind != "bpe":
+            ids = self.relaxed(marked)
+        else:
+            ids = self.merged(marked) if marked.startswith(SPACE * 2) else self.fitted(marked)
+        if b"".join(map(self.raw.__getitem__, ids)) != unit.encode("utf-8", "surrogatepass"):
+            self.broken.add(unit)
+        return tuple(ids)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -199,13 +326,19 @@ def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "exact")]
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ids = [codec.encode(t) for t in texts]
-        exact = [codec.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
-        return pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "exact": exact})
-
-    coded = F.pandas_udf(run, "n_tokens long, ids array<int>, exact boolean")
-    return docs.select(*kept, coded(docs["text"]).alias("_coded")).select(*kept, "_coded.n_tokens", "_coded.ids", "_coded.exact")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE).select(kept)
+                texts = batch.slice(at, SLICE).column("text").to_pylist()
+                done = [codec.encode_checked(t) for t in texts]
+                ids, exact = [x for x, _ in done], [e for _, e in done]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes), lists, pa.array(exact, pa.bool_())], names=[*kept, "n_tokens", "ids", "exact"])
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *added]))
 
 
 def decode(coded: DataFrame, codec: Codec, column: str = "ids") -> DataFrame:
