@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage with a checkpoint in the shared folder, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a context, for those that can't import it themselves.
+
+    The driver serves the file, so no shared folder is needed. Where the package is not a folder,
+    it was installed or sent already.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_cotejo_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="cotejo-")) / "cotejo_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._cotejo_shipped = True
