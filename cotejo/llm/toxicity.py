@@ -34,8 +34,9 @@ from cotejo.llm.common import fold, table
 SAMPLE = 20_000
 #: Most lexical entries kept after the test of significance, best first.
 LEXICON = 4_096
-#: Least log-likelihood ratio (nats) and least number of toxic rows of a learned entry.
-SIGNIFICANT, SUPPORT = 16.0, 5
+#: Least log-likelihood ratio (nats), number of toxic rows and log-odds of a learned entry; lower
+#: log-odds are those of a language or topic, not of an insult.
+SIGNIFICANT, SUPPORT, ODDS = 16.0, 5, 3.5
 #: Word beginnings of these lengths are candidates besides whole words.
 PREFIXES = (3, 4, 5, 6)
 HELD_OUT_FOLD = 5
@@ -253,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
         weight = F.log((b + 0.5) / (bad + 1.0)) - F.log((g + 0.5) / (good + 1.0))
         scored = sums.where(b >= SUPPORT).select("entry", "bad", "good", weight.alias("weight"), ratio.alias("ratio"))
         known = scored.where(F.col("entry").isin(INSULTS)).collect()
-        learned = scored.where((F.col("ratio") >= SIGNIFICANT) & (F.col("weight") >= 2.5)).orderBy(F.desc("ratio"), "entry").limit(LEXICON).collect()
+        learned = scored.where((F.col("ratio") >= SIGNIFICANT) & (F.col("weight") >= ODDS)).orderBy(F.desc("ratio"), "entry").limit(LEXICON).collect()
         for row in [*known, *learned]:
             lexicon[row["entry"]] = max(0.0, float(row["weight"]))
     grammar = Grammar({k: round(w, 6) for k, w in lexicon.items() if w > 0})
