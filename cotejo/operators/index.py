@@ -25,6 +25,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def as_small_as(df: DataFrame, bound: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Like ``small`` for rows that can't be more than those of ``bound``, which is counted in their place."""
+    return F.broadcast(df) if bound.limit(most + 1).count() <= most else df
+
+
 @dataclass
 class Index:
     postings: DataFrame

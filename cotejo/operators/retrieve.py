@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import text as t
-from cotejo.operators.index import K1, MIN_TOKEN, B, small, tfidf
+from cotejo.operators.index import K1, MIN_TOKEN, B, as_small_as, small, tfidf
 
 DIGITS = 6
 #: Vectors that one dense search takes as queries at most.
@@ -41,7 +41,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, mi
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     wanted = asked.join(idf, "term")
-    matched = postings.join(small(wanted), "term")
+    matched = postings.join(as_small_as(wanted, asked), "term")
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / F.col("avgdl")))
     return matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
 
@@ -67,7 +67,8 @@ def tfidf_scores(corpus: DataFrame, queries: DataFrame, grams) -> DataFrame:
     """(query_id, doc_id, score): cosine of TF-IDF vectors; ``grams`` makes the terms of a text column."""
     vectors, idf = tfidf(corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), grams(F.col("text")))
     asked = query_vectors(queries, grams(F.col("query")), idf)
-    return vectors.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
+    terms = queries.select("query_id", F.explode(grams(F.col("query"))).alias("term"))
+    return vectors.join(as_small_as(asked, terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
 
 
 def tfidf_top(corpus: DataFrame, queries: DataFrame, grams, k: int, min_score: float = 0.0) -> DataFrame:
@@ -104,7 +105,7 @@ def tfidf_hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.try_element_at(F.filter("q", lambda x: (F.length(x) >= ANCHOR_LENGTH) & ~F.regexp_like(x, F.lit(r"^\d+$"))), F.lit(1)).alias("head"),
     )
     found = chars.join(terms, ["query_id", "doc_id"], "full")
-    rows = found.join(docs, "doc_id").join(small(asked), "query_id")
+    rows = found.join(docs, "doc_id").join(as_small_as(asked, parsed), "query_id")
     total = F.aggregate("anchors", F.lit(0.0), lambda s, a: s + a["idf"])
     once = F.filter("anchors", lambda a, i: ~F.exists(F.slice(F.col("anchors"), F.lit(1), i), lambda e: e["term"] == a["term"]))
     overlap = F.aggregate(F.filter(once, lambda a: F.array_contains(F.col("doc_tokens"), a["term"])), F.lit(0.0), lambda s, a: s + a["idf"])

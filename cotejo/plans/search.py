@@ -15,6 +15,7 @@ from cotejo.functions.text import normalize_equipment, normalize_key
 from cotejo.operators import embed, rank, rerank, retrieve
 from cotejo.operators import rewrite as rewriting
 from cotejo.operators.index import small, vocabulary
+from cotejo.session import cut
 
 
 @dataclass
@@ -60,13 +61,15 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     if config.fuzzy:
         looked_for = rewriting.correct_queries(looked_for, vocabulary(corpus)).select("query_id", F.col("corrected").alias("query"))
     maps = config.abbreviations if config.rewrite else rewriting.Abbreviations()
-    variants = rewriting.rewrite_plan(looked_for, maps)
+    # a few rows a query from here on: kept, so that the corpus is read once for each of them
+    variants = cut(rewriting.rewrite_plan(looked_for, maps))
     most = config.top_k * rank.NAV_CANDIDATES[0] + rank.NAV_CANDIDATES[2]
     found = retrieve.bm25_variants(corpus, variants, per_variant=most, k=most).join(small(asked.select("query_id", "candidates")), "query_id")
     found = found.where(F.col("rank") <= F.col("candidates")).select("query_id", "doc_id", "score")
-    hydrated = found.join(corpus.select("doc_id", "text"), "doc_id").join(small(asked), "query_id")
+    found = cut(found)
+    hydrated = corpus.select("doc_id", "text").join(small(found), "doc_id").join(small(asked), "query_id")
     ranked = rerank.guard_first(rerank.rerank(hydrated)).where(F.col("rank") <= config.top_k)
-    ranked = rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity"))
+    ranked = cut(rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity")))
     every = Window.partitionBy("query_id")
     tops = ranked.groupBy("query_id").agg(
         F.first("query").alias("query"), F.max_by("text", -F.col("rank")).alias("top_text"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0)).alias("s1"),
@@ -97,7 +100,8 @@ def smart_search(corpus: DataFrame, queries: DataFrame, provider: embed.Embeddin
     docs = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     normal = docs.select("doc_id", normalize_equipment(F.col("text")).alias("text"))
     found = retrieve.tfidf_hybrid(normal, asked.select("query_id", F.col("norm").alias("query")), SMART_CANDIDATES).select("query_id", "doc_id", F.col("score").alias("tfidf"))
-    rows = found.join(docs, "doc_id").join(small(asked), "query_id")
+    found = cut(found)
+    rows = docs.join(small(found), "doc_id").join(small(asked), "query_id")
     vectors = embed.embed(rows.select("doc_id", "text").distinct(), provider).select("doc_id", F.col("embedding").alias("doc_vector"))
     asked_vectors = embed.embed(asked.select("query_id", F.col("norm").alias("text")), provider).select("query_id", F.col("embedding").alias("query_vector"))
     rows = rows.join(vectors, "doc_id").join(small(asked_vectors), "query_id")
