@@ -1,18 +1,23 @@
 """Language-model scoring with Brown classes.
 
-Words are put into classes by exchange clustering: a unit (a frequent word, or a shape that all
-other words of that ending share) moves to the class where the likelihood of the class bigrams is
-largest, until no unit moves. A text's probability is the product of class transitions and of
-word emissions within classes, both smoothed; its end is a token with a class of its own.
+Frequent words are put into classes by exchange clustering: a unit (a frequent word, or a shape that
+stands for all other words of that ending) moves to the class where the likelihood of the class
+bigrams is largest, until no unit moves. How many words are units grows with the corpus. Every other
+word then gets the class that most raises that likelihood given the classes of its own neighbours,
+each word for itself in the cluster; a shape's class is only that of neighbours that have no class
+yet, and of words that no training text has. Class transitions are counted anew with the final
+classes of all words. A text's probability is the product of class transitions and of word emissions
+within classes, both smoothed; its end is a token with a class of its own.
 
 Counts cover every word of every training text: words are counted in each task and summed by word
-over the cluster, and unit pairs likewise. Only tables with a bound of their own reach the driver
-or all executors: the ``KNOWN`` most frequent words and the pairs of ``CLUSTERED`` + ``SHAPES``
-units. The counts of all other words stay distributed; texts meet them in a join by word.
+over the cluster, and unit pairs likewise. Only bounded or slowly growing tables reach the driver
+or all executors: the ``KNOWN`` most frequent words and the pairs of units. Counts and classes of
+all other words stay distributed; texts meet them in a join by word.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cotejo.llm.common import cut, fold, table
 
 HELD_OUT_FOLD, HELD_OUT = 7, 2
-#: Units that are frequent words, and shapes for all other words.
-CLUSTERED, SHAPES = 2_000, 256
-CLASSES, ROUNDS = 64, 12
+#: Units that are frequent words at least, up to so many tokens, and shapes for all other words.
+CLUSTERED, CLUSTERED_TOKENS, SHAPES = 2_000, 10_000_000, 256
+CLASSES = 64
 #: Most frequent words whose counts every executor holds; longer words than this stay out.
 KNOWN, KNOWN_BYTES = 50_000, 64
 #: Weight of the class unigram in the smoothed transitions, in observations.
@@ -40,6 +46,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def clustered_of(tokens: int) -> int:
+    """How many words are clustered by exchange: more with the fourth root of the tokens."""
+    return int(CLUSTERED * max(1.0, tokens / CLUSTERED_TOKENS) ** 0.25)
+
+
 def shape_of(word: bytes) -> int:
     """The shape of a word that is no unit itself: its ending, and whether punctuation follows."""
     stem = word.rstrip(b".,;:!?|")
@@ -112,22 +123,22 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.ndarray:
     """The class of each unit; the last unit (the end) keeps class 0 to itself.
 
     ``pairs`` holds the counts of unit pairs. The objective is the class bigram likelihood, sum of
-    N(g,h) log N(g,h) less the sums of N log N of the classes as left and as right neighbour.
+    N(g,h) log N(g,h) less the sums of N log N of the classes as left and as right neighbour. Every
+    move raises it, so without a limit of rounds this ends when no unit moves.
     """
     size = len(pairs)
     mass = pairs.sum(axis=0, dtype=np.float64)
     order = np.argsort(-mass[:-1], kind="stable")
     of = np.zeros(size, np.int64)
     of[order] = 1 + np.arange(size - 1) % (classes - 1)
-    member = np.eye(classes)[of]
-    after = pairs @ member  # unit, class to its right
-    before = (member.T @ pairs).T.copy()  # unit, class to its left
-    both = member.T @ after
-    for _ in range(rounds):
+    after = np.stack([pairs[:, of == k].sum(axis=1, dtype=np.float64) for k in range(classes)], axis=1)  # unit, class to its right
+    before = np.stack([pairs[of == k].sum(axis=0, dtype=np.float64) for k in range(classes)], axis=1)  # unit, class to its left
+    both = np.eye(classes)[of].T @ after
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for w in order:
             if not mass[w]:
@@ -159,14 +170,91 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
                 after[:, b] += pairs[:, w]
                 before[:, a] -= pairs[w]
                 before[:, b] += pairs[w]
-        if moved <= size // 1000:
+        if not moved:
             break
     return of
 
 
+def best_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class of each word outside the units that most raises the class bigram likelihood.
+
+    ``word`` (ascending places in ``now``), ``left``, ``right`` and ``n`` count the classes of each
+    word's neighbours. ``now`` is the class in which ``both`` counts the word so far; the word is
+    taken out of it before, as in ``exchange``.
+    """
+    size, classes = len(now), len(both)
+    flat = size * classes
+    into = np.bincount(word * classes + left, n, flat).reshape(size, classes)
+    out = np.bincount(word * classes + right, n, flat).reshape(size, classes)
+    rows, columns, d = (np.tile(x, (size, 1)) for x in (both.sum(axis=1), both.sum(axis=0), np.diagonal(both)))
+    gain = np.zeros((size, classes))
+    each = np.arange(size)
+    for mine, other, table in ((out, into, both), (into, out, both.T)):
+        w, h = np.nonzero(mine)
+        for at in range(0, len(w), 50_000):
+            some, to = w[at : at + 50_000], h[at : at + 50_000]
+            count = mine[some, to]
+            base = table[:, to].T.copy()
+            a = now[some]
+            base[np.arange(len(some)), a] -= count + np.where(to == a, other[some, to], 0.0)
+            np.maximum(base, 0.0, out=base)
+            np.add.at(gain, some, _xlogx(base + count[:, None]) - _xlogx(base))
+    total = out.sum(axis=1)
+    rows[each, now] -= total
+    columns[each, now] -= total
+    d[each, now] -= out[each, now] + into[each, now]
+    for x in (rows, columns, d):
+        np.maximum(x, 0.0, out=x)
+    gain += _xlogx(d + out + into) + _xlogx(d) - _xlogx(d + out) - _xlogx(d + into)
+    total = total[:, None]
+    gain -= _xlogx(rows + total) - _xlogx(rows) + _xlogx(columns + total) - _xlogx(columns)
+    gain[:, 0] = -np.inf
+    return np.argmax(gain, axis=1)
+
+
+def _neighbours(units: list[bytes], of: np.ndarray):
+    """(word, code, n) of words that are no units: code is the class to the left, times 256, and that to the right."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, kinds, sums = _Ids(units, len(units)), of.astype(np.int64), Counter()
+        frame = lambda: pd.DataFrame({"word": [w for w, _ in sums], "code": [c for _, c in sums], "n": list(sums.values())}, dtype=object)
+        for batch in batches:
+            for text in batch["text"]:
+                words = words_of(text)
+                row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                around = np.concatenate(([0], kinds[row], [0]))
+                at = np.flatnonzero(row >= len(units))
+                codes = around[at] * 256 + around[at + 2]
+                sums.update(zip([words[k] for k in at.tolist()], codes.tolist(), strict=True))
+                if len(sums) > _HELD:
+                    yield frame()
+                    sums.clear()
+        yield frame()
+
+    return run
+
+
+def _assigned(both: np.ndarray, shape_class: np.ndarray):
+    """(word, c, k) from each word's neighbours (word, codes, ns)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), 2_000):
+                batch = whole.iloc[start : start + 2_000]
+                sizes = batch["codes"].map(len).to_numpy()
+                codes = np.concatenate(batch["codes"].to_numpy()).astype(np.int64)
+                ns = np.concatenate(batch["ns"].to_numpy()).astype(np.float64)
+                word = np.repeat(np.arange(len(batch)), sizes)
+                now = np.array([shape_class[shape_of(bytes(w))] for w in batch["word"]], np.int64)
+                kinds = best_classes(word, codes // 256, codes % 256, ns, now, both)
+                yield pd.DataFrame({"word": batch["word"].to_numpy(), "c": np.bincount(word, ns, len(batch)).astype(np.int64), "k": kinds})
+
+    return run
+
+
 @dataclass
 class Model:
-    """Bounded tables of a fitted model; ``counts`` is the distributed table of all words."""
+    """Bounded tables of a fitted model; ``counts`` is the distributed table of all words and their classes."""
 
     known: list[bytes]
     known_counts: np.ndarray
@@ -179,46 +267,75 @@ class Model:
     counts: DataFrame
 
 
-def fit(training: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, known: int = KNOWN) -> Model:
-    """Fits the model on all ``training`` texts (column text; null counts as empty)."""
+def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: int) -> Model:
+    """A model without transitions: counts and classes of all words of ``training``."""
     counts = cut(word_counts(training))
     texts = training.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(known).collect()
-    listed = [bytes(r["word"]) for r in top]
-    units = listed[:clustered]
+    wanted = clustered_of(total) if clustered is None else clustered
+    top = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(max(known, wanted)).collect()
+    units = [bytes(r["word"]) for r in top[:wanted]]
     size = len(units) + SHAPES + 1
-    found = training.select("text").mapInPandas(_pairs_of(units), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((size, size), np.float32 if total < 1 << 24 else np.float64)
-    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
-    of = exchange(pairs, classes, ROUNDS)
-
-    member = np.eye(classes)[of]
-    between = member.T @ (pairs @ member)
-    arrivals = between.sum(axis=0)
-    unigram = (arrivals + 1) / (arrivals.sum() + classes)
-    transitions = np.log10((between + PRIOR * unigram) / (between.sum(axis=1, keepdims=True) + PRIOR))
-
+    found = cut(training.select("text").mapInPandas(_pairs_of(units), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    pairs = np.zeros((size, size), np.uint32 if total + texts < 1 << 32 else np.float64)
+    parts = 1 + found.count() // 4_000_000
+    for part in range(parts):
+        some = found.where(F.col("a") % parts == part).toArrow()
+        pairs[some["a"].to_numpy(), some["b"].to_numpy()] = some["n"].to_numpy()
+    of = exchange(pairs, classes)
+    after = np.stack([pairs[:, of == k].sum(axis=1, dtype=np.float64) for k in range(classes)], axis=1)
+    both = np.eye(classes)[of].T @ after
     shape_class = of[len(units) : len(units) + SHAPES]
-    class_of = np.concatenate((of[: len(units)], [shape_class[shape_of(w)] for w in listed[len(units) :]], shape_class)).astype(np.int64)
 
-    def per_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = _Ids(units, len(units))
-        for batch in batches:
-            kinds = [int(of[mine[bytes(w)]]) for w in batch["word"]]
-            yield pd.DataFrame({"k": kinds, "c": batch["c"].to_numpy()}).groupby("k", as_index=False).agg(c=("c", "sum"), v=("c", "size")).astype("int64")
+    # by word once: the sums and the lists need no other exchange
+    near = training.select("text").mapInPandas(_neighbours(units, of), "word binary, code long, n long").repartition("word")
+    near = near.groupBy("word", "code").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    rest = near.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned(both, shape_class), "word binary, c long, k long")
+    ours = pd.DataFrame({"word": units, "c": [r["c"] for r in top[:wanted]], "k": of[: len(units)]})
+    counts = cut(rest.unionByName(training.sparkSession.createDataFrame(ours, "word binary, c long, k long")))
 
+    listed = [bytes(r["word"]) for r in top[:known]]
+    held = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(known).collect()
+    class_of = np.concatenate(([r["k"] for r in held], shape_class)).astype(np.int64)
     mass = np.zeros((classes, 2))
-    for row in counts.mapInPandas(per_class, "k long, c long, v long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
+    for row in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         mass[row["k"]] = row["c"], row["v"]
     emission = np.log10(mass.sum(axis=1) + 1)
     emission[0] = 0.0
-    return Model(listed, np.array([r["c"] for r in top], dtype=np.float64), class_of, transitions, emission, int(total) + texts, int(types) + (texts > 0), texts, counts)
+    return Model(listed, np.array([r["c"] for r in top[:known]], dtype=np.float64), class_of, np.zeros((classes, classes)), emission, int(total) + texts, int(types) + (texts > 0), texts, counts)
+
+
+def _transitions(tags: DataFrame, classes: int) -> np.ndarray:
+    """log10 of the smoothed class transitions, counted over the tagged texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for copies, kinds in zip(batch["copies"], batch["kinds"], strict=True):
+                row = np.concatenate(([0], np.frombuffer(kinds, np.uint8), [0]))
+                sums += np.bincount(row[:-1] * classes + row[1:], minlength=classes * classes) * int(copies)
+        yield pd.DataFrame({"pair": np.flatnonzero(sums), "n": sums[sums > 0]})
+
+    between = np.zeros(classes * classes)
+    for row in tags.select("copies", "kinds").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        between[row["pair"]] = row["n"]
+    between = between.reshape(classes, classes)
+    arrivals = between.sum(axis=0)
+    unigram = (arrivals + 1) / (arrivals.sum() + classes)
+    return np.log10((between + PRIOR * unigram) / (between.sum(axis=1, keepdims=True) + PRIOR))
+
+
+def fit(training: DataFrame, clustered: int | None = None, classes: int = CLASSES, known: int = KNOWN) -> Model:
+    """Fits the model on all ``training`` texts (column text; null counts as empty)."""
+    model = _lexicon(training, clustered, classes, known)
+    rows = training.select(F.lit(0).alias("doc_id"), "text")
+    model.transitions = _transitions(_tagged(rows, model), classes)
+    return model
 
 
-def _score(model: Model):
-    known, known_counts, class_of, transitions, emission = model.known, model.known_counts, model.class_of, model.transitions, model.emission
-    denominator, texts = float(np.log10(model.tokens + model.types + 1)), model.texts
+def _look_up(model: Model):
+    """A row for each text, and one for each place of a word whose count and class no executor holds."""
+    known, known_counts, class_of, texts = model.known, model.known_counts, model.class_of, model.texts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, n = _Ids(known, len(known)), len(known)
@@ -228,15 +345,9 @@ def _score(model: Model):
             for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
                 words = words_of(text)
                 row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                kinds = np.concatenate(([0], class_of[row], [0]))
-                seen = float(logs[row].sum())
-                end = float(np.log10(texts + 1))
-                model_part = float(transitions[kinds[:-1], kinds[1:]].sum() - emission[kinds].sum()) + seen
-                base_part = seen + end - denominator * (len(words) + 1)
                 inside = int((row < n).sum()) + (texts > 0)
-                out.append((doc_id, key, 1, len(words) + 1, inside, base_part, model_part, f" {doc_id}:{key}".encode(), 0))
-                rare = Counter(words[k] for k in np.flatnonzero(row >= n).tolist())
-                out += [(doc_id, key, 0, 0, 0, 0.0, 0.0, w, k) for w, k in rare.items()]
+                out.append((doc_id, key, 1, inside, float(logs[row].sum()), class_of[row].astype(np.uint8).tobytes(), f" {doc_id}:{key}".encode(), None))
+                out += [(doc_id, key, 0, 0, 0.0, None, words[k], k) for k in np.flatnonzero(row >= n).tolist()]
                 if len(out) > 50_000:
                     yield _rows(out)
                     out = []
@@ -245,40 +356,81 @@ def _score(model: Model):
     return run
 
 
-_COLUMNS = {"doc_id": "Int64", "key": "int64", "copies": "int64", "n_tokens": "int64", "n_known": "int64", "base": "float64", "model": "float64", "word": object, "n": "int64"}
+_COLUMNS = {"doc_id": "Int64", "key": "int64", "copies": "int64", "n_known": "int64", "seen": "float64", "kinds": object, "word": object, "at": "Int64"}
 
 
 def _rows(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=list(_COLUMNS)).astype(_COLUMNS)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+@F.pandas_udf(T.BinaryType())
+def _filled(kinds: pd.Series, places: pd.Series) -> pd.Series:
+    """Classes of a text's words, with those of the words that were joined (place times 256, and class)."""
+    out = []
+    for row, some in zip(kinds, places, strict=True):
+        if len(some):
+            whole, some = np.frombuffer(row, np.uint8).copy(), np.asarray(some, np.int64)
+            whole[some >> 8] = some & 255
+            row = whole.tobytes()
+        out.append(bytes(row))
+    return pd.Series(out, dtype=object)
 
-    A null text is empty and scores as the end alone. Repeated rows are counted as often as they
-    stand there and each get a row. A null doc_id counts as empty text for the fold. A word that no
-    training text has is scored as the one unknown word of its shape's class. Other columns are
-    ignored; without training texts every base score is 0.
-    """
+
+def _tagged(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, copies, n_known, seen (sum of log10 of counts and one) and kinds (a byte a word) of each different row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = rows.mapInPandas(_score(model), "doc_id long, key long, copies long, n_tokens long, n_known long, base double, model double, word binary, n long")
-    counts = model.counts.select(F.col("word").alias("w"), F.col("c"))
+    parts = rows.mapInPandas(_look_up(model), "doc_id long, key long, copies long, n_known long, seen double, kinds binary, word binary, at long")
+    counts = model.counts.select(F.col("word").alias("w"), "c", "k")
     # rows that stand for a text have a word that no text can hold, different for each
     joined = parts.join(counts.hint("merge"), F.col("word") == F.col("w"), "left")
-    more = F.coalesce(F.col("n") * F.log10(F.col("c") + 1.0), F.lit(0.0))
-    known = F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)
+    place = F.when(F.col("c").isNotNull(), F.col("at") * 256 + F.col("k"))
     sums = joined.groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"),
-        F.sum(F.col("base") + more).alias("base"), F.sum(F.col("model") + more).alias("model"),
+        F.sum("copies").alias("copies"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, 1).otherwise(0)).alias("n_known"),
+        F.sum(F.col("seen") + F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0))).alias("seen"),
+        F.max("kinds").alias("kinds"), F.collect_set(place).alias("places"),
     )
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    held = fold(F.col("doc_id"), HELD_OUT_FOLD) == HELD_OUT
+    return sums.select("doc_id", "copies", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("seen") / F.col("copies")).alias("seen"), _filled("kinds", "places").alias("kinds"))
+
+
+def _scored(tags: DataFrame, model: Model) -> DataFrame:
+    transitions, emission = model.transitions, model.emission
+    denominator, end = float(np.log10(model.tokens + model.types + 1)), float(np.log10(model.texts + 1))
+
+    @F.pandas_udf("double")
+    def of_classes(column: pd.Series) -> pd.Series:
+        out = []
+        for kinds in column:
+            row = np.concatenate(([0], np.frombuffer(kinds, np.uint8), [0]))
+            out.append(float(transitions[row[:-1], row[1:]].sum() - emission[row].sum()))
+        return pd.Series(out, dtype="float64")
+
+    each = tags.withColumn("score", of_classes("kinds") + F.col("seen")).withColumn("n_tokens", F.octet_length("kinds").cast("long") + 1).drop("kinds")
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
-        "doc_id", held.alias("held_out"), (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("model") / F.col("copies")).alias("score"),
+        "doc_id", _is_held("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("seen") + end - denominator * F.col("n_tokens")).alias("base_score"), "score",
     )
 
 
+def _is_held(doc_id: str) -> Column:
+    return fold(F.col(doc_id), HELD_OUT_FOLD) == HELD_OUT
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+
+    A null text is empty and scores as the end alone. Repeated rows are counted as often as they
+    stand there and each get a row. A null doc_id counts as empty text for the fold. A word that no
+    training text has is scored as the one unknown word of its shape's class. Other columns are
+    ignored; without training texts every base score is 0.
+    """
+    return _scored(_tagged(docs, model), model)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``score`` of all documents with the ``fit`` of those not held out; their words are joined only once."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs.where(fold(F.col("doc_id"), HELD_OUT_FOLD) != HELD_OUT)))
+    model = _lexicon(docs.where(~_is_held("doc_id")), None, CLASSES, KNOWN)
+    tags = cut(_tagged(docs, model))
+    model.transitions = _transitions(tags.where(~_is_held("doc_id")), CLASSES)
+    return _scored(tags, model)

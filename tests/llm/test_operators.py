@@ -524,6 +524,35 @@ def test_exchange_never_lowers_the_likelihood():
     assert value(more) >= value(once) >= value(start) and more[-1] == 0
 
 
+def test_words_outside_the_units_get_the_class_of_their_neighbours(spark):
+    """Rare words of equal ending, and so of equal shape, that stand where other frequent words do; most beyond the known ones."""
+    rows = []
+    for k in range(400):
+        noun, verb, rare = ("cat", "dog")[k // 2 % 2], ("run", "go")[k // 2 % 2], f"{k // 2 % 40}abc"
+        rows.append((k, f"the {noun} is the n{rare} is the {noun} is" if k % 2 else f"we {verb} to we v{rare} to we {verb} to"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = brown.fit(docs, clustered=8, classes=8, known=20)
+    kinds = {bytes(r["word"]).decode(): (r["c"], r["k"]) for r in model.counts.collect()}
+    counts = Counter(w for _, t in rows for w in t.split())
+    assert {w: c for w, (c, _) in kinds.items()} == dict(counts)
+    nouns, verbs = ({k for w, (_, k) in kinds.items() if w[0] == x and w.endswith("abc")} for x in "nv")
+    assert (nouns, verbs) == ({kinds["cat"][1]}, {kinds["run"][1]}) and nouns != verbs
+    # transitions are those of the final classes of all words
+    between = np.zeros((8, 8))
+    for _, t in rows:
+        row = [0, *(kinds[w][1] for w in t.split()), 0]
+        np.add.at(between, (row[:-1], row[1:]), 1)
+    unigram = (between.sum(axis=0) + 1) / (between.sum() + 8)
+    assert np.allclose(10**model.transitions, (between + brown.PRIOR * unigram) / (between.sum(axis=1, keepdims=True) + brown.PRIOR))
+    assert brown.clustered_of(10**6) == brown.CLUSTERED < brown.clustered_of(10**8) < brown.clustered_of(10**10)
+
+
+def test_exchange_ends_when_no_unit_moves():
+    pairs = np.random.default_rng(3).poisson(2.0, (120, 120)).astype(float)
+    done = brown.exchange(pairs, 8)
+    assert (done == brown.exchange(pairs, 8, 1_000)).all()
+
+
 def test_no_training_texts(spark):
     docs = odd_docs(spark)
     rows = brown.score(docs, brown.fit(docs.limit(0))).collect()
