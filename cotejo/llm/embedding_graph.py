@@ -3,14 +3,19 @@
 Vectors of one label are dealt to overlapping shards around pivots. In each shard every vector
 gets a short, robust-pruned list of neighbours; the lists of a vector from all its shards are
 united. Range-expanding greedy search then walks the united lists inside each shard, from the
-shard's medoid, and from the vector itself, until no more vectors come within the range. What it
-finds is verified by cosine in double precision, and its recall is audited against brute force on
-a bounded set of vectors; a recall below the target repeats the work with wider overlaps.
+shard's medoid, and from the vector itself, until no more vectors come within the range. Pruning
+leaves out no neighbour within the range; a vector whose candidates are all within it may have more
+than those, so it is held against its whole shard as well. What is found is verified by cosine in
+double precision, and its recall is audited against brute force on a bounded set of vectors; a
+recall below the target repeats the work with wider overlaps, and is an error if it stays.
+
+Two vectors within the range share a shard: overlaps are as wide as the range at least, and the
+pivot nearest to the one that is nearer to its own is then within the overlap of the other.
 
 Equal vectors are one node with a weight, so copies cost nothing. A link is counted in the first
 shard that both its ends share, so counts need no list of pairs, and a shard hands on only a
 spanning forest of its links. Shards above the limit are dealt again; those that don't get
-smaller, because their vectors are nearly equal, are cut into blocks and every two blocks become a
+smaller, because their vectors are too much alike, are cut into blocks and every two blocks become a
 shard: all links are found and no task holds more than two blocks.
 """
 
@@ -29,7 +34,7 @@ from cotejo.llm.common import components, cut, table
 THRESHOLD = 0.98
 #: Vectors of a shard at most; pivots of a shard that is dealt again at most; times it is dealt.
 LIMIT, PIVOTS, LEVELS = 8_192, 256, 4
-#: Degrees beyond its nearest pivot up to which a vector also joins others.
+#: Degrees beyond its nearest pivot up to which a vector also joins others; never less than the range.
 MARGIN = 6.0
 #: Degrees that pivots are apart at least.
 SEPARATION = 25.0
@@ -42,6 +47,8 @@ WIDTH = 24
 #: Vectors whose links are counted by brute force, and the least recall.
 AUDITED, RECALL = 512, 0.9
 TIMES = 3
+#: What cosines may differ by when they are computed in another order.
+ROUNDING = 1e-12
 
 
 def flagged(vectors: DataFrame) -> DataFrame:
@@ -126,7 +133,13 @@ def shards(nodes: DataFrame, limit: int = LIMIT, margin: float = MARGIN, levels:
         salts = F.ceil(F.col("n") / limit).cast("int")
         salted = split.select("shard", "p", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select(F.col("shard").alias("of"), F.col("salt").alias("part"), F.explode("p").alias("x")).select("of", "part", "x.node", "x.vector")
         rows = crowded.join(split.select("shard"), "shard", "left_semi").select("shard", F.pmod(F.xxhash64(F.lit("salt"), "node"), salts).cast("int").alias("salt"), "node", "vector")
-        open_ = cut(rows.groupBy("shard", "salt").cogroup(salted.groupBy("of", "part")).applyInPandas(_deal(margin), "node long, vector array<double>, shard string"))
+        dealt = cut(rows.groupBy("shard", "salt").cogroup(salted.groupBy("of", "part")).applyInPandas(_deal(margin), "node long, vector array<double>, shard string"))
+        # where overlaps leave as many comparisons as all of the shard's pairs, half at least, blocks are cheaper
+        parent = F.regexp_replace("shard", "/[^/]*$", "")
+        work = dealt.groupBy("shard").agg(F.count("*").alias("k")).groupBy(parent.alias("shard")).agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        vain = cut(work.join(split, "shard").where(F.col("work") * 2 > F.col("n") * F.col("n")).select("shard"))
+        done = done.unionByName(_blocks(crowded.join(vain, "shard", "left_semi"), limit).select("node", "vector", "shard"))
+        open_ = dealt.join(vain.select(F.col("shard").alias("of")), parent == F.col("of"), "left_anti")
     return done
 
 
@@ -163,17 +176,32 @@ def robust_neighbours(vectors: np.ndarray, degree: int = DEGREE, candidates: int
     return lists
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    """The shard's graph, with edges in the other direction as well: those to the nearest always, else while there is room."""
-    rows = rows.sort_values("node")
-    nodes = rows["node"].to_numpy()
-    lists = robust_neighbours(_matrix(rows["vector"]))
-    both: list[set[int]] = [set(x) for x in lists]
-    for k, some in enumerate(lists):
-        for rank, other in enumerate(some):
-            if rank < SURE or len(both[other]) < 2 * DEGREE:
-                both[other].add(k)
-    return pd.DataFrame({"node": nodes, "near": [nodes[sorted(x)] for x in both]})
+def _build(threshold: float):
+    """The shard's graph, with edges in the other direction as well: those to the nearest always, else while there is room.
+
+    ``near`` also has all of a vector's neighbours within the range, if they are fewer than the
+    candidates; if they aren't, ``full`` is true.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        nodes, vectors = rows["node"].to_numpy(), _matrix(rows["vector"])
+        lists = robust_neighbours(vectors)
+        both: list[set[int]] = [set(x) for x in lists]
+        for k, some in enumerate(lists):
+            for rank, other in enumerate(some):
+                if rank < SURE or len(both[other]) < 2 * DEGREE:
+                    both[other].add(k)
+        full = np.zeros(len(nodes), bool)
+        for at in range(0, len(nodes), 512):
+            close = vectors[at : at + 512] @ vectors.T >= threshold - ROUNDING
+            close[np.arange(len(close)), np.arange(at, at + len(close))] = False
+            full[at : at + 512] = close.sum(axis=1) >= CANDIDATES
+            for k in np.flatnonzero(~full[at : at + 512]).tolist():
+                both[at + k].update(np.flatnonzero(close[k]).tolist())
+        return pd.DataFrame({"node": nodes, "near": [nodes[sorted(x)] for x in both], "full": full})
+
+    return run
 
 
 def range_search(start: list[int], query: np.ndarray, vectors: np.ndarray, near: list[np.ndarray], threshold: float, width: int = WIDTH) -> np.ndarray:
@@ -231,10 +259,19 @@ def _search(threshold: float, width: int):
         medoid = int(np.argmax(vectors @ vectors.mean(axis=0)))
         owners = [set(x) for x in rows["shards"]]
         alone = all(len(x) == 1 for x in owners)
+        linked = np.zeros((size, size), bool)
+        for k in range(size):
+            linked[k, range_search([medoid, k], vectors[k], vectors, near, threshold, width)] = True
+        full = np.flatnonzero(rows["full"].to_numpy())
+        for at in range(0, len(full), 512):
+            linked[full[at : at + 512]] |= vectors[full[at : at + 512]] @ vectors.T >= threshold
+        for at in range(0, size, 512):  # either end may have found it
+            linked[at : at + 512] |= linked[:, at : at + 512].T
         root = np.arange(size)
         counts = np.zeros(size, np.int64)
         for k in range(size):
-            found = range_search([medoid, k], vectors[k], vectors, near, threshold, width)
+            linked[k, k] = True
+            found = np.flatnonzero(linked[k])
             joined = np.unique(root[found])
             if len(joined) > 1:
                 root[np.isin(root, joined[1:])] = joined[0]
@@ -296,9 +333,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, limit: int
     rows = cut(flagged(vectors))
     nodes = cut(rows.where("able").groupBy("label", "mark").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")))
     width = WIDTH
+    margin = max(margin, float(np.degrees(np.arccos(threshold))) + 1e-6)
     for _ in range(TIMES):
         members = cut(shards(nodes, limit, margin))
-        united = members.groupBy("shard").applyInPandas(_build, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        united = members.groupBy("shard").applyInPandas(_build(threshold), "node long, near array<long>, full boolean").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("full").alias("full"))
         owners = members.groupBy("node").agg(F.collect_set("shard").alias("shards"))
         known = united.join(owners, "node").join(nodes.select("node", "weight"), "node")
         searched = cut(members.join(known, "node").groupBy("shard").applyInPandas(_search(threshold, width), "node long, links long, root long"))
@@ -307,6 +345,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, limit: int
         if recall >= RECALL:
             break
         margin, width = margin * 2, width * 2
+    else:
+        raise RuntimeError(f"recall is {recall:.3f} after {TIMES} times")
     roots = components(searched.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     found = nodes.join(counted, "node").join(roots, "node", "left").select("label", "mark", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     linked = rows.where("able").join(found, ["label", "mark"]).select("vec_id", "n_links", "component_id")

@@ -148,6 +148,30 @@ def test_embedding_links_are_those_of_brute_force(spark, limit):
     assert got[0]["recall"] >= 0.9
 
 
+def two_clusters():
+    """Two tight clusters of 80 vectors each, all links between them just within the range, and the medoid elsewhere."""
+    rng = np.random.default_rng(4)
+    axes = np.eye(16)
+    turned = np.cos(np.radians(11.2)) * axes[0] + np.sin(np.radians(11.2)) * axes[1]
+    centres = [axes[0]] * 80 + [turned] * 80 + [axes[2]] * 300
+    return [(k, (c + (0.0003 if k < 160 else 0.1) * rng.normal(size=16)).tolist(), 0) for k, c in enumerate(centres)]
+
+
+def circle():
+    """Vectors a degree apart, so links lie astride every boundary between pivots."""
+    return [(k, [math.cos(math.radians(k)), math.sin(math.radians(k)), 0.0], 0) for k in range(360)]
+
+
+@pytest.mark.parametrize(("rows", "limit"), [(two_clusters(), 8_192), (two_clusters(), 60), (circle(), 100)], ids=["clusters", "blocks", "circle"])
+def test_no_embedding_link_is_lost(spark, rows, limit):
+    links = brute_links(rows)
+    got = embedding_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), limit=limit).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: len(x) for i, x in links.items()}
+    if len(rows) == 460:
+        assert {r["component_id"] for r in got if r["vec_id"] < 160} == {0}
+    assert got[0]["recall"] == 1.0
+
+
 def test_embeddings_that_cannot_link(spark):
     v = [1.0, 2.0]
     rows = [(1, v, 0, 1), (2, v, 0, 1), (2, v, 0, 1), (3, None, 0, 1), (4, [1.0, None], 0, 1), (5, [float("nan"), 1.0], 0, 1), (6, [0.0, 0.0], 0, 1), (7, v, None, 1), (8, [2.0, 4.0], 0, 1), (None, v, 0, 1), (9, [float("inf"), 1.0], 0, 1), (10, [], 0, 1), (11, v, 1, 1)]
