@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Each text is cut into sentences, lines and paragraphs; those that name a license at all are
-compared with the templates by the cosine of TF-IDF vectors, and the best is the file's own
-license. A text that is a template as a whole, or has a license and the name of a license file,
+Each text is cut into sentences, lines and paragraphs; those with a term without which no template
+can be near enough are compared with the templates by the cosine of TF-IDF vectors, and the best is
+the file's own license; a text that is a template as a whole has that template's. A text that is a template as a whole, or has a license and the name of a license file,
 stands for its directory; files without a license of their own take that of the nearest ancestor directory which
 has one. Document frequencies of the templates' terms are counted over all texts.
 
@@ -23,6 +23,17 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.common import cut, table
 
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
 # Headers and opening passages of common licenses.
 TEMPLATES = {
     "Apache-2.0": [
@@ -38,14 +49,18 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _gnu("program", "General", "2")],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", _gnu("library", "Lesser General", "2.1")],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", _gnu("library", "Lesser General", "3")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _gnu("program", "Affero General", "3")],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions of the license are met",
+        _REDISTRIBUTION,
+        _BSD_3,
+        " ".join((_REDISTRIBUTION, _BSD_1, _BSD_2, _BSD_3, _BSD_END)),
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", " ".join((_REDISTRIBUTION, _BSD_1, _BSD_2, _BSD_END))],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -54,8 +69,6 @@ TEMPLATES = {
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted under this license"],
     "Proprietary": ["Copyright. All rights reserved. Proprietary and confidential."],
 }
-#: A passage without any of these substrings is no license notice; every template has one.
-TRIGGERS = (b"licens", b"licenc", b"copyright", b"permission", b"spdx")
 SPDX = re.compile(rb"spdx-license-identifier:\s*([\w.+-]+)", re.I)
 #: Least cosine of a passage, and of a whole text for it to be a license file.
 PASSAGE, FILE = 0.75, 0.9
@@ -103,6 +116,16 @@ class Matcher:
                 vector = {t: k * self.idf[t] for t, k in Counter(terms_of(passage.encode())).items()}
                 norm = sqrt(sum(w * w for w in vector.values()))
                 self.templates.append((name, {t: w / norm for t, w in vector.items()}))
+        # a passage that has none of a template's heaviest terms is no nearer to it than the length of the rest
+        needed: set[bytes] = set()
+        for _, template in self.templates:
+            rest = 1.0
+            for term in sorted(template, key=lambda t: (-template[t], t)):
+                if rest < PASSAGE * PASSAGE - 1e-9:
+                    break
+                needed.add(term)
+                rest -= template[term] ** 2
+        self.needed = frozenset(needed)
 
     def nearest(self, passage: bytes) -> tuple[float, str | None]:
         counts = Counter(terms_of(passage))
@@ -120,20 +143,20 @@ class Matcher:
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """The text's own license, its cosine, and whether the text as a whole is a license file."""
         raw = (text or "").encode("utf-8", "surrogatepass")
-        low = raw.lower()
-        if not any(t in low for t in TRIGGERS):
-            return None, 0.0, False
         named = SPDX.search(raw)
         best, of = (1.0, named[1].decode("ascii", "replace")) if named else (0.0, None)
-        passages = {p for p in _SENTENCE.split(raw) if p}
-        passages |= {p for p in raw.split(b"\n") if p} | {p for p in _PARAGRAPH.split(raw) if p}
-        for passage in sorted(passages):
-            found = passage.lower()
-            if any(t in found for t in TRIGGERS):
-                score, name = self.nearest(passage)
-                if score > best:
-                    best, of = score, name
-        whole, _ = self.nearest(raw)
+        terms = terms_of(raw)
+        if not self.needed.isdisjoint(terms):
+            passages = {p for p in _SENTENCE.split(raw) if p}
+            passages |= {p for p in raw.split(b"\n") if p} | {p for p in _PARAGRAPH.split(raw) if p}
+            for passage in sorted(passages):
+                if not self.needed.isdisjoint(terms_of(passage)):
+                    score, name = self.nearest(passage)
+                    if score > best:
+                        best, of = score, name
+        whole, name = self.nearest(raw) if best >= PASSAGE or not self.needed.isdisjoint(terms) else (0.0, None)
+        if whole >= FILE and not named:
+            best, of = whole, name
         return (of, best, whole >= FILE) if best >= PASSAGE else (None, best, False)
 
 

@@ -436,6 +436,30 @@ def test_licenses_own_inherited_and_none(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_license_headers_and_full_texts():
+    matcher = licenses.Matcher(1_000, {t: 900 for t in (b"the", b"of", b"and", b"in", b"is", b"or", b"to")})
+    grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    clauses = [licenses._BSD_1, licenses._BSD_2, licenses._BSD_3, licenses._BSD_END]
+    assert matcher.scan(f"int x;\n{grant}\nint y;")[0] == "BSD-3-Clause"
+    assert matcher.scan("\n\n".join(["Copyright (c) 2020, Someone", grant, *clauses]))[::2] == ("BSD-3-Clause", True)
+    assert matcher.scan("\n\n".join(["Copyright (c) 2020, Someone", grant, *clauses[:2], clauses[3]]))[::2] == ("BSD-2-Clause", True)
+    header = "x = 1\n\n# This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.\n\ny = 2"
+    assert matcher.scan(header.format(";", "", ";", "2"))[0] == "GPL-2.0"
+    assert matcher.scan(header.format(":", "", ",", "3"))[0] == "GPL-3.0"
+    assert matcher.scan(header.format(";", "Affero ", ";", "3"))[0] == "AGPL-3.0"
+    assert matcher.scan(header.format(";", "Lesser ", ";", "2.1").replace("program", "library"))[0] == "LGPL-2.1"
+
+
+def test_terms_that_a_passage_needs_lose_no_passage():
+    matcher = licenses.Matcher(1_000, {t: 900 for t in (b"the", b"of", b"and", b"in", b"is", b"or", b"to")})
+    rng = np.random.default_rng(5)
+    for name, passages in licenses.TEMPLATES.items():
+        for words in (licenses.terms_of(p.encode()) for p in passages):
+            for _ in range(40):
+                some = b" ".join(w for w in words if rng.random() < 0.7)
+                assert matcher.nearest(some)[0] < licenses.PASSAGE or not matcher.needed.isdisjoint(licenses.terms_of(some)), name
+
+
 def test_planted_license_lines_are_found(spark, sf_dir):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     got = {r["doc_id"]: r for r in licenses.query(spark, sf_dir).collect()}
