@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import text as t
 from cotejo.operators.index import K1, MIN_TOKEN, B, as_small_as, small, tfidf
+from cotejo.session import cut
 
 DIGITS = 6
-#: Vectors that one dense search takes as queries at most.
+#: Vectors that a dense search takes as queries in one block.
 MOST_QUERIES = 4_096
 # Weights of the hybrid lexical score and its penalties.
 HYBRID, HYBRID_SINGLE = (0.60, 0.25, 0.15), (0.75, 0.15, 0.10)
@@ -150,14 +151,23 @@ def valid_vector(a: Column, size: int) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, size: int = 64) -> DataFrame:
     """Best of (doc_id, embedding) by cosine for each of (query_id, query_vector).
 
-    The queries of one call meet every document, so they must be few; a larger set comes in blocks.
+    More than ``MOST_QUERIES`` meet the documents in blocks of about half as many, by a hash of
+    query_id, so no broadcast grows with the number of queries.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: call with blocks of them")
     docs = vectors.where(valid_vector(F.col("embedding"), size)).select("doc_id", unit(F.col("embedding")).alias("u"))
     asked = queries.where(valid_vector(F.col("query_vector"), size)).select("query_id", unit(F.col("query_vector")).alias("q"))
-    scored = docs.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", F.round(dot(F.col("u"), F.col("q")), DIGITS).alias("score"))
-    return top_k(scored, k)
+    blocks = [asked]
+    total = queries.count()
+    if total > MOST_QUERIES:
+        parts = -(-total * 2 // MOST_QUERIES)
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
+        blocks = [asked.where(F.col("block") == k).drop("block") for k in range(parts)]
+    found = None
+    for some in blocks:
+        scored = docs.crossJoin(F.broadcast(some)).select("query_id", "doc_id", F.round(dot(F.col("u"), F.col("q")), DIGITS).alias("score"))
+        best = top_k(scored, k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def alpha_hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float, k: int) -> DataFrame:

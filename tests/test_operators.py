@@ -263,3 +263,12 @@ def test_corpus_gets_its_domain(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "text": "mop"}, {"id": "2", "text": "x", "domain": "peripheral"}]))
     got = {r["id"]: (r["domain"], r["domain_confidence"]) for r in tables.with_domain(tables.read_corpus(spark, str(tmp_path / "c.json"))).collect()}
     assert got == {"1": ("cleaning_support", 0.9), "2": ("peripheral", 1.0)}
+
+
+def test_dense_search_works_through_blocks_of_queries(spark, monkeypatch):
+    rows = [(k, [float((k * 7 + j * 3) % 11) + 1.0 for j in range(4)]) for k in range(40)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    queries = vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = sorted(map(tuple, retrieve.dense_top(vectors, queries, 3, 4).collect()))
+    monkeypatch.setattr(retrieve, "MOST_QUERIES", 16)
+    assert sorted(map(tuple, retrieve.dense_top(vectors, queries, 3, 4).collect())) == whole and len(whole) == 120
