@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause is tagged word by word (insult, threat, target, negation, reported speech) and read by
-the composition of five small transducers, one per tag. The composed machine outputs weights on
-its arcs: an insult counts its lexical weight, less when the negation transducer or the
-reported-speech transducer is in its active state, and more when the target transducer has seen
-somebody addressed; a threat only counts together with a target. Clause outputs, not isolated
-words, are what a document is scored by.
+A clause is read word by word. The first transducer, the lexicon, writes each word's tag (insult,
+threat, target, negation, reported speech) and its weight; the composition of five small
+transducers, one per tag, carries that weight along the arc taken to one of the outputs: an insult
+is plain, negated or reported, and so is a threat, by the states of the negation and the reporting
+transducer. At a clause's end its final weights come out: plain insults count as targeted too, and
+plain threats count at all, only if the target transducer has seen somebody addressed. Clause
+outputs, not isolated words, are what a document is scored by. Clauses are read whole, however long.
 
 Insult arcs get their weights from labelled rows: words and word beginnings whose log-odds of
 standing in a toxic document are beyond chance, added to a short general list. They are learned,
 like the calibration from clause outputs to a probability, on a bounded sample of the labelled
-rows (``SAMPLE`` rows, those with the smallest hashed ids). Scoring reads every whole text.
+rows (``SAMPLE`` rows, those with the smallest hashed ids). How large log-odds and significance must
+be is chosen by cross-validation inside that sample: of each fold, the clause outputs are those of a
+lexicon learned on the other folds. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import fold, table
+from cotejo.llm.common import cut, fold, table
 
 #: Most labelled rows that the lexicon and the calibration are fitted on.
 SAMPLE = 20_000
-#: Most lexical entries kept after the test of significance, best first.
-LEXICON = 4_096
-#: Least log-likelihood ratio (nats), number of toxic rows and log-odds of a learned entry; lower
-#: log-odds are those of a language or topic, not of an insult.
-SIGNIFICANT, SUPPORT, ODDS = 16.0, 5, 3.5
+#: Folds of the sample, and what cross-validation chooses from: least log-odds of a learned entry
+#: (lower ones are those of a language or topic, not of an insult) and least log-likelihood ratio (nats).
+FOLDS = 3
+CHOICES = tuple((odds, ratio) for odds in (2.0, 2.75, 3.5, 4.25) for ratio in (8.0, 16.0))
+#: Toxic rows that a learned entry stands in at least.
+SUPPORT = 5
 #: Word beginnings of these lengths are candidates besides whole words.
 PREFIXES = (3, 4, 5, 6)
 HELD_OUT_FOLD = 5
@@ -51,9 +55,8 @@ REPORTS = "said says say called calls claimed claims wrote quoted reported alleg
 DEFAULT_WEIGHT = 4.0
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-CLAUSE_END = re.compile(r"[.!?;:|\n]")
-#: A clause is read at most this many characters to either side of a match.
-REACH = 400
+CLAUSE_ENDS = ".!?;:|\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 
 TAGS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R", "other": "o"}
 
@@ -70,27 +73,27 @@ class Transducer:
 
 
 # Each watches one thing. A negation or a reporting verb holds for the words after it in the
-# clause; a negation is used up by the insult it scopes over.
-NEGATION = Transducer("plain", {("plain", "N"): "negated", ("negated", "N"): "plain", ("negated", "I"): "plain"})
-REPORTED = Transducer("direct", {("direct", "R"): "reported"})
+# clause; a negation is used up by the insult or the threat it scopes over.
+NEGATION = Transducer("affirmed", {("affirmed", "N"): "denied", ("denied", "N"): "affirmed", ("denied", "I"): "affirmed", ("denied", "H"): "affirmed"})
+REPORTED = Transducer("direct", {("direct", "R"): "quoting"})
 TARGET = Transducer("none", {("none", "T"): "seen"})
-THREAT = Transducer("calm", {("calm", "H"): "threat"})
+THREAT = Transducer("calm", {("calm", "H"): "threatened"})
 INSULT = Transducer("clean", {("clean", "I"): "insulted"})
 MACHINES = (INSULT, THREAT, TARGET, NEGATION, REPORTED)
-#: What the composed machine puts out.
-OUTPUTS = ("plain", "negated", "reported", "targeted", "threat")
+#: What the composed machine puts out along its arcs, and at a clause's end.
+ARCS = ("plain", "negated", "reported", "threat", "threat_negated", "threat_reported")
+OUTPUTS = ("plain", "negated", "reported", "targeted", "threat", "averted")
 
 
 def compose(machines: tuple[Transducer, ...]) -> dict[tuple[tuple[str, ...], str], tuple[tuple[str, ...], str | None]]:
-    """The product machine: (state, tag) -> (next state, output name of an insult read there)."""
+    """The product machine: (state, tag) -> (next state, the output that the word's weight goes to)."""
     states = [sorted({m.start, *(s for s, _ in m.arcs), *m.arcs.values()}) for m in machines]
     table_of = {}
     for state in product(*states):
         for tag in TAGS.values():
             then = tuple(m.step(s, tag) for m, s in zip(machines, state, strict=True))
-            out = None
-            if tag == "I":
-                out = "negated" if "negated" in state else "reported" if "reported" in state else "plain"
+            how = "negated" if "denied" in state else "reported" if "quoting" in state else "plain"
+            out = {"I": how, "H": "threat" if how == "plain" else f"threat_{how}"}.get(tag)
             table_of[state, tag] = (then, out)
     return table_of
 
@@ -105,6 +108,7 @@ class Grammar:
 
     lexicon: dict[str, float]
     coefficients: list[float] = field(default_factory=lambda: list(PRIOR))
+    choice: tuple[float, float] | None = None
     _automaton: object = None
 
     def automaton(self):
@@ -122,14 +126,13 @@ class Grammar:
             self._automaton = found
         return self._automaton
 
-    def weight(self, word: str) -> float:
-        """The best weight of the word or of one of its beginnings; 0 if it has none."""
-        found = [self.lexicon.get(word, 0.0)]
-        found += [self.lexicon.get(f"{word[:k]}*", 0.0) for k in PREFIXES if len(word) > k]
-        return max(found)
+    def read(self, word: str) -> tuple[str, float]:
+        """The tag of a word and its weight: an insult's is the best of the word and of its beginnings."""
+        weight = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(f"{word[:k]}*", 0.0) for k in PREFIXES if len(word) > k)])
+        return ("I", weight) if weight > 0 else (_GENERAL.get(word, "o"), 1.0)
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "coefficients": self.coefficients, "_automaton": None}
+        return {"lexicon": self.lexicon, "coefficients": self.coefficients, "choice": self.choice, "_automaton": None}
 
 
 _GENERAL = {**{w: "H" for w in THREATS}, **{w: "T" for w in TARGETS}, **{w: "N" for w in NEGATIONS}, **{w: "R" for w in REPORTS}}
@@ -137,51 +140,48 @@ _GENERAL = {**{w: "H" for w in THREATS}, **{w: "T" for w in TARGETS}, **{w: "N"
 
 def clause_outputs(clause: str, grammar: Grammar) -> dict[str, float]:
     """Runs the composed machine over one lower-case clause; weights by output name."""
-    state, out = START, dict.fromkeys(OUTPUTS, 0.0)
+    state, arcs = START, dict.fromkeys(ARCS, 0.0)
     for match in WORD.finditer(clause):
-        word = match[0]
-        weight = grammar.weight(word)
-        tag = "I" if weight > 0 else _GENERAL.get(word, "o")
+        tag, weight = grammar.read(match[0])
         state, name = MACHINE[state, tag]
         if name:
-            out[name] += weight
-    if "seen" in state:
-        out["targeted"] = out["plain"]
-        out["threat"] = 1.0 if "threat" in state else 0.0
-    return out
+            arcs[name] += weight
+    seen = 1.0 if "seen" in state else 0.0
+    return {
+        "plain": arcs["plain"], "negated": arcs["negated"], "reported": arcs["reported"], "targeted": seen * arcs["plain"],
+        "threat": seen * arcs["threat"], "averted": seen * (arcs["threat_negated"] + arcs["threat_reported"]),
+    }
 
 
 def features(text: str | None, grammar: Grammar) -> list[float]:
-    """What the calibration reads: the strongest clause, all plain weight, and the rest by output."""
+    """What the calibration reads, as logarithms: all plain weight, and of each output the strongest clause's.
+
+    Only clauses with a word of the grammar put anything out, so those that the automaton finds
+    none in are passed over; each of the others is read once, from one end to the other.
+    """
     low = (text or "").lower()
     automaton = grammar.automaton()
     best = dict.fromkeys(OUTPUTS, 0.0)
-    total, done = 0.0, -1
-    for end, (size, exact, begins) in automaton.iter(low) if len(automaton) else ():
+    total, done = 0.0, 0
+    for end, (size, _, begins) in automaton.iter(low) if len(automaton) else ():
         start = end - size + 1
-        if start <= done or start and (low[start - 1].isalpha()):
+        if start < done or start and low[start - 1].isalpha():
             continue
-        whole = end + 1 == len(low) or not low[end + 1].isalpha()
-        if not (exact is not None and whole or begins is not None and not whole):
+        if begins is None and end + 1 < len(low) and low[end + 1].isalpha():
             continue
-        left = max(0, start - REACH)
-        for cutter in CLAUSE_END.finditer(low, left, start):
-            left = cutter.end()
-        if left <= done:
-            left = done + 1
-        cutter = CLAUSE_END.search(low, end + 1, end + 1 + REACH)
-        right = cutter.start() if cutter else min(len(low), end + 1 + REACH)
-        done = right - 1
-        out = clause_outputs(low[left:right], grammar)
+        left = max(done, *(low.rfind(c, done, start) + 1 for c in CLAUSE_ENDS))
+        cutter = CLAUSE_END.search(low, end + 1)
+        done = cutter.end() if cutter else len(low)
+        out = clause_outputs(low[left : cutter.start() if cutter else done], grammar)
         total += out["plain"]
         for name in OUTPUTS:
             best[name] = max(best[name], out[name])
-    return [1.0, min(best["plain"], 12.0), float(np.log1p(total)), min(best["negated"], 12.0), min(best["reported"], 12.0), min(best["targeted"], 12.0), best["threat"]]
+    return [1.0, float(np.log1p(total)), *(float(np.log1p(best[name])) for name in OUTPUTS)]
 
 
-#: What the coefficients are without labels, and what they are drawn to with few:
-#: intercept, strongest plain clause, log of all plain weight, negated, reported, targeted, threat.
-PRIOR = (-3.5, 0.8, 0.6, 0.1, 0.3, 0.2, 2.5)
+#: What the coefficients are without labels, and what they are drawn to with few: intercept, all
+#: plain weight, and the strongest plain, negated, reported, targeted clause, threat, averted threat.
+PRIOR = (-3.5, 0.6, 2.0, 0.1, 0.3, 0.5, 3.6, 0.1)
 PULL = 2.0
 
 
@@ -203,73 +203,110 @@ def calibrate(rows: np.ndarray, toxic: np.ndarray, rounds: int = 30) -> list[flo
         at = at + step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-7:
             break
-    at[1:3] = np.maximum(at[1:3], 0.0)
+    at[1:3] = np.maximum(at[1:3], 0.0)  # plain insults never speak for a text
     return [float(x) for x in at]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``sample`` labelled rows outside the held-out fold.
+    """(doc_id, text, toxic, fold) of at most ``sample`` labelled rows outside the held-out fold.
 
-    Null labels and null ids teach nothing; of several labels of one id the largest holds.
+    Null labels and null ids teach nothing; of several labels of one id the largest holds, and of
+    several texts of one id the least teaches.
     """
     marked = labels.where("doc_id is not null and toxic is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(fold(F.col("doc_id"), HELD_OUT_FOLD) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most SAMPLE rows of two numbers: a bound that holds at any size
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return once.select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the sample by entry and label, counted once a text; summed up per task."""
-    sums: tuple[Counter, Counter] = (Counter(), Counter())
+    """Rows of the sample by entry, label and fold, counted once a text; summed up per task."""
+    sums: Counter = Counter()
+
+    def counted() -> pd.DataFrame:
+        return pd.DataFrame({"entry": [e for e, _ in sums], "kind": [k for _, k in sums], "n": list(sums.values())}).astype({"entry": str, "kind": "int32", "n": "int64"})
+
     for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+        for text, toxic, part in zip(batch["text"], batch["toxic"], batch["fold"], strict=True):
             words = set(WORD.findall(text.lower()))
-            entries = {w for w in words if 2 < len(w) <= 40}
+            entries = {w for w in words if len(w) > 2}
             for k in PREFIXES:
                 entries |= {f"{w[:k]}*" for w in words if len(w) > k}
-            sums[int(toxic)].update(entries)
-        if len(sums[0]) + len(sums[1]) > 100_000:
-            yield _counted(sums)
-            sums = (Counter(), Counter())
-    yield _counted(sums)
-
-
-def _counted(sums: tuple[Counter, Counter]) -> pd.DataFrame:
-    return pd.concat([pd.DataFrame({"entry": list(s), "toxic": k, "n": list(s.values())}) for k, s in enumerate(sums)]).astype({"entry": str, "toxic": "int32", "n": "int64"})
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """The grammar fitted on the bounded sample; the general list alone if there are no labels."""
-    rows = training_rows(docs, labels, sample)
-    sizes = {int(r["toxic"]): int(r["count"]) for r in rows.groupBy("toxic").count().collect()}
-    lexicon = dict.fromkeys(INSULTS, DEFAULT_WEIGHT)
-    good, bad = sizes.get(0, 0), sizes.get(1, 0)
-    if good and bad:
-        counted = rows.select("text", "toxic").mapInPandas(_candidates, "entry string, toxic int, n long")
-        sums = counted.groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-        share = bad / (good + bad)
-        n, b, g = F.col("bad") + F.col("good"), F.col("bad"), F.col("good")
-        ratio = b * F.log(b / n / share) + F.when(g > 0, g * F.log(g / n / (1 - share))).otherwise(0.0)
-        weight = F.log((b + 0.5) / (bad + 1.0)) - F.log((g + 0.5) / (good + 1.0))
-        scored = sums.where(b >= SUPPORT).select("entry", "bad", "good", weight.alias("weight"), ratio.alias("ratio"))
-        known = scored.where(F.col("entry").isin(INSULTS)).collect()
-        learned = scored.where((F.col("ratio") >= SIGNIFICANT) & (F.col("weight") >= ODDS)).orderBy(F.desc("ratio"), "entry").limit(LEXICON).collect()
-        for row in [*known, *learned]:
-            lexicon[row["entry"]] = max(0.0, float(row["weight"]))
-    grammar = Grammar({k: round(w, 6) for k, w in lexicon.items() if w > 0})
-    if good and bad:
-        read = rows.select("doc_id", "toxic", _features_udf(grammar)("text").alias("x")).collect()
-        read.sort(key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
-        grammar.coefficients = calibrate(np.array([r["x"] for r in read]), np.array([r["toxic"] for r in read], dtype=float))
-    return grammar
-
-
-def _features_udf(grammar: Grammar):
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t, grammar) for t in texts])
-
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
+            kind = 2 * int(part) + int(toxic)
+            sums.update((e, kind) for e in entries)
+            if len(sums) > 200_000:
+                yield counted()
+                sums.clear()
+    yield counted()
+
+
+class Evidence:
+    """How often entries stand in clean and toxic rows of each fold; gives the lexicon of any folds."""
+
+    def __init__(self, entries: list[str], counts: np.ndarray, sizes: np.ndarray):
+        self.entries, self.counts, self.sizes = entries, counts, sizes  # counts: entry, fold, label
+
+    def lexicon(self, odds: float, ratio: float, without: int | None = None) -> dict[str, float]:
+        folds = [k for k in range(FOLDS) if k != without]
+        good, bad = self.sizes[folds].sum(axis=0)
+        lexicon = dict.fromkeys(INSULTS, DEFAULT_WEIGHT)
+        if not (good and bad and len(self.entries)):
+            return lexicon
+        g, b = self.counts[:, folds].sum(axis=1).T.astype(float)
+        n, share = np.maximum(g + b, 1.0), bad / (good + bad)
+        weight = np.log((b + 0.5) / (bad + 1.0)) - np.log((g + 0.5) / (good + 1.0))
+        surprise = b * np.log(np.maximum(b, 1e-9) / n / share) + g * np.log(np.maximum(g, 1e-9) / n / (1 - share))
+        known = set(INSULTS)
+        learned = (b >= SUPPORT) & (surprise >= ratio) & (weight >= odds)
+        for k in np.flatnonzero(b >= SUPPORT).tolist():
+            if learned[k] or self.entries[k] in known:
+                lexicon[self.entries[k]] = round(max(0.0, float(weight[k])), 6)
+        return {k: w for k, w in lexicon.items() if w > 0}
+
+
+def evidence(rows: DataFrame) -> Evidence:
+    """Of the sample's rows; only entries with enough toxic rows leave the executors, so the sample bounds them."""
+    sizes = np.zeros((FOLDS, 2))
+    for r in rows.groupBy("fold", "toxic").count().collect():
+        sizes[r["fold"], r["toxic"]] = r["count"]
+    counted = rows.select("text", "toxic", "fold").mapInPandas(_candidates, "entry string, kind int, n long")
+    kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(2 * FOLDS)]
+    toxic = sum((F.col(f"k{2 * k + 1}") for k in range(FOLDS)), F.lit(0))
+    found = sorted(counted.groupBy("entry").agg(*kinds).where(toxic >= SUPPORT).collect())
+    counts = np.array([r[1:] for r in found], dtype=np.int64).reshape(len(found), FOLDS, 2)
+    return Evidence([r[0] for r in found], counts, sizes)
+
+
+def _log_loss(rows: np.ndarray, toxic: np.ndarray, part: np.ndarray) -> float:
+    """Of each fold, by the calibration on the others."""
+    lost = 0.0
+    for k in range(FOLDS):
+        inside = part == k
+        p = np.clip(probability(rows[inside], calibrate(rows[~inside], toxic[~inside])), 1e-9, 1 - 1e-9)
+        lost -= float((toxic[inside] * np.log(p) + (1 - toxic[inside]) * np.log(1 - p)).sum())
+    return lost
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, choices: tuple[tuple[float, float], ...] = CHOICES) -> Grammar:
+    """The grammar fitted on the bounded sample; the general list alone if there are no labels of both kinds."""
+    rows = cut(training_rows(docs, labels, sample))
+    known = evidence(rows)
+    if not known.sizes.sum(axis=0).all():
+        return Grammar(dict.fromkeys(INSULTS, DEFAULT_WEIGHT))
+    grammars = [[Grammar(known.lexicon(*choice, without=k)) for choice in choices] for k in range(FOLDS)]
+
+    def of_other_folds(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([[x for g in grammars[k] for x in features(t, g)] for t, k in zip(texts, parts, strict=True)])
+
+    # numbers of at most SAMPLE rows
+    read = rows.select("doc_id", "toxic", "fold", F.pandas_udf(of_other_folds, T.ArrayType(T.DoubleType()))("text", "fold").alias("x")).orderBy("doc_id").collect()
+    toxic, part = np.array([r["toxic"] for r in read], dtype=float), np.array([r["fold"] for r in read])
+    every = np.array([r["x"] for r in read]).reshape(len(read), len(choices), len(PRIOR))
+    best = int(np.argmin([_log_loss(every[:, k], toxic, part) for k in range(len(choices))]))
+    return Grammar(known.lexicon(*choices[best]), calibrate(every[:, best], toxic), choices[best])
 
 
 def _score_udf(grammar: Grammar):
@@ -285,6 +322,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     A null or empty text gets the score of a text without any match. Repeated rows each get a row
     and the same score; a null id counts as empty text for the fold. Other columns are ignored.
+    An empty table gives no rows; without labels of both kinds the general list and PRIOR score.
     """
     scored = docs.select("doc_id", _score_udf(grammar)("text").alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), HELD_OUT_FOLD) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -71,16 +71,75 @@ def test_filter_never_misses(spark):
 
 def test_toxicity_grammar_knows_negation_and_report():
     grammar = toxicity.Grammar({"idiot": 5.0, "vequ*": 4.0})
-    plain = toxicity.clause_outputs("you are an idiot", grammar)
-    assert plain["plain"] == 5 and plain["targeted"] == 5
-    assert toxicity.clause_outputs("you are not an idiot", grammar)["negated"] == 5
-    assert toxicity.clause_outputs("she said idiot", grammar)["reported"] == 5
-    assert toxicity.clause_outputs("i will kill you", grammar)["threat"] == 1
-    assert toxicity.clause_outputs("kill the process", grammar)["threat"] == 0
-    assert toxicity.clause_outputs("le vequta", grammar)["plain"] == 4
+    out = lambda clause: {k: v for k, v in toxicity.clause_outputs(clause, grammar).items() if v}
+    assert out("you are an idiot") == {"plain": 5, "targeted": 5}
+    assert out("you are not an idiot") == {"negated": 5}
+    assert out("she said idiot") == {"reported": 5}
+    assert out("i will kill you") == {"threat": 1}
+    assert out("i will not kill you") == out("he said they kill you") == {"averted": 1}
+    assert out("kill the process") == {}
+    assert out("le vequta") == {"plain": 4}
+    score = lambda text: float(toxicity.probability(np.array([toxicity.features(text, grammar)]), grammar.coefficients)[0])
+    assert score("I will not kill you") < score("I will kill you") > score("He said they kill you")
     assert toxicity.features("idiotic idiots are fine", grammar)[1] == 0  # other words than the listed one
 
 
+@pytest.mark.parametrize("first", ["not", "you", "said"])
+def test_toxicity_reads_whole_clauses(first):
+    grammar = toxicity.Grammar({"idiot": 5.0})
+    long, short = (toxicity.features(f"{first} {'x ' * n}idiot {'x ' * n}idiot. fine", grammar) for n in (5_000, 10))
+    assert long == short
+
+
+def clause_reader(text, lexicon):
+    """Every clause in turn, word by word, without machines or an automaton."""
+    best, total = [0.0] * 6, 0.0
+    for clause in re.split("[.!?;:|\n]", (text or "").lower()):
+        denied = quoting = seen = False
+        plain = negated = reported = threat = averted = 0.0
+        for word in toxicity.WORD.findall(clause):
+            weight = max([lexicon.get(word, 0.0)] + [lexicon.get(word[:k] + "*", 0.0) for k in (3, 4, 5, 6) if len(word) > k])
+            if weight:
+                if denied:
+                    negated += weight
+                elif quoting:
+                    reported += weight
+                else:
+                    plain += weight
+                denied = False
+            elif word in toxicity.THREATS:
+                averted, threat, denied = averted + (denied or quoting), threat + (not denied and not quoting), False
+            elif word in toxicity.TARGETS:
+                seen = True
+            elif word in toxicity.NEGATIONS:
+                denied = not denied
+            elif word in toxicity.REPORTS:
+                quoting = True
+        best = [max(a, b) for a, b in zip(best, [plain, negated, reported, seen * plain, seen * threat, seen * averted], strict=True)]
+        total += plain
+    return [1.0, math.log1p(total), *map(math.log1p, best)]
+
+
+def test_toxicity_scores_are_those_of_a_plain_reader(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grammar = toxicity.learn(docs, labels)
+    made = toxicity.Grammar({**grammar.lexicon, "tha*": 2.0, "no*": 1.0, "licen*": 3.0, "it": 1.0}, grammar.coefficients)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for g in (grammar, made):
+        for r in toxicity.score(docs, g).collect():
+            rows = clause_reader(texts[r["doc_id"]], g.lexicon)
+            assert toxicity.features(texts[r["doc_id"]], g) == pytest.approx(rows)
+            assert r["score"] == pytest.approx(1 / (1 + math.exp(-sum(map(lambda x, y: x * y, rows, g.coefficients)))))
+
+
+def test_toxicity_learns_from_a_bounded_sample_only(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    twice = docs.union(docs).union(docs.withColumn("text", F.lit("other")))
+    rows = toxicity.training_rows(twice, labels, 20)
+    assert rows.count() == rows.select("doc_id").distinct().count() == 20
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in toxicity.training_rows(docs, labels).collect())
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
