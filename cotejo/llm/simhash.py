@@ -1,16 +1,21 @@
 """SimHash near-duplicates, with candidates pruned by pigeonring filtering.
 
-A fingerprint's 64 bits lie on a ring of three segments and two fingerprints may differ in two
-bits. By the pigeonring principle some segment starts a chain whose first segment differs in at
-most floor(2/3) = 0 bits, whose first two differ in at most floor(4/3) = 1, and whose three differ
-in at most 2. So the start segment is equal, and so is one half of the segment after it: those
-bits, about 32, are the key that candidates share. Within a key the chain's second budget is
-checked before the full Hamming distance.
+A fingerprint's 64 bits lie on a ring of d + 1 segments, where d is the number of bits in which two
+fingerprints may differ. By the pigeonring principle some segment starts a chain whose first l
+segments differ in at most floor(d l / (d + 1)) = l - 1 bits, for every l. So the start segment is
+equal, and so is one half of the segment after it: those bits are the key that candidates share.
+Within a key the budgets of the longer chains are checked before the full Hamming distance.
 
 Only distinct fingerprints are compared, so copies cost nothing. A key that many distinct
-fingerprints share is split by the same principle into keys of about 43 and then 50 bits, where
-at most 2**14 fingerprints can differ: nothing is dropped and no group is unbounded. Within a key
-only a spanning forest of the links is emitted, never all pairs.
+fingerprints share is split by the same principle, by d + 1 parts of its other bits at a time; what
+is crowded still, and could be without bound, is cut into blocks and every two blocks are compared:
+nothing is dropped and no group is unbounded. Within a key only a spanning forest of the links is
+emitted, nearest first, never all pairs.
+
+``near_duplicates`` links fingerprints of three-word shingles that differ in two bits.
+``keep_one``, which filters a corpus, is after texts whose sets of five-word shingles have a
+similarity (Jaccard) of 0.8 or more: it takes several fingerprints of a text, lets each differ in
+more bits, and checks the similarity of the linked texts themselves.
 """
 
 from __future__ import annotations
@@ -22,11 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import components, cut, may_be_among, table
+from cotejo.llm.common import WORD_PATTERN, components, cut, may_be_among, table
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Distinct fingerprints of one key that are compared in one go; keys with more are split.
 KEY_LIMIT = 2048
+#: Of the filter: words of a shingle, least similarity, fingerprints of a text, bits that each may
+#: differ in, and the limit of a key.
+WIDE_SHINGLE, SIMILARITY, RINGS, WIDE_DISTANCE, WIDE_LIMIT = 5, 0.8, 3, 9, 16_384
+#: Levels of keys, and the free bits up to which a key can't be crowded without bound.
+LEVELS, BOUNDED_BITS = 3, 15
 
 
 def _signed(bits: int) -> int:
@@ -44,114 +54,178 @@ def _mask(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
 
-def _key_tree() -> list[dict]:
-    """Masks of all key levels: level, mask, the chain's first two segments, and the child masks."""
-    ring = _runs(list(range(64)), 3)
-    tree: list[dict] = []
+class Ring:
+    """Keys of fingerprints that differ in up to ``distance`` bits.
 
-    def add(level: int, mask: int, chain: int) -> int:
-        at = len(tree)
-        tree.append({"level": level, "mask": mask, "chain": chain, "children": []})
+    ``keys`` has masks of all levels: level, mask, start, and the places of the child masks.
+    ``chains`` has, of each start, masks of its first l segments with their budgets, the whole ring last.
+    """
+
+    def __init__(self, distance: int):
+        self.distance, self.keys, self.chains = distance, [], []
+        ring = _runs(list(range(64)), distance + 1)
+        for start in range(distance + 1):
+            around = ring[start:] + ring[:start]
+            self.chains.append([(_mask([b for part in around[:size] for b in part]), size - 1) for size in range(2, distance + 2)])
+            for half in _runs(around[1], 2):
+                self._add(0, _mask(around[0]) | _mask(half), start)
+
+    def _add(self, level: int, mask: int, start: int) -> int:
+        at = len(self.keys)
+        self.keys.append({"level": level, "mask": mask, "start": start, "children": []})
         free = [b for b in range(64) if not mask >> b & 1]
-        if level < 2:
-            tree[at]["children"] = [add(level + 1, mask | _mask(part), chain) for part in _runs(free, DISTANCE + 1)]
+        if level + 1 < LEVELS:
+            self.keys[at]["children"] = [self._add(level + 1, mask | _mask(part), start) for part in _runs(free, self.distance + 1)]
         return at
 
-    for start in range(3):
-        after = ring[(start + 1) % 3]
-        for half in _runs(after, 2):
-            add(0, _mask(ring[start]) | _mask(half), _mask(ring[start]) | _mask(after))
-    return tree
-
 
-KEYS = _key_tree()
+RING = Ring(DISTANCE)
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint of one text as a signed 64-bit number; 0 if it has no word or is null."""
+def _shingled(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The words, lower-case in A-Z and joined by spaces, and the hashes of their shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        hashes = [digest(joined, SEED)] if words else []
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)]
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return joined, np.array(hashes, dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Of each bit, whether over half of the hashes have it, as a signed number."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
-        block = np.array(hashes[at : at + 8192], dtype=">u8")
+        block = hashes[at : at + 8192].astype(">u8")
         votes += np.unpackbits(block.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes)).view(">i8")[0])
 
 
+def _mixed(hashes: np.ndarray, ring: int) -> np.ndarray:
+    """Other hashes of the same shingles, by a multiply-and-shift mixer; ring 0 has them as they are."""
+    if not ring:
+        return hashes
+    mixed = (hashes ^ np.uint64(ring * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text as a signed 64-bit number; 0 if it has no word or is null."""
+    return _majority(_shingled(text, shingle)[1])
+
+
 @F.pandas_udf(T.LongType())
 def _simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
+def _prints_udf(shingle: int, rings: int):
+    """fps, of each ring, and digest, which is that of equal sequences of words."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            joined, hashes = _shingled(text, shingle)
+            out.append(([_majority(_mixed(hashes, ring)) for ring in range(rings)], xxhash.xxh128_digest(joined)))
+        return pd.DataFrame(out, columns=["fps", "digest"])
+
+    return F.pandas_udf(run, "fps array<long>, digest binary")
+
+
 def fingerprint_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def forest(prints: np.ndarray, chain: int) -> list[tuple[int, int]]:
-    """Links that connect what is within the distance, as a spanning forest in order of search."""
-    left = np.sort(prints)
+def forest(prints: np.ndarray, nodes: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links between nodes whose fingerprints stay within every budget, as a spanning forest, nearest first."""
+    size = len(prints)
+    root = np.arange(size)
     found: list[tuple[int, int]] = []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            apart = np.bitwise_xor(left, at)
-            near = np.bitwise_count(np.bitwise_and(apart, chain)) <= DISTANCE * 2 // 3
-            near &= np.bitwise_count(apart) <= DISTANCE
-            if near.any():
-                linked = left[near]
-                found += [(int(at), int(b)) for b in linked]
-                queue += list(linked)
-                left = left[~near]
+    longer = chain[min(2, len(chain) - 1)]
+    step = max(1, (1 << 20) // max(1, size))
+    for at in range(0, size, step):
+        apart = prints[at : at + step, None] ^ prints[None, at:]
+        i, j = np.nonzero(np.bitwise_count(apart & np.uint64(longer[0])) <= longer[1])
+        i, j = i[j > i], j[j > i]
+        bits = apart[i, j]
+        for mask, budget in chain:
+            near = np.bitwise_count(bits & np.uint64(mask)) <= budget
+            i, j, bits = i[near], j[near], bits[near]
+        order = np.lexsort((j, i, np.bitwise_count(bits)))
+        i, j = i[order] + at, j[order] + at
+        while len(i):
+            between = root[i] != root[j]
+            i, j = i[between], j[between]
+            for p, q in zip(i[:64].tolist(), j[:64].tolist(), strict=True):
+                low, high = sorted((int(root[p]), int(root[q])))
+                if low != high:
+                    root[root == high] = low
+                    found.append((int(nodes[p]), int(nodes[q])))
+            i, j = i[64:], j[64:]
     return found
 
 
-_CHAINS = np.array([k["chain"] for k in KEYS], dtype=np.uint64)
+_LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
 
+def _forest_udf(ring: Ring):
+    def run(which: pd.Series, prints: pd.Series, nodes: pd.Series) -> pd.Series:
+        out = []
+        for k, some, names in zip(which, prints, nodes, strict=True):
+            chain = ring.chains[ring.keys[k]["start"]]
+            links = forest(np.asarray(some, dtype=np.int64).view(np.uint64), np.asarray(names, dtype=np.int64), chain)
+            out.append([{"a": a, "b": b} for a, b in links])
+        return pd.Series(out)
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
-def _forest_udf(which: pd.Series, groups: pd.Series) -> pd.Series:
-    out = []
-    for k, group in zip(which, groups, strict=True):
-        links = forest(np.asarray(group, dtype=np.int64).view(np.uint64), _CHAINS[k])
-        out.append([{"a": _signed(a), "b": _signed(b)} for a, b in links])
-    return pd.Series(out)
+    return F.pandas_udf(run, _LINKS)
 
 
-def _keyed(prints: DataFrame, which: list[int]) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(k).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(KEYS[k]["mask"]))).alias("value")) for k in which])
-    return prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.which", "k.value")
+def _struct(key: dict, which: int) -> Column:
+    return F.struct(F.lit(which).alias("which"), F.lit(_signed(key["mask"])).alias("mask"))
 
 
-def links(prints: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column fp, distinct) within the distance."""
+def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> DataFrame:
+    """Links (a, b) that connect all rows (fp, and node where that isn't the fingerprint itself) within the distance."""
+    named = "node" in prints.columns
+    columns = ["fp", "node"] if named else ["fp"]
+    keys, udf = ring.keys, _forest_udf(ring)
+    level = [k for k, x in enumerate(keys) if x["level"] == 0]
+
+    def keyed(rows: DataFrame, masks: Column) -> DataFrame:
+        rows = rows.select(*columns, F.explode(masks).alias("k"))
+        return rows.select(*columns, "k.which", F.col("fp").bitwiseAND(F.col("k.mask")).alias("value"))
+
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        lists = F.collect_list(F.struct(*columns)).alias("x")
+        groups = rows.groupBy("which", *by).agg(lists).where(F.size("x") > 1)
+        return groups.select(F.explode(udf("which", F.col("x.fp"), F.col("x.node") if named else F.col("x.fp"))).alias("e")).select("e.a", "e.b")
+
     found = None
-    level = [k for k, x in enumerate(KEYS) if x["level"] == 0]
-    rows = _keyed(prints, level)
+    rows = keyed(prints, F.array(*[_struct(keys[k], k) for k in level]))
     while level:
-        sizes = rows.groupBy("which", "value").agg(F.count("*").alias("n")).where("n > 1")
-        last = not KEYS[level[0]]["children"]
-        if not last:
-            sizes = cut(sizes)
-        fits = sizes if last else sizes.where(F.col("n") <= key_limit)
-        groups = rows.join(fits, ["which", "value"]).groupBy("which", "value").agg(F.collect_list("fp").alias("group"))
-        part = groups.select(F.explode(_forest_udf("which", "group")).alias("e")).select("e.a", "e.b")
-        found = part if found is None else found.union(part)
-        if last or sizes.where(F.col("n") > key_limit).isEmpty():
-            break
-        crowded = rows.join(sizes.where(F.col("n") > key_limit).select("which", "value"), ["which", "value"])
-        children = F.create_map(*[x for k in level for x in (F.lit(k), F.array(*[F.struct(F.lit(c).alias("which"), F.lit(_signed(KEYS[c]["mask"])).alias("mask")) for c in KEYS[k]["children"]]))])
-        rows = crowded.select("fp", F.explode(children[F.col("which")]).alias("c")).select("fp", F.col("c.which").alias("which"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("value"))
-        level = [c for k in level for c in KEYS[k]["children"]]
+        crowded = rows.groupBy("which", "value").agg(F.count("*").alias("n")).where(F.col("n") > key_limit)
+        last = not keys[level[0]]["children"]
+        bounded = last and max(64 - keys[k]["mask"].bit_count() for k in level) <= BOUNDED_BITS
+        crowded = None if bounded else cut(crowded)
+        if crowded is None or crowded.isEmpty():
+            part = linked(rows, "value")
+            return part if found is None else found.unionByName(part)
+        part = linked(rows.join(crowded, ["which", "value"], "left_anti"), "value")
+        found = part if found is None else found.unionByName(part)
+        dense = rows.join(crowded, ["which", "value"])
+        if last:
+            blocks = F.ceil(F.col("n") * 2 / key_limit).cast("int")
+            own = F.pmod(F.xxhash64(F.lit("block"), *columns), blocks).cast("int")
+            pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
+            return found.unionByName(linked(dense.select(*columns, "which", "value", F.explode(F.array_distinct(pair)).alias("pair")), "value", "pair"))
+        children = F.create_map(*[x for k in level for x in (F.lit(k), F.array(*[_struct(keys[c], c) for c in keys[k]["children"]]))])
+        rows = keyed(dense, children[F.col("which")])
+        level = [c for k in level for c in keys[k]["children"]]
     return found
 
 
@@ -172,25 +246,71 @@ def near_duplicates(docs: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row whose doc_id names it stays.
+def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distance: int, key_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash, node) and verified links (a, b) between nodes.
 
-    Of several rows with that id one stays. Rows without an id can't name a component and all stay.
+    hash is the text's; a node is a sequence of words. Linked are nodes that some ring's
+    fingerprints connect and whose sets of shingles have the similarity.
+    """
+    prints = docs.select("doc_id", F.xxhash64("text").alias("hash"), _prints_udf(shingle, rings)("text").alias("p")).select("doc_id", "hash", "p.fps", "p.digest")
+    prints = cut(prints)
+    nodes = prints.groupBy("digest").agg(F.first("fps").alias("fps"), F.min(F.struct("doc_id", "hash")).alias("row")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes)  # numbers stay as they are from here on
+    ring = Ring(distance)
+    found = None
+    for k in range(rings):
+        part = links(nodes.select(F.col("fps")[k].alias("fp"), "node"), key_limit, ring)
+        found = part if found is None else found.unionByName(part)
+    candidates = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # shingles of the texts in question only
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "row.doc_id", "row.hash")
+    asked = cut(asked)
+    may = may_be_among(asked.select(F.xxhash64("doc_id", "hash").alias("hash")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").where(may(F.xxhash64("doc_id", "hash")))
+    here = asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["hash"] == texts["hash"])
+    sets = texts.join(asked, here).select("node", shingle_set(F.col("text"), shingle).alias("s")).dropDuplicates(["node"])
+    sets = cut(sets)
+    pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    verified = pairs.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select("a", "b")
+    return prints.join(nodes.select("digest", "node"), "digest").select("doc_id", "hash", "node"), cut(verified)
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    """Hashes of a text's distinct shingles; of fewer words the one of all; none of no word."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0))
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - shingle + 1, F.lit(1)))
+    return F.array_distinct(F.when(F.size(words) > 0, F.transform(places, lambda k: F.xxhash64(F.array_join(F.slice(words, k, F.lit(shingle)), " ")))).otherwise(F.array().cast("array<long>")))
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, rings: int = RINGS, distance: int = WIDE_DISTANCE, key_limit: int = WIDE_LIMIT) -> DataFrame:
+    """``docs`` (doc_id, text, more) without near-duplicates: of each group of linked texts one row stays.
+
+    It is decided by row, not by id: rows of one id with unlike texts all stay. The row that stays
+    has the smallest id (null ids come after all others), then the smallest hash of its text; of rows
+    equal in both, the one whose other columns come first as JSON. Texts of equal words are linked, so of
+    null, empty and wordless ones one row stays. No rows give no rows.
     """
-    identified = docs.where("doc_id is not null")
-    groups = cut(near_duplicates(identified))
-    several = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    leave = groups.where("doc_id <> component_id").select("doc_id").union(several)
+    rows, edges = similar(docs, shingle, similarity, rings, distance, key_limit)
+    roots = components(edges)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    grouped = rows.join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
+    counted = grouped.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(place).alias("first"))
+    judged = cut(counted.join(first, "root").select("doc_id", "hash", "n", (place == F.col("first")).alias("stays")))
     # only rows that may have to go meet the decisions in a join; the texts of the others stay where they are
-    suspect = may_be_among(leave.select(F.xxhash64("doc_id").alias("hash")))
-    rows = identified.withColumn("_suspect", suspect(F.xxhash64("doc_id")))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    judged = rows.where("_suspect").drop("_suspect").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.where("not _suspect").drop("_suspect").unionByName(judged).unionByName(docs.where("doc_id is null"))
+    suspect = may_be_among(judged.where("not stays or n > 1").select(F.xxhash64("doc_id", "hash").alias("hash")))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    own = own.withColumn("suspect", suspect(F.xxhash64("id", "mark")))
+    kept = judged.where("stays")
+    back = own.where("suspect").join(kept, own["id"].eqNullSafe(kept["doc_id"]) & (own["mark"] == kept["hash"]), "left_semi")
+    back = back.groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return own.where("not suspect").select("row.*").unionByName(back.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-__all__ = ["fingerprint_hex", "forest", "keep_one", "links", "near_duplicates", "query", "simhash"]
+__all__ = ["Ring", "fingerprint_hex", "forest", "keep_one", "links", "near_duplicates", "query", "shingle_set", "simhash"]

@@ -471,12 +471,69 @@ def test_pigeonring_links_in_crowded_keys(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected))
 
 
-def test_one_of_each_group_stays(spark, sf_dir):
-    for docs in (documents(spark, sf_dir), odd_docs(spark)):
-        kept = simhash.keep_one(docs)
-        names = {r["component_id"] for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()}
-        assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(names)
-        assert kept.columns == docs.columns and kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
+@pytest.mark.parametrize("distance", [3, 9])
+def test_wider_rings_lose_no_link(spark, distance):
+    """Also where keys are crowded at every level, so that blocks are compared."""
+    random.seed(distance)
+    near = {sum(1 << b for b in random.sample(range(64), random.randrange(distance + 1))) for _ in range(120)}
+    prints = sorted(near | {random.getrandbits(64) for _ in range(150)})
+    df = spark.createDataFrame([(simhash._signed(p), k) for k, p in enumerate(prints)], "fp long, node long")
+    ring = simhash.Ring(distance)
+    expected = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= distance}
+    for limit in (2_048, 8):
+        found = {(max(r), min(r)) for r in map(tuple, simhash.links(df, limit, ring).collect())}
+        assert found <= expected
+        assert clusters(range(len(prints)), found) == clusters(range(len(prints)), expected)
+
+
+def clusters(nodes, pairs):
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {x: top(x) for x in root}
+
+
+def word_sets(rows):
+    lower = lambda t: WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words = [lower(t) for _, t in rows]
+    return [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in words]
+
+
+def test_one_of_each_group_of_similar_texts_stays(spark, sf_dir):
+    """What goes has a chain of texts of the similarity to what stays, and nearly all that could go goes."""
+    base = [f"w{k}" for k in range(200)]
+    made = [" ".join(w if random.Random(n * 1_000 + k).random() > n / 1_500 else f"x{n}" for k, w in enumerate(base)) for n in range(0, 30, 2)]
+    for docs in (documents(spark, sf_dir).select("doc_id", "text"), odd_docs(spark, made).select("doc_id", "text")):
+        rows = sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        sets = word_sets(rows)
+        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        group = clusters(range(len(rows)), pairs)
+        kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+        assert max(kept.values()) == 1 and set(kept) <= set(rows)
+        assert {rows[k] for k in group.values()} <= set(kept)  # one stays, the first
+        could, went = len(rows) - len(set(group.values())), len(rows) - len(kept)
+        assert could >= went >= 0.9 * could > 0
+
+
+def test_rows_are_judged_by_text_not_by_id(spark):
+    rows = [(5, "one text that is not like the other", "a"), (5, "quite another text, with other words in it", "b"), (7, "ONE text  that is not like the other", "c"), (None, "without id", "d"), (None, "without  id", "e"), (3, "same id and text", "y"), (3, "same id and text", "x")]
+    rows += [(8, None, "n"), (9, "", "m"), (10, " \t ", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert [r for r in got if r[0] is not None] == [(3, "same id and text", "x"), rows[0], rows[1], (8, None, "n")]
+    assert len([r for r in got if r[0] is None]) == 1
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    every = odd_docs(spark).withColumns({c: F.lit(1) for c in ("id", "mark", "suspect", "hash", "node", "root", "stays", "n", "a", "b")})
+    assert simhash.keep_one(every).columns == every.columns and 0 < simhash.keep_one(every).count() < every.count()
 
 
 # --- 8: licenses ----------------------------------------------------------------------------------------
@@ -602,6 +659,36 @@ def test_base_scores_are_those_of_brute_force(spark, sf_dir):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     same = [r["score"] for r in rows if r["doc_id"] == 900_003]
     assert len(same) == 2 and same[0] == same[1] < 0
+    # the model's score, word by word, from the counts and classes of all words
+    classed = classes_of(model)
+    between = np.zeros((16, 16))
+    for i, t in all_rows:
+        if not held(i):
+            row = [0, *(classed[w.encode()][1] for w in lower(t)), 0]
+            np.add.at(between, (row[:-1], row[1:]), 1)
+    mass = Counter()
+    for c, k in classed.values():
+        mass[k] += c + 1
+    unigram = (between.sum(axis=0) + 1) / (between.sum() + 16)
+    expected = []
+    for i, t in all_rows:
+        before, total = 0, 0.0
+        for w in [*(w.encode() for w in lower(t)), None]:
+            c, k = (texts, 0) if w is None else classed.get(w) or (0, model.class_of[len(model.known) + brown.shape_of(w)])
+            move = (between[before, k] + brown.PRIOR * unigram[k]) / (between[before].sum() + brown.PRIOR)
+            total += math.log10(move) + (0.0 if w is None else math.log10((c + 1) / (mass[k] + 1)))
+            before = k
+        expected.append((i, round(total, 6), round(10 ** (-total / (len(lower(t)) + 1)), 4)))
+    assert sorted(((r["doc_id"], round(r["score"], 6), round(r["perplexity"], 4)) for r in rows), key=str) == sorted(expected, key=str)
+
+
+def classes_of(model):
+    """Count and class of every word that training texts have."""
+    n = len(model.known)
+    found = {w: (int(c), int(k)) for w, c, k in zip(model.known, model.known_counts, model.class_of[:n], strict=True)}
+    rest = {bytes(r["word"]): (r["c"], r["k"]) for r in model.counts.collect()}
+    assert not found.keys() & rest.keys()
+    return found | rest
 
 
 def test_class_model_is_a_distribution(spark):
@@ -639,7 +726,7 @@ def test_words_outside_the_units_get_the_class_of_their_neighbours(spark):
         rows.append((k, f"the {noun} is the n{rare} is the {noun} is" if k % 2 else f"we {verb} to we v{rare} to we {verb} to"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = brown.fit(docs, clustered=8, classes=8, known=20)
-    kinds = {bytes(r["word"]).decode(): (r["c"], r["k"]) for r in model.counts.collect()}
+    kinds = {w.decode(): x for w, x in classes_of(model).items()}
     counts = Counter(w for _, t in rows for w in t.split())
     assert {w: c for w, (c, _) in kinds.items()} == dict(counts)
     nouns, verbs = ({k for w, (_, k) in kinds.items() if w[0] == x and w.endswith("abc")} for x in "nv")
