@@ -7,7 +7,8 @@ word then gets the class that most raises that likelihood given the classes of i
 each word for itself in the cluster; a shape's class is only that of neighbours that have no class
 yet, and of words that no training text has. Class transitions are counted anew with the final
 classes of all words. A text's probability is the product of class transitions and of word emissions
-within classes, both smoothed; its end is a token with a class of its own.
+within classes, both smoothed; its end is a token with a class of its own. Perplexity is that
+probability's inverse per token.
 
 Counts cover every word of every training text: words are counted in each task and summed by word
 over the cluster, and unit pairs likewise. Only bounded or slowly growing tables reach the driver
@@ -36,10 +37,10 @@ HELD_OUT_FOLD, HELD_OUT = 7, 2
 CLUSTERED, CLUSTERED_TOKENS, SHAPES = 2_000, 10_000_000, 256
 CLASSES = 64
 #: Most frequent words whose counts every executor holds; longer words than this stay out.
-KNOWN, KNOWN_BYTES = 50_000, 64
+KNOWN, KNOWN_BYTES = 200_000, 64
 #: Weight of the class unigram in the smoothed transitions, in observations.
 PRIOR = 8.0
-_HELD = 300_000
+_HELD = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,11 +95,6 @@ def _pairs_of(units: list[bytes]):
         ids, sums = _Ids(units, len(units)), np.zeros(0, np.int64)
         held = np.zeros(0, np.int64)
 
-        def merged(keys: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            new, counts = np.unique(more, return_counts=True)
-            both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-            return both, np.bincount(at, np.concatenate((n, counts)), len(both)).astype(np.int64)
-
         for batch in batches:
             waiting: list[np.ndarray] = []
             size = 0
@@ -108,10 +104,10 @@ def _pairs_of(units: list[bytes]):
                 waiting.append(row[:-1] * (end + 1) + row[1:])
                 size += len(row)
                 if size > 2_000_000:
-                    held, sums = merged(held, sums, np.concatenate(waiting))
+                    held, sums = _merged(held, sums, np.concatenate(waiting))
                     waiting, size = [], 0
             if waiting:
-                held, sums = merged(held, sums, np.concatenate(waiting))
+                held, sums = _merged(held, sums, np.concatenate(waiting))
         for at in range(0, len(held), 100_000):
             keys = held[at : at + 100_000]
             yield pd.DataFrame({"a": (keys // (end + 1)).astype("int32"), "b": (keys % (end + 1)).astype("int32"), "n": sums[at : at + 100_000]})
@@ -175,19 +171,16 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.n
     return of
 
 
-def best_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
+def best_classes(into: np.ndarray, out: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
     """The class of each word outside the units that most raises the class bigram likelihood.
 
-    ``word`` (ascending places in ``now``), ``left``, ``right`` and ``n`` count the classes of each
-    word's neighbours. ``now`` is the class in which ``both`` counts the word so far; the word is
-    taken out of it before, as in ``exchange``.
+    ``into`` and ``out`` count the classes of each word's left and right neighbours, a row a word.
+    ``now`` is the class in which ``both`` counts the word so far; the word is taken out of it
+    before, as in ``exchange``.
     """
-    size, classes = len(now), len(both)
-    flat = size * classes
-    into = np.bincount(word * classes + left, n, flat).reshape(size, classes)
-    out = np.bincount(word * classes + right, n, flat).reshape(size, classes)
+    size = len(now)
     rows, columns, d = (np.tile(x, (size, 1)) for x in (both.sum(axis=1), both.sum(axis=0), np.diagonal(both)))
-    gain = np.zeros((size, classes))
+    gain = np.zeros(into.shape)
     each = np.arange(size)
     for mine, other, table in ((out, into, both), (into, out, both.T)):
         w, h = np.nonzero(mine)
@@ -198,7 +191,9 @@ def best_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.nd
             a = now[some]
             base[np.arange(len(some)), a] -= count + np.where(to == a, other[some, to], 0.0)
             np.maximum(base, 0.0, out=base)
-            np.add.at(gain, some, _xlogx(base + count[:, None]) - _xlogx(base))
+            rise = _xlogx(base + count[:, None]) - _xlogx(base)
+            first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            gain[some[first]] += np.add.reduceat(rise, first, axis=0)
     total = out.sum(axis=1)
     rows[each, now] -= total
     columns[each, now] -= total
@@ -212,30 +207,73 @@ def best_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.nd
     return np.argmax(gain, axis=1)
 
 
-def _neighbours(units: list[bytes], of: np.ndarray):
-    """(word, code, n) of words that are no units: code is the class to the left, times 256, and that to the right."""
+def _neighbours(known: list[bytes], units: int, of: np.ndarray, classes: int):
+    """(place, word, code, n) of the neighbours of training words that are no units.
+
+    A known word goes by its place, and each side is counted for itself: codes from classes squared
+    on are the left neighbour's class, then the right one's. Any other word, which is rare, goes by
+    itself, and its code is the class to the left, times classes, and that to the right.
+    """
+    base, sides = len(known), 2 * classes
+    shapes = of[units : units + SHAPES].astype(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, kinds, sums = _Ids(units, len(units)), of.astype(np.int64), Counter()
-        frame = lambda: pd.DataFrame({"word": [w for w, _ in sums], "code": [c for _, c in sums], "n": list(sums.values())}, dtype=object)
+        ids = _Ids(known, base)
+        # classes as the exchange has them: words that are no units count as their shapes
+        kinds = np.concatenate((of[:units], [shapes[shape_of(w)] for w in known[units:]], shapes)).astype(np.int64)
+        held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
         for batch in batches:
+            rare: list[bytes] = []
+            rare_codes: list[np.ndarray] = []
             for text in batch["text"]:
                 words = words_of(text)
                 row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 around = np.concatenate(([0], kinds[row], [0]))
-                at = np.flatnonzero(row >= len(units))
-                codes = around[at] * 256 + around[at + 2]
-                sums.update(zip([words[k] for k in at.tolist()], codes.tolist(), strict=True))
-                if len(sums) > _HELD:
-                    yield frame()
-                    sums.clear()
-        yield frame()
+                at = np.flatnonzero((row >= units) & (row < base))
+                waiting += [row[at] * sides + around[at], row[at] * sides + classes + around[at + 2]]
+                size += 2 * len(at)
+                if size > 4_000_000:
+                    held, n = _merged(held, n, np.concatenate(waiting))
+                    waiting, size = [], 0
+                at = np.flatnonzero(row >= base)
+                rare += [words[k] for k in at.tolist()]
+                rare_codes.append(around[at] * classes + around[at + 2])
+                if len(rare) > 100_000:
+                    yield _frame(-1, rare, np.concatenate(rare_codes), 1)
+                    rare, rare_codes = [], []
+            if rare:
+                yield _frame(-1, rare, np.concatenate(rare_codes), 1)
+            if len(held) > 4_000_000:
+                yield from known_rows(held, n)
+                held, n = held[:0], n[:0]
+        if waiting:
+            held, n = _merged(held, n, np.concatenate(waiting))
+        yield from known_rows(held, n)
+
+    def known_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(keys), 100_000):
+            some = keys[at : at + 100_000]
+            yield _frame(some // sides, None, some % sides + classes * classes, n[at : at + 100_000])
 
     return run
 
 
-def _assigned(both: np.ndarray, shape_class: np.ndarray):
-    """(word, c, k) from each word's neighbours (word, codes, ns)."""
+def _frame(place, word, code: np.ndarray, n) -> pd.DataFrame:
+    return pd.DataFrame({"place": np.broadcast_to(place, len(code)).astype("int32"), "word": np.full(len(code), None) if word is None else word, "code": code.astype("int32"), "n": np.broadcast_to(n, len(code)).astype("int64")})
+
+
+def _merged(keys: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, with those of more keys added."""
+    new, counts = np.unique(more, return_counts=True)
+    both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+    return both, np.bincount(at, np.concatenate((n, counts)), len(both)).astype(np.int64)
+
+
+def _assigned(known: list[bytes], both: np.ndarray, shape_class: np.ndarray):
+    """(place, word, c, k) from each word's neighbours (place, word, codes, ns)."""
+    classes = len(both)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -244,17 +282,24 @@ def _assigned(both: np.ndarray, shape_class: np.ndarray):
                 sizes = batch["codes"].map(len).to_numpy()
                 codes = np.concatenate(batch["codes"].to_numpy()).astype(np.int64)
                 ns = np.concatenate(batch["ns"].to_numpy()).astype(np.float64)
-                word = np.repeat(np.arange(len(batch)), sizes)
-                now = np.array([shape_class[shape_of(bytes(w))] for w in batch["word"]], np.int64)
-                kinds = best_classes(word, codes // 256, codes % 256, ns, now, both)
-                yield pd.DataFrame({"word": batch["word"].to_numpy(), "c": np.bincount(word, ns, len(batch)).astype(np.int64), "k": kinds})
+                row = np.repeat(np.arange(len(batch)), sizes) * classes
+                side = codes - classes * classes
+                into = np.where(side >= 0, side, codes // classes)
+                out = np.where(side >= 0, side - classes, codes % classes)
+                left, right = (side < 0) | (side < classes), (side < 0) | (side >= classes)
+                flat = len(batch) * classes
+                into = np.bincount((row + into)[left], ns[left], flat).reshape(-1, classes)
+                out = np.bincount((row + out)[right], ns[right], flat).reshape(-1, classes)
+                words = [bytes(w) if p < 0 else known[p] for p, w in zip(batch["place"], batch["word"], strict=True)]
+                now = np.array([shape_class[shape_of(w)] for w in words], np.int64)
+                yield pd.DataFrame({"place": batch["place"].to_numpy(), "word": batch["word"].to_numpy(), "c": out.sum(axis=1).astype(np.int64), "k": best_classes(into, out, now, both)})
 
     return run
 
 
 @dataclass
 class Model:
-    """Bounded tables of a fitted model; ``counts`` is the distributed table of all words and their classes."""
+    """Bounded tables of a fitted model; ``counts`` (word, c, k) is the distributed table of all words that are not known ones."""
 
     known: list[bytes]
     known_counts: np.ndarray
@@ -273,8 +318,9 @@ def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: in
     texts = training.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     wanted = clustered_of(total) if clustered is None else clustered
-    top = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(max(known, wanted)).collect()
-    units = [bytes(r["word"]) for r in top[:wanted]]
+    top = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(max(known, wanted)).toArrow()
+    listed, listed_counts = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    units = listed[:wanted]
     size = len(units) + SHAPES + 1
     found = cut(training.select("text").mapInPandas(_pairs_of(units), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     pairs = np.zeros((size, size), np.uint32 if total + texts < 1 << 32 else np.float64)
@@ -285,24 +331,25 @@ def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: in
     of = exchange(pairs, classes)
     after = np.stack([pairs[:, of == k].sum(axis=1, dtype=np.float64) for k in range(classes)], axis=1)
     both = np.eye(classes)[of].T @ after
+    del pairs
     shape_class = of[len(units) : len(units) + SHAPES]
 
     # by word once: the sums and the lists need no other exchange
-    near = training.select("text").mapInPandas(_neighbours(units, of), "word binary, code long, n long").repartition("word")
-    near = near.groupBy("word", "code").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
-    rest = near.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned(both, shape_class), "word binary, c long, k long")
-    ours = pd.DataFrame({"word": units, "c": [r["c"] for r in top[:wanted]], "k": of[: len(units)]})
-    counts = cut(rest.unionByName(training.sparkSession.createDataFrame(ours, "word binary, c long, k long")))
-
-    listed = [bytes(r["word"]) for r in top[:known]]
-    held = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(known).collect()
-    class_of = np.concatenate(([r["k"] for r in held], shape_class)).astype(np.int64)
+    near = training.select("text").mapInPandas(_neighbours(listed, len(units), of, classes), "place int, word binary, code int, n long").repartition("place", "word")
+    near = near.groupBy("place", "word", "code").agg(F.sum("n").alias("n")).groupBy("place", "word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    placed = near.select("place", "word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned(listed, both, shape_class), "place int, word binary, c long, k long")
+    placed = cut(placed)
+    class_of = np.concatenate((of[: len(units)], np.zeros(len(listed) - len(units), np.int64), shape_class)).astype(np.int64)
+    later = placed.where("place >= 0").select("place", "k").toArrow()  # one row a known word
+    class_of[later["place"].to_numpy()] = later["k"].to_numpy()
+    counts = placed.where("place < 0").select("word", "c", "k")
     mass = np.zeros((classes, 2))
+    np.add.at(mass, class_of[: len(listed)], np.stack((listed_counts, np.ones(len(listed))), axis=1))
     for row in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        mass[row["k"]] = row["c"], row["v"]
+        mass[row["k"]] += row["c"], row["v"]
     emission = np.log10(mass.sum(axis=1) + 1)
     emission[0] = 0.0
-    return Model(listed, np.array([r["c"] for r in top[:known]], dtype=np.float64), class_of, np.zeros((classes, classes)), emission, int(total) + texts, int(types) + (texts > 0), texts, counts)
+    return Model(listed, listed_counts, class_of, np.zeros((classes, classes)), emission, int(total) + texts, int(types) + (texts > 0), texts, counts)
 
 
 def _transitions(tags: DataFrame, classes: int) -> np.ndarray:
@@ -341,26 +388,40 @@ def _look_up(model: Model):
         ids, n = _Ids(known, len(known)), len(known)
         logs = np.concatenate((np.log10(known_counts + 1), np.zeros(SHAPES)))
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
+            whole: list[tuple] = []
+            rare: list[bytes] = []
+            at: list[np.ndarray] = []
+            of: list[int] = []
+            start = 0
+            for k, text in enumerate(batch["text"]):
                 words = words_of(text)
                 row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 inside = int((row < n).sum()) + (texts > 0)
-                out.append((doc_id, key, 1, inside, float(logs[row].sum()), class_of[row].astype(np.uint8).tobytes(), f" {doc_id}:{key}".encode(), None))
-                out += [(doc_id, key, 0, 0, 0.0, None, words[k], k) for k in np.flatnonzero(row >= n).tolist()]
-                if len(out) > 50_000:
-                    yield _rows(out)
-                    out = []
-            yield _rows(out)
+                whole.append((inside, float(logs[row].sum()), class_of[row].astype(np.uint8).tobytes()))
+                some = np.flatnonzero(row >= n)
+                at.append(some)
+                of.append(len(some))
+                rare += [words[j] for j in some.tolist()]
+                if len(rare) > 100_000 or k + 1 == len(batch):
+                    yield _rows(batch.iloc[start : k + 1], whole, rare, np.concatenate(at), of)
+                    whole, rare, at, of, start = [], [], [], [], k + 1
 
     return run
 
 
-_COLUMNS = {"doc_id": "Int64", "key": "int64", "copies": "int64", "n_known": "int64", "seen": "float64", "kinds": object, "word": object, "at": "Int64"}
-
-
-def _rows(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=list(_COLUMNS)).astype(_COLUMNS)
+def _rows(batch: pd.DataFrame, whole: list[tuple], rare: list[bytes], at: np.ndarray, of: list[int]) -> pd.DataFrame:
+    """Rows of texts, with a word that no text can hold, different for each, and of their rare words."""
+    ids, keys = batch["doc_id"].astype("Int64").reset_index(drop=True), batch["key"].to_numpy()
+    inside, seen, kinds = zip(*whole, strict=True)
+    place = np.repeat(np.arange(len(whole)), of)
+    none = [None] * len(rare)
+    zero = np.zeros(len(rare), np.int64)
+    return pd.DataFrame({
+        "doc_id": pd.concat((ids, ids.iloc[place]), ignore_index=True), "key": np.concatenate((keys, keys[place])),
+        "copies": np.concatenate((np.ones(len(whole), np.int64), zero)), "n_known": np.concatenate((np.array(inside, np.int64), zero)),
+        "seen": np.concatenate((np.array(seen, float), zero.astype(float))), "kinds": [*kinds, *none],
+        "word": [*(f" {i}:{k}".encode() for i, k in zip(ids, keys, strict=True)), *rare], "at": pd.array([*[pd.NA] * len(whole), *at.tolist()], dtype="Int64"),
+    })
 
 
 @F.pandas_udf(T.BinaryType())
@@ -408,7 +469,7 @@ def _scored(tags: DataFrame, model: Model) -> DataFrame:
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
         "doc_id", _is_held("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("seen") + end - denominator * F.col("n_tokens")).alias("base_score"), "score",
+        (F.col("seen") + end - denominator * F.col("n_tokens")).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
@@ -417,12 +478,12 @@ def _is_held(doc_id: str) -> Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of ``docs``.
 
     A null text is empty and scores as the end alone. Repeated rows are counted as often as they
     stand there and each get a row. A null doc_id counts as empty text for the fold. A word that no
     training text has is scored as the one unknown word of its shape's class. Other columns are
-    ignored; without training texts every base score is 0.
+    ignored; without training texts every base score is 0. No rows give no rows.
     """
     return _scored(_tagged(docs, model), model)
 
