@@ -21,7 +21,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,7 @@ HELD_OUT_FOLD, HELD_OUT = 7, 2
 CLUSTERED, CLUSTERED_TOKENS, SHAPES = 2_000, 10_000_000, 256
 CLASSES = 64
 #: Most frequent words whose counts every executor holds; longer words than this stay out.
-KNOWN, KNOWN_BYTES = 200_000, 64
+KNOWN, KNOWN_BYTES = 400_000, 64
 #: Weight of the class unigram in the smoothed transitions, in observations.
 PRIOR = 8.0
 _HELD = 250_000
@@ -88,33 +88,103 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+#: Counts of keys (pairs of units, or words and classes) go by blocks of about so many keys.
+BLOCK = 1 << 16
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys and their counts, byte plane by byte plane, compressed."""
+    planes = (np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (np.diff(keys, prepend=0), n))
+    return zlib.compress(b"".join(planes), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 8, -1)
+    steps, n = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+    return np.cumsum(steps), n
+
+
+class _Counts:
+    """Counts of keys in one task: sorted arrays, given out in blocks when they get many."""
+
+    def __init__(self, span: int):
+        self.span, self.keys, self.n, self.waiting, self.size = span, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, *keys: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.waiting += keys
+        self.size += sum(map(len, keys))
+        if self.size > 2_000_000:
+            self._merge()
+            if len(self.keys) > 4_000_000:
+                yield from self.blocks()
+
+    def _merge(self) -> None:
+        new, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        both, at = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate((self.n, counts)), len(both)).astype(np.int64)
+        self.keys, self.waiting, self.size = both, [], 0
+
+    def blocks(self) -> Iterator[pd.DataFrame]:
+        if self.waiting:
+            self._merge()
+        if not len(self.keys):
+            return
+        block = self.keys // self.span
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = [*starts[1:].tolist(), len(block)]
+        packed = [_packed(self.keys[a:b] - block[a] * self.span, self.n[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+        yield pd.DataFrame({"block": block[starts].astype("int32"), "packed": packed})
+        self.keys, self.n = self.keys[:0], self.n[:0]
+
+
+def _summed(counted: DataFrame, span: int, use: Callable[[int, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Adds up the blocks (block, packed); ``use`` makes rows of each. A task holds its blocks as arrays, whatever their number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch["block"], batch["packed"], strict=True):
+                keys, n = _unpacked(packed)
+                sums.setdefault(block, np.zeros(span, np.int64))[keys] += n
+        for block, n in sums.items():
+            made = use(block, n)
+            if made is not None and len(made):
+                yield made
+
+    parts = max(64, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return counted.repartition(parts, "block").mapInPandas(run, schema)
+
+
 def _pairs_of(units: list[bytes]):
     end = len(units) + SHAPES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sums = _Ids(units, len(units)), np.zeros(0, np.int64)
-        held = np.zeros(0, np.int64)
-
+        ids, counts = _Ids(units, len(units)), _Counts(BLOCK)
         for batch in batches:
-            waiting: list[np.ndarray] = []
-            size = 0
             for text in batch["text"]:
-                row = np.fromiter(map(ids.__getitem__, words := words_of(text)), np.int64, len(words))
-                row = np.concatenate(([end], row, [end]))
-                waiting.append(row[:-1] * (end + 1) + row[1:])
-                size += len(row)
-                if size > 2_000_000:
-                    held, sums = _merged(held, sums, np.concatenate(waiting))
-                    waiting, size = [], 0
-            if waiting:
-                held, sums = _merged(held, sums, np.concatenate(waiting))
-        for at in range(0, len(held), 100_000):
-            keys = held[at : at + 100_000]
-            yield pd.DataFrame({"a": (keys // (end + 1)).astype("int32"), "b": (keys % (end + 1)).astype("int32"), "n": sums[at : at + 100_000]})
+                words = words_of(text)
+                row = np.concatenate(([end], np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), [end]))
+                yield from counts.add(row[:-1] * (end + 1) + row[1:])
+        yield from counts.blocks()
 
     return run
 
 
+def _pair_matrix(training: DataFrame, units: list[bytes], kind: type) -> np.ndarray:
+    """Counts of neighbouring units; the driver holds one matrix of them, which grows with the number of units only."""
+    size = len(units) + SHAPES + 1
+    whole = lambda block, n: pd.DataFrame({"block": [block], "packed": [_packed(np.flatnonzero(n), n[n > 0])]})
+    schema = "block int, packed binary"
+    sums = cut(_summed(training.select("text").mapInPandas(_pairs_of(units), schema), BLOCK, whole, schema))
+    pairs = np.zeros(size * size, kind)
+    parts = 1 + size * size // 16_000_000
+    for part in range(parts):
+        for row in sums.where(F.col("block") % parts == part).collect():
+            keys, n = _unpacked(row["packed"])
+            pairs[keys + row["block"] * BLOCK] = n
+    return pairs.reshape(size, size)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -207,92 +277,79 @@ def best_classes(into: np.ndarray, out: np.ndarray, now: np.ndarray, both: np.nd
     return np.argmax(gain, axis=1)
 
 
-def _neighbours(known: list[bytes], units: int, of: np.ndarray, classes: int):
-    """(place, word, code, n) of the neighbours of training words that are no units.
-
-    A known word goes by its place, and each side is counted for itself: codes from classes squared
-    on are the left neighbour's class, then the right one's. Any other word, which is rare, goes by
-    itself, and its code is the class to the left, times classes, and that to the right.
-    """
+def _neighbours_of_known(known: list[bytes], kinds: np.ndarray, units: int, classes: int):
+    """Counts of known words that are no units with the classes to their left, and to their right."""
     base, sides = len(known), 2 * classes
-    shapes = of[units : units + SHAPES].astype(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids(known, base)
-        # classes as the exchange has them: words that are no units count as their shapes
-        kinds = np.concatenate((of[:units], [shapes[shape_of(w)] for w in known[units:]], shapes)).astype(np.int64)
-        held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        size = 0
+        ids, counts = _Ids(known, base), _Counts(BLOCK // sides * sides)
         for batch in batches:
-            rare: list[bytes] = []
-            rare_codes: list[np.ndarray] = []
             for text in batch["text"]:
                 words = words_of(text)
                 row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 around = np.concatenate(([0], kinds[row], [0]))
                 at = np.flatnonzero((row >= units) & (row < base))
-                waiting += [row[at] * sides + around[at], row[at] * sides + classes + around[at + 2]]
-                size += 2 * len(at)
-                if size > 4_000_000:
-                    held, n = _merged(held, n, np.concatenate(waiting))
-                    waiting, size = [], 0
+                place = row[at] * sides
+                yield from counts.add(place + around[at], place + classes + around[at + 2])
+        yield from counts.blocks()
+
+    return run
+
+
+def _neighbours_of_rare(known: list[bytes], kinds: np.ndarray, classes: int):
+    """(word, code) at each place of a word that isn't known: the class to the left, times classes, and that to the right."""
+    base = len(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = _Ids(known, base)
+        for batch in batches:
+            rare: list[bytes] = []
+            codes: list[np.ndarray] = [np.zeros(0, np.int64)]
+            for text in batch["text"]:
+                words = words_of(text)
+                row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 at = np.flatnonzero(row >= base)
-                rare += [words[k] for k in at.tolist()]
-                rare_codes.append(around[at] * classes + around[at + 2])
+                if len(at):
+                    around = np.concatenate(([0], kinds[row], [0]))
+                    rare += [words[k] for k in at.tolist()]
+                    codes.append(around[at] * classes + around[at + 2])
                 if len(rare) > 100_000:
-                    yield _frame(-1, rare, np.concatenate(rare_codes), 1)
-                    rare, rare_codes = [], []
-            if rare:
-                yield _frame(-1, rare, np.concatenate(rare_codes), 1)
-            if len(held) > 4_000_000:
-                yield from known_rows(held, n)
-                held, n = held[:0], n[:0]
-        if waiting:
-            held, n = _merged(held, n, np.concatenate(waiting))
-        yield from known_rows(held, n)
-
-    def known_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(keys), 100_000):
-            some = keys[at : at + 100_000]
-            yield _frame(some // sides, None, some % sides + classes * classes, n[at : at + 100_000])
+                    yield pd.DataFrame({"word": rare, "code": np.concatenate(codes).astype("int32")})
+                    rare, codes = [], [np.zeros(0, np.int64)]
+            yield pd.DataFrame({"word": pd.Series(rare, dtype=object), "code": np.concatenate(codes).astype("int32")})
 
     return run
 
 
-def _frame(place, word, code: np.ndarray, n) -> pd.DataFrame:
-    return pd.DataFrame({"place": np.broadcast_to(place, len(code)).astype("int32"), "word": np.full(len(code), None) if word is None else word, "code": code.astype("int32"), "n": np.broadcast_to(n, len(code)).astype("int64")})
+def _assigned_known(known: list[bytes], both: np.ndarray, shape_class: np.ndarray):
+    """(place, k) of the known words of a block."""
+    classes = len(both)
+    words_of_block = BLOCK // (2 * classes)
 
+    def use(block: int, n: np.ndarray) -> pd.DataFrame:
+        counts = n.reshape(words_of_block, 2, classes).astype(float)
+        there = np.flatnonzero(counts.any(axis=(1, 2)))
+        place = there + block * words_of_block
+        now = np.array([shape_class[shape_of(known[p])] for p in place.tolist()], np.int64)
+        return pd.DataFrame({"place": place.astype("int32"), "k": best_classes(counts[there, 0], counts[there, 1], now, both)})
 
-def _merged(keys: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their counts, with those of more keys added."""
-    new, counts = np.unique(more, return_counts=True)
-    both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-    return both, np.bincount(at, np.concatenate((n, counts)), len(both)).astype(np.int64)
+    return use
 
 
-def _assigned(known: list[bytes], both: np.ndarray, shape_class: np.ndarray):
-    """(place, word, c, k) from each word's neighbours (place, word, codes, ns)."""
+def _assigned_rare(both: np.ndarray, shape_class: np.ndarray):
+    """(word, c, k) from each word's neighbours (word, codes, ns)."""
     classes = len(both)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for start in range(0, len(whole), 2_000):
                 batch = whole.iloc[start : start + 2_000]
-                sizes = batch["codes"].map(len).to_numpy()
                 codes = np.concatenate(batch["codes"].to_numpy()).astype(np.int64)
                 ns = np.concatenate(batch["ns"].to_numpy()).astype(np.float64)
-                row = np.repeat(np.arange(len(batch)), sizes) * classes
-                side = codes - classes * classes
-                into = np.where(side >= 0, side, codes // classes)
-                out = np.where(side >= 0, side - classes, codes % classes)
-                left, right = (side < 0) | (side < classes), (side < 0) | (side >= classes)
-                flat = len(batch) * classes
-                into = np.bincount((row + into)[left], ns[left], flat).reshape(-1, classes)
-                out = np.bincount((row + out)[right], ns[right], flat).reshape(-1, classes)
-                words = [bytes(w) if p < 0 else known[p] for p, w in zip(batch["place"], batch["word"], strict=True)]
-                now = np.array([shape_class[shape_of(w)] for w in words], np.int64)
-                yield pd.DataFrame({"place": batch["place"].to_numpy(), "word": batch["word"].to_numpy(), "c": out.sum(axis=1).astype(np.int64), "k": best_classes(into, out, now, both)})
+                row = np.repeat(np.arange(len(batch)), batch["codes"].map(len).to_numpy()) * classes
+                into, out = (np.bincount(row + side, ns, len(batch) * classes).reshape(-1, classes) for side in (codes // classes, codes % classes))
+                now = np.array([shape_class[shape_of(bytes(w))] for w in batch["word"]], np.int64)
+                yield pd.DataFrame({"word": batch["word"].to_numpy(), "c": out.sum(axis=1).astype(np.int64), "k": best_classes(into, out, now, both)})
 
     return run
 
@@ -314,42 +371,37 @@ class Model:
 
 def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: int) -> Model:
     """A model without transitions: counts and classes of all words of ``training``."""
-    counts = cut(word_counts(training))
     texts = training.count()
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    wanted = clustered_of(total) if clustered is None else clustered
-    top = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(max(known, wanted)).toArrow()
+    top = word_counts(training).where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(max(known, clustered or 0)).toArrow()
     listed, listed_counts = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
-    units = listed[:wanted]
-    size = len(units) + SHAPES + 1
-    found = cut(training.select("text").mapInPandas(_pairs_of(units), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    pairs = np.zeros((size, size), np.uint32 if total + texts < 1 << 32 else np.float64)
-    parts = 1 + found.count() // 4_000_000
-    for part in range(parts):
-        some = found.where(F.col("a") % parts == part).toArrow()
-        pairs[some["a"].to_numpy(), some["b"].to_numpy()] = some["n"].to_numpy()
+    held = int(listed_counts.sum())
+    units = listed[: clustered_of(held) if clustered is None else clustered]
+    pairs = _pair_matrix(training, units, np.uint32 if held < 1 << 31 else np.float64)
     of = exchange(pairs, classes)
     after = np.stack([pairs[:, of == k].sum(axis=1, dtype=np.float64) for k in range(classes)], axis=1)
     both = np.eye(classes)[of].T @ after
     del pairs
     shape_class = of[len(units) : len(units) + SHAPES]
 
-    # by word once: the sums and the lists need no other exchange
-    near = training.select("text").mapInPandas(_neighbours(listed, len(units), of, classes), "place int, word binary, code int, n long").repartition("place", "word")
-    near = near.groupBy("place", "word", "code").agg(F.sum("n").alias("n")).groupBy("place", "word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
-    placed = near.select("place", "word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned(listed, both, shape_class), "place int, word binary, c long, k long")
-    placed = cut(placed)
-    class_of = np.concatenate((of[: len(units)], np.zeros(len(listed) - len(units), np.int64), shape_class)).astype(np.int64)
-    later = placed.where("place >= 0").select("place", "k").toArrow()  # one row a known word
+    # classes as the exchange has them: words that are no units count as their shapes
+    kinds = np.concatenate((of[: len(units)], [shape_class[shape_of(w)] for w in listed[len(units) :]], shape_class)).astype(np.int64)
+    counted = training.select("text").mapInPandas(_neighbours_of_known(listed, kinds, len(units), classes), "block int, packed binary")
+    later = _summed(counted, BLOCK // (2 * classes) * 2 * classes, _assigned_known(listed, both, shape_class), "place int, k long").toArrow()  # one row a known word
+    class_of = kinds.copy()
     class_of[later["place"].to_numpy()] = later["k"].to_numpy()
-    counts = placed.where("place < 0").select("word", "c", "k")
+    # by word once: the sums and the lists need no other exchange
+    rare = training.select("text").mapInPandas(_neighbours_of_rare(listed, kinds, classes), "word binary, code int").repartition("word")
+    rare = rare.groupBy("word", "code").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    counts = cut(rare.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned_rare(both, shape_class), "word binary, c long, k long"))
     mass = np.zeros((classes, 2))
     np.add.at(mass, class_of[: len(listed)], np.stack((listed_counts, np.ones(len(listed))), axis=1))
+    total, types = held, len(listed)
     for row in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         mass[row["k"]] += row["c"], row["v"]
+        total, types = total + row["c"], types + row["v"]
     emission = np.log10(mass.sum(axis=1) + 1)
     emission[0] = 0.0
-    return Model(listed, listed_counts, class_of, np.zeros((classes, classes)), emission, int(total) + texts, int(types) + (texts > 0), texts, counts)
+    return Model(listed, listed_counts, class_of, np.zeros((classes, classes)), emission, total + texts, types + (texts > 0), texts, counts)
 
 
 def _transitions(tags: DataFrame, classes: int) -> np.ndarray:
