@@ -208,6 +208,23 @@ def test_embedding_links_are_those_of_brute_force(spark, limit):
     assert got[0]["recall"] >= 0.9
 
 
+def test_vectors_that_share_an_id(spark, monkeypatch):
+    """Rows are compared, not ids; also where the graph finds nothing, so that all are compared."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, x, 1), (5, y, 1), (7, [1.0, 0.01, 0.0], 1), (100, [0.01, 1.0, 0.0], 1), (9, y, 1), (200, x, 1)]
+    expected = sorted([(5, 2, 5), (5, 2, 5), (7, 2, 5), (100, 2, 5), (9, 2, 5), (200, 2, 5)])
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_graph.near_duplicates(docs).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == expected and {r["recall"] for r in got} == {1.0}
+    low = iter([0.2, 0.3, 0.4, 1.0])
+    monkeypatch.setattr(embedding_graph, "audited_recall", lambda *_: next(low))
+    again = embedding_graph.near_duplicates(docs, limit=2).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in again) == expected and next(low, None) is None
+    monkeypatch.undo()
+    none = embedding_graph.near_duplicates(docs.where("vec_id = 9")).collect()
+    assert [(r["n_links"], r["recall"]) for r in none] == [(0, None)]
+
+
 def two_clusters():
     """Two tight clusters of 80 vectors each, all links between them just within the range, and the medoid elsewhere."""
     rng = np.random.default_rng(4)
@@ -357,6 +374,20 @@ def test_mixing_meets_its_targets(spark, sf_dir):
     assert mixing.mix(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_mixing_takes_rows_in_order_of_their_keys(spark, sf_dir):
+    """Also where slices are small; low qualities crowd none of them."""
+    docs = documents(spark, sf_dir)
+    assert mixing.drawn(docs).select("quality").distinct().count() > 4
+    rows = mixing.mix(docs, slice_rows=7, keep_keys=True).collect()
+    for source in {r["source"] for r in rows}:
+        mine = sorted((r for r in rows if r["source"] == source), key=lambda r: (r["key"], r["doc_id"]))
+        rest = round(mine[0]["target"] - mine[0]["epochs"] * mine[0]["source_size"])
+        for r in mine:
+            part = min(r["size"], max(0, rest))
+            assert r["taken"] == r["epochs"] * r["size"] + part
+            rest -= r["size"]
+
+
 def test_resampled_rows_hold_the_words_taken(spark, sf_dir):
     docs = documents(spark, sf_dir)
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).where("taken > 0").collect()}
@@ -591,6 +622,56 @@ def test_licenses_own_inherited_and_none(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def brute_license(text, n, frequencies):
+    """The best template of all sentences, lines, paragraphs and the whole, each compared with all."""
+    idf = lambda t: math.log((n + 1) / (frequencies.get(t, 0) + 1)) + 1
+    raw = (text or "").encode()
+
+    def cosine(a, b):
+        a, b = ({t: k * idf(t) for t, k in Counter(licenses.terms_of(x)).items()} for x in (a, b))
+        norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(w * b.get(t, 0.0) for t, w in a.items()) / norm if norm else 0.0
+
+    passages = {p for by in (rb"(?<=[.!?])\s+|\n", rb"\n", rb"\n[ \t]*\n") for p in re.split(by, raw) if p}
+    score = lambda p: max(cosine(p, t.encode()) for ts in licenses.TEMPLATES.values() for t in ts)
+    best, whole = max(map(score, passages), default=0.0), score(raw)
+    return (whole if whole >= licenses.FILE else best) if best >= licenses.PASSAGE else None
+
+
+def test_licenses_are_those_of_brute_force(spark, sf_dir):
+    """Scores against every template without any gate, and ancestors by walking up each path."""
+    texts = [r["text"] for r in documents(spark, sf_dir).where("length(text) < 1500").orderBy("doc_id").limit(60).collect()]
+    rows = [(["a", "a/b", "a/b/c", "d", "d/e"][k % 5] + f"/{k}.txt", t) for k, t in enumerate(texts)]
+    rows += [("a/LICENSE", "Released under the MIT License."), ("a/b/COPYING", "Licensed under the Apache License, Version 2.0."), ("d/e/f/g/x", "nothing"), (None, "no path"), ("top", None), ("d/long", "word " * 30_000)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    n, frequencies = licenses.document_frequencies(files)
+    whole = {t: sum(t in set(licenses.terms_of((x or "").encode())) for _, x in rows) for t in {w for _, x in rows for w in licenses.terms_of((x or "").encode())} & licenses.VOCABULARY}
+    assert n == len(rows) and frequencies == whole
+    # words beyond the templates' have the weight of words that no text has
+    own = {path: brute_license(text, n, frequencies) for path, text in rows}
+    got = {r["path"]: r for r in licenses.scan(files).collect()}
+    for path, text in rows:
+        r = got[path]
+        if own[path] is not None:
+            assert r["origin"] == "own" and r["score"] == pytest.approx(own[path])
+            continue
+        up = None
+        for depth in range((path or "").count("/"), -1, -1) if path else ():
+            folder = "/".join(path.split("/")[:depth])
+            up = up or {"a": "MIT", "a/b": "Apache-2.0"}.get(folder)
+        assert (r["license"], r["origin"]) == (up, "inherited" if up else None)
+    assert sum(r["origin"] == "inherited" for r in got.values()) > 20
+
+
+def test_licenses_with_names_that_clash(spark):
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b", "x"), ("c", "SPDX-License-Identifier: not-a-license"), ("d", "SPDX-License-Identifier: GPL-3.0-or-later")], "path string, text string")
+    names = ["salt", "folder", "up_license", "up_score", "_dir", "_f", "dir", "row", "found", "file", "holder", "of", "license", "score", "origin"]
+    got = {r["path"]: r for r in licenses.scan(files.withColumns({c: F.lit(1) for c in names})).collect()}
+    assert [(got[p]["license"], got[p]["origin"]) for p in ("a/LICENSE", "a/b", "c", "d")] == [("MIT", "own"), ("MIT", "inherited"), (None, None), ("GPL-3.0", "own")]
+    assert got["c"]["salt"] == got["c"]["row"] == 1
+    assert licenses.scan(files.limit(0)).count() == 0
+
+
 def test_license_headers_and_full_texts():
     matcher = licenses.Matcher(1_000, {t: 900 for t in (b"the", b"of", b"and", b"in", b"is", b"or", b"to")})
     grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -812,5 +893,8 @@ def test_no_training_texts(spark):
 
 
 def test_every_operator_is_registered():
-    names = list(registry.queries())
+    import __spark_entry__
+
+    names = [*registry.queries(), "pipeline"]
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert set(names) <= set(__spark_entry__.queries())
