@@ -70,6 +70,7 @@ TEMPLATES = {
     "Proprietary": ["Copyright. All rights reserved. Proprietary and confidential."],
 }
 SPDX = re.compile(rb"spdx-license-identifier:\s*([\w.+-]+)", re.I)
+_IDS = {name.lower().encode(): name for name in TEMPLATES}
 #: Least cosine of a passage, and of a whole text for it to be a license file.
 PASSAGE, FILE = 0.75, 0.9
 #: Names of license files, which need only hold a license.
@@ -144,7 +145,8 @@ class Matcher:
         """The text's own license, its cosine, and whether the text as a whole is a license file."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         named = SPDX.search(raw)
-        best, of = (1.0, named[1].decode("ascii", "replace")) if named else (0.0, None)
+        listed = _IDS.get(re.sub(rb"-(only|or-later)$|\+$", b"", named[1].lower())) if named else None
+        best, of = (1.0, listed) if listed else (0.0, None)
         terms = terms_of(raw)
         if not self.needed.isdisjoint(terms):
             passages = {p for p in _SENTENCE.split(raw) if p}
@@ -155,7 +157,7 @@ class Matcher:
                     if score > best:
                         best, of = score, name
         whole, name = self.nearest(raw) if best >= PASSAGE or not self.needed.isdisjoint(terms) else (0.0, None)
-        if whole >= FILE and not named:
+        if whole >= FILE and not listed:
             best, of = whole, name
         return (of, best, whole >= FILE) if best >= PASSAGE else (None, best, False)
 
@@ -166,7 +168,9 @@ def scan(files: DataFrame) -> DataFrame:
     origin is "own", "inherited" or null where no license was found; score is the cosine of the
     passage, of the license file's for inherited ones. A null text has none of its own; a null path
     has no directory and inherits nothing. Repeated rows get equal results. The license of a
-    directory is that of its license file with the highest score, then the least path.
+    directory is that of its license file with the highest score, then the least path. Columns of
+    ``files`` may have any names; license, score and origin are replaced, and text is left out. No
+    rows give no rows.
     """
     kept = [c for c in files.columns if c not in ("license", "score", "origin", "text")]
     matcher = Matcher(*document_frequencies(files))
@@ -174,23 +178,25 @@ def scan(files: DataFrame) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([matcher.scan(t) for t in texts], columns=["license", "score", "is_file"])
 
-    found = F.pandas_udf(run, "license string, score double, is_file boolean")(F.col("text"))
-    directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    own = cut(files.select(*kept, found.alias("_f")).select(*kept, F.col("_f.license").alias("_license"), F.col("_f.score").alias("_score"), (F.col("_f.is_file") | F.coalesce(F.regexp_like("path", F.lit(NAMES)) & F.col("_f.license").isNotNull(), F.lit(False))).alias("_file"), directory.alias("_dir")))
-    holders = own.where("_file and _dir is not null").groupBy("_dir").agg(F.min(F.struct((-F.col("_score")).alias("low"), F.col("path"), F.col("_license").alias("license"))).alias("best"))
-    holders = holders.select(F.col("_dir").alias("holder"), F.col("best.license").alias("up_license"), (-F.col("best.low")).alias("up_score"))
-    parts = F.split("_dir", "/")
+    found = F.pandas_udf(run, "license string, score double, is_file boolean")("text")
+    own = files.select(F.struct(*kept).alias("row"), F.col("path").cast("string").alias("path"), found.alias("found"))
+    named = F.coalesce(F.regexp_like("path", F.lit(NAMES)) & F.col("found.license").isNotNull(), F.lit(False))
+    own = cut(own.select("row", "path", "found.license", "found.score", (F.col("found.is_file") | named).alias("file"), F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")))
+    best = F.min(F.struct((-F.col("score")).alias("low"), "path", "license")).alias("best")
+    holders = own.where("file and dir is not null").groupBy(F.col("dir").alias("holder")).agg(best)
+    holders = holders.select("holder", F.col("best.license").alias("up_license"), (-F.col("best.low")).alias("up_score"))
+    parts = F.split("dir", "/")
     upward = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("holder")))
-    folders = own.where("_dir is not null and _license is null").select("_dir").distinct()
-    climbed = folders.select("_dir", F.explode(upward).alias("u")).select("_dir", "u.depth", "u.holder")
-    nearest = climbed.join(holders, "holder").groupBy("_dir").agg(F.max(F.struct("depth", "up_license", "up_score")).alias("up"))
-    salted = nearest.select(F.col("_dir").alias("folder"), "up.up_license", "up.up_score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = own.withColumn("_salt", F.when(F.col("_license").isNull(), F.pmod(F.xxhash64("path", "_score"), F.lit(SALTS)).cast("int")))
-    joined = rows.join(salted, (F.col("_dir") == F.col("folder")) & (F.col("_salt") == F.col("salt")), "left")
-    license_ = F.coalesce("_license", "up_license")
+    folders = own.where("dir is not null and license is null").select("dir").distinct()
+    climbed = folders.select("dir", F.explode(upward).alias("u")).select("dir", "u.depth", "u.holder")
+    nearest = climbed.join(holders, "holder").groupBy("dir").agg(F.max(F.struct("depth", "up_license", "up_score")).alias("up"))
+    salted = nearest.select(F.col("dir").alias("folder"), "up.up_license", "up.up_score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = own.withColumn("of", F.when(F.col("license").isNull(), F.pmod(F.xxhash64("path", "score"), F.lit(SALTS)).cast("int")))
+    joined = rows.join(salted, (F.col("dir") == F.col("folder")) & (F.col("of") == F.col("salt")), "left")
+    mine = F.col("license").isNotNull()
     return joined.select(
-        *kept, license_.alias("license"), F.when(F.col("_license").isNotNull(), F.col("_score")).otherwise(F.col("up_score")).alias("score"),
-        F.when(F.col("_license").isNotNull(), "own").when(F.col("up_license").isNotNull(), "inherited").alias("origin"),
+        "row.*", F.coalesce("license", "up_license").alias("license"), F.when(mine, F.col("score")).otherwise(F.col("up_score")).alias("score"),
+        F.when(mine, "own").when(F.col("up_license").isNotNull(), "inherited").alias("origin"),
     )
 
 
