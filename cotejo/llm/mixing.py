@@ -6,9 +6,10 @@ taken as complete epochs of the source, and what is left as the documents whose
 order of their keys, fill it; the one document that the budget ends in gives the words that are
 missing and no more.
 
-Prefix sums are two-level: keys fall into slices of a source by a hash-independent function of
-the key, slice totals are summed over the few slices of a source, and only a slice is ever sorted
-in one task. A source with a third of all rows has as many more slices.
+Prefix sums are two-level: keys fall into slices of a source by the distribution of its keys, which
+follows from how many documents it has of each quality; slice totals are summed over the slices of
+a source, and only a slice is ever sorted in one task. A source with a third of all rows has as many
+more slices, and a low quality fills none of them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ MOST_REPEATS = 3
 #: Rows of a slice, about; a source has its rows divided by this many slices.
 SLICE_ROWS = 4_000
 SEED = "mix"
+#: Different quality weights, the words at which half of the weight for length is reached, and symbols.
+QUALITIES, SHORT_WORDS = 20, 25
+SYMBOLS = "0123456789#$%&()*+/<=>@[\\]^_`{|}~"
 #: Sources whose budgets are broadcast at most; more are joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -38,12 +42,17 @@ def uniform(doc_id: Column, text_size: Column) -> Column:
 
 
 def quality_of(text: Column, size: Column) -> Column:
-    """A document's quality weight from whole-text statistics: 1 for prose-like word lengths.
+    """A document's quality weight from whole-text statistics, in twentieths from 0.05 to 1.
 
-    Between 0.25 and 1, by how far the mean word length is from 3 to 9 characters.
+    It is the product of three shares: of words of a prose-like length (3 to 9 characters on average),
+    of characters that are no digits or symbols (squared), and of a length beyond a few words.
     """
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.coalesce(F.when(mean < 3, F.greatest(F.lit(0.25), mean / 3)).when(mean > 9, F.greatest(F.lit(0.25), 9 / mean)).otherwise(1.0), F.lit(1.0))
+    chars = F.greatest(F.length(text), F.lit(1))
+    mean = chars / F.greatest(size, F.lit(1))
+    prose = F.when(mean < 4, mean / 4).when(mean > 10, 10 / mean).otherwise(1.0)
+    plain = F.length(F.translate(text, SYMBOLS, "")) / chars
+    value = prose * plain * plain * size / (size + SHORT_WORDS)
+    return F.coalesce(F.greatest(F.lit(1), F.round(value * QUALITIES)) / QUALITIES, F.lit(1.0 / QUALITIES))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -70,10 +79,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def drawn(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, source, size, chars and key, the exponential one, of each row; and the columns named."""
+    """doc_id, source, size, chars, quality and key, the exponential one, of each row; and the columns named."""
     size = size_of(F.col("text"))
     sized = docs.select(*more, "doc_id", "source", size.alias("size"), quality_of(F.col("text"), size).alias("quality"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    return sized.select(*more, "doc_id", "source", "size", "chars", (-F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("quality")).alias("key"))
+    return sized.select(*more, "doc_id", "source", "size", "chars", "quality", (-F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("quality")).alias("key"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, slice_rows: int = SLICE_ROWS, keep_keys: bool = False) -> DataFrame:
@@ -85,14 +94,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     gives no rows; other columns are ignored.
     """
     keyed = cut(drawn(docs))
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    weighed = keyed.groupBy("source", "quality").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    sources = weighed.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("n"), F.collect_list(F.struct("quality", "rows")).alias("qualities"))
     goals = targets(sources, weights, most).withColumnRenamed("source", "name")
-    counted = goals.join(sources.select(F.col("source").alias("again"), "n"), F.col("name").eqNullSafe(F.col("again"))).drop("again")
+    counted = goals.join(sources.select(F.col("source").alias("again"), "n", F.array_sort("qualities").alias("qualities")), F.col("name").eqNullSafe(F.col("again"))).drop("again")
     counted = cut(counted.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("int")))
 
     joined = keyed.join(counted, F.col("source").eqNullSafe(F.col("name")))
-    # keys of quality 1 are exponential, so this function of a key is about uniform
-    slot = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")), F.col("slices") - 1).cast("int")
+    # how many keys of a source are expected below a key: each quality's are exponential, so slices are about equal
+    below = F.aggregate("qualities", F.lit(0.0), lambda s, q: s + q["rows"] * (1 - F.exp(-F.col("key") * q["quality"])))
+    slot = F.least(F.floor(below / F.col("n") * F.col("slices")), F.col("slices") - 1).cast("int")
     sliced = joined.select("doc_id", "source", "size", "chars", "key", "source_size", "target", slot.alias("slot"))
     totals = sliced.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
