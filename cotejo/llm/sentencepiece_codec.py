@@ -88,7 +88,6 @@ class Codec:
                     self.halves[k] = self._last_merge(pieces[k])
         self.automaton.make_automaton()
         self.sizes = [len(p) for p in pieces]
-        self.broken: set[str] = set()
         self.unit = self._unit_pattern([pieces[k] for k in self.place])
 
     @staticmethod
@@ -275,29 +274,32 @@ class Codec:
         exact = plain == text
         plain = " " + plain if self.dummy else plain
         out: list[int] = []
-        met, broken = self.met, self.broken
+        met = self.met
         for unit in self.unit.findall(plain):
-            ids = met.get(unit)
-            if ids is None:
-                ids = met.older.get(unit)
-                if ids is None:
-                    ids = self._unit_ids(unit)
+            found = met.get(unit)
+            if found is None:
+                found = met.older.get(unit)
+                if found is None:
+                    found = self._unit_ids(unit)
                 if len(unit) <= 64:
-                    met.keep(unit, ids)
-            if broken and unit in broken:
+                    met.keep(unit, found)
+            if not found[1]:
                 exact = False
-            out += ids
+            out += found[0]
         return np.array(out, np.int32), exact
 
-    def _unit_ids(self, unit: str) -> tuple[int, ...]:
+    def _unit_ids(self, unit: str) -> tuple[tuple[int, ...], bool]:
+        """The ids of a unit, and whether they decode to it.
+
+        Runs of two blanks or more are merged by the definition: which of their pieces stand side by
+        side depends on how long the run is, not only on the pieces at a border.
+        """
         marked = unit.replace(" ", SPACE)
         if self.kind != "bpe":
             ids = self.relaxed(marked)
         else:
             ids = self.merged(marked) if marked.startswith(SPACE * 2) else self.fitted(marked)
-        if b"".join(map(self.raw.__getitem__, ids)) != unit.encode("utf-8", "surrogatepass"):
-            self.broken.add(unit)
-        return tuple(ids)
+        return tuple(ids), b"".join(map(self.raw.__getitem__, ids)) == unit.encode("utf-8", "surrogatepass")
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
