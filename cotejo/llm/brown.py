@@ -37,9 +37,10 @@ HELD_OUT_FOLD, HELD_OUT = 7, 2
 CLUSTERED, CLUSTERED_TOKENS, SHAPES = 2_000, 10_000_000, 256
 CLASSES = 64
 #: Most frequent words whose counts every executor holds; longer words than this stay out.
-KNOWN, KNOWN_BYTES = 400_000, 64
+KNOWN, KNOWN_BYTES = 300_000, 64
 #: Weight of the class unigram in the smoothed transitions, in observations.
 PRIOR = 8.0
+#: Words or counts that a task remembers at a time, besides the known words.
 _HELD = 250_000
 
 
@@ -62,12 +63,12 @@ class _Ids(dict):
     """word -> number; words outside get base + shape, remembered up to a bound."""
 
     def __init__(self, words: list[bytes], base: int):
-        super().__init__((w, k) for k, w in enumerate(words))
-        self.base = base
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.base, self.most = base, max(_HELD, len(words) + 100_000)
 
     def __missing__(self, word: bytes) -> int:
         found = self.base + shape_of(word)
-        if len(self) < _HELD:
+        if len(self) < self.most:
             self[word] = found
         return found
 
@@ -113,16 +114,22 @@ class _Counts:
     def add(self, *keys: np.ndarray) -> Iterator[pd.DataFrame]:
         self.waiting += keys
         self.size += sum(map(len, keys))
-        if self.size > 2_000_000:
+        if self.size > 1_000_000:
             self._merge()
-            if len(self.keys) > 4_000_000:
+            if len(self.keys) > 2_000_000:
                 yield from self.blocks()
 
     def _merge(self) -> None:
         new, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-        both, at = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
-        self.n = np.bincount(at, np.concatenate((self.n, counts)), len(both)).astype(np.int64)
-        self.keys, self.waiting, self.size = both, [], 0
+        self.waiting, self.size = [], 0
+        if not len(self.keys) or not len(new):
+            self.keys, self.n = (new, counts.astype(np.int64)) if len(new) else (self.keys, self.n)
+            return
+        keys = np.concatenate((self.keys, new))
+        order = np.argsort(keys, kind="stable")  # two ascending runs
+        keys, n = keys[order], np.concatenate((self.n, counts))[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.keys, self.n = keys[first], np.add.reduceat(n, first)
 
     def blocks(self) -> Iterator[pd.DataFrame]:
         if self.waiting:
