@@ -15,37 +15,52 @@ def as_fraction(x: Column) -> Column:
     return F.when(x > 1, x / 100).otherwise(x)
 
 
-def metrics(value: Column, kept: Column) -> Column:
-    """struct<display, mean, median, min, max, n> over the kept values; display is the median."""
-    used = F.when(kept, value)
-    return F.struct(F.median(used).alias("display"), F.avg(used).alias("mean"), F.median(used).alias("median"), F.min(used).alias("min"), F.max(used).alias("max"), F.count(used).alias("n"))
+def medians(values: DataFrame, *keys: str) -> DataFrame:
+    """The exact median of column value by keys: equal values are counted first, then ranked by a window that can spill."""
+    counted = values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    every = Window.partitionBy(*keys)
+    upto = F.sum("c").over(every.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.select(*keys, "value", "c", upto.alias("upto"), F.sum("c").over(every).alias("n"))
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("c") < place) & (F.col("upto") >= place), F.col("value")))
+    return placed.groupBy(*keys).agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+
 
+def distinct_in_order(rows: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """Of each key and column the distinct trimmed values (as <column>s) in the order in which they were first seen.
 
-def distinct_in_order(value: Column, row: Column, most: int = 10_000) -> Column:
-    """Distinct trimmed values in the order in which they were first seen."""
-    kept = F.when(text.is_valid(value), F.struct(row.alias("r"), F.trim(value).alias("v")))
-    return F.array_distinct(F.transform(F.array_sort(F.collect_set(kept)), lambda x: x["v"]))
+    A value is one row before any list is made, so lists are as long as there are different values.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.when(text.is_valid(F.col(c)), F.trim(c)).alias("v")) for c in columns]))
+    seen = rows.select(key, F.col(order).alias("r"), kinds.alias("k")).where("k.v is not null").groupBy(key, "k.kind", "k.v").agg(F.min("r").alias("r"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("r", "v")))), lambda x: x["v"]).alias(f"{c}s") for c in columns]
+    return seen.groupBy(key).agg(*lists)
 
 
 def aggregate_quotes(quotes: DataFrame) -> DataFrame:
     """One row a product of quote rows (QUOTE_COLUMNS; numbers as Brazilian text).
 
     Products are rows of one normalised description; rows without one are left out. Prices and lives
-    count above 0, maintenance from 0 on and as a fraction. One shuffle by product: values of a
-    provenance list are made distinct per task first.
+    count above 0, maintenance from 0 on and as a fraction. Sums are taken per task before the shuffle;
+    for medians and provenance lists, equal values of a product are one row first.
     """
     price, life, kept_up = (text.parse_br_number(F.col(c)) for c in ("price", "life_months", "maintenance"))
     rows = quotes.withColumn("equipment_id", text.normalize_key(F.col("description"))).where("equipment_id <> ''")
-    rows = rows.select("*", price.alias("p"), life.alias("l"), as_fraction(kept_up).alias("m"))
+    used = {"price": F.when(price > 0, price), "life_months": F.when(life > 0, life), "maintenance": F.when(as_fraction(kept_up) >= 0, as_fraction(kept_up))}
+    rows = rows.select("row_idx", "equipment_id", "description", "supplier", "source", "brand", *[x.alias(f"u_{name}") for name, x in used.items()])
+    numbers = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"u_{name}").alias("value")) for name in used]))
+    middle = medians(rows.select("equipment_id", numbers.alias("x")).select("equipment_id", "x.metric", "x.value"), "equipment_id", "metric")
+    middle = middle.groupBy("equipment_id").agg(*[F.max(F.when(F.col("metric") == name, F.col("median"))).alias(f"m_{name}") for name in used])
+    parts = [x for name in used for x in (F.avg(f"u_{name}").alias(f"a_{name}"), F.min(f"u_{name}").alias(f"l_{name}"), F.max(f"u_{name}").alias(f"h_{name}"), F.count(f"u_{name}").alias(f"n_{name}"))]
     first = F.struct("supplier", "source", "brand")
-    grouped = rows.groupBy("equipment_id").agg(
-        F.trim(F.min_by("description", "row_idx")).alias("title"), F.min("row_idx").alias("first_row"), F.count("*").alias("rows"),
-        metrics(F.col("p"), F.col("p") > 0).alias("price"), metrics(F.col("l"), F.col("l") > 0).alias("life_months"), metrics(F.col("m"), F.col("m") >= 0).alias("maintenance"),
-        *[distinct_in_order(F.col(c), F.col("row_idx")).alias(f"{c}s") for c in ("supplier", "source", "brand")], F.min_by(first, "row_idx").alias("first"),
-    )
-    joined = {label: F.array_join(c, ", ") for label, c in (("Fornecedor", "suppliers"), ("Marca", "brands"), ("Fonte", "sources"))}
-    return grouped.select(
-        "*", F.col("equipment_id").alias("text"), text.semantic_text(F.col("title"), **joined).alias("semantic_text"),
+    grouped = rows.groupBy("equipment_id").agg(F.trim(F.min_by("description", "row_idx")).alias("title"), F.min("row_idx").alias("first_row"), F.count("*").alias("rows"), *parts, F.min_by(first, "row_idx").alias("first"))
+    joined = grouped.join(middle, "equipment_id", "left").join(distinct_in_order(rows, "equipment_id", ["supplier", "source", "brand"], "row_idx"), "equipment_id", "left")
+    none = F.array().cast("array<string>")
+    # struct<display, mean, median, min, max, n> over the kept values; display is the median
+    metrics = [F.struct(*[F.col(f"{x}_{name}").alias(label) for x, label in (("m", "display"), ("a", "mean"), ("m", "median"), ("l", "min"), ("h", "max"), ("n", "n"))]).alias(name) for name in used]
+    products = joined.select("equipment_id", "title", "first_row", "rows", *metrics, *[F.coalesce(f"{c}s", none).alias(f"{c}s") for c in ("supplier", "source", "brand")], "first")
+    listed = {label: F.array_join(c, ", ") for label, c in (("Fornecedor", "suppliers"), ("Marca", "brands"), ("Fonte", "sources"))}
+    return products.select(
+        "*", F.col("equipment_id").alias("text"), text.semantic_text(F.col("title"), **listed).alias("semantic_text"),
         taxonomy.detect_category(F.col("title")).alias("doc_category"), taxonomy.detect_doc_type(F.col("title")).alias("doc_type"),
     )
 

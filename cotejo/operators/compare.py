@@ -1,10 +1,12 @@
-"""Comparing and evaluating rankings."""
+"""Comparing and evaluating rankings, and reachability over edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cotejo.session import cut
+
 # Bounds within which two rankings agree.
 LEAST_JACCARD, MOST_RANK_DIFFERENCE, MOST_SCORE_ERROR = 0.7, 2.0, 0.05
 
@@ -48,3 +50,14 @@ def evaluate(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 def macro(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(*[F.avg(c).alias(f"mean_{c}") for c in ("precision", "recall", "f1")])
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All nodes that the start nodes lead to over (a, b), breadth first; each round adds a distance."""
+    edges = edges.distinct()
+    seen = fresh = cut(start.select("node").distinct())
+    while True:
+        found = cut(fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if found.isEmpty():
+            return seen
+        seen, fresh = cut(seen.union(found)), found

@@ -87,7 +87,8 @@ def semantic_rerank(rows: DataFrame) -> DataFrame:
     taken = placed.withColumn("used", F.when(gate & (F.col("place") <= CROSS_TOP), F.col("cross")))
     scaled = taken.withColumn("cross_norm", F.when(F.col("used").isNotNull(), min_max(F.col("used"))).otherwise(0.0))
     total = SEMANTIC * F.col("semantic") + CROSS * F.col("cross_norm") + NUMERIC * F.col("numeric")
-    return scaled.withColumn("final_score", F.round(total, DIGITS)).drop("used", "place")
+    # semantic scores have DIGITS digits, so at as many the weighted sum would often lie halfway
+    return scaled.withColumn("final_score", F.round(total, DIGITS + 3)).drop("used", "place")
 
 
 def hybrid_score(tfidf: Column, semantic: Column, rerank_: Column, domain: Column) -> Column:

@@ -6,8 +6,13 @@ every run; scores are rounded before they are ranked, so the order of summation
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cotejo.functions import text as t
 from cotejo.operators.index import K1, MIN_TOKEN, B, as_small_as, small, tfidf
@@ -151,25 +156,44 @@ def valid_vector(a: Column, size: int) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, size: int = 64) -> DataFrame:
     """Best of (doc_id, embedding) by cosine for each of (query_id, query_vector).
 
-    More than ``MOST_QUERIES`` meet the documents in blocks of about half as many, by a hash of
-    query_id, so no broadcast grows with the number of queries.
+    Queries meet the documents in blocks of at most ``MOST_QUERIES``, one matrix product a batch, and
+    a task hands on the k best of each query. More queries are more blocks, by a hash of query_id.
     """
     docs = vectors.where(valid_vector(F.col("embedding"), size)).select("doc_id", unit(F.col("embedding")).alias("u"))
     asked = queries.where(valid_vector(F.col("query_vector"), size)).select("query_id", unit(F.col("query_vector")).alias("q"))
-    blocks = [asked]
-    total = queries.count()
-    if total > MOST_QUERIES:
-        parts = -(-total * 2 // MOST_QUERIES)
-        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
-        blocks = [asked.where(F.col("block") == k).drop("block") for k in range(parts)]
+    parts = -(-queries.count() * 2 // MOST_QUERIES) if queries.count() > MOST_QUERIES else 1
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
+    schema = T.StructType([asked.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
     found = None
-    for some in blocks:
-        scored = docs.crossJoin(F.broadcast(some)).select("query_id", "doc_id", F.round(dot(F.col("u"), F.col("q")), DIGITS).alias("score"))
-        best = top_k(scored, k)
+    for part in range(parts):
+        block = asked.where(F.col("block") == part).select("query_id", "q").toPandas()
+        best = top_k(docs.mapInPandas(_best_of_block(block, k), schema), k)
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _best_of_block(block: pd.DataFrame, k: int):
+    names = block["query_id"].to_numpy()
+    asked = np.vstack(block["q"].to_numpy()) if len(block) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"place": [], "doc_id": [], "score": []})
+        for batch in batches:
+            if asked is None or not len(batch):
+                continue
+            score = np.round(np.vstack(batch["u"].to_numpy()) @ asked.T, DIGITS) + 0.0
+            # of each query the k-th best of the batch, and what is as good
+            least = np.partition(score, -k, axis=0)[-k] if len(batch) > k else np.full(len(names), -2.0)
+            row, place = np.nonzero(score >= least)
+            more = pd.DataFrame({"place": place, "doc_id": batch["doc_id"].to_numpy()[row], "score": score[row, place]})
+            held = pd.concat((held, more)) if len(held) else more
+            held = held.sort_values(["place", "score", "doc_id"], ascending=[True, False, True]).groupby("place").head(k)
+        if len(held):
+            yield pd.DataFrame({"query_id": names[held["place"].to_numpy()], "doc_id": held["doc_id"].to_numpy(), "score": held["score"].to_numpy()})
+
+    return run
+
+
 def alpha_hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float, k: int) -> DataFrame:
     """alpha times the lexical score by its maximum, and the rest of the semantic one; missing ones are 0."""
     alpha = min(1.0, max(0.0, alpha))

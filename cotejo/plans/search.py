@@ -45,12 +45,24 @@ def check_queries(queries: list[str], most: int | None = None) -> list[str]:
     return trimmed
 
 
+def diversified(ranked: DataFrame, top_k: int) -> DataFrame:
+    """The first top_k rows of each query; of queries that navigate, few of each subtype come first, and rank is their place."""
+    category = taxonomy.detect_category(F.col("text"))
+    listed = ranked.where("navigation").select("query_id", "rank", "doc_id", rank.subtype_key(F.col("text"), F.col("doc_id"), category).alias("subtype"), category.alias("category"), taxonomy.detect_category(F.col("query")).alias("query_category"))
+    chosen = rank.diversify(listed, top_k).select(F.col("query_id").alias("of"), F.col("doc_id").alias("taken"), "place")
+    # a query's candidates are bounded, and so are the places of a batch
+    several = ranked.where("navigation").join(chosen, (F.col("query_id") == F.col("of")) & (F.col("doc_id").cast("string") == F.col("taken")))
+    several = several.withColumn("rank", F.col("place").cast("int")).select(*ranked.columns)
+    return ranked.where((F.col("rank") <= top_k) & ~F.col("navigation")).unionByName(several)
+
+
 def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """Results of (query_id, query) on (doc_id, text): rank, scores, confidence of items and of the list.
 
     Accessories are taken out of the query before retrieval, misspelt words are corrected and the
     query is rewritten; each variant fetches candidates, which are summed by weight, reranked by
-    intent and cut to top_k.
+    intent and cut to top_k, after a choice by subtypes where a query navigates. guarded_rank is the
+    place that the guard gives a row; the list is cut by rank, the final order.
     """
     config = config or SearchConfig()
     parsed = taxonomy.parse_query(F.col("query"))
@@ -68,7 +80,8 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     found = found.where(F.col("rank") <= F.col("candidates")).select("query_id", "doc_id", "score")
     found = cut(found)
     hydrated = corpus.select("doc_id", "text").join(small(found), "doc_id").join(small(asked), "query_id")
-    ranked = rerank.guard_first(rerank.rerank(hydrated)).where(F.col("rank") <= config.top_k)
+    ranked = rerank.guard_first(rank.keep_best(rerank.rerank(hydrated), "doc_id", "final_score", "score"))
+    ranked = diversified(ranked, config.top_k)
     ranked = cut(rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity")))
     every = Window.partitionBy("query_id")
     tops = ranked.groupBy("query_id").agg(

@@ -272,3 +272,41 @@ def test_dense_search_works_through_blocks_of_queries(spark, monkeypatch):
     whole = sorted(map(tuple, retrieve.dense_top(vectors, queries, 3, 4).collect()))
     monkeypatch.setattr(retrieve, "MOST_QUERIES", 16)
     assert sorted(map(tuple, retrieve.dense_top(vectors, queries, 3, 4).collect())) == whole and len(whole) == 120
+
+
+def test_rewrite_plan_and_synonyms_by_hand(spark, sf_dir):
+    from cotejo.plans import retrieval_queries as q
+
+    plan = {tuple(r) for r in q.rewrite_plan(spark, sf_dir).select("query_id", "ord", "query", "weight", "reason").collect()}
+    assert plan == {
+        (1, 1, "vassoura", 1.0, "primary"), (1, 2, "vassoura nylon", 0.6, "exactMap"), (2, 1, "lavadora de piso", 1.0, "primary"), (3, 1, "aspirador 2 potencia", 1.0, "primary"),
+        (4, 1, "discos", 1.0, "primary"), (4, 2, "disco verde", 0.6, "expandMap"), (4, 3, "disco preto", 0.6, "expandMap"), (5, 1, "mop", 1.0, "primary"),
+    }
+    variants = {r["query_id"]: r["variants"] for r in q.synonym_expand(spark, sf_dir).collect()}
+    assert variants == {
+        1: "mop industrial|esfregão industrial|rodo úmido industrial|vassoura úmida industrial|esfregona industrial",
+        2: "balde inox|bacia inox|recipiente inox|cuba inox|balde aço inox", 3: "xyz", 4: "piso nylon|piso náilon|piso nailon",
+    }
+
+
+def test_quotes_of_one_value_are_not_gathered(spark):
+    """Medians of even and odd counts, of one value, and none; provenance in order of first sight."""
+    from cotejo.operators import aggregate
+
+    rows = [(k, "Mop", ["b", "a", "b"][k % 3], "s", None, str(v), None, "5") for k, v in enumerate([4, 1, 3, 2])] + [(9, "Pad", None, "", "x", "0", "7", None)]
+    quotes = spark.createDataFrame(rows, "row_idx long, description string, supplier string, source string, brand string, price string, life_months string, maintenance string")
+    got = {r["equipment_id"]: r for r in aggregate.aggregate_quotes(quotes).collect()}
+    assert got["mop"]["price"]["median"] == 2.5 and got["mop"]["price"]["n"] == 4 and got["mop"]["suppliers"] == ["b", "a"]
+    assert got["pad"]["price"]["median"] is None and got["pad"]["life_months"]["display"] == 7 and got["pad"]["suppliers"] == [] and got["pad"]["brands"] == ["x"]
+
+
+def test_search_shows_several_subtypes_where_a_query_navigates(spark):
+    from cotejo.plans.search import SearchConfig, search_texts
+
+    kinds = ["nylon", "piacava", "feiticeira", "teto", "gari", "sanitaria"]
+    corpus = spark.createDataFrame([(10 * k + j, f"VASSOURA {kind.upper()}") for k, kind in enumerate(kinds) for j in range(6)], "doc_id long, text string")
+    rows = search_texts(spark, corpus, ["vassoura", "vassoura nylon 40"], SearchConfig(top_k=5)).orderBy("query_id", "rank").collect()
+    texts = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    first = [r for r in rows if r["query_id"] == 0]
+    assert [r["rank"] for r in first] == [1, 2, 3, 4, 5] and len({texts[r["doc_id"]] for r in first}) >= 3
+    assert len({r["doc_id"] for r in rows if r["query_id"] == 1}) == 5
