@@ -124,3 +124,29 @@ def group_details(products: DataFrame, group: str, wanted: str) -> DataFrame:
 
 def group_statistics(products: DataFrame, group: str, price: str, life: str) -> DataFrame:
     return products.groupBy(group).agg(F.round(F.avg(price), 2).alias("mean_price"), F.round(F.avg(life), 0).alias("mean_life"), F.count("*").alias("items"))
+
+
+def display_value(metric: Column, legacy: Column) -> Column:
+    """What is shown of a metric: its display value, else that of the older format, else nothing."""
+    return F.coalesce(metric, legacy)
+
+
+def display_maintenance(metric: Column, unit: Column, legacy: Column) -> Column:
+    """Maintenance as a percentage; a metric without a unit is a fraction."""
+    percent = F.when(F.coalesce(unit, F.lit("fraction")) == "fraction", metric * 100).otherwise(metric)
+    return F.coalesce(percent, legacy)
+
+
+# Rows that must have a price, in percent, and examples in a report.
+LEAST_COVERAGE, EXAMPLES = 80.0, 5
+
+
+def coverage_gate(df: DataFrame, columns: list[str], key: str, least: float = LEAST_COVERAGE) -> DataFrame:
+    """One row a column: the percentage of rows that have it, whether that is enough, and the first keys that lack it."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).isNotNull().alias("there")) for c in columns]))
+    rows = df.select(F.col(key).alias("key"), cells.alias("c")).select("key", "c.name", "c.there")
+    shares = rows.groupBy("name").agg(F.round(100.0 * F.count_if("there") / F.count("*"), 2).alias("pct"))
+    first = Window.partitionBy("name").orderBy("key")
+    lacking = rows.where("not there and key is not null").withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXAMPLES)
+    lists = lacking.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "key"))), lambda x: x["key"]).alias("examples"))
+    return shares.join(lists, "name", "left").select("name", "pct", (F.col("pct") >= least).alias("enough"), "examples")

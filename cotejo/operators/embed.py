@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -55,6 +56,34 @@ class StandIn:
         return out
 
 
+class Listed:
+    """Vectors from a dictionary by text, for tests; a text that it lacks has the zero vector."""
+
+    def __init__(self, vectors: dict[str, Sequence[float]], dimension: int):
+        self.vectors, self.dimension = vectors, dimension
+
+    def embed(self, texts: Sequence[str]) -> list[np.ndarray | None]:
+        return [np.array(self.vectors.get(t, np.zeros(self.dimension)), dtype=np.float64) for t in texts]
+
+
+class Fallback:
+    """The first provider, or the second for a batch that the first fails on or takes too long for."""
+
+    def __init__(self, first: EmbeddingProvider, second: EmbeddingProvider, seconds: float = 2.5):
+        if first.dimension != second.dimension:
+            raise ValueError("providers differ in dimension")
+        self.first, self.second, self.seconds, self.dimension = first, second, seconds, first.dimension
+
+    def embed(self, texts: Sequence[str]) -> list[np.ndarray | None]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.first.embed, texts).result(self.seconds)
+        except Exception:  # whatever a provider raises, or the time it took
+            return self.second.embed(texts)
+        finally:
+            pool.shutdown(wait=False)
+
+
 def embed(corpus: DataFrame, provider: EmbeddingProvider, batch: int = BATCH) -> DataFrame:
     """``corpus`` with embedding filled: valid ones stay, others are made from the best text of a row.
 

@@ -58,6 +58,21 @@ def vocabulary(corpus: DataFrame, least: int = 3) -> DataFrame:
     return seen.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("ord"))
 
 
+def with_terms(known: DataFrame, terms: DataFrame) -> DataFrame:
+    """A vocabulary (term, ord) with more terms (column term), lower-case; those it has already stay where they are, others come last."""
+    last = F.struct(F.lit(1 << 62).alias("doc_id"), F.lit(0).alias("pos"))
+    fresh = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().join(known, "term", "left_anti")
+    return known.unionByName(fresh.select("term", last.cast(known.schema["ord"].dataType).alias("ord")))
+
+
+def save_vocabulary(known: DataFrame, path: str) -> None:
+    known.write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def save(index: Index, path: str) -> None:
     """Writes the tables and, last, a manifest with the version and a checksum over each table."""
     spark = index.docs.sparkSession

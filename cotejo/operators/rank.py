@@ -45,6 +45,16 @@ def softmax_confidence(rows: DataFrame, score: str = "score", temperature: float
     return rows.withColumn("confidence", F.round(F.col("_e") / F.sum("_e").over(every), DIGITS)).drop("_e")
 
 
+def confidence(rows: DataFrame, *scores: str, method: str = "minmax", temperature: float = 1.0, tie: str = "doc_id") -> DataFrame:
+    """Adds rank, by the first of the scores that is there, and confidence by the method, minmax or softmax, in that score."""
+    if method not in ("minmax", "softmax"):
+        raise ValueError("method must be minmax or softmax")
+    order = Window.partitionBy("query_id").orderBy(F.desc("_score"), tie)
+    placed = rows.withColumn("_score", F.coalesce(*scores)).withColumn("rank", F.row_number().over(order))
+    done = softmax_confidence(placed, "_score", temperature) if method == "softmax" else min_max_confidence(placed, "_score")
+    return done.drop("_score")
+
+
 def _plain(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[/()]", " ")
 

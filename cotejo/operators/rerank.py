@@ -97,3 +97,23 @@ def hybrid_score(tfidf: Column, semantic: Column, rerank_: Column, domain: Colum
     for name, value in parts.items():
         total = total + HYBRID[name] * F.coalesce(value, F.lit(0.0))
     return total
+
+
+# The score where nothing crosses query and text, and what stands between them in a key.
+NO_CROSS, SEPARATOR = 0.5, "|||"
+
+
+def no_cross(rows: DataFrame) -> DataFrame:
+    """Adds cross, the same for all rows: what ranks if there is no provider of cross scores."""
+    return rows.withColumn("cross", F.lit(NO_CROSS))
+
+
+def pair_key(query: Column, document: Column) -> Column:
+    return F.concat_ws(SEPARATOR, preprocess(query), preprocess(document))
+
+
+def listed_cross(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds cross to (query, text) from a table of pairs (query, doc, score), by their normalised texts; 0 where there is none."""
+    known = pairs.select(pair_key(F.col("query"), F.col("doc")).alias("_key"), "score").groupBy("_key").agg(F.max("score").alias("_score"))
+    joined = rows.withColumn("_key", pair_key(F.col("query"), F.col("text"))).join(known, "_key", "left")
+    return joined.withColumn("cross", F.coalesce("_score", F.lit(0.0))).drop("_key", "_score")

@@ -89,7 +89,22 @@ def api_metrics(log: DataFrame, latency: str, failed: Column) -> DataFrame:
     )
 
 
-def over_limit(requests: DataFrame, user: str, when: str, most: int = 100, window: str = "1 minute") -> DataFrame:
-    """Users with more requests in a window than allowed."""
-    counted = requests.groupBy(user, F.window(F.col(when).cast("timestamp"), window).alias("w")).agg(F.count("*").alias("n"))
+#: Addresses that no limit holds for.
+EXEMPT = ("127.0.0.1", "::1", "localhost")
+
+
+def over_limit(requests: DataFrame, user: str, when: str, most: int = 100, window: str = "1 minute", exempt: tuple[str, ...] = EXEMPT) -> DataFrame:
+    """Users with more requests in a window than allowed; the exempt ones may have any number."""
+    counted = requests.where(~F.col(user).cast("string").isin(*exempt)).groupBy(user, F.window(F.col(when).cast("timestamp"), window).alias("w")).agg(F.count("*").alias("n"))
     return counted.where(F.col("n") > most).select(user, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def cart_summary(items: DataFrame, price: str, quantity: str) -> DataFrame:
+    """One row: lines, units, value and mean price of a unit; what heads a cart's export."""
+    units, value = F.coalesce(F.sum(quantity), F.lit(0)).cast("long"), F.coalesce(F.sum(F.col(price) * F.col(quantity)), F.lit(0.0))
+    return items.agg(F.count("*").alias("lines"), units.alias("units"), F.round(value, 2).alias("value"), F.round(F.coalesce(F.try_divide(value, units), F.lit(0.0)), 2).alias("mean_price"))
+
+
+def ranked_by_confidence(rows: DataFrame, query: str = "query_id", tie: str = "doc_id") -> DataFrame:
+    """Results of a batch grouped by query: rank anew by falling confidence, those without one last."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc_nulls_last("confidence"), tie)))

@@ -27,6 +27,8 @@ class SearchConfig:
     fuzzy: bool = True
     rewrite: bool = True
     abbreviations: rewriting.Abbreviations = field(default_factory=rewriting.Abbreviations)
+    #: A stored vocabulary (term, ord); without one it is made of the corpus at each search.
+    vocabulary: DataFrame | None = None
 
     def __post_init__(self):
         if not 1 <= self.top_k:
@@ -71,7 +73,7 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     asked = asked.withColumn("candidates", rank.candidate_k(F.lit(config.top_k), F.col("navigation")))
     looked_for = asked.select("query_id", normalize_key(F.col("core")).alias("query"))
     if config.fuzzy:
-        looked_for = rewriting.correct_queries(looked_for, vocabulary(corpus)).select("query_id", F.col("corrected").alias("query"))
+        looked_for = rewriting.correct_queries(looked_for, config.vocabulary if config.vocabulary is not None else vocabulary(corpus)).select("query_id", F.col("corrected").alias("query"))
     maps = config.abbreviations if config.rewrite else rewriting.Abbreviations()
     # a few rows a query from here on: kept, so that the corpus is read once for each of them
     variants = cut(rewriting.rewrite_plan(looked_for, maps))
@@ -133,3 +135,9 @@ def embedding_search(corpus: DataFrame, queries: DataFrame, provider: embed.Embe
     docs = embed.embed(corpus.select("doc_id", normalize_equipment(F.col("text")).alias("text")), provider)
     asked = embed.embed(queries.select("query_id", normalize_equipment(F.col("query")).alias("text")), provider)
     return retrieve.dense_top(docs, asked.select("query_id", F.col("embedding").alias("query_vector")), top_k, provider.dimension)
+
+
+def engine_mode(value: str | None) -> str:
+    """Which engine answers, as a setting names it: python, ts or both (dual); ts if it names none."""
+    named = (value or "").strip().lower()
+    return named if named in ("python", "ts", "dual") else "ts"

@@ -144,6 +144,28 @@ def dedup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.keep_best(_offers(spark, sf_dir), "equipment_id", "rank_score", "score").select("query_id", "doc_id", "equipment_id")
 
 
+@query("confidence_minmax", f"""WITH r AS (SELECT query_id, doc_id, coalesce(rank_score, score) AS x FROM {_OFFERS}), m AS (SELECT *, min(x) OVER (PARTITION BY query_id) AS lo, max(x) OVER (PARTITION BY query_id) AS hi FROM r)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id)::INTEGER AS rank, round(CASE WHEN hi = lo THEN 1.0 ELSE (x - lo) / (hi - lo) END, 6)::DOUBLE AS confidence FROM m""")
+def confidence_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.confidence(_offers(spark, sf_dir).drop("rank"), "rank_score", "score").select("query_id", "doc_id", "rank", "confidence")
+
+
+@query("display_values", """SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_retailprice END, CASE WHEN p_size % 2 = 0 THEN 1.5 END)::DOUBLE AS price, coalesce(CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 4 = 0 THEN p_size::DOUBLE ELSE p_size / 50.0 * 100 END END, 7.0)::DOUBLE AS maintenance FROM part""")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    metric = F.when(size % 3 == 0, F.when(size % 4 == 0, size.cast("double")).otherwise(size / 50.0))
+    unit = F.when(size % 4 == 0, "percent")
+    price = aggregate.display_value(F.when(size % 3 == 0, F.col("p_retailprice")), F.when(size % 2 == 0, 1.5))
+    return table(spark, sf_dir, "part").select("p_partkey", price.alias("price"), aggregate.display_maintenance(metric, unit, F.lit(7.0)).alias("maintenance"))
+
+
+@query("coverage_gate", """WITH c AS (SELECT doc_id, 'quality' AS name, quality IS NOT NULL AS there FROM labels UNION ALL SELECT doc_id, 'rare', toxic = 1 FROM labels)
+SELECT name, round(100.0 * count(*) FILTER (there) / count(*), 2)::DOUBLE AS pct, round(100.0 * count(*) FILTER (there) / count(*), 2) >= 80 AS enough, array_to_string(list_sort(list(doc_id) FILTER (NOT there))[1:5], ',') AS examples FROM c GROUP BY name""")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.when(F.col("toxic") == 1, 1).alias("rare"))
+    return aggregate.coverage_gate(rows, ["quality", "rare"], "doc_id").withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
+
+
 @query("coherence_check", f"SELECT query_id, doc_id FROM (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY doc_id) AS before FROM {_OFFERS}) WHERE score > before + 1e-4")
 def coherence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.incoherent(_offers(spark, sf_dir).withColumn("rank", F.col("doc_id")), "score").select("query_id", "doc_id")

@@ -109,6 +109,19 @@ def write_csv(df: DataFrame, path: str, missing: str = "N/A") -> None:
     text.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+# Columns of the export of favourites.
+FAVOURITES = {"Equipamento": "name", "Descrição Original": "description", "Valor Unitário (R$)": "price", "Vida Útil (meses)": "life_months", "Manutenção (%)": "maintenance", "Confiança (%)": "confidence", "Marca": "brand"}
+
+
+def write_favourites(df: DataFrame, path: str) -> None:
+    """Favourites as CSV for spreadsheets: a byte order mark before the header, confidence as a whole percentage."""
+    texts = ("name", "description")
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("" if c in texts else "N/A"))
+    percent = F.coalesce(F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("N/A"))
+    columns = [(percent if c == "confidence" else cell(c)).alias(("\ufeff" if k == 0 else "") + name) for k, (name, c) in enumerate(FAVOURITES.items())]
+    df.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
 def read_abbreviations(spark: SparkSession, path: str) -> dict | None:
     """A compiled dictionary from JSON; None if it is missing or broken."""
     from pyspark.errors import AnalysisException

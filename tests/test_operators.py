@@ -310,3 +310,41 @@ def test_search_shows_several_subtypes_where_a_query_navigates(spark):
     first = [r for r in rows if r["query_id"] == 0]
     assert [r["rank"] for r in first] == [1, 2, 3, 4, 5] and len({texts[r["doc_id"]] for r in first}) >= 3
     assert len({r["doc_id"] for r in rows if r["query_id"] == 1}) == 5
+
+
+def test_parts_around_the_search(spark, tmp_path):
+    """Confidence by method, cross scores from pairs, vocabularies, exempt users, exports, fallbacks and modes."""
+    from cotejo.operators import embed, index, rank, rerank, state
+    from cotejo.plans.search import engine_mode
+    from cotejo.sources import tables
+
+    rows = spark.createDataFrame([(1, 1, None, 2.0), (1, 2, 3.0, 9.0), (1, 3, None, 1.0)], "query_id int, doc_id int, a double, b double")
+    assert [(r["doc_id"], r["confidence"]) for r in rank.confidence(rows, "a", "b").orderBy("rank").collect()] == [(2, 1.0), (1, 0.5), (3, 0.0)]
+    soft = rank.confidence(rows, "a", "b", method="softmax").collect()
+    assert abs(sum(r["confidence"] for r in soft) - 1) < 1e-5
+    pairs = spark.createDataFrame([("Mop  Úmido", "RODO", 0.7)], "query string, doc string, score double")
+    asked = spark.createDataFrame([("mop úmido", "rodo"), ("mop", "rodo")], "query string, text string")
+    assert [r["cross"] for r in rerank.listed_cross(asked, pairs).orderBy(F.desc("query")).collect()] == [0.7, 0.0]
+    assert {r["cross"] for r in rerank.no_cross(asked).collect()} == {0.5}
+    words = index.vocabulary(spark.createDataFrame([(1, "mop rodo")], "doc_id long, text string"))
+    more = index.with_terms(words, spark.createDataFrame([("MOP",), ("Balde",)], "term string"))
+    index.save_vocabulary(more, f"{tmp_path}/v")
+    assert {r["term"] for r in index.load_vocabulary(spark, f"{tmp_path}/v").collect()} == {"mop", "rodo", "balde"}
+    hits = spark.sql("select u, timestamp'2024-01-01 00:00:00' as t from values ('127.0.0.1'), ('10.0.0.1') as x(u), range(3)")
+    assert [r["u"] for r in state.over_limit(hits, "u", "t", most=2).collect()] == ["10.0.0.1"]
+    row = state.cart_summary(spark.createDataFrame([(2.0, 3), (4.0, 1)], "p double, q int"), "p", "q").first()
+    assert tuple(row) == (2, 4, 10.0, 2.5)
+    tables.write_favourites(spark.createDataFrame([("Mop", None, 2.5, None, None, 0.876, None)], "name string, description string, price double, life_months int, maintenance double, confidence double, brand string").coalesce(1), f"{tmp_path}/f")
+    text = next((tmp_path / "f").glob("*.csv")).read_text(encoding="utf-8").splitlines()
+    assert text[0].startswith("\ufeffEquipamento,Descrição Original") and text[1] == "Mop,,2.5,N/A,N/A,88,N/A"
+    listed = embed.Listed({"a": [1.0, 2.0]}, 2)
+
+    class Broken:
+        dimension = 2
+
+        def embed(self, texts):
+            raise OSError("away")
+
+    found = embed.Fallback(Broken(), listed).embed(["a", "b"])
+    assert [list(v) for v in found] == [[1.0, 2.0], [0.0, 0.0]]
+    assert [engine_mode(x) for x in (None, "Python", "dual ", "x")] == ["ts", "python", "dual", "ts"]
