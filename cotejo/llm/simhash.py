@@ -279,9 +279,13 @@ def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distan
 def shingle_set(text: Column, shingle: int) -> Column:
     """Hashes of a text's distinct shingles; of fewer words the one of all; none of no word."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0))
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - shingle + 1, F.lit(1)))
-    return F.array_distinct(F.when(F.size(words) > 0, F.transform(places, lambda k: F.xxhash64(F.array_join(F.slice(words, k, F.lit(shingle)), " ")))).otherwise(F.array().cast("array<long>")))
+
+    def of(words: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(words) - shingle + 1, F.lit(1)))
+        return F.when(F.size(words) > 0, F.transform(places, lambda k: F.xxhash64(F.array_join(F.slice(words, k, F.lit(shingle)), " ")))).otherwise(F.array().cast("array<long>"))
+
+    # as a variable, so that a text is cut into words once and not at each place
+    return F.array_distinct(F.transform(F.array(F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0))), of)[0])
 
 
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, rings: int = RINGS, distance: int = WIDE_DISTANCE, key_limit: int = WIDE_LIMIT) -> DataFrame:
