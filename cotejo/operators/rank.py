@@ -65,6 +65,7 @@ def confidence_parts(rows: DataFrame) -> DataFrame:
     ``rows`` has one row a query: query, top_text, s1 and s2 (scores of the first two results, 0 if
     there are none) and max_score. Each phase is a column of its own.
     """
+    # All weights, steps and bounds below are those of the confidence formula.
     normalized = F.regexp_replace(F.trim(F.lower("query")), r"[/()]", " ")
     top = _plain(F.coalesce("top_text", F.lit("")))
     longer = lambda x: F.filter(words(x), lambda w: F.length(w) > 1)
