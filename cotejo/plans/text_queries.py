@@ -26,6 +26,17 @@ def phrases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(PHRASES)), "query_id int, query string")
 
 
+#: The phrases, and each part's name behind one of them, in turn.
+MIXED_SQL = f"(SELECT * FROM {PHRASE_SQL} UNION ALL SELECT p_partkey + 1000, ({s.listed(PHRASES)})[p_partkey % {len(PHRASES)} + 1] || ' ' || p_name FROM part) AS p(query_id, query)"
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = (F.col("p_partkey") % len(PHRASES) + 1).cast("int")
+    named = F.concat(F.element_at(F.array(*[F.lit(p) for p in PHRASES]), place), F.lit(" "), F.col("p_name"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("query_id"), named.alias("query"))
+    return phrases(spark).withColumn("query_id", F.col("query_id").cast("long")).unionByName(parts)
+
+
 def joined(x: Column) -> Column:
     return F.array_join(x, "|")
 
@@ -38,12 +49,12 @@ def _over(name: str, source: str, key: str, columns: Callable[[], dict[str, Colu
     """Registers one query over a table: its key and the columns, with the SQL of each."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = phrases(spark) if source == "phrases" else table(spark, sf_dir, source)
+        rows = mixed(spark, sf_dir) if source == "phrases" else table(spark, sf_dir, source)
         return rows.select(key, *[c.alias(n) for n, c in columns().items()])
 
     QUERIES[name] = run
     shown = ", ".join(f"{q} AS {n}" for n, q in sql.items())
-    ORACLE_SQL[name] = f"SELECT {key}, {shown} FROM {PHRASE_SQL if source == 'phrases' else source}"
+    ORACLE_SQL[name] = f"SELECT {key}, {shown} FROM {MIXED_SQL if source == 'phrases' else source}"
 
 
 _over("normalize_text", "documents", "doc_id", lambda: {
@@ -252,6 +263,7 @@ _CONFIDENCE = "CASE WHEN e = '' THEN 0.1 WHEN {0} THEN 0.9 WHEN {1} THEN 0.95 WH
     _contains("e", domain.SUPPORT), _contains("e", domain.CORE), _contains("e", domain.PERIPHERAL), "(" + " OR ".join(f"regexp_matches(e, {s.quoted(m)})" for m in domain.MOTOR) + ")"
 )
 _CLASSED_SQL = f"(SELECT query_id, query, {_CATEGORY} AS category, ({_CONFIDENCE})::DOUBLE AS confidence FROM (SELECT query_id, query, {s.equipment('query')} AS e FROM {PHRASE_SQL}))"
+_MIXED_CLASSED_SQL = _CLASSED_SQL.replace(PHRASE_SQL, MIXED_SQL)
 _over("domain_classify", "phrases", "query_id", lambda: {
     "category": domain.classify(F.col("query"))["category"],
     "confidence": domain.classify(F.col("query"))["confidence"],
@@ -259,11 +271,11 @@ _over("domain_classify", "phrases", "query_id", lambda: {
     "category": "category",
     "confidence": "confidence",
 })
-ORACLE_SQL["domain_classify"] = f"SELECT query_id, category, confidence FROM {_CLASSED_SQL}"
+ORACLE_SQL["domain_classify"] = f"SELECT query_id, category, confidence FROM {_MIXED_CLASSED_SQL}"
 
 
 def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = phrases(spark).select("query_id", domain.classify(F.col("query")).alias("q"))
+    a = mixed(spark, sf_dir).select("query_id", domain.classify(F.col("query")).alias("q"))
     b = phrases(spark).select(F.col("query_id").alias("doc_id"), domain.classify_document(F.col("query"), F.lit(None).cast("string")).alias("d"))
     return a.crossJoin(F.broadcast(b)).select("query_id", "doc_id", F.round(domain.domain_score(F.col("q"), F.col("d")), 6).alias("score"))
 
@@ -271,16 +283,16 @@ def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["domain_score"] = domain_scores
 _MATRIX = "(VALUES " + ", ".join(f"('{q}', '{d}', {v})" for q, row in domain.SUITS.items() for d, v in row.items()) + ") AS m(q, d, base)"
 ORACLE_SQL["domain_score"] = f"""SELECT a.query_id, b.query_id AS doc_id, round(m.base * (0.5 + 0.5 * a.confidence * b.confidence), 6)::DOUBLE AS score
-FROM {_CLASSED_SQL} a CROSS JOIN {_CLASSED_SQL} b JOIN {_MATRIX} ON m.q = a.category AND m.d = b.category"""
+FROM {_MIXED_CLASSED_SQL} a CROSS JOIN {_CLASSED_SQL} b JOIN {_MATRIX} ON m.q = a.category AND m.d = b.category"""
 
 
 def domain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrases(spark).select(domain.classify(F.col("query"))["category"].alias("category"))
+    rows = mixed(spark, sf_dir).select(domain.classify(F.col("query"))["category"].alias("category"))
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
 
 QUERIES["domain_stats"] = domain_stats
-ORACLE_SQL["domain_stats"] = f"SELECT category, count(*)::BIGINT AS n FROM {_CLASSED_SQL} GROUP BY category"
+ORACLE_SQL["domain_stats"] = f"SELECT category, count(*)::BIGINT AS n FROM {_MIXED_CLASSED_SQL} GROUP BY category"
 
 _DETECTED = f"CASE WHEN regexp_matches({s.key('query')}, '\\b(vassoura|vassourao|piacava|piassava)\\b') THEN 'VASSOURA' WHEN regexp_matches({s.key('query')}, '\\b(mop|esfregao)\\b') THEN 'MOP' ELSE 'UNKNOWN' END"
 _TERMS = list(dict.fromkeys(x.replace("ç", "c") for x in taxonomy.ACCESSORIES))
