@@ -44,8 +44,13 @@ PRIOR = 8.0
 _HELD = 250_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """Texts as they stand in memory, so that workers need not decode and encode them."""
+    return docs.select(F.col("text").cast("binary").alias("text"))
 
 
 def clustered_of(tokens: int) -> int:
@@ -64,7 +69,7 @@ class _Ids(dict):
 
     def __init__(self, words: list[bytes], base: int):
         super().__init__(zip(words, range(len(words)), strict=True))
-        self.base, self.most = base, max(_HELD, len(words) + 100_000)
+        self.base, self.most = base, max(_HELD, len(words) + 200_000)
 
     def __missing__(self, word: bytes) -> int:
         found = self.base + shape_of(word)
@@ -86,7 +91,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, c) over all words of all training texts; words are bytes, lower-case in A-Z."""
-    return training.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return _texts(training).mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 #: Counts of keys (pairs of units, or words and classes) go by blocks of about so many keys.
@@ -182,7 +187,7 @@ def _pair_matrix(training: DataFrame, units: list[bytes], kind: type) -> np.ndar
     size = len(units) + SHAPES + 1
     whole = lambda block, n: pd.DataFrame({"block": [block], "packed": [_packed(np.flatnonzero(n), n[n > 0])]})
     schema = "block int, packed binary"
-    sums = cut(_summed(training.select("text").mapInPandas(_pairs_of(units), schema), BLOCK, whole, schema))
+    sums = cut(_summed(_texts(training).mapInPandas(_pairs_of(units), schema), BLOCK, whole, schema))
     pairs = np.zeros(size * size, kind)
     parts = 1 + size * size // 16_000_000
     for part in range(parts):
@@ -392,12 +397,12 @@ def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: in
 
     # classes as the exchange has them: words that are no units count as their shapes
     kinds = np.concatenate((of[: len(units)], [shape_class[shape_of(w)] for w in listed[len(units) :]], shape_class)).astype(np.int64)
-    counted = training.select("text").mapInPandas(_neighbours_of_known(listed, kinds, len(units), classes), "block int, packed binary")
+    counted = _texts(training).mapInPandas(_neighbours_of_known(listed, kinds, len(units), classes), "block int, packed binary")
     later = _summed(counted, BLOCK // (2 * classes) * 2 * classes, _assigned_known(listed, both, shape_class), "place int, k long").toArrow()  # one row a known word
     class_of = kinds.copy()
     class_of[later["place"].to_numpy()] = later["k"].to_numpy()
     # by word once: the sums and the lists need no other exchange
-    rare = training.select("text").mapInPandas(_neighbours_of_rare(listed, kinds, classes), "word binary, code int").repartition("word")
+    rare = _texts(training).mapInPandas(_neighbours_of_rare(listed, kinds, classes), "word binary, code int").repartition("word")
     rare = rare.groupBy("word", "code").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
     counts = cut(rare.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned_rare(both, shape_class), "word binary, c long, k long"))
     mass = np.zeros((classes, 2))
@@ -498,7 +503,7 @@ def _filled(kinds: pd.Series, places: pd.Series) -> pd.Series:
 
 def _tagged(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, copies, n_known, seen (sum of log10 of counts and one) and kinds (a byte a word) of each different row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     parts = rows.mapInPandas(_look_up(model), "doc_id long, key long, copies long, n_known long, seen double, kinds binary, word binary, at long")
     counts = model.counts.select(F.col("word").alias("w"), "c", "k")
     # rows that stand for a text have a word that no text can hold, different for each
