@@ -289,12 +289,25 @@ def best_classes(into: np.ndarray, out: np.ndarray, now: np.ndarray, both: np.nd
     return np.argmax(gain, axis=1)
 
 
-def _neighbours_of_known(known: list[bytes], kinds: np.ndarray, units: int, classes: int):
-    """Counts of known words that are no units with the classes to their left, and to their right."""
+def _neighbours(known: list[bytes], kinds: np.ndarray, units: int, classes: int):
+    """(block, packed, word, code): neighbours of words that are no units, in one pass.
+
+    Those of known words are counts with the classes to their left, and to their right, in blocks. A
+    word that isn't known has a row at each place: the class to the left, times classes, and that to the right.
+    """
     base, sides = len(known), 2 * classes
 
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(word=None, code=np.int32(-1))
+
+    def places(rare: list[bytes], codes: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"block": np.full(len(rare), -1, np.int32), "packed": np.full(len(rare), None), "word": pd.Series(rare, dtype=object), "code": np.concatenate(codes).astype("int32")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, counts = _Ids(known, base), _Counts(BLOCK // sides * sides)
+        rare: list[bytes] = []
+        codes: list[np.ndarray] = []
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
@@ -302,33 +315,17 @@ def _neighbours_of_known(known: list[bytes], kinds: np.ndarray, units: int, clas
                 around = np.concatenate(([0], kinds[row], [0]))
                 at = np.flatnonzero((row >= units) & (row < base))
                 place = row[at] * sides
-                yield from counts.add(place + around[at], place + classes + around[at + 2])
-        yield from counts.blocks()
-
-    return run
-
-
-def _neighbours_of_rare(known: list[bytes], kinds: np.ndarray, classes: int):
-    """(word, code) at each place of a word that isn't known: the class to the left, times classes, and that to the right."""
-    base = len(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids(known, base)
-        for batch in batches:
-            rare: list[bytes] = []
-            codes: list[np.ndarray] = [np.zeros(0, np.int64)]
-            for text in batch["text"]:
-                words = words_of(text)
-                row = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                yield from blocks(counts.add(place + around[at], place + classes + around[at + 2]))
                 at = np.flatnonzero(row >= base)
                 if len(at):
-                    around = np.concatenate(([0], kinds[row], [0]))
                     rare += [words[k] for k in at.tolist()]
                     codes.append(around[at] * classes + around[at + 2])
                 if len(rare) > 100_000:
-                    yield pd.DataFrame({"word": rare, "code": np.concatenate(codes).astype("int32")})
-                    rare, codes = [], [np.zeros(0, np.int64)]
-            yield pd.DataFrame({"word": pd.Series(rare, dtype=object), "code": np.concatenate(codes).astype("int32")})
+                    yield places(rare, codes)
+                    rare, codes = [], []
+        if rare:
+            yield places(rare, codes)
+        yield from blocks(counts.blocks())
 
     return run
 
@@ -397,12 +394,13 @@ def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: in
 
     # classes as the exchange has them: words that are no units count as their shapes
     kinds = np.concatenate((of[: len(units)], [shape_class[shape_of(w)] for w in listed[len(units) :]], shape_class)).astype(np.int64)
-    counted = _texts(training).mapInPandas(_neighbours_of_known(listed, kinds, len(units), classes), "block int, packed binary")
+    near = cut(_texts(training).mapInPandas(_neighbours(listed, kinds, len(units), classes), "block int, packed binary, word binary, code int"))
+    counted = near.where("packed is not null").select("block", "packed")
     later = _summed(counted, BLOCK // (2 * classes) * 2 * classes, _assigned_known(listed, both, shape_class), "place int, k long").toArrow()  # one row a known word
     class_of = kinds.copy()
     class_of[later["place"].to_numpy()] = later["k"].to_numpy()
     # by word once: the sums and the lists need no other exchange
-    rare = _texts(training).mapInPandas(_neighbours_of_rare(listed, kinds, classes), "word binary, code int").repartition("word")
+    rare = near.where("word is not null").select("word", "code").repartition("word")
     rare = rare.groupBy("word", "code").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
     counts = cut(rare.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned_rare(both, shape_class), "word binary, c long, k long"))
     mass = np.zeros((classes, 2))
