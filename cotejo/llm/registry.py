@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import brown, embedding_graph, licenses, merkle, mixing, secrets, sentencepiece_codec, simhash, toxicity, warc
+from cotejo.llm import brown, codes, embedding_graph, licenses, merkle, mixing, quality, secrets, sentencepiece_codec, simhash, toxicity, variants, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
@@ -19,6 +19,9 @@ _OPERATORS = {
     "op8_licenses": licenses,
     "op9_secrets": secrets,
     "op10_brown_lm": brown,
+    "op11_spelling_variants": variants,
+    "op12_vector_codes": codes,
+    "op13_quality_rules": quality,
 }
 
 
