@@ -21,6 +21,8 @@ from cotejo.session import cut
 DIGITS = 6
 #: Vectors that a dense search takes as queries in one block.
 MOST_QUERIES = 4_096
+#: Vectors of a block of the grid, and of one matrix product in it.
+CELL_VECTORS, SLICE = 16_384, 2_048
 # Weights of the hybrid lexical score and its penalties.
 HYBRID, HYBRID_SINGLE = (0.60, 0.25, 0.15), (0.75, 0.15, 0.10)
 ANCHOR_PENALTY, HEAD_PENALTY, SINGLE_PENALTY, ANCHOR_LENGTH, ANCHORS = 0.8, 0.9, 0.225, 3, 5
@@ -156,20 +158,30 @@ def valid_vector(a: Column, size: int) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, size: int = 64) -> DataFrame:
     """Best of (doc_id, embedding) by cosine for each of (query_id, query_vector).
 
-    Queries meet the documents in blocks of at most ``MOST_QUERIES``, one matrix product a batch, and
-    a task hands on the k best of each query. More queries are more blocks, by a hash of query_id.
+    Up to ``MOST_QUERIES`` queries are sent to the vectors, which stay where they are: one matrix product a
+    batch, and a task hands on the k best of each query. More queries are a grid: blocks of
+    queries and blocks of vectors are shuffled to each other, in one plan, and nothing passes the driver.
     """
     docs = vectors.where(valid_vector(F.col("embedding"), size)).select("doc_id", unit(F.col("embedding")).alias("u"))
     asked = queries.where(valid_vector(F.col("query_vector"), size)).select("query_id", unit(F.col("query_vector")).alias("q"))
-    parts = -(-queries.count() * 2 // MOST_QUERIES) if queries.count() > MOST_QUERIES else 1
-    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
+    asked = cut(asked)
+    number = asked.count()
     schema = T.StructType([asked.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    found = None
-    for part in range(parts):
-        block = asked.where(F.col("block") == part).select("query_id", "q").toPandas()
-        best = top_k(docs.mapInPandas(_best_of_block(block, k), schema), k)
-        found = best if found is None else found.unionByName(best)
-    return found
+    if number <= MOST_QUERIES:
+        return top_k(docs.mapInPandas(_best_of_block(asked.toPandas(), k), schema), k)
+    # blocks of queries meet blocks of vectors, each pair in a task; a cell hands on the k best of its queries
+    rows, columns = -(-number * 2 // MOST_QUERIES), max(1, -(-docs.count() // CELL_VECTORS))
+    block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = docs.select("doc_id", "u", block("doc_id", columns).alias("column"), every(rows).alias("row"))
+    right = asked.select("query_id", "q", block("query_id", rows).alias("row"), every(columns).alias("column"))
+
+    def cell(vectors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        slices = (vectors.iloc[at : at + SLICE] for at in range(0, len(vectors), SLICE))
+        best = list(_best_of_block(block, k)(slices)) if len(block) else []
+        return best[0] if best else pd.DataFrame({f.name: [] for f in schema}).astype({"score": float})
+
+    return top_k(left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(cell, schema), k)
 
 
 def _best_of_block(block: pd.DataFrame, k: int):

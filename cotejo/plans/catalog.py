@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.plans import retrieval_queries, table_queries, text_queries
+from cotejo.plans import retrieval_queries, storage_queries, table_queries, text_queries
 
-MODULES: list = [retrieval_queries, text_queries, table_queries]
+MODULES: list = [retrieval_queries, text_queries, table_queries, storage_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,8 +9,10 @@ from cotejo.functions import text
 from cotejo.operators import compare, embed, rank, rerank, retrieve, rewrite
 from cotejo.operators.index import vocabulary
 from cotejo.plans import sqltext as s
+from cotejo.plans import text_queries
 from cotejo.plans.search import SearchConfig, embedding_search, search, smart_search
-from cotejo.plans.text_queries import PHRASE_SQL, PHRASES, phrases
+from cotejo.plans.text_queries import PHRASES
+from cotejo.session import cut
 from cotejo.sources.tables import table
 
 QUERIES: dict = {}
@@ -210,25 +212,65 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(rerank.word_f1(F.lit("red widget red"), F.col("p_name")), 6).alias("f1"))
 
 
-_MAPS = rewrite.Abbreviations({"vassoura": "vassoura nylon", "lav piso": "lavadora de piso"}, {"asp": "aspirador", "hp": "potencia"}, {"discos": ["disco verde", "disco preto", "discos"]})
-_PLANNED = [(1, "Vassoura"), (2, "lav  piso"), (3, "asp 2 hp"), (4, "discos"), (5, "mop")]
+_MAPS = rewrite.Abbreviations(
+    {"vassoura": "vassoura nylon", "esfregao": "esfregão de pó", "vassoura nylon 60 cm": "vassoura 60"},
+    {"asp": "aspirador", "hp": "potencia", "red": "vermelho", "gear": "engrenagem dentada", "mop": "Mop"},
+    {"vassouras": ["vassoura verde", "vassoura preta", "vassouras"], "notebook": ["n"]},
+)
+_PRIMARY = f"len({s.words('query')}) = 1 AND {text_queries._DETECTED} <> 'UNKNOWN'"
 
 
-@query("rewrite_plan")
+def _step_sql(name: str, before: str, rewritten: str) -> str:
+    """A step of the plan: new is the rewritten query, keeps whether the primary one stays, hit whether there is a new one."""
+    return f"""{name} AS (SELECT query_id, query, variants, new, {_PRIMARY} AS keeps, coalesce(new <> '' AND new <> query, false) AS hit FROM (SELECT *, {s.key(rewritten)} AS new FROM {before})),
+{name}_done AS (SELECT query_id, CASE WHEN hit AND NOT keeps THEN new ELSE query END AS query, CASE WHEN hit THEN list_append(variants, {{'query': new, 'weight': CASE WHEN keeps THEN {rewrite.EXPAND_WEIGHT} ELSE 1.0 END::DOUBLE, 'reason': '{name}'}}) ELSE variants END AS variants FROM {name})"""
+
+
+_TOKEN_SQL = f"array_to_string(list_transform({s.words('query')}, lambda w: coalesce(({s.mapped(_MAPS.token)})[w], w)), ' ')"
+_EXPAND_SQL = "map([" + ", ".join(s.quoted(k) for k in _MAPS.expand) + "], [" + ", ".join(s.listed(v[: rewrite.EXPANDED]) for v in _MAPS.expand.values()) + "])"
+_PLAN_SQL = f"""WITH start AS (SELECT query_id, {s.key('query')} AS query, [] AS none FROM {text_queries.MIXED_SQL}),
+first AS (SELECT query_id, query, []::STRUCT(query VARCHAR, weight DOUBLE, reason VARCHAR)[] AS variants FROM start),
+{_step_sql('exactMap', 'first', f"({s.mapped(_MAPS.exact)})[query]")},
+{_step_sql('tokenMap', 'exactMap_done', _TOKEN_SQL)},
+grown AS (SELECT query_id, query, variants, CASE WHEN len({s.words('query')}) = 1 AND length(query) >= 2 AND NOT regexp_matches(query, '\\d') THEN list_filter(list_transform(coalesce(({_EXPAND_SQL})[query], []), lambda x: {s.key('x')}), lambda x: x <> '' AND x <> query) ELSE [] END AS more FROM tokenMap_done),
+listed AS (SELECT query_id, list_concat([{{'query': query, 'weight': 1.0::DOUBLE, 'reason': 'primary'}}], variants, list_transform(more, lambda x: {{'query': x, 'weight': {rewrite.EXPAND_WEIGHT}::DOUBLE, 'reason': 'expandMap'}})) AS every FROM grown),
+rows AS (SELECT query_id, unnest(every) AS v, unnest(range(len(every))) AS pos FROM listed),
+fresh AS (SELECT query_id, v, pos, row_number() OVER (PARTITION BY query_id, v.query ORDER BY pos) AS again FROM rows)
+SELECT query_id, ord, query, weight, reason FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INTEGER AS ord, v.query AS query, v.weight AS weight, v.reason AS reason FROM fresh WHERE again = 1) WHERE ord <= {rewrite.VARIANTS}"""
+
+
+@query("rewrite_plan", _PLAN_SQL)
 def rewrite_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.rewrite_plan(spark.createDataFrame(_PLANNED, "query_id int, query string"), _MAPS)
+    return rewrite.rewrite_plan(text_queries.mixed(spark, sf_dir), _MAPS)
 
 
-def _synonym_sql() -> str:
+def _synonym_table() -> dict[str, list[str]]:
+    """Each term's list: its own, else that of the first entry that has it."""
     reverse: dict[str, str] = {}
     for key, listed in rewrite.SYNONYMS.items():
         for word in listed:
             reverse.setdefault(word, key)
-    every = {**{w: rewrite.SYNONYMS[k] for w, k in reverse.items()}, **rewrite.SYNONYMS}
-    rows = _values([(k, "|".join(v)) for k, v in every.items()])
+    return {**{w: rewrite.SYNONYMS[k] for w, k in reverse.items()}, **rewrite.SYNONYMS}
+
+
+def _synonym_sql() -> str:
+    rows = _values([(k, "|".join(v)) for k, v in _synonym_table().items()])
     return f"SELECT p_partkey, token, coalesce(v.listed, token) AS synonyms FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'mop' WHEN 1 THEN 'vácuo' WHEN 2 THEN 'industrial' ELSE p_name END AS token FROM part) LEFT JOIN {rows} AS v(k, listed) ON v.k = lower(trim(token))"
 
 
+def _expand_sql() -> str:
+    known = _synonym_table()
+    table_sql = "map([" + ", ".join(s.quoted(k) for k in known) + "], [" + ", ".join(s.listed(v) for v in known.values()) + "])"
+    return f"""WITH t AS (SELECT query_id, lower(query) AS low, string_split_regex(lower(query), '\\s+') AS t FROM {text_queries.MIXED_SQL}),
+places AS (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM t),
+others AS (SELECT query_id, t, i, list_filter(coalesce(({table_sql})[trim(t[i])], [trim(t[i])]), lambda x: x <> t[i]) AS o FROM places WHERE t[i] <> ''),
+swaps AS (SELECT query_id, t, i, unnest(o) AS x, unnest(range(len(o))) AS j FROM others),
+variants AS (SELECT query_id, 0 AS i, 0 AS j, low AS v FROM t UNION ALL SELECT query_id, i, j, array_to_string(list_concat(t[:i - 1], [x], t[i + 1:]), ' ') FROM swaps),
+fresh AS (SELECT query_id, v, i, j, row_number() OVER (PARTITION BY query_id, v ORDER BY i, j) AS again FROM variants),
+placed AS (SELECT query_id, v, row_number() OVER (PARTITION BY query_id ORDER BY i, j) AS n FROM fresh WHERE again = 1)
+SELECT query_id, string_agg(v, '|' ORDER BY n) AS variants FROM placed WHERE n <= 5 GROUP BY query_id"""
+
+
 @query("synonym_lookup", _synonym_sql())
 def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_size") % 4
@@ -236,10 +278,9 @@ def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "token", F.array_join(rewrite.synonyms_of(F.col("token")), "|").alias("synonyms"))
 
 
-@query("synonym_expand")
+@query("synonym_expand", _expand_sql())
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Mop industrial"), (2, "balde inox"), (3, "xyz"), (4, "piso nylon")], "query_id int, query string")
-    return rows.select("query_id", F.array_join(rewrite.expand_synonyms(F.col("query")), "|").alias("variants"))
+    return text_queries.mixed(spark, sf_dir).select("query_id", F.array_join(rewrite.expand_synonyms(F.col("query")), "|").alias("variants"))
 
 
 _KEY, _VALUE = "lower(p_brand) || ' ' || p_size % 7", "p_name || CASE WHEN p_size % 5 = 0 THEN ', blue gear, steel bolt' ELSE '' END"
@@ -267,56 +308,57 @@ def abbrev_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.token_usage(_abbreviation_pairs(spark, sf_dir))
 
 
-# --- reranking and confidence over phrases as products -------------------------------------------
-
-_ASKED = [(1, "enceradeira 510"), (2, "disco para enceradeira"), (3, "mop"), (4, "lavadora 220 com mangueira")]
-_ASKED_SQL = f"{_values(_ASKED)} AS q(query_id, query)"
+# --- reranking and confidence over products as candidates ------------------------------------------
 
+#: A query's candidates are the products of fifty successive keys, so there are as many queries as the table needs.
+_EACH = 50
+_PHRASE_OF = f"({s.listed(PHRASES)})[{{}} % {len(PHRASES)} + 1]"
+_CANDIDATE_SQL = f"(SELECT p_partkey // {_EACH} AS query_id, p_partkey AS doc_id, {_PHRASE_OF.format(f'(p_partkey // {_EACH})')} AS query, {_PHRASE_OF.format('(p_partkey * 5)')} || ' ' || p_name AS text, ((p_partkey * 7 + p_partkey // {_EACH} * 3) % 11 + 1.0)::DOUBLE AS score FROM part)"
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    asked = spark.createDataFrame(_ASKED, "query_id int, query string")
-    docs = phrases(spark).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    score = (F.col("doc_id") * 7 + F.col("query_id") * 3) % 11 + 1.0
-    return asked.crossJoin(F.broadcast(docs)).withColumn("score", score)
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = lambda k: F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (k % len(PHRASES) + 1).cast("int"))
+    key = F.col("p_partkey")
+    number = F.floor(key / _EACH)
+    score = (key * 7 + number * 3) % 11 + 1.0
+    return table(spark, sf_dir, "part").select(number.alias("query_id"), key.alias("doc_id"), phrase(number).alias("query"), F.concat(phrase(key * 5), F.lit(" "), F.col("p_name")).alias("text"), score.alias("score"))
 
-def _parsed_rows() -> tuple[str, str]:
-    """SQL of the parsed query and the classified document for each candidate."""
-    from cotejo.plans import text_queries as t
 
-    return t._INTENT, t._MAIN
-
-
-def _rerank_sql() -> str:
-    from cotejo.plans import text_queries as t
-
-    asked = f"(SELECT query_id, query, {t._INTENT} AS intent, {t._MAIN} AS main, {s.model_numbers('query')} AS models, {t._CANON} AS acc FROM {_ASKED_SQL})"
-    docs = f"(SELECT query_id AS doc_id, query AS text, {s.key('query')} AS norm, {t._contains(s.key('query'), t.taxonomy.ACCESSORIES)} AS has_acc, {t._MAIN} AS cat, {s.model_numbers('query')} AS nums FROM {PHRASE_SQL})"
-    return f"""WITH c AS (SELECT a.*, d.*, ((doc_id * 7 + query_id * 3) % 11 + 1.0)::DOUBLE AS score FROM {asked} a CROSS JOIN {docs} d),
+def _rerank_sql(grid: str = f"(VALUES ('', 0.35, 0.45, 0.30, 0.95, 0.55, true)) AS g(name, w_bm25, w_model, w_category, w_accessory, w_missing, bonus)") -> str:
+    """CTEs ending in f: the scored candidates, for each set of weights."""
+    t = text_queries
+    asked = f"(SELECT query_id, query, {t._INTENT} AS intent, {t._MAIN} AS main, {s.model_numbers('query')} AS models, {t._CANON} AS acc FROM (SELECT DISTINCT query_id, query FROM {_CANDIDATE_SQL}))"
+    docs = f"(SELECT of, doc_id, score, {s.key('query')} AS norm, {t._contains(s.key('query'), t.taxonomy.ACCESSORIES)} AS has_acc, {t._MAIN} AS cat, {s.model_numbers('query')} AS nums FROM (SELECT query_id AS of, doc_id, score, text AS query FROM {_CANDIDATE_SQL}))"
+    return f"""WITH c AS (SELECT a.*, d.* FROM {asked} a JOIN {docs} d ON d.of = a.query_id),
 e AS (SELECT *, CASE WHEN has_acc THEN 'ACESSORIO' WHEN cat IS NOT NULL THEN 'EQUIPAMENTO' ELSE 'INDEFINIDO' END AS doc_type, list_has_any(nums, models) AS has_model, score / max(score) OVER (PARTITION BY query_id) AS bm FROM c),
-f AS (SELECT query_id, doc_id, intent, doc_type, round(greatest(0.0, 0.35 * bm + 0.45 * has_model::INT + 0.30 * coalesce(cat = main, false)::INT
-   + CASE WHEN len(acc) > 0 AND doc_type = 'EQUIPAMENTO' THEN least(0.12, 0.04 * len(list_filter(acc, lambda x: contains(norm, x)))) ELSE 0 END
-   - 0.95 * (intent = 'EQUIPAMENTO' AND doc_type = 'ACESSORIO')::INT - 0.55 * (len(models) > 0 AND NOT has_model)::INT), 6)::DOUBLE AS final_score FROM e)"""
+f AS (SELECT name, query_id, doc_id, intent, doc_type, round(greatest(0.0, w_bm25 * bm + w_model * has_model::INT + w_category * coalesce(cat = main, false)::INT
+   + CASE WHEN bonus AND len(acc) > 0 AND doc_type = 'EQUIPAMENTO' THEN least(0.12, 0.04 * len(list_filter(acc, lambda x: contains(norm, x)))) ELSE 0 END
+   - w_accessory * (intent = 'EQUIPAMENTO' AND doc_type = 'ACESSORIO')::INT - w_missing * (len(models) > 0 AND NOT has_model)::INT), 6)::DOUBLE AS final_score FROM e CROSS JOIN {grid})"""
 
 
 @query("rerank_scores", f"{_rerank_sql()} SELECT query_id, doc_id, intent, doc_type, final_score FROM f")
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.rerank(_candidates(spark)).select("query_id", "doc_id", "intent", "doc_type", "final_score")
+    return rerank.rerank(_candidates(spark, sf_dir)).select("query_id", "doc_id", "intent", "doc_type", "final_score")
+
+
+def _guard_sql(scored: str) -> str:
+    """CTEs ending in guarded, from those of ``_rerank_sql``."""
+    return f"""{scored}, g AS (SELECT *, row_number() OVER (PARTITION BY name, query_id ORDER BY final_score DESC, doc_id) AS rank FROM f),
+h AS (SELECT *, max(CASE WHEN rank = 1 THEN doc_type END) OVER (PARTITION BY name, query_id) AS first_type, min(CASE WHEN doc_type = 'EQUIPAMENTO' THEN rank END) OVER (PARTITION BY name, query_id) AS eq FROM g),
+guarded AS (SELECT name, query_id, doc_id, intent, doc_type, final_score, rank::INTEGER AS rank, (CASE WHEN intent = 'EQUIPAMENTO' AND first_type = 'ACESSORIO' AND eq IS NOT NULL THEN CASE WHEN rank = eq THEN 1 WHEN rank < eq THEN rank + 1 ELSE rank END ELSE rank END)::INTEGER AS guarded_rank FROM h)"""
 
 
-_GUARD = f"""{_rerank_sql()}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS rank FROM f),
-h AS (SELECT *, max(CASE WHEN rank = 1 THEN doc_type END) OVER (PARTITION BY query_id) AS first_type, min(CASE WHEN doc_type = 'EQUIPAMENTO' THEN rank END) OVER (PARTITION BY query_id) AS eq FROM g),
-guarded AS (SELECT query_id, doc_id, final_score, rank::INTEGER AS rank, (CASE WHEN intent = 'EQUIPAMENTO' AND first_type = 'ACESSORIO' AND eq IS NOT NULL THEN CASE WHEN rank = eq THEN 1 WHEN rank < eq THEN rank + 1 ELSE rank END ELSE rank END)::INTEGER AS guarded_rank FROM h)"""
+_GUARD = _guard_sql(_rerank_sql())
 
 
 @query("rerank_guard", f"{_GUARD} SELECT query_id, doc_id, rank, guarded_rank FROM guarded")
 def rerank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.guard_first(rerank.rerank(_candidates(spark))).select("query_id", "doc_id", "rank", "guarded_rank")
+    return rerank.guard_first(rerank.rerank(_candidates(spark, sf_dir))).select("query_id", "doc_id", "rank", "guarded_rank")
 
 
 @query("item_confidence", f"{_GUARD} SELECT query_id, doc_id, round(min(least(1.0, exp((final_score - m) / 1.2)) * 0.85) OVER (PARTITION BY query_id ORDER BY rank), 6)::DOUBLE AS confidence FROM (SELECT *, max(final_score) OVER (PARTITION BY query_id) AS m FROM guarded)")
 def item_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = rerank.guard_first(rerank.rerank(_candidates(spark)))
+    ranked = rerank.guard_first(rerank.rerank(_candidates(spark, sf_dir)))
     return rank.item_confidence(ranked, F.lit(0.85)).select("query_id", "doc_id", "confidence")
 
 
@@ -344,27 +386,58 @@ def score_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top15(spark, sf_dir).select("query_id", "doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("share"))
 
 
-def _confidence_rows(spark: SparkSession) -> DataFrame:
-    texts = phrases(spark).select("query_id", "query", F.concat(F.col("query"), F.when(F.col("query_id") % 3 == 0, " modelo industrial 510").when(F.col("query_id") % 3 == 1, "").otherwise(" x")).alias("top_text"))
+def _confidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("query_id")
+    texts = text_queries.mixed(spark, sf_dir).select("query_id", "query", F.concat(F.col("query"), F.when(k % 3 == 0, " modelo industrial 510").when(k % 3 == 1, "").otherwise(" x")).alias("top_text"))
+    # a first result that says something else, for every fourth query
+    texts = texts.withColumn("top_text", F.when(k % 4 == 3, F.concat(F.lit("balde "), F.reverse(F.split("top_text", " "))[0])).otherwise(F.col("top_text")))
     return texts.select("*", (k % 7 * 4.0).alias("s1"), F.least(k % 7 * 4.0, k % 5 * 3.0).alias("s2"), F.greatest(k % 7 * 4.0, F.lit(20.0)).alias("max_score"))
 
 
-@query("global_confidence")
+def _confidence_sql() -> str:
+    """The phases of the confidence one after the other, as columns."""
+    top = "(query || CASE WHEN query_id % 3 = 0 THEN ' modelo industrial 510' WHEN query_id % 3 = 1 THEN '' ELSE ' x' END)"
+    plain = lambda x: f"regexp_replace({x}, '[/()]', ' ', 'g')"
+    longer = lambda x: f"list_filter({s.words(x, chr(92) + 's+')}, lambda w: length(w) > 1)"
+    number = "regexp_matches(w, '^\\d+[a-z]*$|^[a-z]*\\d+$')"
+    inside = lambda x: f"len(list_filter({x}, lambda w: contains(tt, w)))"
+    ratio = lambda a, b, none: f"CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE {none} END"
+    runs = lambda k: f"(SELECT count(*) FROM windows w WHERE w.query_id = b.query_id AND w.size = {k} AND w.inside) * {2 * k}"
+    return f"""WITH RECURSIVE q AS (SELECT query_id, query, CASE WHEN query_id % 4 = 3 THEN 'balde ' || string_split({top}, ' ')[-1] ELSE {top} END AS top_text, (query_id % 7 * 4.0)::DOUBLE AS s1, least(query_id % 7 * 4.0, query_id % 5 * 3.0)::DOUBLE AS s2, greatest(query_id % 7 * 4.0, 20.0)::DOUBLE AS max_score FROM {text_queries.MIXED_SQL}),
+n AS (SELECT *, {plain("trim(lower(query))")} AS qn, {plain("lower(top_text)")} AS tt FROM q),
+w AS (SELECT *, {longer('qn')} AS qw, len({longer('tt')}) AS top_words FROM n),
+b AS MATERIALIZED (SELECT *, len(qw) AS n, list_filter(qw, lambda w: {number}) AS numbers, list_filter(qw, lambda w: NOT {number} AND length(w) >= 4 AND w NOT IN ({', '.join(s.quoted(x) for x in rank.COMMON_WORDS)})) AS keys FROM w),
+chain AS (SELECT query_id, tt, qw, n, 0 AS found, 0 AS spot FROM b UNION ALL
+  SELECT query_id, tt, qw, n, found + 1, spot + instr(substr(tt, spot + 1), qw[found + 1]) FROM chain WHERE found < n AND instr(substr(tt, spot + 1), qw[found + 1]) > 0),
+followed AS (SELECT query_id, max(found) AS found FROM chain GROUP BY query_id),
+windows AS MATERIALIZED (SELECT query_id, size, contains(tt, array_to_string(qw[i:i + size - 1], ' ')) AS inside FROM (SELECT query_id, tt, qw, size, unnest(range(1, n - size + 2)) AS i FROM b CROSS JOIN (VALUES (2), (3), (4)) AS v(size) WHERE n >= size)),
+hits AS (SELECT b.*, f.found, {inside('qw')} AS hit, {inside('numbers')} AS hit_numbers, {inside('keys')} AS hit_keys, {runs(2)} + {runs(3)} + {runs(4)} AS sequences FROM b JOIN followed f USING (query_id)),
+r AS (SELECT *, {ratio('hit', 'n', 0.0)} AS coverage, {ratio('hit_numbers', 'len(numbers)', 1.0)} AS number_ratio, {ratio('hit_keys', 'len(keys)', 1.0)} AS key_ratio, {ratio('hit', 'top_words', 0.0)} AS density,
+  CASE WHEN s1 > 0 THEN (s1 - s2) / s1 ELSE 0.0 END AS gap, CASE WHEN max_score > 0 THEN least(1.0, s1 / max_score) ELSE 0.0 END AS s1_norm, len(numbers) > 0 AND hit_numbers < len(numbers) AS missing FROM hits),
+o AS (SELECT *, CASE WHEN n >= 2 THEN found / n::DOUBLE * 0.10 + least(1.0, sequences / (n * 2.0)) * 0.10 + CASE WHEN contains(tt, qn) THEN 0.03 ELSE 0 END + CASE WHEN len(keys) > 0 AND starts_with(tt, keys[1]) THEN 0.02 ELSE 0 END ELSE 0 END AS order_score FROM r),
+total AS (SELECT *, coverage * 0.15 + number_ratio * 0.10 + key_ratio * 0.05 + order_score + CASE WHEN n >= 2 AND found = n THEN 0.02 ELSE 0 END + s1_norm * 0.12 + gap * 0.08 + density * 0.08 + coverage * 0.07
+  + CASE WHEN coverage >= 0.95 AND order_score > 0.15 THEN 0.05 ELSE 0 END + CASE WHEN len(numbers) > 0 AND NOT missing THEN 0.03 ELSE 0 END + CASE WHEN s1 > 20 THEN 0.02 ELSE 0 END
+  - CASE WHEN missing THEN 0.30 * (1.0 - number_ratio) ELSE 0 END - CASE WHEN hit_keys < len(keys) THEN 0.20 * (1.0 - key_ratio) ELSE 0 END - CASE WHEN coverage < 0.5 THEN 0.25 * (0.5 - coverage) / 0.5 ELSE 0 END
+  - CASE WHEN n >= 2 AND order_score < 0.05 THEN 0.15 ELSE 0 END - CASE WHEN s1 < 4 THEN 0.20 * (1.0 - s1 / 4) ELSE 0 END - CASE WHEN s1 > 0 AND s2 > 0 AND gap < 0.15 THEN 0.10 ELSE 0 END - CASE WHEN density < 0.3 AND top_words > 10 THEN 0.08 ELSE 0 END AS score FROM o),
+bounded AS (SELECT query_id, round(CASE WHEN max_score <= 0 THEN 0 ELSE least(least(1.0, greatest(0.0, score)), CASE WHEN missing THEN 0.60 ELSE 1.0 END, CASE WHEN coverage < 0.7 THEN 0.65 ELSE 1.0 END, CASE WHEN s1_norm < 0.3 THEN 0.50 ELSE 1.0 END) END, 6)::DOUBLE AS confidence FROM total)
+SELECT query_id, confidence, CASE WHEN confidence >= 0.8 THEN 'alta' WHEN confidence >= 0.6 THEN 'media' ELSE 'baixa' END AS level FROM bounded"""
+
+
+@query("global_confidence", _confidence_sql())
 def global_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.global_confidence(_confidence_rows(spark)).select("query_id", "confidence", "level")
+    return rank.global_confidence(_confidence_rows(spark, sf_dir)).select("query_id", "confidence", "level")
 
 
-def _subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    rows = p.select(F.lit(1).alias("query_id"), F.row_number().over(_order()).alias("rank"), F.col("p_partkey").alias("doc_id"), rank.subtype_key(F.col("p_name"), F.col("p_partkey"), F.lit("GEAR"), {"GEAR": "gear"}).alias("subtype"), F.element_at(F.split("p_name", " "), -1).alias("category"), F.lit("gear").alias("query_category"))
-    return rows.where("rank <= 220")
+#: Candidates of a query that are diversified: the products of so many successive keys.
+_LIST = 220
 
 
-def _order():
+def _subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.col("p_size") * 0).orderBy(F.desc("p_retailprice"), "p_partkey")
+    p = table(spark, sf_dir, "part").withColumn("query_id", F.floor(F.col("p_partkey") / _LIST))
+    order = Window.partitionBy("query_id").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return p.select("query_id", F.row_number().over(order).alias("rank"), F.col("p_partkey").alias("doc_id"), rank.subtype_key(F.col("p_name"), F.col("p_partkey"), F.lit("GEAR"), {"GEAR": "gear"}).alias("subtype"), F.element_at(F.split("p_name", " "), -1).alias("category"), F.lit("gear").alias("query_category"))
 
 
 @query("diversify")
@@ -407,12 +480,17 @@ GRID = [
 ]
 
 
-@query("weight_grid")
+_GRID_SQL = _values([(*g, 0 if g[0] == "No Accessory Bonus" else 1) for g in GRID])
+_RATE = "round(avg(CASE WHEN {} = 1 THEN (doc_type = intent OR intent = 'INDEFINIDO')::INT END), 6)::DOUBLE"
+
+
+@query("weight_grid", f"""{_guard_sql(_rerank_sql(f"(SELECT * REPLACE (bonus = 1 AS bonus) FROM {_GRID_SQL} AS g(name, w_bm25, w_model, w_category, w_accessory, w_missing, bonus)) AS g"))}
+SELECT name, {_RATE.format('rank')} AS plain, {_RATE.format('guarded_rank')} AS guarded FROM guarded GROUP BY name""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries whose first result is of the wanted type, by weight set, with and without the guard."""
-    out = None
+    candidates, out = cut(_candidates(spark, sf_dir)), None
     for name, *values in GRID:
-        scored = rerank.guard_first(rerank.rerank(_candidates(spark), weights=dict(zip(rerank.WEIGHTS, values, strict=True)), bonus=name != "No Accessory Bonus"))
+        scored = rerank.guard_first(rerank.rerank(candidates, weights=dict(zip(rerank.WEIGHTS, values, strict=True)), bonus=name != "No Accessory Bonus"))
         good = ((F.col("doc_type") == F.col("intent")) | (F.col("intent") == "INDEFINIDO")).cast("double")
         rate = scored.agg(*[F.round(F.avg(F.when(F.col(c) == 1, good)), 6).alias(n) for n, c in (("plain", "rank"), ("guarded", "guarded_rank"))])
         rate = rate.select(F.lit(name).alias("name"), "plain", "guarded")

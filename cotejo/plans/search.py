@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import attributes, domain, taxonomy
 from cotejo.functions.text import normalize_equipment, normalize_key
-from cotejo.operators import embed, rank, rerank, retrieve
+from cotejo.operators import embed, rank, rerank, retrieve, stored
 from cotejo.operators import rewrite as rewriting
 from cotejo.operators.index import small, vocabulary
+from cotejo.operators.timing import Timings, step
 from cotejo.session import cut
 
 
@@ -29,6 +30,10 @@ class SearchConfig:
     abbreviations: rewriting.Abbreviations = field(default_factory=rewriting.Abbreviations)
     #: A stored vocabulary (term, ord); without one it is made of the corpus at each search.
     vocabulary: DataFrame | None = None
+    #: A stored BM25 index of the corpus, which also has its vocabulary; without one texts are read.
+    index: stored.Stored | None = None
+    #: Collects how long each step takes; every step ends in a checkpoint then.
+    timings: Timings | None = None
 
     def __post_init__(self):
         if not 1 <= self.top_k:
@@ -73,18 +78,21 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     asked = asked.withColumn("candidates", rank.candidate_k(F.lit(config.top_k), F.col("navigation")))
     looked_for = asked.select("query_id", normalize_key(F.col("core")).alias("query"))
     if config.fuzzy:
-        looked_for = rewriting.correct_queries(looked_for, config.vocabulary if config.vocabulary is not None else vocabulary(corpus)).select("query_id", F.col("corrected").alias("query"))
+        known = config.vocabulary if config.vocabulary is not None else config.index.vocabulary if config.index else vocabulary(corpus)
+        looked_for = rewriting.correct_queries(looked_for, known).select("query_id", F.col("corrected").alias("query"))
+        looked_for = looked_for if config.timings is None else config.timings.step("correct", looked_for)
     maps = config.abbreviations if config.rewrite else rewriting.Abbreviations()
     # a few rows a query from here on: kept, so that the corpus is read once for each of them
-    variants = cut(rewriting.rewrite_plan(looked_for, maps))
+    variants = step(config.timings, "rewrite", rewriting.rewrite_plan(looked_for, maps))
     most = config.top_k * rank.NAV_CANDIDATES[0] + rank.NAV_CANDIDATES[2]
-    found = retrieve.bm25_variants(corpus, variants, per_variant=most, k=most).join(small(asked.select("query_id", "candidates")), "query_id")
+    lexical = stored.bm25_variants(config.index, variants, most, most) if config.index else retrieve.bm25_variants(corpus, variants, per_variant=most, k=most)
+    found = lexical.join(small(asked.select("query_id", "candidates")), "query_id")
     found = found.where(F.col("rank") <= F.col("candidates")).select("query_id", "doc_id", "score")
-    found = cut(found)
+    found = step(config.timings, "retrieve", found)
     hydrated = corpus.select("doc_id", "text").join(small(found), "doc_id").join(small(asked), "query_id")
     ranked = rerank.guard_first(rank.keep_best(rerank.rerank(hydrated), "doc_id", "final_score", "score"))
     ranked = diversified(ranked, config.top_k)
-    ranked = cut(rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity")))
+    ranked = step(config.timings, "rank", rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity")))
     every = Window.partitionBy("query_id")
     tops = ranked.groupBy("query_id").agg(
         F.first("query").alias("query"), F.max_by("text", -F.col("rank")).alias("top_text"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0)).alias("s1"),
@@ -92,7 +100,8 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     )
     overall = rank.global_confidence(tops).select("query_id", F.col("confidence").alias("list_confidence"), "level")
     done = ranked.join(small(overall), "query_id").where(F.col("score") >= config.min_score)
-    return done.select("query_id", "rank", "guarded_rank", "doc_id", "score", (F.col("score") / F.max("score").over(every)).alias("score_share"), "final_score", "doc_type", "confidence", "list_confidence", "level")
+    shown = done.select("query_id", "rank", "guarded_rank", "doc_id", "score", (F.col("score") / F.max("score").over(every)).alias("score_share"), "final_score", "doc_type", "confidence", "list_confidence", "level")
+    return shown if config.timings is None else config.timings.step("confidence", shown)
 
 
 def search_texts(spark: SparkSession, corpus: DataFrame, queries: list[str], config: SearchConfig | None = None) -> DataFrame:

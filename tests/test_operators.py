@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,10 +117,11 @@ def plain_confidence(query, top, s1, s2, best):
     return total if best > 0 else 0.0
 
 
-def test_global_confidence_follows_the_phases(spark):
+def test_global_confidence_follows_the_phases(spark, sf_dir):
     from cotejo.plans.retrieval_queries import _confidence_rows
 
-    rows = rank.global_confidence(_confidence_rows(spark)).collect()
+    rows = rank.global_confidence(_confidence_rows(spark, sf_dir)).collect()
+    assert len({r["level"] for r in rows}) == 3
     for r in rows:
         assert r["confidence"] == pytest.approx(plain_confidence(r["query"], r["top_text"], r["s1"], r["s2"], r["max_score"]), abs=2e-6), r
 
@@ -274,15 +276,16 @@ def test_dense_search_works_through_blocks_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, retrieve.dense_top(vectors, queries, 3, 4).collect())) == whole and len(whole) == 120
 
 
-def test_rewrite_plan_and_synonyms_by_hand(spark, sf_dir):
-    from cotejo.plans import retrieval_queries as q
-
-    plan = {tuple(r) for r in q.rewrite_plan(spark, sf_dir).select("query_id", "ord", "query", "weight", "reason").collect()}
+def test_rewrite_plan_and_synonyms_by_hand(spark):
+    maps = rewrite.Abbreviations({"vassoura": "vassoura nylon", "lav piso": "lavadora de piso"}, {"asp": "aspirador", "hp": "potencia"}, {"discos": ["disco verde", "disco preto", "discos"]})
+    asked = spark.createDataFrame([(1, "Vassoura"), (2, "lav  piso"), (3, "asp 2 hp"), (4, "discos"), (5, "mop")], "query_id int, query string")
+    plan = {tuple(r) for r in rewrite.rewrite_plan(asked, maps).select("query_id", "ord", "query", "weight", "reason").collect()}
     assert plan == {
         (1, 1, "vassoura", 1.0, "primary"), (1, 2, "vassoura nylon", 0.6, "exactMap"), (2, 1, "lavadora de piso", 1.0, "primary"), (3, 1, "aspirador 2 potencia", 1.0, "primary"),
         (4, 1, "discos", 1.0, "primary"), (4, 2, "disco verde", 0.6, "expandMap"), (4, 3, "disco preto", 0.6, "expandMap"), (5, 1, "mop", 1.0, "primary"),
     }
-    variants = {r["query_id"]: r["variants"] for r in q.synonym_expand(spark, sf_dir).collect()}
+    asked = spark.createDataFrame([(1, "Mop industrial"), (2, "balde inox"), (3, "xyz"), (4, "piso nylon")], "query_id int, query string")
+    variants = {r["query_id"]: r["variants"] for r in asked.select("query_id", F.array_join(rewrite.expand_synonyms(F.col("query")), "|").alias("variants")).collect()}
     assert variants == {
         1: "mop industrial|esfregão industrial|rodo úmido industrial|vassoura úmida industrial|esfregona industrial",
         2: "balde inox|bacia inox|recipiente inox|cuba inox|balde aço inox", 3: "xyz", 4: "piso nylon|piso náilon|piso nailon",
@@ -348,3 +351,35 @@ def test_parts_around_the_search(spark, tmp_path):
     found = embed.Fallback(Broken(), listed).embed(["a", "b"])
     assert [list(v) for v in found] == [[1.0, 2.0], [0.0, 0.0]]
     assert [engine_mode(x) for x in (None, "Python", "dual ", "x")] == ["ts", "python", "dual", "ts"]
+
+
+def test_diversify_query_is_the_greedy_selection(spark, sf_dir):
+    from cotejo.plans import retrieval_queries as q
+
+    lists = {}
+    for r in q._subtypes(spark, sf_dir).orderBy("query_id", "rank").collect():
+        lists.setdefault(r["query_id"], []).append({"id": str(r["doc_id"]), "s": r["subtype"], "c": r["category"]})
+    got = {}
+    for r in q.diversify(spark, sf_dir).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {k: plain_diversify(items, "gear", 10, rank.MAX_PER_SUBTYPE, rank.MIN_COVERAGE) for k, items in lists.items()}
+
+
+def test_embedding_search_is_that_of_brute_force(spark, sf_dir):
+    """Every row of embedding_search, by numpy."""
+    from cotejo.functions.text import normalize_equipment
+    from cotejo.plans import catalog
+    from cotejo.plans import retrieval_queries as q
+
+    normal = lambda df, key, column: {r[0]: r[1] for r in df.select(key, normalize_equipment(F.col(column))).collect()}
+    docs, asked = normal(q.parts(spark, sf_dir), "doc_id", "text"), normal(q.part_queries(spark), "query_id", "query")
+    ids = sorted(docs)
+    matrix = np.vstack(embed.StandIn(32).embed([docs[k] for k in ids]))
+    expected = []
+    for query_id, text in asked.items():
+        scores = np.round(matrix @ embed.StandIn(32).embed([text])[0], 6)
+        best = sorted(zip(-scores, ids, strict=True))[:10]
+        expected += [(query_id, doc_id, round(float(-s), 6), place) for place, (s, doc_id) in enumerate(best, 1)]
+    got = [(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in catalog.queries()["embedding_search"](spark, sf_dir).collect()]
+    assert [g[:2] + g[3:] for g in sorted(got)] == [e[:2] + e[3:] for e in sorted(expected)]
+    assert max(abs(g[2] - e[2]) for g, e in zip(sorted(got), sorted(expected), strict=True)) < 2e-6
