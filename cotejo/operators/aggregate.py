@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import taxonomy, text
+from cotejo.operators.index import small
+from cotejo.session import cut
 
 QUOTE_COLUMNS = ("row_idx", "description", "supplier", "source", "brand", "price", "life_months", "maintenance")
 
@@ -15,14 +19,69 @@ def as_fraction(x: Column) -> Column:
     return F.when(x > 1, x / 100).otherwise(x)
 
 
-def medians(values: DataFrame, *keys: str) -> DataFrame:
-    """The exact median of column value by keys: equal values are counted first, then ranked by a window that can spill."""
+#: Different values of one key that are ranked in one task, and the ranges that more are cut into.
+MEDIAN_VALUES, MEDIAN_RANGES = 100_000, 64
+
+
+def medians(values: DataFrame, *keys: str, most: int = MEDIAN_VALUES) -> DataFrame:
+    """The exact median of column value by keys; equal values are counted first.
+
+    Values of a key with many different ones are cut into ranges of about as many values, and only the
+    range that holds the middle is kept, again and again until it is small. So no task ranks more
+    than ``most`` values, however many a key has.
+    """
     counted = values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c"))
-    every = Window.partitionBy(*keys)
-    upto = F.sum("c").over(every.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counted.select(*keys, "value", "c", upto.alias("upto"), F.sum("c").over(every).alias("n"))
+    sizes = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("m"))
+    hot = cut(sizes.where(F.col("m") > most).select(*keys, "n"))
+    none = F.lit(0).cast("long").alias("below")
+    if hot.isEmpty():
+        every = Window.partitionBy(*keys)
+        return _middle(counted.select("*", F.sum("c").over(every).alias("n"), none), *keys)
+    small_ones = _null_safe(counted, hot.select(*keys), keys, "left_anti")
+    cold = _middle(small_ones.select("*", F.sum("c").over(Window.partitionBy(*keys)).alias("n"), none), *keys)
+    held = _null_safe(counted, small(hot), keys, "inner").select(*keys, "value", "c", "n", none)
+    return cold.unionByName(_middle(_narrowed(held, keys, most), *keys))
+
+
+def _null_safe(rows: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """A join by keys in which nulls are equal, without the other side's keys."""
+    renamed = other.toDF(*[f"_{c}" if c in keys else c for c in other.columns])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_{k}"]) for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_{k}" for k in keys])
+
+
+def _ranks(n: Column) -> tuple[Column, Column]:
+    """The two middle places, which are one where the number is odd."""
+    return F.floor((n + 1) / 2), F.floor(n / 2) + 1
+
+
+def _middle(held: DataFrame, *keys: str) -> DataFrame:
+    """Medians from (keys, value, c, n, below): below counts the values under those that are left."""
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = held.select(*keys, "value", "c", "n", upto.alias("upto"))
     at = lambda place: F.max(F.when((F.col("upto") - F.col("c") < place) & (F.col("upto") >= place), F.col("value")))
-    return placed.groupBy(*keys).agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+    low, high = _ranks(F.col("n"))
+    return placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def _narrowed(held: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """The same medians from few values: of (keys, value, c, n, below) only the ranges that hold a middle place."""
+    shares = [k / MEDIAN_RANGES for k in range(1, MEDIAN_RANGES)]
+    while True:
+        held = cut(held)
+        sizes = held.groupBy(*keys).agg(F.count("*").alias("m"), F.percentile_approx("value", shares, 10_000).alias("splits"))
+        wide = cut(sizes.where(F.col("m") > most).select(*keys, "splits"))
+        if wide.isEmpty():
+            return held
+        cut_up = _null_safe(held, small(wide), keys, "inner").withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("value")))).drop("splits")
+        order = Window.partitionBy(*keys).orderBy("range")
+        ranges = cut_up.groupBy(*keys, "range").agg(F.sum("c").alias("w"), F.first("n").alias("n"), F.first("below").alias("under"))
+        # as many rows a key as there are ranges
+        ranges = ranges.withColumn("upto", F.col("under") + F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        low, high = _ranks(F.col("n"))
+        chosen = ranges.where((F.col("upto") >= low) & (F.col("upto") - F.col("w") < high)).withColumn("below", F.min(F.col("upto") - F.col("w")).over(Window.partitionBy(*keys)))
+        kept = _null_safe(cut_up.drop("below"), small(chosen.select(*keys, "range", "below")), (*keys, "range"), "inner").select(*keys, "value", "c", "n", "below")
+        held = _null_safe(held, wide.select(*keys), keys, "left_anti").unionByName(kept)
 
 
 def distinct_in_order(rows: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:

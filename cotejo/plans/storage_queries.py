@@ -16,6 +16,7 @@ from cotejo.plans.search import SearchConfig, search
 from cotejo.session import cut, remove, shared_dir
 from cotejo.sources import relational, tables, versions, workbook
 from cotejo.sources.tables import table
+from cotejo.streaming import analytics, stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -258,3 +259,32 @@ def embedding_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError(f"texts were lost: {counts}")
     rows = embed.embedded(corpus, path).select("doc_id", (F.size("embedding") == 16).alias("there"), "provider")
     return _kept(spark, path, rows)
+
+
+# --- streams with state -----------------------------------------------------------------------------
+
+
+@query("flushed_analytics", "SELECT count(*)::BIGINT AS total_queries, (count(*) FILTER (event_type = 'error'))::BIGINT AS zero_result_queries, round(sum(value), 3) AS latency_sum FROM events")
+def flushed_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of events has flushed when it was stopped; its days are those of the flush, so they are added up."""
+    path = _folder(spark, "flushing")
+    events = analytics.events_of(spark, sf_dir).select("event_id", (F.col("event_type") == "error").alias("zero"), F.col("value").cast("double").alias("latency"))
+    flushing = stateful.Flushing(spark, path)
+    flushing.stop(events)
+    sums = [F.sum(c).alias(c) for c in ("total_queries", "zero_result_queries")]
+    return _kept(spark, path, flushing.daily().agg(*sums, F.round(F.sum("latency_sum"), 3).alias("latency_sum")))
+
+
+_MOST, _SECONDS = 3, 7200
+
+
+@query("rate_limited", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS t FROM events),
+starts AS (SELECT user_id, min(t) AS s FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(t) FROM starts JOIN e ON e.user_id = starts.user_id AND e.t >= starts.s + {_SECONDS * 1_000_000} GROUP BY e.user_id),
+w AS (SELECT event_id, e.user_id, row_number() OVER (PARTITION BY e.user_id, s ORDER BY t, event_id) AS place FROM e JOIN starts ON starts.user_id = e.user_id AND t >= s AND t < s + {_SECONDS * 1_000_000})
+SELECT event_id, user_id, place FROM w WHERE place > {_MOST}""")
+def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that a limit turns away, of a stream of all events."""
+    path = _folder(spark, "limit")
+    stream = analytics.events_of(spark, sf_dir).select("event_id", "user_id", "ts")
+    rows = stateful.drained(spark, stateful.limited(stream, _MOST, _SECONDS), path)
+    return _kept(spark, path, rows.where("not allowed").select("event_id", "user_id", "place"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cotejo.operators.state import merge_analytics, query_analytics
-from cotejo.session import shared_dir
+from cotejo.session import cut, exists, remove, shared_dir
 
 WINDOW, LATE = "5 minutes", "1 hour"
 
@@ -52,18 +52,48 @@ def keep_daily(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def windows_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of the events table, made by a stream in complete mode, so that the last is there."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet")
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream; ts becomes a timestamp."""
     folder = f"{sf_dir}/events.parquet"
+    source = spark.read.parquet(folder)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet")
     events = stream.parquet(folder if _is_folder(spark, folder) else f"{sf_dir}/events*.parquet")
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def keep_windows(events: DataFrame, path: str, checkpoint: str) -> str:
+    """Keeps the windows of a stream under a path, and gives the folder of the last version.
+
+    Each batch gives the windows that it changed, and they take the place of their former rows in a new
+    version, made from the one before. State is kept for windows that the watermark has not passed.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.persist()  # the state behind a batch is to be run through once
+        try:
+            spark = batch.sparkSession
+            before = [n for n in range(number - 1, -1, -1) if exists(spark, f"{path}/version={n}/_SUCCESS")][:1]
+            rows = batch
+            if before:
+                rows = spark.read.parquet(f"{path}/version={before[0]}").join(batch.select("window_start"), "window_start", "left_anti").unionByName(batch)
+            rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+            for old in range(max(0, number - 2)):
+                remove(spark, f"{path}/version={old}")
+        finally:
+            batch.unpersist()
+
+    query = windowed(events).writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{path}/version={query.lastProgress['batchId']}"
+
+
+def windows_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of the events table, made by a stream."""
     base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
-    # each batch gives the whole result so far, which takes the place of the one before
-    sink = windowed(events).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/result"))
-    sink.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/result").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    rows = spark.read.parquet(keep_windows(events_of(spark, sf_dir), f"{base}/result", f"{base}/checkpoint"))
+    done = cut(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    remove(spark, base)
+    return done
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
