@@ -132,10 +132,13 @@ def first_row_products(quotes: DataFrame) -> DataFrame:
 
 
 def number_documents(products: DataFrame, order: str = "first_row") -> DataFrame:
-    """Adds id, DOC_ and the place in order of first appearance, from 0.
+    """Adds id, DOC_ and the place in order of first appearance, from 0; products whose text or semantic_text is blank are left out.
 
     Places are counted per range of the order and the ranges' sizes added up, so no task sorts all.
     """
+    for name in ("text", "semantic_text"):
+        if name in products.columns:
+            products = products.where(F.trim(F.coalesce(name, F.lit(""))) != "")
     ranges = max(8, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = products.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)])).first()[0]
     splits = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")

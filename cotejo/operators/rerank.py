@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +121,30 @@ def listed_cross(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     known = pairs.select(pair_key(F.col("query"), F.col("doc")).alias("_key"), "score").groupBy("_key").agg(F.max("score").alias("_score"))
     joined = rows.withColumn("_key", pair_key(F.col("query"), F.col("text"))).join(known, "_key", "left")
     return joined.withColumn("cross", F.coalesce("_score", F.lit(0.0))).drop("_key", "_score")
+
+
+class CrossProvider(Protocol):
+    """Anything that scores a query against texts in batches; it is sent to the executors."""
+
+    def score(self, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
+        """A score for each (query, text); None where there is none."""
+
+
+def crossed(rows: DataFrame, provider: CrossProvider, batch: int = 32) -> DataFrame:
+    """Adds cross to (query, text) from a provider; a batch that fails is halved, and a pair that fails by itself has 0."""
+
+    def attempt(pairs: list[tuple[str, str]]) -> list[float]:
+        try:
+            found = provider.score(pairs)
+            if len(found) != len(pairs):
+                raise ValueError(f"{len(found)} scores for {len(pairs)} pairs")
+            return [0.0 if x is None or x != x else float(x) for x in found]
+        except Exception:  # whatever a provider raises
+            return [0.0] if len(pairs) == 1 else attempt(pairs[: len(pairs) // 2]) + attempt(pairs[len(pairs) // 2 :])
+
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        pairs = list(zip(queries.fillna(""), texts.fillna(""), strict=True))
+        return pd.Series([x for at in range(0, len(pairs), batch) for x in attempt(pairs[at : at + batch])], dtype="float64")
+
+    return rows.withColumn("cross", run("query", "text"))

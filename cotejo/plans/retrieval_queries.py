@@ -57,10 +57,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
 
 
-def _bm25_sql(queries: str) -> str:
-    """CTEs ending in scored(query_id, doc_id, score) of queries(query_id, query) over documents."""
+def _bm25_sql(queries: str, documents: str = "documents") -> str:
+    """CTEs ending in scored(query_id, doc_id, score) of queries(query_id, query) over documents(doc_id, text)."""
     return f"""asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({s.bm25_tokens('query')}) AS term FROM {queries}) WHERE length(term) >= 2 GROUP BY query_id, term),
-toks AS MATERIALIZED (SELECT doc_id, {s.bm25_tokens('text')} AS tokens FROM documents),
+toks AS MATERIALIZED (SELECT doc_id, {s.bm25_tokens('text')} AS tokens FROM {documents}),
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM toks),
 postings AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, dl, term),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
@@ -394,17 +394,18 @@ def _confidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("*", (k % 7 * 4.0).alias("s1"), F.least(k % 7 * 4.0, k % 5 * 3.0).alias("s2"), F.greatest(k % 7 * 4.0, F.lit(20.0)).alias("max_score"))
 
 
-def _confidence_sql() -> str:
-    """The phases of the confidence one after the other, as columns."""
-    top = "(query || CASE WHEN query_id % 3 = 0 THEN ' modelo industrial 510' WHEN query_id % 3 = 1 THEN '' ELSE ' x' END)"
+_TOP_TEXT = "(query || CASE WHEN query_id % 3 = 0 THEN ' modelo industrial 510' WHEN query_id % 3 = 1 THEN '' ELSE ' x' END)"
+
+
+def _confidence_steps() -> str:
+    """CTEs from q(query_id, query, top_text, s1, s2, max_score, has_accessories, is_navigation) to levels: the phases one after the other."""
     plain = lambda x: f"regexp_replace({x}, '[/()]', ' ', 'g')"
     longer = lambda x: f"list_filter({s.words(x, chr(92) + 's+')}, lambda w: length(w) > 1)"
     number = "regexp_matches(w, '^\\d+[a-z]*$|^[a-z]*\\d+$')"
     inside = lambda x: f"len(list_filter({x}, lambda w: contains(tt, w)))"
     ratio = lambda a, b, none: f"CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE {none} END"
     runs = lambda k: f"(SELECT count(*) FROM windows w WHERE w.query_id = b.query_id AND w.size = {k} AND w.inside) * {2 * k}"
-    return f"""WITH RECURSIVE q AS (SELECT query_id, query, CASE WHEN query_id % 4 = 3 THEN 'balde ' || string_split({top}, ' ')[-1] ELSE {top} END AS top_text, (query_id % 7 * 4.0)::DOUBLE AS s1, least(query_id % 7 * 4.0, query_id % 5 * 3.0)::DOUBLE AS s2, greatest(query_id % 7 * 4.0, 20.0)::DOUBLE AS max_score FROM {text_queries.MIXED_SQL}),
-n AS (SELECT *, {plain("trim(lower(query))")} AS qn, {plain("lower(top_text)")} AS tt FROM q),
+    return f"""n AS (SELECT *, {plain("trim(lower(query))")} AS qn, {plain("lower(top_text)")} AS tt FROM q),
 w AS (SELECT *, {longer('qn')} AS qw, len({longer('tt')}) AS top_words FROM n),
 b AS MATERIALIZED (SELECT *, len(qw) AS n, list_filter(qw, lambda w: {number}) AS numbers, list_filter(qw, lambda w: NOT {number} AND length(w) >= 4 AND w NOT IN ({', '.join(s.quoted(x) for x in rank.COMMON_WORDS)})) AS keys FROM w),
 chain AS (SELECT query_id, tt, qw, n, 0 AS found, 0 AS spot FROM b UNION ALL
@@ -419,11 +420,15 @@ total AS (SELECT *, coverage * 0.15 + number_ratio * 0.10 + key_ratio * 0.05 + o
   + CASE WHEN coverage >= 0.95 AND order_score > 0.15 THEN 0.05 ELSE 0 END + CASE WHEN len(numbers) > 0 AND NOT missing THEN 0.03 ELSE 0 END + CASE WHEN s1 > 20 THEN 0.02 ELSE 0 END
   - CASE WHEN missing THEN 0.30 * (1.0 - number_ratio) ELSE 0 END - CASE WHEN hit_keys < len(keys) THEN 0.20 * (1.0 - key_ratio) ELSE 0 END - CASE WHEN coverage < 0.5 THEN 0.25 * (0.5 - coverage) / 0.5 ELSE 0 END
   - CASE WHEN n >= 2 AND order_score < 0.05 THEN 0.15 ELSE 0 END - CASE WHEN s1 < 4 THEN 0.20 * (1.0 - s1 / 4) ELSE 0 END - CASE WHEN s1 > 0 AND s2 > 0 AND gap < 0.15 THEN 0.10 ELSE 0 END - CASE WHEN density < 0.3 AND top_words > 10 THEN 0.08 ELSE 0 END AS score FROM o),
-bounded AS (SELECT query_id, round(CASE WHEN max_score <= 0 THEN 0 ELSE least(least(1.0, greatest(0.0, score)), CASE WHEN missing THEN 0.60 ELSE 1.0 END, CASE WHEN coverage < 0.7 THEN 0.65 ELSE 1.0 END, CASE WHEN s1_norm < 0.3 THEN 0.50 ELSE 1.0 END) END, 6)::DOUBLE AS confidence FROM total)
-SELECT query_id, confidence, CASE WHEN confidence >= 0.8 THEN 'alta' WHEN confidence >= 0.6 THEN 'media' ELSE 'baixa' END AS level FROM bounded"""
+bounded AS (SELECT query_id, CASE WHEN max_score <= 0 THEN 0 ELSE least(least(1.0, greatest(0.0, score)), CASE WHEN missing THEN 0.60 ELSE 1.0 END, CASE WHEN coverage < 0.7 THEN 0.65 ELSE 1.0 END, CASE WHEN s1_norm < 0.3 THEN 0.50 ELSE 1.0 END) END - CASE WHEN has_accessories THEN {rank.ACCESSORY_CONFIDENCE} ELSE 0 END AS c, is_navigation FROM total),
+judged AS (SELECT query_id, round(greatest(0.0, c) * CASE WHEN is_navigation THEN {rank.NAV_CONFIDENCE} ELSE 1 END, 6)::DOUBLE AS confidence FROM bounded),
+levels AS (SELECT query_id, confidence, CASE WHEN confidence >= 0.8 THEN 'alta' WHEN confidence >= 0.6 THEN 'media' ELSE 'baixa' END AS level FROM judged)"""
+
 
+_CONFIDENCE_ROWS = f"""q AS (SELECT query_id, query, CASE WHEN query_id % 4 = 3 THEN 'balde ' || string_split({_TOP_TEXT}, ' ')[-1] ELSE {_TOP_TEXT} END AS top_text, (query_id % 7 * 4.0)::DOUBLE AS s1, least(query_id % 7 * 4.0, query_id % 5 * 3.0)::DOUBLE AS s2, greatest(query_id % 7 * 4.0, 20.0)::DOUBLE AS max_score, false AS has_accessories, false AS is_navigation FROM {text_queries.MIXED_SQL})"""
 
-@query("global_confidence", _confidence_sql())
+
+@query("global_confidence", f"WITH RECURSIVE {_CONFIDENCE_ROWS}, {_confidence_steps()} SELECT * FROM levels")
 def global_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.global_confidence(_confidence_rows(spark, sf_dir)).select("query_id", "confidence", "level")
 
@@ -498,7 +503,39 @@ def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("integrated_search")
+def _search_sql(top_k: int = 10) -> str:
+    """The whole search for queries that don't navigate, whose results are not diversified."""
+    t, many = text_queries, rank.CANDIDATES
+    candidates = max(min(max(top_k * many[0], many[1]), many[2]), top_k)
+    known = "(SELECT p_partkey AS doc_id, p_name AS text FROM part)"
+    words = s.words("lower(query)", "\\s+")
+    return f"""WITH RECURSIVE asked0 AS (SELECT query_id, query, {t.ORACLE_SQL['core_query'].split('SELECT query_id, ')[1].rsplit(' AS core FROM ', 1)[0]} AS core, len({t._FOUND}) > 0 AS has_accessories, {t.ORACLE_SQL['query_specificity'].split('SELECT query_id, ')[1].rsplit(' AS specificity FROM ', 1)[0]} AS specificity,
+  {t._INTENT} AS intent, {t._MAIN} AS main, {s.model_numbers('query')} AS models, {t._CANON} AS acc FROM {PART_SQL}),
+looked AS (SELECT query_id, {s.key('core')} AS query FROM asked0),
+seen AS (SELECT p_partkey AS doc_id, unnest({s.bm25_tokens('p_name')}) AS term, unnest(range(len({s.bm25_tokens('p_name')}))) AS pos FROM part),
+vocab AS (SELECT term, min((doc_id, pos)) AS ord FROM seen WHERE length(term) >= 3 GROUP BY term),
+tok AS (SELECT query_id, unnest({words}) AS token, unnest(range(len({words}))) AS pos FROM looked),
+pairs AS (SELECT token, term, ord, levenshtein(token, term) AS d FROM (SELECT DISTINCT token FROM tok WHERE length(token) >= 4 AND token NOT IN (SELECT term FROM vocab)) CROSS JOIN vocab),
+best AS (SELECT token, arg_min(term, (-(1.0 - d / greatest(length(token), length(term))::DOUBLE), ord)) AS term FROM pairs WHERE d <= 2 AND 1.0 - d / greatest(length(token), length(term))::DOUBLE >= 0.75 GROUP BY token),
+fixed AS (SELECT query_id, {s.key("string_agg(coalesce(best.term, tok.token), ' ' ORDER BY pos)")} AS query FROM tok LEFT JOIN best ON best.token = tok.token GROUP BY query_id),
+{_bm25_sql('fixed', known)},
+found AS (SELECT * FROM (SELECT *, {_TOP} AS place FROM scored) WHERE place <= {candidates}),
+docs AS (SELECT doc_id, query AS text, {s.key('query')} AS norm, {t._contains(s.key('query'), t.taxonomy.ACCESSORIES)} AS has_acc, {t._MAIN} AS cat, {s.model_numbers('query')} AS nums FROM (SELECT doc_id, text AS query FROM {known})),
+e AS (SELECT a.*, f.doc_id, f.score, d.* EXCLUDE (doc_id), CASE WHEN has_acc THEN 'ACESSORIO' WHEN cat IS NOT NULL THEN 'EQUIPAMENTO' ELSE 'INDEFINIDO' END AS doc_type, list_has_any(nums, models) AS has_model, f.score / max(f.score) OVER (PARTITION BY f.query_id) AS bm
+  FROM found f JOIN asked0 a ON a.query_id = f.query_id JOIN docs d ON d.doc_id = f.doc_id),
+f AS (SELECT *, round(greatest(0.0, 0.35 * bm + 0.45 * has_model::INT + 0.30 * coalesce(cat = main, false)::INT
+   + CASE WHEN len(acc) > 0 AND doc_type = 'EQUIPAMENTO' THEN least(0.12, 0.04 * len(list_filter(acc, lambda x: contains(norm, x)))) ELSE 0 END
+   - 0.95 * (intent = 'EQUIPAMENTO' AND doc_type = 'ACESSORIO')::INT - 0.55 * (len(models) > 0 AND NOT has_model)::INT), 6)::DOUBLE AS final_score FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS rank FROM f),
+h AS (SELECT *, max(CASE WHEN rank = 1 THEN doc_type END) OVER (PARTITION BY query_id) AS first_type, min(CASE WHEN doc_type = 'EQUIPAMENTO' THEN rank END) OVER (PARTITION BY query_id) AS eq FROM g),
+listed AS (SELECT *, (CASE WHEN intent = 'EQUIPAMENTO' AND first_type = 'ACESSORIO' AND eq IS NOT NULL THEN CASE WHEN rank = eq THEN 1 WHEN rank < eq THEN rank + 1 ELSE rank END ELSE rank END)::INTEGER AS guarded_rank FROM h WHERE rank <= {top_k}),
+shown AS (SELECT *, round(min(least(1.0, exp((final_score - m) / 1.2)) * (0.7 + 0.3 * specificity)) OVER (PARTITION BY query_id ORDER BY rank), 6)::DOUBLE AS item_confidence FROM (SELECT *, max(final_score) OVER (PARTITION BY query_id) AS m FROM listed)),
+q AS (SELECT query_id, any_value(query) AS query, arg_min(text, rank) AS top_text, coalesce(max(score) FILTER (rank = 1), 0.0) AS s1, coalesce(max(score) FILTER (rank = 2), 0.0) AS s2, max(score) AS max_score, bool_or(has_accessories) AS has_accessories, false AS is_navigation FROM shown GROUP BY query_id),
+{_confidence_steps()}
+SELECT query_id, rank::INTEGER AS rank, guarded_rank, doc_id, score, score / max(score) OVER (PARTITION BY query_id) AS score_share, final_score, doc_type, item_confidence AS confidence, levels.confidence AS list_confidence, level FROM shown JOIN levels USING (query_id)"""
+
+
+@query("integrated_search", _search_sql())
 def integrated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(parts(spark, sf_dir), part_queries(spark), SearchConfig(top_k=10))
 

@@ -63,6 +63,16 @@ def diversified(ranked: DataFrame, top_k: int) -> DataFrame:
     return ranked.where((F.col("rank") <= top_k) & ~F.col("navigation")).unionByName(several)
 
 
+def hydrate(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The candidates (query_id, doc_id, more) with the text of their documents.
+
+    A document that the corpus lacks, as where an index is older than it, has its id as text.
+    """
+    here = cut(corpus.select("doc_id", "text").join(small(found), "doc_id"))
+    lost = found.join(here.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("text", F.col("doc_id").cast("string"))
+    return here.unionByName(lost)
+
+
 def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """Results of (query_id, query) on (doc_id, text): rank, scores, confidence of items and of the list.
 
@@ -89,7 +99,7 @@ def search(corpus: DataFrame, queries: DataFrame, config: SearchConfig | None =
     found = lexical.join(small(asked.select("query_id", "candidates")), "query_id")
     found = found.where(F.col("rank") <= F.col("candidates")).select("query_id", "doc_id", "score")
     found = step(config.timings, "retrieve", found)
-    hydrated = corpus.select("doc_id", "text").join(small(found), "doc_id").join(small(asked), "query_id")
+    hydrated = hydrate(found, corpus).join(small(asked), "query_id")
     ranked = rerank.guard_first(rank.keep_best(rerank.rerank(hydrated), "doc_id", "final_score", "score"))
     ranked = diversified(ranked, config.top_k)
     ranked = step(config.timings, "rank", rank.item_confidence(ranked, 0.7 + 0.3 * F.col("specificity")))
@@ -125,7 +135,7 @@ def smart_search(corpus: DataFrame, queries: DataFrame, provider: embed.Embeddin
     normal = docs.select("doc_id", normalize_equipment(F.col("text")).alias("text"))
     found = retrieve.tfidf_hybrid(normal, asked.select("query_id", F.col("norm").alias("query")), SMART_CANDIDATES).select("query_id", "doc_id", F.col("score").alias("tfidf"))
     found = cut(found)
-    rows = docs.join(small(found), "doc_id").join(small(asked), "query_id")
+    rows = hydrate(found, docs).join(small(asked), "query_id")
     vectors = embed.embed(rows.select("doc_id", "text").distinct(), provider).select("doc_id", F.col("embedding").alias("doc_vector"))
     asked_vectors = embed.embed(asked.select("query_id", F.col("norm").alias("text")), provider).select("query_id", F.col("embedding").alias("query_vector"))
     rows = rows.join(vectors, "doc_id").join(small(asked_vectors), "query_id")

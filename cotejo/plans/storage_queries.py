@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import text
-from cotejo.operators import embed, retrieve, shadow, stored
+from cotejo.operators import embed, index, rerank, retrieve, shadow, state, stored
 from cotejo.operators.timing import Timings
 from cotejo.plans import retrieval_queries as r
 from cotejo.plans import sqltext as s
@@ -49,15 +49,15 @@ def _kept(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
 @query("bm25_indexed_topk", r.ORACLE_SQL["bm25_topk"])
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "index")
-    index = stored.build_bm25(r.documents(spark, sf_dir), path)
-    return _kept(spark, path, stored.bm25_top(index, r.doc_queries(spark), 10))
+    made = stored.build_bm25(r.documents(spark, sf_dir), path)
+    return _kept(spark, path, stored.bm25_top(made, r.doc_queries(spark), 10))
 
 
 @query("tfidf_indexed_topk", r.ORACLE_SQL["tfidf_word_topk"])
 def tfidf_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "index")
-    index = stored.build_tfidf(r.parts(spark, sf_dir), path, text.word_ngrams, "words")
-    return _kept(spark, path, stored.tfidf_top(index, r.part_queries(spark), text.word_ngrams, 10))
+    made = stored.build_tfidf(r.parts(spark, sf_dir), path, text.word_ngrams, "words")
+    return _kept(spark, path, stored.tfidf_top(made, r.part_queries(spark), text.word_ngrams, 10))
 
 
 _TOKENS = s.bm25_tokens("text")
@@ -70,12 +70,12 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an index holds that was saved, checked and loaded again."""
     path, corpus = _folder(spark, "index"), r.documents(spark, sf_dir)
     stored.build_bm25(corpus, path)
-    index = stored.load(spark, path)
-    if index is None or stored.is_stale(index, corpus):
+    made = stored.load(spark, path)
+    if made is None or stored.is_stale(made, corpus):
         raise RuntimeError("a fresh index is not what its manifest says")
     sizes = [
-        ("docs", index.docs.agg(F.count("*"))), ("postings", index.blocks.agg(F.sum("n"))), ("terms", index.terms.agg(F.count("*"))),
-        ("most documents of a term", index.terms.agg(F.max("df"))), ("vocabulary", index.vocabulary.agg(F.count("*"))),
+        ("docs", made.docs.agg(F.count("*"))), ("postings", made.blocks.agg(F.sum("n"))), ("terms", made.terms.agg(F.count("*"))),
+        ("most documents of a term", made.terms.agg(F.max("df"))), ("vocabulary", made.vocabulary.agg(F.count("*"))),
     ]
     out = None
     for name, df in sizes:
@@ -84,12 +84,12 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, path, out)
 
 
-@query("indexed_search")
+@query("indexed_search", r.ORACLE_SQL["integrated_search"])
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of integrated_search, with an index in the texts' place."""
     path, corpus = _folder(spark, "index"), r.parts(spark, sf_dir)
-    index = stored.build_bm25(corpus, path)
-    return _kept(spark, path, search(corpus, r.part_queries(spark), SearchConfig(top_k=10, index=index)))
+    config = SearchConfig(top_k=10, index=stored.build_bm25(corpus, path))
+    return _kept(spark, path, search(corpus, r.part_queries(spark), config))
 
 
 @query("search_timings")
@@ -248,6 +248,67 @@ def _one_each(spark: SparkSession, path: str) -> DataFrame:
     return tables.normalize_corpus(raw.select(F.explode("corpus").alias("d")).select("d.*") if "corpus" in raw.columns else raw)
 
 
+@query("favourites_round_trip", """SELECT p_name AS name, p_type AS description, CASE WHEN p_size % 4 = 0 THEN 'N/A' ELSE p_retailprice::DECIMAL(12, 2)::VARCHAR END AS price, 'N/A' AS brand, (p_size % 11 * 10)::VARCHAR AS confidence FROM part""")
+def favourites_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourites as a spreadsheet reads them: a byte order mark, whole percentages, N/A for what is missing."""
+    path, p = _folder(spark, "favourites"), table(spark, sf_dir, "part")
+    price = F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice").cast("decimal(12,2)"))
+    none = F.lit(None).cast("string")
+    rows = p.select(F.col("p_name").alias("name"), F.col("p_type").alias("description"), price.alias("price"), none.alias("life_months"), none.alias("maintenance"), (F.col("p_size") % 11 / 10).alias("confidence"), none.alias("brand"))
+    tables.write_favourites(rows, path)
+    back = {old: new for old, new in tables.FAVOURITES.items() if new in ("name", "description", "price", "brand", "confidence")}
+    return _kept(spark, path, tables.read_quotes(spark, path, back).drop("row_idx"))
+
+
+@query("cart_figures", "SELECT count(*)::BIGINT AS lines, sum(l_quantity)::BIGINT AS units, round(sum(l_extendedprice * l_quantity), 2) AS value, round(sum(l_extendedprice * l_quantity) / sum(l_quantity)::BIGINT, 2) AS mean_price FROM lineitem")
+def cart_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.cart_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+
+
+_EXTRA = ["Esfregão", "WIDGET", "", "zzz"]
+
+
+@query("vocabulary_appended", f"""WITH seen AS (SELECT p_partkey AS doc_id, unnest({s.bm25_tokens('p_name')}) AS term, unnest(range(len({s.bm25_tokens('p_name')}))) AS pos FROM part),
+vocab AS (SELECT term, min((doc_id, pos)) AS ord FROM seen WHERE length(term) >= 3 GROUP BY term)
+SELECT term, false AS added FROM vocab UNION ALL SELECT DISTINCT lower(x), true FROM (SELECT unnest({s.listed(_EXTRA)}) AS x) WHERE x <> '' AND lower(x) NOT IN (SELECT term FROM vocab)""")
+def vocabulary_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary that was stored and loaded, with more terms behind its own."""
+    path = _folder(spark, "vocabulary")
+    index.save_vocabulary(index.vocabulary(r.parts(spark, sf_dir)), path)
+    more = spark.createDataFrame([(x,) for x in _EXTRA], "term string")
+    rows = index.with_terms(index.load_vocabulary(spark, path), more)
+    return _kept(spark, path, rows.select("term", (F.col("ord.doc_id") == 1 << 62).alias("added")))
+
+
+@query("abbreviations_round_trip", f"SELECT kind, count(*)::BIGINT AS n FROM ({r.ORACLE_SQL['abbrev_compile']}) GROUP BY kind")
+def abbreviations_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compiled dictionary, stored as one JSON object as searches load it."""
+    path = _folder(spark, "abbreviations")
+    compiled = r.QUERIES["abbrev_compile"](spark, sf_dir).select(F.col("kind").alias("k"), F.struct("key", "value").alias("e"))
+    maps = [F.collect_list(F.when(F.col("k") == kind, F.col("e"))).alias(kind) for kind in ("exact", "token", "expand")]
+    compiled.agg(*maps).coalesce(1).write.json(path)
+    known = tables.read_abbreviations(spark, path)
+    remove(spark, path)
+    return spark.createDataFrame([(kind, len(entries)) for kind, entries in (known or {}).items() if entries], "kind string, n long")
+
+
+@query("listed_cross", "SELECT a.p_partkey, coalesce(b.score, 0.0)::DOUBLE AS score FROM part a LEFT JOIN (SELECT lower(p_name) AS n, max(p_size / 50.0) AS score FROM part WHERE p_size % 2 = 0 GROUP BY 1) b ON lower(a.p_name) = b.n")
+def listed_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross scores that are known for pairs of texts, found by the normalised pair."""
+    p = table(spark, sf_dir, "part")
+    pairs = p.where("p_size % 2 = 0").select(F.lit("  MOP ").alias("query"), F.upper("p_name").alias("doc"), (F.col("p_size") / 50.0).alias("score"))
+    rows = rerank.listed_cross(p.select("p_partkey", F.lit(" mop").alias("query"), F.col("p_name").alias("text")), pairs)
+    return rows.select("p_partkey", F.col("cross").cast("double").alias("score"))
+
+
+@query("grouped_by_confidence", """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC NULLS LAST, doc_id)::INTEGER AS rank
+FROM (SELECT l_orderkey AS query_id, l_partkey * 10 + l_linenumber AS doc_id, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity / 50.0 END AS confidence FROM lineitem)""")
+def grouped_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a batch of queries, ranked anew within each."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity") / 50.0).alias("confidence"))
+    return state.ranked_by_confidence(rows).select("query_id", "doc_id", "rank")
+
+
 @query("embedding_resumed", "SELECT p_partkey AS doc_id, true AS there, 'StandIn' AS provider FROM part")
 def embedding_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job over one half of the products, then over all of them: the second embeds only what is missing."""

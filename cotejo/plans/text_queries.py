@@ -240,6 +240,25 @@ _over("simple_attributes", "part", "p_partkey", lambda: {
     "merged_rpm": _measure(_TEXT_SQL, "rpm"),
 })
 
+_POWERED = [" gas", " com tomada", " corded lithium", "", " eletrico 220v"]
+
+
+def _powered() -> Column:
+    return F.concat(F.regexp_replace(_text(), " bateria$", ""), F.element_at(F.array(*map(F.lit, _POWERED)), (F.col("p_partkey") % 5 + 1).cast("int")))
+
+
+_POWERED_SQL = f"(regexp_replace({_TEXT_SQL}, ' bateria$', '') || ({s.listed(_POWERED)})[p_partkey % 5 + 1])"
+_MERGED = ["voltagem", "tamanho_m", "capacity_l", "pressure_bar", "diameter_mm", "voltage_v", "is_bivolt", "rpm", "power_source"]
+QUERIES["merged_attributes"] = lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", attributes.merged_attributes(_powered()).alias("a")).select("p_partkey", *[F.round(f"a.{n}", 6).alias(n) if n in ("tamanho_m", "capacity_l", "pressure_bar", "diameter_mm", "rpm") else F.col(f"a.{n}").alias(n) for n in _MERGED])
+_KINDS = " ".join(f"WHEN {' OR '.join(f'contains(g, {s.quoted(w)})' for w in terms)} THEN '{name}'" for name, terms in attributes.POWER.items())
+ORACLE_SQL["merged_attributes"] = f"""WITH t AS (SELECT p_partkey, x, {s.general('x')} AS g FROM (SELECT p_partkey, {_POWERED_SQL} AS x FROM part))
+SELECT p_partkey, nullif(regexp_extract(g, '(\\b110\\b|\\b127\\b|\\b220\\b|bivolt)', 1), '') AS voltagem,
+  round(TRY_CAST(replace(regexp_extract(g, '(\\d+[.,]?\\d*)\\s*(mm|cm|m)', 1), ',', '.') AS DOUBLE) / CASE regexp_extract(g, '(\\d+[.,]?\\d*)\\s*(mm|cm|m)', 2) WHEN 'mm' THEN 1000 WHEN 'cm' THEN 100 ELSE 1 END, 6) AS tamanho_m,
+  round(coalesce({_measure('x', 'l|litros?|liter|liters?')}, {_measure('x', 'gal|gallon|gallons')} * 3.78541), 6) AS capacity_l,
+  round(coalesce({_measure('x', 'psi')} * 0.0689476, {_measure('x', 'bar')}), 6) AS pressure_bar, round(coalesce({_measure('x', 'in|inch|inches')} * 25.4, {_measure('x', 'mm')}), 6) AS diameter_mm,
+  TRY_CAST(regexp_extract({_VOLTS.format(x='x')}, '^\\d+') AS INTEGER) AS voltage_v, {_VOLTS.format(x='x')} = 'bivolt' AS is_bivolt, round({_measure('x', 'rpm')}, 6) AS rpm, CASE {_KINDS} END AS power_source FROM t"""
+
+
 def _boost() -> Column:
     return attributes.numeric_boost(attributes.full_attributes(F.lit("20 litros 220v 1800 rpm")), attributes.full_attributes(F.concat(F.col("p_size"), F.lit(" litros 220v "), F.col("p_size") * 50, F.lit(" rpm"))))
 

@@ -23,19 +23,6 @@ def read_quotes(spark: SparkSession, path: str, columns: dict[str, str]) -> Data
     return raw.select(F.monotonically_increasing_id().alias("row_idx"), *named)
 
 
-def read_excel(spark: SparkSession, path: str, columns: dict[str, str], sheet: str | None = None) -> DataFrame:
-    """Quote rows of an Excel sheet, the first if the named one is missing; needs openpyxl."""
-    try:
-        import openpyxl
-    except ModuleNotFoundError as missing:
-        raise RuntimeError("reading .xlsx needs openpyxl; save the sheet as CSV and use read_quotes") from missing
-    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
-    rows = list(book[sheet if sheet in book.sheetnames else book.sheetnames[0]].iter_rows(values_only=True))
-    header = [str(h) for h in rows[0]]
-    data = [(k, *[None if header.count(old) == 0 or r[header.index(old)] is None else str(r[header.index(old)]) for old in columns]) for k, r in enumerate(rows[1:])]
-    return spark.createDataFrame(data, T.StructType([T.StructField("row_idx", T.LongType()), *[T.StructField(c, T.StringType()) for c in columns.values()]]))
-
-
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A JSON corpus in any of its shapes: an array of documents, {metadata, corpus}, or that in an array."""
     raw = spark.read.option("multiLine", True).json(path)

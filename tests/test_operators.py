@@ -383,3 +383,37 @@ def test_embedding_search_is_that_of_brute_force(spark, sf_dir):
     got = [(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in catalog.queries()["embedding_search"](spark, sf_dir).collect()]
     assert [g[:2] + g[3:] for g in sorted(got)] == [e[:2] + e[3:] for e in sorted(expected)]
     assert max(abs(g[2] - e[2]) for g, e in zip(sorted(got), sorted(expected), strict=True)) < 2e-6
+
+
+def test_smart_search_is_that_of_brute_force(spark, sf_dir):
+    """Every row of smart_search: candidates from the hybrid, the rest computed anew."""
+    from cotejo.functions import attributes, domain
+    from cotejo.functions.text import normalize_equipment
+    from cotejo.plans import retrieval_queries as q
+
+    corpus, asked = q.parts(spark, sf_dir), q.part_queries(spark).withColumn("norm", normalize_equipment(F.col("query")))
+    found = retrieve.tfidf_hybrid(corpus.select("doc_id", normalize_equipment(F.col("text")).alias("text")), asked.select("query_id", F.col("norm").alias("query")), 50)
+    rows = found.select("query_id", "doc_id", F.col("score").alias("tfidf")).join(corpus, "doc_id").join(asked, "query_id")
+    rows = rows.withColumn("domain", domain.domain_score(domain.classify(F.col("query")), domain.classify(F.col("text"))))
+    rows = rows.withColumn("numeric", attributes.numeric_boost(attributes.full_attributes(F.col("query")), attributes.full_attributes(F.col("text"))))
+    vector = lambda text: embed.StandIn(32).embed([text])[0]
+    expected = set()
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r["query_id"], []).append(r.asDict())
+    for query_id, listed in groups.items():
+        for r in listed:
+            r["semantic"] = float(vector(r["norm"]) @ vector(r["text"]))
+            wanted, there = r["query"].lower().split(), r["text"].lower().split()
+            hits = sum(w in there for w in wanted)
+            r["cross"] = 2 * hits / (len(there) + len(wanted)) if hits else 0.0
+        gate = max(r["semantic"] for r in listed) < 0.75
+        top = sorted(listed, key=lambda r: (-r["semantic"], r["doc_id"]))[:20] if gate else []
+        low, high = (min(r["cross"] for r in top), max(r["cross"] for r in top)) if top else (0, 0)
+        for r in listed:
+            r["cross_norm"] = (0.5 if high - low < 1e-9 else (r["cross"] - low) / (high - low)) if r in top else 0.0
+            r["score"] = round(0.25 * r["tfidf"] + 0.40 * r["semantic"] + 0.20 * r["cross_norm"] + 0.15 * r["domain"], 6)
+        expected |= {(query_id, k, r["doc_id"], r["score"]) for k, r in enumerate(sorted(listed, key=lambda r: (-r["score"], r["doc_id"]))[:10], 1)}
+    got = {(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in q.smart(spark, sf_dir).collect()}
+    assert {g[:3] for g in got} == {e[:3] for e in expected}
+    assert {g[:3]: g[3] for g in got} == pytest.approx({e[:3]: e[3] for e in expected}, abs=2e-6)

@@ -100,6 +100,48 @@ def test_search_with_an_index_gives_the_same(spark, sf_dir, tmp_path):
     assert sum(x["ms"] for x in steps.values()) < wall and steps["correct"]["rows"] == len(r.PART_QUERIES) and steps["confidence"]["rows"] == len(got)
 
 
+def test_a_candidate_without_document_has_its_id_as_text(spark):
+    from cotejo.plans.search import hydrate
+
+    corpus = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    found = spark.createDataFrame([(7, 1, 0.5), (7, 9, 0.4), (8, 1, 0.3)], "query_id int, doc_id long, score double")
+    got = {(x["query_id"], x["doc_id"]): (x["text"], x["score"]) for x in hydrate(found, corpus).collect()}
+    assert got == {(7, 1): ("one", 0.5), (7, 9): ("9", 0.4), (8, 1): ("one", 0.3)}
+
+
+def test_cross_scores_of_a_provider(spark):
+    from cotejo.operators import rerank
+
+    class Lengths:
+        def score(self, pairs):
+            if any(text == "bad" for _, text in pairs):
+                raise RuntimeError("down")
+            return [None if not text else float(len(query) + len(text)) for query, text in pairs]
+
+    rows = spark.createDataFrame([("q", t) for t in ["a", "bad", "bcd", "", None, "abcdef"]], "query string, text string").coalesce(1)
+    assert [x["cross"] for x in rerank.crossed(rows, Lengths(), batch=4).collect()] == [2.0, 0.0, 4.0, 0.0, 0.0, 7.0]
+
+
+def test_products_without_text_get_no_number(spark):
+    from cotejo.operators import aggregate
+
+    rows = spark.createDataFrame([(3, "a", "A"), (1, " ", "B"), (2, "c", None), (5, "d", "D")], "first_row long, text string, semantic_text string")
+    assert {x["text"]: x["id"] for x in aggregate.number_documents(rows).collect()} == {"a": "DOC_00000", "d": "DOC_00001"}
+
+
+@pytest.mark.parametrize("most", [100_000, 20, 3])
+def test_medians_do_not_depend_on_how_values_are_cut(spark, most):
+    import statistics
+
+    from cotejo.operators import aggregate
+
+    random.seed(9)
+    rows = [(key, random.choice([round(random.gauss(100, 10), 3), 7.0, float(random.randrange(300))])) for key, n in (("a", 900), ("b", 701), ("c", 4), (None, 300)) for _ in range(n)]
+    expected = {k: statistics.median([v for key, v in rows if key == k]) for k in ("a", "b", "c", None)}
+    df = spark.createDataFrame([*rows, ("d", None)], "k string, value double")
+    assert {x["k"]: x["median"] for x in aggregate.medians(df, "k", most=most).collect()} == expected
+
+
 def test_timings_ignore_what_was_not_started(spark):
     timings = Timings()
     timings.end("never")
