@@ -253,3 +253,16 @@ def is_valid(x: Column, numeric: bool = False) -> Column:
     if numeric:
         return x.isNotNull() & ~F.isnan(x)
     return x.isNotNull() & (F.trim(x) != "")
+
+
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a list of tokens, made inside the row by sorting it; null tokens don't count."""
+
+    def runs(ordered: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))), new)
+        tf = lambda s: F.transform(s, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(ordered)) - i).alias("tf")))
+        return F.transform(F.array(starts), tf)[0]
+
+    listed = F.transform(F.array(F.sort_array(tokens)), runs)[0]
+    return F.filter(listed, lambda x: x["term"].isNotNull())

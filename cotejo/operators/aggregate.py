@@ -30,7 +30,7 @@ def medians(values: DataFrame, *keys: str, most: int = MEDIAN_VALUES) -> DataFra
     range that holds the middle is kept, again and again until it is small. So no task ranks more
     than ``most`` values, however many a key has.
     """
-    counted = values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    counted = cut(values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c")))
     sizes = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("m"))
     hot = cut(sizes.where(F.col("m") > most).select(*keys, "n"))
     none = F.lit(0).cast("long").alias("below")

@@ -113,13 +113,29 @@ def is_stale(index: Index, corpus: DataFrame) -> bool:
     return index.docs.count() != corpus.count()
 
 
-def tfidf(corpus: DataFrame, grams: Column) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, w) with vectors of length 1, and (term, idf): ln((n + 1) / (df + 1)) + 1."""
-    exploded = corpus.select("doc_id", F.explode(grams).alias("term"))
-    counts = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+@dataclass
+class Weights:
+    """A corpus' terms by document: counts (doc_id, term, tf), terms (term, idf) and norms (doc_id, norm)."""
+
+    counts: DataFrame
+    idf: DataFrame
+    norms: DataFrame
+
+    def vectors(self, terms: DataFrame | None = None) -> DataFrame:
+        """(doc_id, term, w) of vectors of length 1; of the given terms (column term, few) only."""
+        counts = self.counts if terms is None else self.counts.join(small(terms.select("term").distinct()), "term", "left_semi")
+        raw = counts.join(self.idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+        return raw.join(self.norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+
+
+def tfidf(corpus: DataFrame, grams: Column) -> Weights:
+    """TF-IDF of (doc_id, ...; ids without repeats) over the terms that ``grams`` makes: idf is ln((n + 1) / (df + 1)) + 1.
+
+    A document's terms are counted in its own row, so only terms and lengths are shuffled, and vectors are
+    made for the terms that somebody asks for.
+    """
+    counts = corpus.select("doc_id", F.explode(t.counted(grams)).alias("e")).select("doc_id", "e.term", "e.tf")
     n = corpus.agg(F.count("*").alias("n"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    vectors = raw.join(norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
-    return vectors, idf
+    raw = counts.join(idf, "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("raw"))
+    return Weights(counts, idf, raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")))

@@ -21,6 +21,8 @@ from cotejo.session import cut
 DIGITS = 6
 #: Vectors that a dense search takes as queries in one block.
 MOST_QUERIES = 4_096
+#: Most terms of a batch that are named in an expression; more are joined.
+LISTED = 1_000
 #: Vectors of a block of the grid, and of one matrix product in it.
 CELL_VECTORS, SLICE = 16_384, 2_048
 # Weights of the hybrid lexical score and its penalties.
@@ -37,17 +39,21 @@ def top_k(scored: DataFrame, k: int | Column, *ties: str, by: str = "score", gro
 def bm25(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, min_token: int = MIN_TOKEN) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a term of a query.
 
-    Reads each text once: lengths and the counts of the queries' own terms are all that leaves the
-    scan. A term that a query repeats counts as often; terms below the least length match nothing.
+    Of a text only its length and the counts of the queries' own terms leave its row, if they are few enough
+    to be named there. Ids are without repeats. A term that a query repeats counts as often; terms
+    below the least length match nothing.
     """
     asked = queries.select("query_id", F.explode(t.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = asked.where(F.length("term") >= min_token)
-    tokens = corpus.select("doc_id", t.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
-    hits = tokens.select("doc_id", "doc_len", F.explode("tokens").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    postings = hits.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    asked = cut(asked)
+    wanted_terms = [r["term"] for r in asked.select("term").distinct().limit(LISTED + 1).collect()]
+    tokens = corpus.select("doc_id", t.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    lengths = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    own = F.filter("tokens", lambda w: w.isin(wanted_terms)) if len(wanted_terms) <= LISTED else F.col("tokens")
+    hits = tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode(t.counted(own)).alias("e")).select("doc_id", "doc_len", "e.term", "e.tf")
+    postings = hits if len(wanted_terms) <= LISTED else hits.join(small(asked.select("term").distinct()), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    idf = df.crossJoin(F.broadcast(lengths)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     wanted = asked.join(idf, "term")
     matched = postings.join(as_small_as(wanted, asked), "term")
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / F.col("avgdl")))
@@ -73,10 +79,9 @@ def query_vectors(queries: DataFrame, grams: Column, idf: DataFrame) -> DataFram
 
 def tfidf_scores(corpus: DataFrame, queries: DataFrame, grams) -> DataFrame:
     """(query_id, doc_id, score): cosine of TF-IDF vectors; ``grams`` makes the terms of a text column."""
-    vectors, idf = tfidf(corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), grams(F.col("text")))
-    asked = query_vectors(queries, grams(F.col("query")), idf)
-    terms = queries.select("query_id", F.explode(grams(F.col("query"))).alias("term"))
-    return vectors.join(as_small_as(asked, terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
+    weights = tfidf(corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), grams(F.col("text")))
+    asked = cut(query_vectors(queries, grams(F.col("query")), weights.idf))
+    return weights.vectors(asked).join(as_small_as(asked, asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
 
 
 def tfidf_top(corpus: DataFrame, queries: DataFrame, grams, k: int, min_score: float = 0.0) -> DataFrame:

@@ -55,19 +55,6 @@ class Stored:
     meta: dict
 
 
-def counted(tokens: Column) -> Column:
-    """array<struct<term, tf>> of a list of tokens, made inside the row by sorting it."""
-
-    def runs(ordered: Column) -> Column:
-        new = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))), new)
-        tf = lambda s: F.transform(s, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(ordered)) - i).alias("tf")))
-        return F.transform(F.array(starts), tf)[0]
-
-    listed = F.transform(F.array(F.sort_array(tokens)), runs)[0]
-    return F.filter(listed, lambda x: x["term"].isNotNull())
-
-
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -135,7 +122,7 @@ def _prepared(corpus: DataFrame, tokens: Column, path: str, segment: int) -> tup
     length = F.size("tokens").cast("long").alias("doc_len")
     listed.select("doc_id", length).write.mode("overwrite").parquet(f"{path}/docs")
     docs = corpus.sparkSession.read.parquet(f"{path}/docs")
-    found = listed.select("doc_id", length, F.explode(counted(F.col("tokens"))).alias("e")).select("doc_id", "doc_len", "e.term", "e.tf")
+    found = listed.select("doc_id", length, F.explode(t.counted(F.col("tokens"))).alias("e")).select("doc_id", "doc_len", "e.term", "e.tf")
     return docs, found, _segments(docs, segment)
 
 

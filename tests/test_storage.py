@@ -33,7 +33,7 @@ def corpus_of(spark, count=400):
 
 def test_counted_terms_are_those_of_a_counter(spark):
     rows = spark.createDataFrame([(1, ["b", "a", "b", "b", ""]), (2, []), (3, None), (4, ["x"])], "k int, tokens array<string>")
-    got = {x["k"]: {e["term"]: e["tf"] for e in x["c"] or []} for x in rows.select("k", stored.counted(F.col("tokens")).alias("c")).collect()}
+    got = {x["k"]: {e["term"]: e["tf"] for e in x["c"] or []} for x in rows.select("k", text.counted(F.col("tokens")).alias("c")).collect()}
     assert got == {1: {"a": 1, "b": 3, "": 1}, 2: {}, 3: {}, 4: {"x": 1}}
 
 
