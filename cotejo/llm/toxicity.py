@@ -50,15 +50,17 @@ INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown worthl
 THREATS = "kill hurt destroy beat shoot stab attack murder burn töten tuer matar".split()
 TARGETS = "you your you're u he she they him her them his their tu vous toi te du dich ihr sie usted ustedes él ella".split()
 NEGATIONS = "not no never isn't aren't wasn't don't didn't without nicht kein keine nie ne pas jamais nunca".split()
+#: After these, and after a comma, a negation holds no longer; "not only" denies nothing.
+BREAKS = "but however only aber doch sondern nur mais seulement pero sino solo".split()
 REPORTS = "said says say called calls claimed claims wrote quoted reported allegedly sagte sagt dit dijo".split()
 #: Weight of a listed insult that no label speaks for or against.
 DEFAULT_WEIGHT = 4.0
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|,")
 CLAUSE_ENDS = ".!?;:|\n"
 CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 
-TAGS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R", "other": "o"}
+TAGS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R", "break": "B", "other": "o"}
 
 
 @dataclass(frozen=True)
@@ -72,9 +74,9 @@ class Transducer:
         return self.arcs.get((state, tag), state)
 
 
-# Each watches one thing. A negation or a reporting verb holds for the words after it in the
-# clause; a negation is used up by the insult or the threat it scopes over.
-NEGATION = Transducer("affirmed", {("affirmed", "N"): "denied", ("denied", "N"): "affirmed", ("denied", "I"): "affirmed", ("denied", "H"): "affirmed"})
+# Each watches one thing. A reporting verb holds for the words after it in the clause, a negation
+# up to a comma or a conjunction; it is used up by the insult or the threat it scopes over.
+NEGATION = Transducer("affirmed", {("affirmed", "N"): "denied", ("denied", "N"): "affirmed", ("denied", "I"): "affirmed", ("denied", "H"): "affirmed", ("denied", "B"): "affirmed"})
 REPORTED = Transducer("direct", {("direct", "R"): "quoting"})
 TARGET = Transducer("none", {("none", "T"): "seen"})
 THREAT = Transducer("calm", {("calm", "H"): "threatened"})
@@ -135,7 +137,7 @@ class Grammar:
         return {"lexicon": self.lexicon, "coefficients": self.coefficients, "choice": self.choice, "_automaton": None}
 
 
-_GENERAL = {**{w: "H" for w in THREATS}, **{w: "T" for w in TARGETS}, **{w: "N" for w in NEGATIONS}, **{w: "R" for w in REPORTS}}
+_GENERAL = {**{w: "H" for w in THREATS}, **{w: "T" for w in TARGETS}, **{w: "N" for w in NEGATIONS}, **{w: "R" for w in REPORTS}, **{w: "B" for w in (",", *BREAKS)}}
 
 
 def clause_outputs(clause: str, grammar: Grammar) -> dict[str, float]:
@@ -231,7 +233,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text, toxic, part in zip(batch["text"], batch["toxic"], batch["fold"], strict=True):
-            words = set(WORD.findall(text.lower()))
+            words = set(WORD.findall(text.lower())) - {","}
             entries = {w for w in words if len(w) > 2}
             for k in PREFIXES:
                 entries |= {f"{w[:k]}*" for w in words if len(w) > k}

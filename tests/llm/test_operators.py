@@ -77,6 +77,8 @@ def test_toxicity_grammar_knows_negation_and_report():
     assert out("you are not an idiot") == {"negated": 5}
     assert out("she said idiot") == {"reported": 5}
     assert out("i will kill you") == {"threat": 1}
+    assert out("no way, you are an idiot") == out("she never lies, you idiot") == out("not only are you an idiot") == out("not you but an idiot") == {"plain": 5, "targeted": 5}
+    assert out("she said, you idiot") == {"reported": 5}
     assert out("i will not kill you") == out("he said they kill you") == {"averted": 1}
     assert out("kill the process") == {}
     assert out("le vequta") == {"plain": 4}
@@ -116,6 +118,8 @@ def clause_reader(text, lexicon):
                 denied = not denied
             elif word in toxicity.REPORTS:
                 quoting = True
+            elif word == "," or word in toxicity.BREAKS:
+                denied = False
         best = [max(a, b) for a, b in zip(best, [plain, negated, reported, seen * plain, seen * threat, seen * averted], strict=True)]
         total += plain
     return [1.0, math.log1p(total), *map(math.log1p, best)]
