@@ -35,9 +35,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, text_size: Column) -> Column:
-    """A draw in (0, 1) from the id, the same in every run: 52 bits of an MD5."""
-    name = F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), text_size.cast("string"))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A draw in (0, 1) from the id and the text, the same in every run: 52 bits of an MD5."""
+    name = F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
     return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -81,8 +81,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def drawn(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, size, chars, quality and key, the exponential one, of each row; and the columns named."""
     size = size_of(F.col("text"))
-    sized = docs.select(*more, "doc_id", "source", size.alias("size"), quality_of(F.col("text"), size).alias("quality"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    return sized.select(*more, "doc_id", "source", "size", "chars", "quality", (-F.log(uniform(F.col("doc_id"), F.col("size"))) / F.col("quality")).alias("key"))
+    sized = docs.select(*more, "doc_id", "source", size.alias("size"), quality_of(F.col("text"), size).alias("quality"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), uniform(F.col("doc_id"), F.col("text")).alias("draw"))
+    return sized.select(*more, "doc_id", "source", "size", "chars", "quality", (-F.log(F.col("draw")) / F.col("quality")).alias("key"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, slice_rows: int = SLICE_ROWS, keep_keys: bool = False) -> DataFrame:
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
     taken counts words with repeats. A null or wordless text has size 0 and nothing is taken of it.
     A null source is a source of its own, the last. Ties of keys go by id and size; repeated rows
-    draw the same key, stand next to each other and each count for themselves. An empty table
+    draw the same key, stand next to each other and each count for themselves; rows without an id draw by
+    their texts, so they are spread like any others. An empty table
     gives no rows; other columns are ignored.
     """
     keyed = cut(drawn(docs))

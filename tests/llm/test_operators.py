@@ -392,6 +392,13 @@ def test_mixing_takes_rows_in_order_of_their_keys(spark, sf_dir):
             rest -= r["size"]
 
 
+def test_rows_without_id_draw_keys_of_their_own(spark):
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b c word"), "id").alias("text"), F.lit("s").alias("source"))
+    assert mixing.drawn(docs).select("key").distinct().count() == 40_000
+    rows = mixing.mix(docs, slice_rows=1000)
+    assert rows.agg(F.sum("taken")).first()[0] == 160_000
+
+
 def test_resampled_rows_hold_the_words_taken(spark, sf_dir):
     docs = documents(spark, sf_dir)
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).where("taken > 0").collect()}
