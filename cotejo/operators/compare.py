@@ -53,11 +53,14 @@ def macro(evaluated: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All nodes that the start nodes lead to over (a, b), breadth first; each round adds a distance."""
-    edges = edges.distinct()
+    """All nodes that the start nodes lead to over (a, b), breadth first; each round adds a distance.
+
+    A round writes the nodes that are new in it, and none of those before.
+    """
+    edges = cut(edges.distinct())
     seen = fresh = cut(start.select("node").distinct())
     while True:
-        found = cut(fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if found.isEmpty():
+        fresh = cut(fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if fresh.isEmpty():
             return seen
-        seen, fresh = cut(seen.union(found)), found
+        seen = seen.union(fresh)

@@ -16,13 +16,15 @@ from cotejo.functions import text as t
 # Parameters of the lexical score.
 K1, B, MIN_TOKEN = 1.5, 0.75, 2
 FORMAT_VERSION = 1
-#: Most rows that are broadcast; larger sides are joined by shuffling.
-BROADCAST_ROWS = 50_000
+#: Most rows that are broadcast, and most characters in them; larger sides are joined by shuffling.
+BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The same rows, to be broadcast if there are few of them, which is counted first."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The same rows, to be broadcast if they are few and short, which is counted first."""
+    size = F.coalesce(F.sum(F.length(F.struct("*").cast("string"))), F.lit(0))
+    rows, length = df.limit(most + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= most and length <= chars else df
 
 
 def as_small_as(df: DataFrame, bound: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -142,6 +142,23 @@ def test_medians_do_not_depend_on_how_values_are_cut(spark, most):
     assert {x["k"]: x["median"] for x in aggregate.medians(df, "k", most=most).collect()} == expected
 
 
+def test_wide_rows_are_not_broadcast(spark):
+    from cotejo.operators.index import small
+
+    rows = spark.createDataFrame([(1, "x" * 1000, [1.0, 2.0]), (2, None, None)], "k long, text string, v array<double>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(rows)) and hinted(small(rows.limit(0))) and not hinted(small(rows, chars=500)) and not hinted(small(rows, most=1))
+
+
+def test_every_text_of_the_embedding_query_has_its_vector(spark, sf_dir):
+    from cotejo.plans import catalog
+
+    rows = catalog.queries()["embedding_job"](spark, sf_dir).collect()
+    assert len(rows) == r.parts(spark, sf_dir).count()
+    for x in rows:
+        assert x["embedding"] == pytest.approx(embed.StandIn(16).embed([x["text"]])[0].tolist(), abs=1e-9)
+
+
 def test_timings_ignore_what_was_not_started(spark):
     timings = Timings()
     timings.end("never")
