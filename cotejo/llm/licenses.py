@@ -66,7 +66,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain under the Unlicense."],
-    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted under this license"],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Proprietary": ["Copyright. All rights reserved. Proprietary and confidential."],
 }
 SPDX = re.compile(rb"spdx-license-identifier:\s*([\w.+-]+)", re.I)
@@ -117,11 +117,12 @@ class Matcher:
                 vector = {t: k * self.idf[t] for t, k in Counter(terms_of(passage.encode())).items()}
                 norm = sqrt(sum(w * w for w in vector.values()))
                 self.templates.append((name, {t: w / norm for t, w in vector.items()}))
-        # a passage that has none of a template's heaviest terms is no nearer to it than the length of the rest
+        # a passage that has none of some terms of a template is no nearer to it than the length of the rest; the
+        # rarest terms are taken, since those keep the most texts out
         needed: set[bytes] = set()
         for _, template in self.templates:
             rest = 1.0
-            for term in sorted(template, key=lambda t: (-template[t], t)):
+            for term in sorted(template, key=lambda t: (frequencies.get(t, 0), -template[t], t)):
                 if rest < PASSAGE * PASSAGE - 1e-9:
                     break
                 needed.add(term)
