@@ -293,7 +293,9 @@ def _neighbours(known: list[bytes], kinds: np.ndarray, units: int, classes: int)
     """(block, packed, word, code): neighbours of words that are no units, in one pass.
 
     Those of known words are counts with the classes to their left, and to their right, in blocks. A
-    word that isn't known has a row at each place: the class to the left, times classes, and that to the right.
+    word that isn't known has a row at each place: the class to the left, times classes, and that to the right. Words
+    too long to be known may be frequent all the same, so their equal rows are counted before they are
+    sent; a row's block is less than zero by how many it stands for.
     """
     base, sides = len(known), 2 * classes
 
@@ -302,7 +304,14 @@ def _neighbours(known: list[bytes], kinds: np.ndarray, units: int, classes: int)
             yield frame.assign(word=None, code=np.int32(-1))
 
     def places(rare: list[bytes], codes: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"block": np.full(len(rare), -1, np.int32), "packed": np.full(len(rare), None), "word": pd.Series(rare, dtype=object), "code": np.concatenate(codes).astype("int32")})
+        every = np.concatenate(codes)
+        long = np.fromiter((len(w) > KNOWN_BYTES for w in rare), bool, len(rare))
+        once = np.flatnonzero(~long).tolist()
+        several = Counter((rare[k], int(every[k])) for k in np.flatnonzero(long).tolist())
+        words = [rare[k] for k in once] + [w for w, _ in several]
+        code = np.concatenate((every[once], np.fromiter((c for _, c in several), np.int64, len(several)))).astype("int32")
+        n = np.concatenate((np.ones(len(once), np.int32), np.fromiter(several.values(), np.int32, len(several))))
+        return pd.DataFrame({"block": -n, "packed": np.full(len(words), None), "word": pd.Series(words, dtype=object), "code": code})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, counts = _Ids(known, base), _Counts(BLOCK // sides * sides)
@@ -400,8 +409,8 @@ def _lexicon(training: DataFrame, clustered: int | None, classes: int, known: in
     class_of = kinds.copy()
     class_of[later["place"].to_numpy()] = later["k"].to_numpy()
     # by word once: the sums and the lists need no other exchange
-    rare = near.where("word is not null").select("word", "code").repartition("word")
-    rare = rare.groupBy("word", "code").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
+    rare = near.where("word is not null").select("word", "code", "block").repartition("word")
+    rare = rare.groupBy("word", "code").agg(F.sum(-F.col("block").cast("long")).alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x"))
     counts = cut(rare.select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")).mapInPandas(_assigned_rare(both, shape_class), "word binary, c long, k long"))
     mass = np.zeros((classes, 2))
     np.add.at(mass, class_of[: len(listed)], np.stack((listed_counts, np.ones(len(listed))), axis=1))

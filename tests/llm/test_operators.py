@@ -697,6 +697,15 @@ def test_license_headers_and_full_texts():
     assert matcher.scan(header.format(";", "Lesser ", ";", "2.1").replace("program", "library"))[0] == "LGPL-2.1"
 
 
+def test_the_isc_grant_is_found():
+    matcher = licenses.Matcher(1_000, {t: 900 for t in (b"the", b"of", b"and", b"in", b"is", b"or", b"to")})
+    grant = "Copyright (c) 2019 Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    of, score, _ = matcher.scan(grant)
+    assert of == "ISC" and score > 0.9
+    # common words let no text through
+    assert not matcher.needed & {b"the", b"of", b"and", b"in", b"is", b"or", b"to"}
+
+
 def test_terms_that_a_passage_needs_lose_no_passage():
     matcher = licenses.Matcher(1_000, {t: 900 for t in (b"the", b"of", b"and", b"in", b"is", b"or", b"to")})
     rng = np.random.default_rng(5)
@@ -784,6 +793,22 @@ def test_very_many_secrets_in_one_text(spark):
 # --- 10: language model ---------------------------------------------------------------------------------
 
 
+def test_long_words_are_counted_before_they_are_sent():
+    """A ruler of 70 bytes in every text is as many rows as it has neighbours, not places."""
+    import pandas as pd
+
+    ruler = b"=" * 70
+    texts = pd.DataFrame({"text": [b"a " + ruler + b" b rare" + str(k).encode() for k in range(500)]})
+    kinds = np.arange(2 + brown.SHAPES) % 4
+    run = brown._neighbours([b"a", b"b"], kinds, 2, 4)
+    rows = pd.concat(list(run(iter([texts]))))
+    rows = rows[rows["word"].notna()]
+    mine = rows[rows["word"] == ruler]
+    assert len(mine) == 1 and mine["block"].sum() == -500
+    assert len(rows) == 501 and rows["block"].sum() == -1000
+
+
+
 def test_base_scores_are_those_of_brute_force(spark, sf_dir):
     docs = documents(spark, sf_dir).unionByName(spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", None, None, 0), (900_003, "zzzz ÀB zzzz", None, None, 0), (900_003, "zzzz ÀB zzzz", None, None, 0)], documents(spark, sf_dir).schema))
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
