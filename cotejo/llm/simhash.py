@@ -15,11 +15,14 @@ emitted, nearest first, never all pairs.
 ``near_duplicates`` links fingerprints of three-word shingles that differ in two bits.
 ``keep_one``, which filters a corpus, is after texts whose sets of five-word shingles have a
 similarity (Jaccard) of 0.8 or more: it takes several fingerprints of a text, lets each differ in
-more bits, and checks the similarity of the linked texts themselves.
+more bits, and checks the similarity of the linked texts themselves; where a link of the forest fails the check,
+the forest is spanned anew without it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -35,6 +38,8 @@ KEY_LIMIT = 2048
 #: Of the filter: words of a shingle, least similarity, fingerprints of a text, bits that each may
 #: differ in, and the limit of a key.
 WIDE_SHINGLE, SIMILARITY, RINGS, WIDE_DISTANCE, WIDE_LIMIT = 5, 0.8, 3, 9, 16_384
+#: Times that a forest is spanned anew where links of it fail the check of the similarity.
+MOST_ROUNDS = 8
 #: Levels of keys, and the free bits up to which a key can't be crowded without bound.
 LEVELS, BOUNDED_BITS = 3, 15
 
@@ -141,10 +146,15 @@ def fingerprint_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def forest(prints: np.ndarray, nodes: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links between nodes whose fingerprints stay within every budget, as a spanning forest, nearest first."""
+def forest(prints: np.ndarray, nodes: np.ndarray, chain: list[tuple[int, int]], labels: np.ndarray | None = None, failed: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[int, int]]:
+    """Links between nodes whose fingerprints stay within every budget, as a spanning forest, nearest first.
+
+    Nodes of one label are connected already; pairs that failed a check, the smaller node first, link nothing.
+    """
     size = len(prints)
     root = np.arange(size)
+    if labels is not None:
+        root = np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]]
     found: list[tuple[int, int]] = []
     longer = chain[min(2, len(chain) - 1)]
     step = max(1, (1 << 20) // max(1, size))
@@ -163,9 +173,10 @@ def forest(prints: np.ndarray, nodes: np.ndarray, chain: list[tuple[int, int]])
             i, j = i[between], j[between]
             for p, q in zip(i[:64].tolist(), j[:64].tolist(), strict=True):
                 low, high = sorted((int(root[p]), int(root[q])))
-                if low != high:
+                pair = (int(nodes[p]), int(nodes[q]))
+                if low != high and (not failed or tuple(sorted(pair)) not in failed):
                     root[root == high] = low
-                    found.append((int(nodes[p]), int(nodes[q])))
+                    found.append(pair)
             i, j = i[64:], j[64:]
     return found
 
@@ -174,15 +185,22 @@ _LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructFie
 
 
 def _forest_udf(ring: Ring):
+    def of(k: int, some, names, labels=None, failed: frozenset = frozenset()) -> list[dict]:
+        chain = ring.chains[ring.keys[k]["start"]]
+        return [{"a": a, "b": b} for a, b in forest(np.asarray(some, dtype=np.int64).view(np.uint64), np.asarray(names, dtype=np.int64), chain, labels, failed)]
+
     def run(which: pd.Series, prints: pd.Series, nodes: pd.Series) -> pd.Series:
+        return pd.Series([of(*row) for row in zip(which, prints, nodes, strict=True)])
+
+    def again(which: pd.Series, prints: pd.Series, nodes: pd.Series, labels: pd.Series, failed: pd.Series) -> pd.Series:
         out = []
-        for k, some, names in zip(which, prints, nodes, strict=True):
-            chain = ring.chains[ring.keys[k]["start"]]
-            links = forest(np.asarray(some, dtype=np.int64).view(np.uint64), np.asarray(names, dtype=np.int64), chain)
-            out.append([{"a": a, "b": b} for a, b in links])
+        for k, some, names, own, lists in zip(which, prints, nodes, labels, failed, strict=True):
+            # of a failed pair the smaller node knows the larger one
+            pairs = frozenset((int(a), int(b)) for a, others in zip(names, lists, strict=True) for b in others)
+            out.append(of(k, some, names, np.asarray(own, dtype=np.int64), pairs))
         return pd.Series(out)
 
-    return F.pandas_udf(run, _LINKS)
+    return F.pandas_udf(run, _LINKS), F.pandas_udf(again, _LINKS)
 
 
 def _struct(key: dict, which: int) -> Column:
@@ -190,10 +208,14 @@ def _struct(key: dict, which: int) -> Column:
 
 
 def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> DataFrame:
-    """Links (a, b) that connect all rows (fp, and node where that isn't the fingerprint itself) within the distance."""
-    named = "node" in prints.columns
-    columns = ["fp", "node"] if named else ["fp"]
-    keys, udf = ring.keys, _forest_udf(ring)
+    """Links (a, b) that connect all rows (fp, and node where that isn't the fingerprint itself) within the distance.
+
+    With label and failed (a list of nodes), rows of one label are connected already, and a row isn't linked
+    to the nodes that it failed with.
+    """
+    columns = [c for c in ("fp", "node", "label", "failed") if c in prints.columns]
+    named, more = "node" in columns, "label" in columns
+    keys, (once, again) = ring.keys, _forest_udf(ring)
     level = [k for k, x in enumerate(keys) if x["level"] == 0]
 
     def keyed(rows: DataFrame, masks: Column) -> DataFrame:
@@ -203,7 +225,10 @@ def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> D
     def linked(rows: DataFrame, *by: str) -> DataFrame:
         lists = F.collect_list(F.struct(*columns)).alias("x")
         groups = rows.groupBy("which", *by).agg(lists).where(F.size("x") > 1)
-        return groups.select(F.explode(udf("which", F.col("x.fp"), F.col("x.node") if named else F.col("x.fp"))).alias("e")).select("e.a", "e.b")
+        if more:
+            groups = groups.where(F.exists("x.label", lambda v: v != F.col("x.label")[0]))
+            return groups.select(F.explode(again("which", "x.fp", "x.node", "x.label", "x.failed")).alias("e")).select("e.a", "e.b")
+        return groups.select(F.explode(once("which", F.col("x.fp"), F.col("x.node") if named else F.col("x.fp"))).alias("e")).select("e.a", "e.b")
 
     found = None
     rows = keyed(prints, F.array(*[_struct(keys[k], k) for k in level]))
@@ -220,7 +245,7 @@ def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> D
         dense = rows.join(crowded, ["which", "value"])
         if last:
             blocks = F.ceil(F.col("n") * 2 / key_limit).cast("int")
-            own = F.pmod(F.xxhash64(F.lit("block"), *columns), blocks).cast("int")
+            own = F.pmod(F.xxhash64(F.lit("block"), *columns[:2]), blocks).cast("int")
             pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
             return found.unionByName(linked(dense.select(*columns, "which", "value", F.explode(F.array_distinct(pair)).alias("pair")), "value", "pair"))
         children = F.create_map(*[x for k in level for x in (F.lit(k), F.array(*[_struct(keys[c], c) for c in keys[k]["children"]]))])
@@ -250,19 +275,23 @@ def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distan
     """Rows (doc_id, hash, node) and verified links (a, b) between nodes.
 
     hash is the text's; a node is a sequence of words. Linked are nodes that some ring's
-    fingerprints connect and whose sets of shingles have the similarity.
+    fingerprints connect and whose sets of shingles have the similarity. A link that fails that check may have
+    stood for others, so what it held together is spanned anew without it, until all links hold or
+    ``MOST_ROUNDS`` are over.
     """
     prints = docs.select("doc_id", F.xxhash64("text").alias("hash"), _prints_udf(shingle, rings)("text").alias("p")).select("doc_id", "hash", "p.fps", "p.digest")
     prints = cut(prints)
     nodes = prints.groupBy("digest").agg(F.first("fps").alias("fps"), F.min(F.struct("doc_id", "hash")).alias("row")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)  # numbers stay as they are from here on
     ring = Ring(distance)
-    found = None
-    for k in range(rings):
-        part = links(nodes.select(F.col("fps")[k].alias("fp"), "node"), key_limit, ring)
-        found = part if found is None else found.unionByName(part)
-    candidates = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # shingles of the texts in question only
+
+    def linked(rows: DataFrame, *more: str) -> DataFrame:
+        """Candidates (a, b), the smaller node first, from each ring's fingerprints."""
+        parts = [links(rows.select(F.col("fps")[k].alias("fp"), "node", *more), key_limit, ring) for k in range(rings)]
+        return cut(reduce(DataFrame.unionByName, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    candidates = linked(nodes)
+    # shingles of the texts in question only; who is linked to nobody now is never linked
     asked = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "row.doc_id", "row.hash")
     asked = cut(asked)
     may = may_be_among(asked.select(F.xxhash64("doc_id", "hash").alias("hash")))
@@ -270,10 +299,29 @@ def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distan
     here = asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["hash"] == texts["hash"])
     sets = texts.join(asked, here).select("node", shingle_set(F.col("text"), shingle).alias("s")).dropDuplicates(["node"])
     sets = cut(sets)
-    pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select("a", "b")
-    return prints.join(nodes.select("digest", "node"), "digest").select("doc_id", "hash", "node"), cut(verified)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """(a, b, good): whether the texts' shingles are as similar as asked."""
+        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return cut(pairs.select("a", "b", (both >= (F.size("sa") + F.size("sb") - both) * similarity).alias("good")))
+
+    tested = checked(candidates)
+    for _ in range(MOST_ROUNDS):
+        if not tested.where("not good").limit(1).count():
+            break
+        # a part of the forest that a failed link held together is spanned anew, without the links that failed
+        label = components(tested.where("good").select("a", "b"))
+        named = nodes.join(label, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("label"))
+        bad = tested.where("not good")
+        open_ = bad.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node").select("label").distinct()
+        lists = bad.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        rows = named.join(open_, "label", "left_semi").join(lists, "node", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>")))
+        fresh = linked(cut(rows), "label", "failed")
+        if fresh.isEmpty():
+            break
+        tested = cut(tested.unionByName(checked(fresh)))
+    return prints.join(nodes.select("digest", "node"), "digest").select("doc_id", "hash", "node"), tested.where("good").select("a", "b")
 
 
 def shingle_set(text: Column, shingle: int) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
 import corpus_pipeline
-from cotejo.llm import mixing, secrets, toxicity
+from cotejo.llm import mixing, secrets, simhash, toxicity
 from tests.llm.test_operators import clusters, odd_docs, word_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +46,31 @@ def test_stages(spark, sf_dir, tmp_path):
     assert kept[4][1].where("not exact").count() == 0 and kept[4][1].count() == kept[4][0].count()
 
 
+def test_a_link_that_fails_the_check_costs_no_other(spark):
+    """Texts around the limit: what is left is one of each group of all links that the fingerprints can find."""
+    random.seed(6)
+    rows = []
+    for number in range(5):
+        words = [f"w{number}x{random.randrange(10**6)}" for _ in range(200)]
+        for _ in range(50):
+            changed = list(words)
+            for place in random.sample(range(200), random.randrange(6)):
+                changed[place] = f"y{random.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    sets = word_sets(rows)
+    prints = []
+    for _, text in rows:
+        _, hashes = simhash._shingled(text, simhash.WIDE_SHINGLE)
+        prints.append([simhash._majority(simhash._mixed(hashes, ring)) for ring in range(simhash.RINGS)])
+    near = lambda i, j: any(((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.WIDE_DISTANCE for a, b in zip(prints[i], prints[j], strict=True))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = [(i, j) for i, j in pairs if near(i, j)]
+    groups = len(set(clusters(range(len(rows)), found).values()))
+    assert len(found) < len(pairs) or groups < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == groups
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids"} <= set(rows.columns) and rows.count() > 0
