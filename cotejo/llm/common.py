@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.session import cut, shared_dir
 
-__all__ = ["WORD_PATTERN", "components", "cut", "fold", "may_be_among", "shared_dir", "table"]
+__all__ = ["WORD_PATTERN", "components", "cut", "fold", "may_be_among", "release_memory", "shared_dir", "table"]
 
 #: Words in every contract of this subpackage: runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -52,6 +54,14 @@ def may_be_among(hashes: DataFrame) -> Callable[[Column], Column]:
     return F.pandas_udf(run, T.BooleanType())
 
 
+def release_memory() -> None:
+    """Gives back to the system what a worker has freed, since it stays for the tasks after this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

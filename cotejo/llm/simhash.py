@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import WORD_PATTERN, components, cut, may_be_among, table
+from cotejo.llm.common import WORD_PATTERN, components, cut, may_be_among, release_memory, table
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Distinct fingerprints of one key that are compared in one go; keys with more are split.
@@ -137,6 +137,7 @@ def _prints_udf(shingle: int, rings: int):
         for text in texts:
             joined, hashes = _shingled(text, shingle)
             out.append(([_majority(_mixed(hashes, ring)) for ring in range(rings)], xxhash.xxh128_digest(joined)))
+        release_memory()
         return pd.DataFrame(out, columns=["fps", "digest"])
 
     return F.pandas_udf(run, "fps array<long>, digest binary")
@@ -198,6 +199,7 @@ def _forest_udf(ring: Ring):
             # of a failed pair the smaller node knows the larger one
             pairs = frozenset((int(a), int(b)) for a, others in zip(names, lists, strict=True) for b in others)
             out.append(of(k, some, names, np.asarray(own, dtype=np.int64), pairs))
+        release_memory()
         return pd.Series(out)
 
     return F.pandas_udf(run, _LINKS), F.pandas_udf(again, _LINKS)
