@@ -195,9 +195,8 @@ def _forest_udf(ring: Ring):
 
     def again(which: pd.Series, prints: pd.Series, nodes: pd.Series, labels: pd.Series, failed: pd.Series) -> pd.Series:
         out = []
-        for k, some, names, own, lists in zip(which, prints, nodes, labels, failed, strict=True):
-            # of a failed pair the smaller node knows the larger one
-            pairs = frozenset((int(a), int(b)) for a, others in zip(names, lists, strict=True) for b in others)
+        for k, some, names, own, flat in zip(which, prints, nodes, labels, failed, strict=True):
+            pairs = frozenset(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True))
             out.append(of(k, some, names, np.asarray(own, dtype=np.int64), pairs))
         release_memory()
         return pd.Series(out)
@@ -229,7 +228,9 @@ def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> D
         groups = rows.groupBy("which", *by).agg(lists).where(F.size("x") > 1)
         if more:
             groups = groups.where(F.exists("x.label", lambda v: v != F.col("x.label")[0]))
-            return groups.select(F.explode(again("which", "x.fp", "x.node", "x.label", "x.failed")).alias("e")).select("e.a", "e.b")
+            # the failed pairs of a group as one flat list, since most nodes have none
+            pairs = F.flatten(F.transform("x", lambda v: F.flatten(F.transform(v["failed"], lambda b: F.array(v["node"], b)))))
+            return groups.select(F.explode(again("which", "x.fp", "x.node", "x.label", pairs)).alias("e")).select("e.a", "e.b")
         return groups.select(F.explode(once("which", F.col("x.fp"), F.col("x.node") if named else F.col("x.fp"))).alias("e")).select("e.a", "e.b")
 
     found = None
