@@ -211,8 +211,8 @@ def _struct(key: dict, which: int) -> Column:
 def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> DataFrame:
     """Links (a, b) that connect all rows (fp, and node where that isn't the fingerprint itself) within the distance.
 
-    With label and failed (a list of nodes), rows of one label are connected already, and a row isn't linked
-    to the nodes that it failed with.
+    With label and failed, rows of one label are connected already, and the pairs in failed (a flat list of two
+    nodes each) link nothing.
     """
     columns = [c for c in ("fp", "node", "label", "failed") if c in prints.columns]
     named, more = "node" in columns, "label" in columns
@@ -229,8 +229,7 @@ def links(prints: DataFrame, key_limit: int = KEY_LIMIT, ring: Ring = RING) -> D
         if more:
             groups = groups.where(F.exists("x.label", lambda v: v != F.col("x.label")[0]))
             # the failed pairs of a group as one flat list, since most nodes have none
-            pairs = F.flatten(F.transform("x", lambda v: F.flatten(F.transform(v["failed"], lambda b: F.array(v["node"], b)))))
-            return groups.select(F.explode(again("which", "x.fp", "x.node", "x.label", pairs)).alias("e")).select("e.a", "e.b")
+            return groups.select(F.explode(again("which", "x.fp", "x.node", "x.label", F.flatten("x.failed"))).alias("e")).select("e.a", "e.b")
         return groups.select(F.explode(once("which", F.col("x.fp"), F.col("x.node") if named else F.col("x.fp"))).alias("e")).select("e.a", "e.b")
 
     found = None
@@ -318,7 +317,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distan
         named = nodes.join(label, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("label"))
         bad = tested.where("not good")
         open_ = bad.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node").select("label").distinct()
-        lists = bad.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        lists = bad.groupBy(F.col("a").alias("node")).agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("failed"))
         rows = named.join(open_, "label", "left_semi").join(lists, "node", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>")))
         fresh = linked(cut(rows), "label", "failed")
         if fresh.isEmpty():
