@@ -13,7 +13,7 @@ from cotejo.operators.timing import Timings
 from cotejo.plans import retrieval_queries as r
 from cotejo.plans import sqltext as s
 from cotejo.plans.search import SearchConfig, search
-from cotejo.session import cut, remove, shared_dir
+from cotejo.session import cut, one_process, remove, shared_dir
 from cotejo.sources import relational, tables, versions, workbook
 from cotejo.sources.tables import table
 from cotejo.streaming import analytics, stateful
@@ -136,14 +136,22 @@ def shadow_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the relational store -------------------------------------------------------------------------
 
 
-def _store(spark: SparkSession) -> relational.Store:
-    """The database that the session names, or one in memory for a local session."""
+def _store(spark: SparkSession) -> relational.Store | relational.Shared:
+    """The database that the session names; else one in memory for a local session, and a shared folder on a cluster."""
     url = spark.conf.get("spark.cotejo.jdbc.url", None)
-    store = relational.Store(url) if url else relational.Store.embedded(spark)
+    if url:
+        store = relational.Store(url)
+    else:
+        store = relational.Store.embedded(spark) if one_process(spark) else relational.Shared(spark, _folder(spark, "store"))
     store.create(spark)
     return store
 
 
+def _read(store: relational.Store | relational.Shared, df: DataFrame) -> DataFrame:
+    """A small result of a store; the folder that was made for it goes."""
+    return _kept(df.sparkSession, store.path, df) if isinstance(store, relational.Shared) else cut(df)
+
+
 def _preferences(events: DataFrame) -> DataFrame:
     last = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return last.select(F.col("user_id").cast("string").alias("user_id"), F.to_json(F.struct("event_id")).alias("data"))
@@ -159,7 +167,7 @@ def relational_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for half in (0, 1):
         store.upsert(_preferences(events.where(f"event_id % 2 = {half}")), "user_preferences")
     rows = store.read(spark, "user_preferences", by="id", partitions=4)
-    return cut(rows.select("user_id", F.from_json("data", "event_id long")["event_id"].alias("event_id")))
+    return _read(store, rows.select("user_id", F.from_json("data", "event_id long")["event_id"].alias("event_id")))
 
 
 @query("relational_entities", """SELECT 'search_history' AS entity, count(*)::BIGINT AS n, sum(floor(value))::DOUBLE AS total FROM events
@@ -182,7 +190,7 @@ def relational_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = store.read(spark, name, by=None if name == "daily_analytics" else "id", partitions=4)
         sums = rows.agg(F.count("*").alias("n"), F.round(F.sum(number), 2).cast("double").alias("total")).select(F.lit(name).alias("entity"), "n", "total")
         out = sums if out is None else out.unionByName(sums)
-    return cut(out)
+    return _read(store, out)
 
 
 # --- files ----------------------------------------------------------------------------------------

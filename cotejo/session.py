@@ -25,12 +25,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, driver
     )
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; local-cluster starts executors of its own."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only for a local session without it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if not one_process(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='cotejo-')}"
     if not context.getCheckpointDir():

@@ -2,6 +2,7 @@
 
 The tables are those of a search service's state: history, favourites, kits, preferences and daily
 analytics. Rows are written by the executors; only statements (DDL, and the last step of an upsert) run on the driver.
+A cluster that has no database server keeps the same tables as versions in its shared folder (``Shared``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cotejo.session import one_process, remove
+from cotejo.sources.versions import Versions
 
 # The tables, their columns and keys.
 ENTITIES = {
@@ -35,7 +40,7 @@ class Store:
     @staticmethod
     def embedded(spark: SparkSession, name: str | None = None) -> Store:
         """A database in this JVM's memory, for tests and local sessions."""
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_process(spark):
             raise RuntimeError("an embedded database is one for each JVM; give the URL of a server")
         return Store(f"jdbc:derby:memory:{name or uuid.uuid4().hex};create=true", {"driver": DERBY})
 
@@ -131,3 +136,99 @@ class Store:
                 statement.close()
         finally:
             self.execute(spark, f"DROP TABLE {stage}")
+
+
+#: Spark's types for those of the tables.
+_KINDS = {"BIGINT": "long", "INTEGER": "int", "DOUBLE": "double", "TIMESTAMP": "timestamp"}
+
+
+class Shared:
+    """The same tables without a database server: each a versioned table in a folder that all executors share.
+
+    A change writes the next version by executors and moves the pointer last, so readers see the old rows until all
+    new ones are in, and nothing changes where it fails. There is one writer at a time. Types, lengths,
+    defaults, generated ids and NOT NULL are those of the tables; of unique columns the upsert's keys are checked.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _columns(self, name: str) -> dict[str, str]:
+        return dict(c.split(" ", 1) for c in ENTITIES[name][0].split(", "))
+
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.path}/{name}")
+
+    def create(self, spark: SparkSession) -> None:
+        """Makes the tables that are not there yet, without rows."""
+        for name in ENTITIES:
+            if self._versions(name).current() is None:
+                columns = ", ".join(f"{c} {_KINDS.get(d.split(' ')[0], 'string')}" for c, d in self._columns(name).items())
+                self._versions(name).write(spark.createDataFrame([], columns))
+
+    def read(self, spark: SparkSession, name: str, by: str | None = None, partitions: int = 8) -> DataFrame:
+        """A table; it is read in parallel parts as it is, so ``by`` and ``partitions`` have no effect."""
+        return self._versions(name).read()
+
+    def _cast(self, name: str, column: str, value: Column) -> Column:
+        """A value as its column takes it; an error where it is too long, or missing and must not be."""
+        define = self._columns(name)[column]
+        kind = define.split(" ")[0]
+        value = value.cast(_KINDS.get(kind, "string"))
+        if kind.startswith("VARCHAR"):
+            most = int(kind[len("VARCHAR(") : -1])
+            value = F.when(F.length(value) > most, F.raise_error(F.lit(f"a value is too long for {name}.{column}"))).otherwise(value)
+        if "NOT NULL" in define or "PRIMARY KEY" in define:
+            value = F.coalesce(value, F.raise_error(F.lit(f"{name}.{column} must not be null")).cast(_KINDS.get(kind, "string")))
+        return value
+
+    def _default(self, name: str, column: str) -> Column:
+        define = self._columns(name)[column]
+        text = define.partition("DEFAULT ")[2].removesuffix(" NOT NULL")
+        if "CURRENT_TIMESTAMP" in text:
+            return F.current_timestamp()
+        if not text or "IDENTITY" in text:
+            return F.lit(None)
+        return F.lit(text.strip("'"))
+
+    def _next_id(self, name: str) -> int | None:
+        """The first generated id that is free; None where ids are not generated."""
+        if "IDENTITY" not in self._columns(name)["id"]:
+            return None
+        return (self.read(self.spark, name).agg(F.max("id")).first()[0] or 0) + 1
+
+    def _changed(self, name: str, rows: DataFrame) -> None:
+        self._versions(name).write(rows)
+        self._versions(name).prune(2)  # a reader of the version before goes on
+
+    def _rows(self, df: DataFrame, name: str) -> DataFrame:
+        """Whole rows of the table, with defaults and ids."""
+        start = self._next_id(name)
+        made = {c: F.col(c) if c in df.columns else self._default(name, c) for c in self._columns(name)}
+        if start is not None and "id" not in df.columns:
+            made["id"] = F.monotonically_increasing_id() + start
+        return df.select(*[self._cast(name, c, v).alias(c) for c, v in made.items()])
+
+    def append(self, df: DataFrame, name: str) -> None:
+        """Adds rows; columns that ``df`` lacks get their defaults."""
+        self._changed(name, self.read(self.spark, name).unionByName(self._rows(df, name)))
+
+    def upsert(self, df: DataFrame, name: str, keys: Sequence[str] = ()) -> None:
+        """Rows of ``df`` take the place of those with the same keys, and others are added, all at once, as in ``Store``."""
+        keys = tuple(keys) or ENTITIES[name][1]
+        if not keys:
+            raise ValueError(f"{name} has no key to upsert by")
+        columns = list(self._columns(name))
+        stage = f"{self.path}/stage-{uuid.uuid4().hex[:16]}"
+        self._rows(df, name).write.parquet(stage)
+        try:
+            fresh = self.spark.read.parquet(stage)
+            if not fresh.groupBy(*keys).count().where("count > 1").isEmpty():
+                raise ValueError(f"rows to upsert into {name} hold keys twice")
+            given = [c for c in columns if c in df.columns or c == "updated_at"]
+            both = self.read(self.spark, name).select(*keys, F.struct(*columns).alias("old")).join(fresh.select(*keys, F.struct(*columns).alias("new")), list(keys), "full")
+            there, comes = F.col("old").isNotNull(), F.col("new").isNotNull()
+            chosen = [F.when(comes & (F.lit(c in given) | ~there), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns]
+            self._changed(name, both.select(*chosen))
+        finally:
+            remove(self.spark, stage)

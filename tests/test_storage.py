@@ -251,6 +251,39 @@ def test_store_rolls_a_failed_transaction_back(spark):
     assert store.read(spark, "favorites").count() == 0
 
 
+def test_shared_store_is_like_the_database(spark, tmp_path):
+    rows = lambda *pairs: spark.createDataFrame([(u, d) for u, d in pairs], "user_id string, data string")
+    seen = []
+    for store in (relational.Store.embedded(spark), relational.Shared(spark, f"file://{tmp_path}/store")):
+        store.create(spark)
+        store.create(spark)
+        store.upsert(rows(("a", "1"), ("b", "1"), ("c", "1")), "user_preferences")
+        ids = {x["user_id"]: x["id"] for x in store.read(spark, "user_preferences").collect()}
+        store.upsert(rows(("b", "2"), ("d", "2")), "user_preferences")
+        with pytest.raises(ValueError, match="twice"):
+            store.upsert(rows(("a", "3"), ("a", "4"), ("e", "3")), "user_preferences")
+        with pytest.raises(Exception, match="(?i)null"):
+            store.upsert(rows(("a", None)), "user_preferences")
+        with pytest.raises(ValueError, match="no key"):
+            store.upsert(rows(("a", "1")), "favorites")
+        with pytest.raises(Exception, match="(?i)trunc|too long"):
+            store.append(spark.createDataFrame([("x" * 300, "mop")], "user_id string, query string"), "search_history")
+        for _ in range(2):
+            store.append(spark.range(50).select(F.col("id").cast("string").alias("user_id"), F.lit("mop").alias("query")), "search_history")
+        now = store.read(spark, "user_preferences", by="id").collect()
+        assert {x["user_id"]: x["id"] for x in now if x["user_id"] in ids} == ids and len({x["id"] for x in now}) == 4
+        history = store.read(spark, "search_history", by="id").collect()
+        assert len({x["id"] for x in history}) == 100 and all(x["created_at"] for x in history)
+        seen.append((sorted((x["user_id"], x["data"]) for x in now), sorted((x["user_id"], x["query"], x["context_tags"] or "", x["results_count"]) for x in history)))
+    assert seen[0] == seen[1]
+
+
+def test_an_embedded_database_needs_one_process(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    with pytest.raises(RuntimeError, match="one for each JVM"):
+        relational.Store.embedded(spark)
+
+
 # --- workbooks ------------------------------------------------------------------------------------
 
 
