@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import text as t
+from cotejo.session import cut
 
 # Parameters of the lexical score.
 K1, B, MIN_TOKEN = 1.5, 0.75, 2
@@ -117,17 +118,30 @@ def is_stale(index: Index, corpus: DataFrame) -> bool:
 
 @dataclass
 class Weights:
-    """A corpus' terms by document: counts (doc_id, term, tf), terms (term, idf) and norms (doc_id, norm)."""
+    """A corpus' terms by document: counts (doc_id, term, tf) and terms (term, idf), which are stored."""
 
     counts: DataFrame
     idf: DataFrame
-    norms: DataFrame
 
-    def vectors(self, terms: DataFrame | None = None) -> DataFrame:
-        """(doc_id, term, w) of vectors of length 1; of the given terms (column term, few) only."""
-        counts = self.counts if terms is None else self.counts.join(small(terms.select("term").distinct()), "term", "left_semi")
-        raw = counts.join(self.idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-        return raw.join(self.norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    def vectors(self, terms: DataFrame) -> DataFrame:
+        """(doc_id, term, w): of the given terms (column term, few) the weights in vectors of length 1.
+
+        A document's rows are grouped once, for its length and for the terms asked, so no side of a join
+        has a row for each document.
+        """
+        asked = small(terms.select("term").distinct().withColumn("asked", F.lit(True)))
+        raw = self.counts.join(kept_apart(self.idf), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+        raw = raw.join(asked, "term", "left")
+        own = F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("own")
+        docs = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), own).where(F.size("own") > 0)
+        return docs.select("doc_id", "norm", F.explode("own").alias("e")).select("doc_id", "e.term", (F.col("e.raw") / F.col("norm")).alias("w"))
+
+
+def kept_apart(df: DataFrame) -> DataFrame:
+    """The side of a join that is broadcast only if its rows, counted, are few: Spark's own choice goes by the size of files,
+    from which the rows that a text is exploded to don't show."""
+    found = small(df)
+    return df.hint("merge") if found is df else found
 
 
 def tfidf(corpus: DataFrame, grams: Column) -> Weights:
@@ -137,7 +151,6 @@ def tfidf(corpus: DataFrame, grams: Column) -> Weights:
     made for the terms that somebody asks for.
     """
     counts = corpus.select("doc_id", F.explode(t.counted(grams)).alias("e")).select("doc_id", "e.term", "e.tf")
-    n = corpus.agg(F.count("*").alias("n"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = counts.join(idf, "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("raw"))
-    return Weights(counts, idf, raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")))
+    n = corpus.count()
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return Weights(counts, cut(idf))

@@ -72,7 +72,7 @@ def bm25_variants(corpus: DataFrame, variants: DataFrame, per_variant: int, k: i
 def query_vectors(queries: DataFrame, grams: Column, idf: DataFrame) -> DataFrame:
     """Unit vectors of queries over the terms that the corpus has."""
     counts = queries.select("query_id", F.explode(grams).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    raw = counts.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    raw = counts.join(idf.hint("merge"), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, "query_id").select("query_id", "term", (F.col("raw") / F.col("norm")).alias("qw"))
 
@@ -90,9 +90,9 @@ def tfidf_top(corpus: DataFrame, queries: DataFrame, grams, k: int, min_score: f
     if min_score <= 0:
         # Only the k smallest ids can fill a list up, so no query meets all documents.
         fill = small(queries.select("query_id")).crossJoin(F.broadcast(corpus.select("doc_id").orderBy("doc_id").limit(2 * k))).withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(fill.join(scored, ["query_id", "doc_id"], "left_anti"))
-        best = top_k(scored, k)
-        return best
+        # scores are never negative, so a document that fills up and has a score keeps the score
+        every = scored.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        return top_k(every, k)
     return top_k(scored.where(F.col("score") >= min_score), k)
 
 
@@ -109,7 +109,7 @@ def tfidf_hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     idf = docs.select(F.explode("doc_tokens").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     parsed = folded.select("query_id", t.simple_tokens(F.col("query")).alias("q"))
-    listed = parsed.select("query_id", F.posexplode("q").alias("pos", "term")).where(F.length("term") >= ANCHOR_LENGTH).join(idf, "term", "left")
+    listed = parsed.select("query_id", F.posexplode("q").alias("pos", "term")).where(F.length("term") >= ANCHOR_LENGTH).join(idf.hint("merge"), "term", "left")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.col("term") == "mop"), F.desc(F.round(F.coalesce("idf", F.lit(0.0)), DIGITS)), "pos")
     ranked = listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ANCHORS)
     anchors = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", F.coalesce("idf", F.lit(1.0)).alias("idf")))).alias("anchors"))
@@ -118,7 +118,7 @@ def tfidf_hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.try_element_at(F.filter("q", lambda x: (F.length(x) >= ANCHOR_LENGTH) & ~F.regexp_like(x, F.lit(r"^\d+$"))), F.lit(1)).alias("head"),
     )
     found = chars.join(terms, ["query_id", "doc_id"], "full")
-    rows = found.join(docs, "doc_id").join(as_small_as(asked, parsed), "query_id")
+    rows = found.join(docs.hint("merge"), "doc_id").join(as_small_as(asked, parsed), "query_id")
     total = F.aggregate("anchors", F.lit(0.0), lambda s, a: s + a["idf"])
     once = F.filter("anchors", lambda a, i: ~F.exists(F.slice(F.col("anchors"), F.lit(1), i), lambda e: e["term"] == a["term"]))
     overlap = F.aggregate(F.filter(once, lambda a: F.array_contains(F.col("doc_tokens"), a["term"])), F.lit(0.0), lambda s, a: s + a["idf"])

@@ -27,11 +27,11 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import text as t
-from cotejo.operators.index import K1, MIN_TOKEN, B, _checksum, as_small_as, small, vocabulary
+from cotejo.operators.index import K1, MIN_TOKEN, B, _checksum, as_small_as, kept_apart, small, vocabulary
 from cotejo.operators.retrieve import DIGITS, query_vectors, top_k
 from cotejo.session import cut
 
@@ -144,9 +144,9 @@ def build_tfidf(corpus: DataFrame, path: str, grams: Callable[[Column], Column],
     docs, found, place = _prepared(corpus, grams(F.coalesce("text", F.lit(""))), path, segment)
     n = docs.count()
     terms = _write_terms(found.groupBy("term").agg(F.count("*").alias("df")), F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0, path, buckets)
-    raw = found.join(terms.select("term", "idf"), "term").select("doc_id", "doc_len", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    _write_blocks(raw.join(norms, "doc_id").select("doc_id", place(F.col("doc_id"), F.col("doc_len")).alias("segment"), "term", (F.col("raw") / F.col("norm")).alias("impact")), path, buckets)
+    raw = found.join(kept_apart(terms.select("term", "idf")), "term").select("doc_id", "doc_len", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    raw = raw.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id"))))
+    _write_blocks(raw.select("doc_id", place(F.col("doc_id"), F.col("doc_len")).alias("segment"), "term", (F.col("raw") / F.col("norm")).alias("impact")), path, buckets)
     return _finished(corpus, path, "tfidf", {"n": n, "grams": name, "buckets": buckets, "segment": segment})
 
 

@@ -12,7 +12,7 @@ from cotejo.plans import sqltext as s
 from cotejo.plans import text_queries
 from cotejo.plans.search import SearchConfig, embedding_search, search, smart_search
 from cotejo.plans.text_queries import PHRASES
-from cotejo.session import cut
+from cotejo.session import cut, spread
 from cotejo.sources.tables import table
 
 QUERIES: dict = {}
@@ -54,7 +54,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
 
 
 def _bm25_sql(queries: str, documents: str = "documents") -> str:

@@ -60,6 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, each: int = 3) -> DataFrame:
+    """A table's rows in so many partitions a core at least; for work on rows that is heavier than to shuffle them.
+
+    Files are cut by bytes, so a small file of many short rows would be one task's.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism * each
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once a context, for those that can't import it themselves.
 

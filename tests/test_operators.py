@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions import text
 from cotejo.operators import aggregate, compare, embed, index, rank, rerank, retrieve, rewrite, state
 from cotejo.plans.search import SearchConfig, check_queries, embedding_search, search_texts, smart_search
 from cotejo.sources import tables
@@ -417,3 +418,22 @@ def test_smart_search_is_that_of_brute_force(spark, sf_dir):
     got = {(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in q.smart(spark, sf_dir).collect()}
     assert {g[:3] for g in got} == {e[:3] for e in expected}
     assert {g[:3]: g[3] for g in got} == pytest.approx({e[:3]: e[3] for e in expected}, abs=2e-6)
+
+
+def broadcast_rows(plan):
+    """Rows of all broadcasts of a plan that has run."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else []
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    return own + [n for p in inner + below for n in broadcast_rows(p)]
+
+
+def test_tfidf_broadcasts_no_side_that_has_a_row_for_each_document(spark, tmp_path):
+    # of a table in a file, whose size says little of the rows that are made of it
+    spark.range(500).selectExpr("id AS doc_id", "concat('red widget ', id % 7) AS text").write.parquet(f"{tmp_path}/corpus")
+    corpus = spark.read.parquet(f"{tmp_path}/corpus")
+    asked = spark.createDataFrame([(1, "red"), (2, "widget 3"), (3, "zzz")], "query_id int, query string")
+    for rows in (retrieve.tfidf_top(corpus, asked, text.char_ngrams, 5), retrieve.tfidf_hybrid(corpus, asked, 5)):
+        rows.collect()
+        assert max(broadcast_rows(rows._jdf.queryExecution().executedPlan())) < 400
