@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import literal_map, model_numbers, normalize_key, words
+from cotejo.functions.text import let, literal_map, model_numbers, model_numbers_of, normalize_key, words
 
 # Accessory terms, words without meaning, categories and their patterns.
 ACCESSORIES = ["disco", "discos", "escova", "escovas", "refil", "refis", "bocal", "saco", "filtro", "mangueira", "pano", "flanela", "esponja", "cabo", "adaptador", "kit", "suporte", "pinca", "pinça"]
@@ -29,7 +29,11 @@ def _folded(terms: list[str]) -> list[str]:
 
 
 def detect_category(x: Column, patterns: dict = CATEGORY_PATTERNS) -> Column:
-    norm, out = normalize_key(x), F.lit("UNKNOWN")
+    return let(normalize_key(x), lambda norm: _category_of(norm, patterns))
+
+
+def _category_of(norm: Column, patterns: dict) -> Column:
+    out = F.lit("UNKNOWN")
     for name, pattern in reversed(patterns.items()):
         out = F.when(F.regexp_like(norm, F.lit(pattern)), name).otherwise(out)
     return out
@@ -37,7 +41,10 @@ def detect_category(x: Column, patterns: dict = CATEGORY_PATTERNS) -> Column:
 
 def accessories_in(x: Column, terms: list[str] = ACCESSORIES, canonical: bool = True) -> Column:
     """Accessory terms that the text contains anywhere, in the list's order."""
-    norm = normalize_key(x)
+    return let(normalize_key(x), lambda norm: _accessories_of(norm, terms, canonical))
+
+
+def _accessories_of(norm: Column, terms: list[str], canonical: bool) -> Column:
     found = F.filter(_strings(_folded(terms)), lambda t: norm.contains(t))
     return F.array_distinct(F.transform(found, lambda t: F.coalesce(literal_map(SINGULARS)[t], t))) if canonical else found
 
@@ -54,7 +61,11 @@ def _first(tokens: Column, test) -> Column:
 
 def taxonomy_intent(x: Column, terms: list[str] = ACCESSORIES, patterns: dict = CATEGORY_PATTERNS, category_tokens: dict = CATEGORY_TOKENS) -> Column:
     """EQUIPAMENTO if the category's word comes before the first accessory, ACESSORIO if after."""
-    tokens, category = words(normalize_key(x), " "), detect_category(x, patterns)
+    both = lambda norm: F.struct(words(norm, " ").alias("tokens"), _category_of(norm, patterns).alias("category"))
+    return let(let(normalize_key(x), both), lambda b: _intent_of(b["tokens"], b["category"], terms, category_tokens))
+
+
+def _intent_of(tokens: Column, category: Column, terms: list[str], category_tokens: dict) -> Column:
     accessory = _first(tokens, lambda t: t.isin(terms))
     place = F.coalesce((F.array_position(tokens, literal_map(category_tokens)[category]) - 1).cast("int"), F.lit(-1))
     before = F.when((place != -1) & (place <= accessory), "EQUIPAMENTO").otherwise("ACESSORIO")
@@ -64,8 +75,10 @@ def taxonomy_intent(x: Column, terms: list[str] = ACCESSORIES, patterns: dict =
 
 def measure_terms(x: Column) -> Column:
     """Tokens that name a model or a measure, and "measure" if a number stands before a unit."""
-    norm = normalize_key(x)
-    tokens = words(norm, " ")
+    return let(normalize_key(x), lambda norm: let(words(norm, " "), lambda tokens: _measures_of(norm, tokens)))
+
+
+def _measures_of(norm: Column, tokens: Column) -> Column:
     unit = lambda t: F.regexp_like(t, F.lit(rf"^\d+(?:[.,]\d+)?(?:{MEASURE})$|^\d{{2,}}[a-z]+$|^[a-z]+\d{{2,}}$"))
     model = lambda t: F.regexp_like(t, F.lit(r"^\d{3,}$"))
     spaced = F.when(F.regexp_like(norm, F.lit(rf"\b\d+(?:[.,]\d+)?\s*({MEASURE})\b")), _strings(["measure"])).otherwise(_strings([]))
@@ -74,24 +87,30 @@ def measure_terms(x: Column) -> Column:
 
 def navigation_context(x: Column, terms: list[str] = ACCESSORIES, patterns: dict = CATEGORY_PATTERNS, category_tokens: dict = CATEGORY_TOKENS, stopwords: list[str] = STOPWORDS) -> Column:
     """struct<tokens, numbers, attributes, accessories, category, measures>; category is null if unknown."""
-    tokens, measures = words(normalize_key(x), " "), measure_terms(x)
-    category = F.nullif(detect_category(x, patterns), F.lit("UNKNOWN"))
-    own = F.coalesce(literal_map(category_tokens)[F.coalesce(category, F.lit(""))], F.lit(""))
-    rest = lambda t: ~t.isin([*stopwords, *terms]) & (t != own) & ~F.regexp_like(t, F.lit(NUMBER)) & ~F.array_contains(measures, t)
-    return F.struct(
-        tokens.alias("tokens"),
-        F.filter(tokens, lambda t: F.regexp_like(t, F.lit(NUMBER))).alias("numbers"),
-        F.filter(tokens, rest).alias("attributes"),
-        accessories_in(x, terms, canonical=False).alias("accessories"),
-        category.alias("category"),
-        measures.alias("measures"),
-    )
+
+    def known(norm: Column, tokens: Column) -> Column:
+        category = F.nullif(_category_of(norm, patterns), F.lit("UNKNOWN"))
+        own = F.coalesce(literal_map(category_tokens)[F.coalesce(category, F.lit(""))], F.lit(""))
+        return F.struct(norm.alias("norm"), tokens.alias("tokens"), category.alias("category"), own.alias("own"), _measures_of(norm, tokens).alias("measures"))
+
+    def context(k: Column) -> Column:
+        rest = lambda t: ~t.isin([*stopwords, *terms]) & (t != k["own"]) & ~F.regexp_like(t, F.lit(NUMBER)) & ~F.array_contains(k["measures"], t)
+        return F.struct(
+            k["tokens"].alias("tokens"),
+            F.filter(k["tokens"], lambda t: F.regexp_like(t, F.lit(NUMBER))).alias("numbers"),
+            F.filter(k["tokens"], rest).alias("attributes"),
+            _accessories_of(k["norm"], terms, canonical=False).alias("accessories"),
+            k["category"].alias("category"),
+            k["measures"].alias("measures"),
+        )
+
+    return let(let(normalize_key(x), lambda norm: let(words(norm, " "), lambda tokens: known(norm, tokens))), context)
 
 
 def is_navigation(context: Column) -> Column:
     """A category and at most one word more, without numbers, attributes, accessories or measures."""
-    empty = lambda name: F.size(context[name]) == 0
-    return context["category"].isNotNull() & (F.size(context["tokens"]) <= 2) & empty("numbers") & empty("attributes") & empty("accessories") & empty("measures")
+    empty = lambda c, name: F.size(c[name]) == 0
+    return let(context, lambda c: c["category"].isNotNull() & (F.size(c["tokens"]) <= 2) & empty(c, "numbers") & empty(c, "attributes") & empty(c, "accessories") & empty(c, "measures"))
 
 
 def parse_query(x: Column, terms: list[str] = ACCESSORIES, categories: list[str] = RERANK_CATEGORIES) -> Column:
@@ -100,25 +119,38 @@ def parse_query(x: Column, terms: list[str] = ACCESSORIES, categories: list[str]
     The first category word before or at the first accessory word (with or without a final s) means
     equipment, after it an accessory.
     """
-    tokens = words(normalize_key(x), " ")
-    place = _first(tokens, lambda t: t.isin(categories))
+    key = let(normalize_key(x), lambda norm: F.struct(norm.alias("norm"), words(norm, " ").alias("tokens")))
+    return let(key, lambda k: _parsed_of(k["norm"], k["tokens"], terms, categories))
+
+
+def _parsed_of(norm: Column, tokens: Column, terms: list[str], categories: list[str]) -> Column:
     either = sorted({*terms, *[t[:-1] for t in terms if t.endswith("s")], *[f"{t}s" for t in terms]})
-    accessory = _first(tokens, lambda t: t.isin(either))
+    places = F.struct(_first(tokens, lambda t: t.isin(categories)).alias("place"), _first(tokens, lambda t: t.isin(either)).alias("accessory"))
+    return let(places, lambda p: _parsed_at(norm, tokens, p["place"], p["accessory"], terms))
+
+
+def _parsed_at(norm: Column, tokens: Column, place: Column, accessory: Column, terms: list[str]) -> Column:
     before = F.when(place <= accessory, "EQUIPAMENTO").otherwise("ACESSORIO")
     intent = F.when((place != -1) & (accessory != -1), before).when(place != -1, "EQUIPAMENTO").when(accessory != -1, "ACESSORIO").otherwise("INDEFINIDO")
     category = F.when(place != -1, F.try_element_at(tokens, F.greatest(place, F.lit(0)) + 1))
-    return F.struct(intent.alias("intent"), category.alias("main_category"), model_numbers(x).alias("model_numbers"), accessories_in(x, terms).alias("accessory_terms"), tokens.alias("tokens"))
+    return F.struct(intent.alias("intent"), category.alias("main_category"), model_numbers_of(tokens).alias("model_numbers"), _accessories_of(norm, terms, True).alias("accessory_terms"), tokens.alias("tokens"))
 
 
 def classify_doc(text: Column, query_numbers: Column, doc_category: Column | None = None, doc_type: Column | None = None, terms: list[str] = ACCESSORIES, categories: list[str] = RERANK_CATEGORIES) -> Column:
     """struct<doc_type, category, has_accessory, has_category, has_model>; what a row carries itself takes precedence."""
-    norm = normalize_key(text)
-    tokens = words(norm, " ")
-    place = _first(tokens, lambda t: t.isin(categories))
+
+    def known(norm: Column, tokens: Column) -> Column:
+        found = _first(tokens, lambda t: t.isin(categories)).alias("place")
+        return F.struct(tokens.alias("tokens"), found, F.exists(_strings(terms), lambda t: norm.contains(t)).alias("accessory"))
+
+    key = let(normalize_key(text), lambda norm: let(words(norm, " "), lambda tokens: known(norm, tokens)))
+    return let(key, lambda k: _classed_of(k["tokens"], k["place"], k["accessory"], query_numbers, doc_category, doc_type))
+
+
+def _classed_of(tokens: Column, place: Column, accessory: Column, query_numbers: Column, doc_category: Column | None, doc_type: Column | None) -> Column:
     category = F.when(place != -1, F.try_element_at(tokens, F.greatest(place, F.lit(0)) + 1))
-    accessory = F.exists(_strings(terms), lambda t: norm.contains(t))
     guess = F.when(accessory, "ACESSORIO").when(place != -1, "EQUIPAMENTO").otherwise("INDEFINIDO")
-    overlap = F.coalesce(F.arrays_overlap(model_numbers(text), query_numbers), F.lit(False))
+    overlap = F.coalesce(F.arrays_overlap(model_numbers_of(tokens), query_numbers), F.lit(False))
     return F.struct(
         (guess if doc_type is None else F.coalesce(doc_type, guess)).alias("doc_type"),
         (category if doc_category is None else F.coalesce(doc_category, category)).alias("category"),
@@ -130,6 +162,10 @@ def classify_doc(text: Column, query_numbers: Column, doc_category: Column | Non
 
 def core_query(x: Column, parsed: Column) -> Column:
     """The query without its accessory terms and connectors, if it names any; never empty."""
+    return let(parsed, lambda p: _core_of(x, p))
+
+
+def _core_of(x: Column, parsed: Column) -> Column:
     kept = F.filter(parsed["tokens"], lambda t: ~F.array_contains(parsed["accessory_terms"], t) & ~t.isin(CONNECTORS))
     fallback = F.concat_ws(" ", parsed["main_category"], F.array_join(parsed["model_numbers"], " "))
     found = F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), F.nullif(F.trim(fallback), F.lit("")), x)

@@ -95,6 +95,11 @@ def words(x: Column, pattern: str = r"\s+") -> Column:
     return F.coalesce(F.filter(F.split(x, pattern), lambda t: t != ""), F.array().cast("array<string>"))
 
 
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` gives for a value that is computed once a row, however often it is named."""
+    return F.transform(F.array(x), make)[0]
+
+
 def literal_map(entries: dict) -> Column:
     return F.create_map(*[F.lit(v) for pair in entries.items() for v in pair])
 
@@ -183,8 +188,12 @@ def split_alphanumeric(x: Column) -> Column:
 
 def model_numbers(x: Column) -> Column:
     """The first run of three or more digits in each token."""
-    found = F.transform(words(normalize_key(x), " "), lambda t: F.regexp_extract(t, r"\d{3,}", 0))
-    return F.filter(found, lambda n: n != "")
+    return model_numbers_of(words(normalize_key(x), " "))
+
+
+def model_numbers_of(tokens: Column) -> Column:
+    """Like ``model_numbers``, of the tokens of a key."""
+    return F.filter(F.transform(tokens, lambda t: F.regexp_extract(t, r"\d{3,}", 0)), lambda n: n != "")
 
 
 def numeric_tokens(x: Column) -> Column:

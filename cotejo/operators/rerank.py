@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import taxonomy
-from cotejo.functions.text import normalize_key, preprocess, words
+from cotejo.functions.text import let, normalize_key, preprocess, words
 
 DIGITS = 6
 # Weights of the reranker, of the semantic reranker and of the hybrid engine.
@@ -30,8 +30,7 @@ def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | Non
     rows = rows.withColumn("doc", taxonomy.classify_doc(F.col("text"), F.col("parsed.model_numbers"), *[F.col(c) if c else None for c in (doc_category, doc_type)], **dictionaries))
     top = F.max("score").over(order)
     numbers = F.size("parsed.model_numbers") > 0
-    norm = normalize_key(F.col("text"))
-    named = F.size(F.filter("parsed.accessory_terms", lambda a: norm.contains(a)))
+    named = let(normalize_key(F.col("text")), lambda norm: F.size(F.filter(F.col("parsed.accessory_terms"), lambda a: norm.contains(a))))
     rows = rows.select(
         "*",
         F.when(top > 0, F.col("score") / top).otherwise(0.0).alias("bm25_norm"),

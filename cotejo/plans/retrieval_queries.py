@@ -321,7 +321,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     number = F.floor(key / _EACH)
     score = (key * 7 + number * 3) % 11 + 1.0
-    return table(spark, sf_dir, "part").select(number.alias("query_id"), key.alias("doc_id"), phrase(number).alias("query"), F.concat(phrase(key * 5), F.lit(" "), F.col("p_name")).alias("text"), score.alias("score"))
+    return spread(table(spark, sf_dir, "part")).select(number.alias("query_id"), key.alias("doc_id"), phrase(number).alias("query"), F.concat(phrase(key * 5), F.lit(" "), F.col("p_name")).alias("text"), score.alias("score"))
 
 
 def _rerank_sql(grid: str = f"(VALUES ('', 0.35, 0.45, 0.30, 0.95, 0.55, true)) AS g(name, w_bm25, w_model, w_category, w_accessory, w_missing, bonus)") -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import attributes, domain, taxonomy, text
 from cotejo.plans import sqltext as s
+from cotejo.session import spread
 from cotejo.sources.tables import table
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ MIXED_SQL = f"(SELECT * FROM {PHRASE_SQL} UNION ALL SELECT p_partkey + 1000, ({s
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = (F.col("p_partkey") % len(PHRASES) + 1).cast("int")
     named = F.concat(F.element_at(F.array(*[F.lit(p) for p in PHRASES]), place), F.lit(" "), F.col("p_name"))
-    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("query_id"), named.alias("query"))
+    parts = spread(table(spark, sf_dir, "part")).select((F.col("p_partkey") + 1000).alias("query_id"), named.alias("query"))
     return phrases(spark).withColumn("query_id", F.col("query_id").cast("long")).unionByName(parts)
 
 
@@ -45,11 +46,13 @@ def bar(x: str) -> str:
     return f"array_to_string({x}, '|')"
 
 
-def _over(name: str, source: str, key: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str]) -> None:
-    """Registers one query over a table: its key and the columns, with the SQL of each."""
+def _over(name: str, source: str, key: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str], base: Callable[[], Column] | None = None) -> None:
+    """Registers one query over a table: its key and the columns, with the SQL of each; ``base`` is what several columns read."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = mixed(spark, sf_dir) if source == "phrases" else table(spark, sf_dir, source)
+        rows = mixed(spark, sf_dir) if source == "phrases" else spread(table(spark, sf_dir, source))
+        if base is not None:
+            rows = rows.select(key, base().alias("base"))
         return rows.select(key, *[c.alias(n) for n, c in columns().items()])
 
     QUERIES[name] = run
@@ -349,18 +352,18 @@ def _context() -> Column:
 _ATTRIBUTES = f"list_filter({_TOKENS}, lambda w: NOT list_contains({s.listed([*taxonomy.STOPWORDS, *taxonomy.ACCESSORIES])}, w) AND w <> coalesce({_OWN}, '') AND NOT regexp_matches(w, '^\\d+(?:[.,]\\d+)?$') AND NOT list_contains({_MEASURES}, w))"
 _FOUND = f"list_filter({s.listed(_TERMS)}, lambda a: contains({s.key('query')}, a))"
 _over("navigation_intent", "phrases", "query_id", lambda: {
-    "numbers": joined(_context()["numbers"]),
-    "attributes": joined(_context()["attributes"]),
-    "accessories": joined(_context()["accessories"]),
-    "n_measures": F.size(_context()["measures"]).cast("long"),
-    "navigation": taxonomy.is_navigation(_context()),
+    "numbers": joined(F.col("base")["numbers"]),
+    "attributes": joined(F.col("base")["attributes"]),
+    "accessories": joined(F.col("base")["accessories"]),
+    "n_measures": F.size(F.col("base")["measures"]).cast("long"),
+    "navigation": taxonomy.is_navigation(F.col("base")),
 }, {
     "numbers": bar(f"list_filter({_TOKENS}, lambda w: regexp_matches(w, '^\\d+(?:[.,]\\d+)?$'))"),
     "attributes": bar(_ATTRIBUTES),
     "accessories": bar(_FOUND),
     "n_measures": f"len(list_distinct({_MEASURES}))::BIGINT",
     "navigation": f"{_DETECTED} <> 'UNKNOWN' AND len({_TOKENS}) <= 2 AND NOT {_ANY} AND len({_MEASURES}) = 0 AND len({_ATTRIBUTES}) = 0 AND NOT regexp_matches({s.key('query')}, '(^| )\\d+( |$)')",
-})
+}, _context)
 
 _EITHER = sorted({*taxonomy.ACCESSORIES, *[x[:-1] for x in taxonomy.ACCESSORIES if x.endswith("s")], *[f"{x}s" for x in taxonomy.ACCESSORIES]})
 _CAT, _ACC = _first(_TOKENS, taxonomy.RERANK_CATEGORIES), _first(_TOKENS, _EITHER)
@@ -374,16 +377,16 @@ def _parsed() -> Column:
 
 
 _over("parse_query", "phrases", "query_id", lambda: {
-    "intent": _parsed()["intent"],
-    "main_category": _parsed()["main_category"],
-    "models": joined(_parsed()["model_numbers"]),
-    "accessories": joined(_parsed()["accessory_terms"]),
+    "intent": F.col("base")["intent"],
+    "main_category": F.col("base")["main_category"],
+    "models": joined(F.col("base")["model_numbers"]),
+    "accessories": joined(F.col("base")["accessory_terms"]),
 }, {
     "intent": _INTENT,
     "main_category": _MAIN,
     "models": bar(s.model_numbers("query")),
     "accessories": bar(_CANON),
-})
+}, _parsed)
 _KEPT = f"array_to_string(list_filter({_TOKENS}, lambda w: NOT list_contains({_CANON}, w) AND NOT list_contains({s.listed(taxonomy.CONNECTORS)}, w)), ' ')"
 _over("core_query", "phrases", "query_id", lambda: {
     "core": taxonomy.core_query(F.col("query"), _parsed()),
@@ -396,14 +399,14 @@ def _doc() -> Column:
 
 
 _over("classify_doc", "phrases", "query_id", lambda: {
-    "doc_type": _doc()["doc_type"],
-    "category": _doc()["category"],
-    "has_model": _doc()["has_model"],
+    "doc_type": F.col("base")["doc_type"],
+    "category": F.col("base")["category"],
+    "has_model": F.col("base")["has_model"],
 }, {
     "doc_type": f"CASE WHEN {_contains(s.key('query'), taxonomy.ACCESSORIES)} THEN 'ACESSORIO' WHEN {_CAT} <> -1 THEN 'EQUIPAMENTO' ELSE 'INDEFINIDO' END",
     "category": _MAIN,
     "has_model": f"list_has_any({s.model_numbers('query')}, ['510', '320'])",
-})
+}, _doc)
 _over("query_specificity", "phrases", "query_id", lambda: {
     "specificity": F.round(taxonomy.specificity(F.col("query")), 6),
 }, {

@@ -86,3 +86,12 @@ def test_core_query_keeps_plurals_of_accessories(spark):
 def test_navigation(spark):
     assert value(spark, taxonomy.is_navigation(taxonomy.navigation_context(F.lit("Vassoura"))))
     assert not value(spark, taxonomy.is_navigation(taxonomy.navigation_context(F.lit("vassoura 60cm"))))
+
+
+def test_a_text_is_normalised_once_a_row(spark):
+    rows = spark.createDataFrame([("mop 510 c/ discos",)], "query string")
+    parsed = taxonomy.parse_query(F.col("query"))
+    every = [parsed, taxonomy.core_query(F.col("query"), parsed), taxonomy.navigation_context(F.col("query")), taxonomy.is_navigation(taxonomy.navigation_context(F.col("query"))), taxonomy.classify_doc(F.col("query"), F.array(F.lit("510")))]
+    for column in every:
+        plan = rows.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("translate(") == 1, column
