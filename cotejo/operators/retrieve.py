@@ -25,6 +25,8 @@ MOST_QUERIES = 4_096
 LISTED = 1_000
 #: Vectors of a block of the grid, and of one matrix product in it.
 CELL_VECTORS, SLICE = 16_384, 2_048
+#: Scores that a worker holds at once: 16 MB, however many queries there are.
+CELLS = 1 << 21
 # Weights of the hybrid lexical score and its penalties.
 HYBRID, HYBRID_SINGLE = (0.60, 0.25, 0.15), (0.75, 0.15, 0.10)
 ANCHOR_PENALTY, HEAD_PENALTY, SINGLE_PENALTY, ANCHOR_LENGTH, ANCHORS = 0.8, 0.9, 0.225, 3, 5
@@ -150,8 +152,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size < 1e-12, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / size))
+    return t.let(norm(a), lambda size: F.when(size < 1e-12, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / size)))
 
 
 def valid_vector(a: Column, size: int) -> Column:
@@ -195,16 +196,24 @@ def _best_of_block(block: pd.DataFrame, k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame({"place": [], "doc_id": [], "score": []})
-        for batch in batches:
-            if asked is None or not len(batch):
+        reached = np.full(len(names), -2.0)  # of each query the k-th best so far, if there are k
+        rows = max(1, CELLS // max(1, len(names)))
+        for batch in (some.iloc[at : at + rows] for some in batches for at in range(0, len(some), rows)):
+            if asked is None:
                 continue
-            score = np.round(np.vstack(batch["u"].to_numpy()) @ asked.T, DIGITS) + 0.0
-            # of each query the k-th best of the batch, and what is as good
-            least = np.partition(score, -k, axis=0)[-k] if len(batch) > k else np.full(len(names), -2.0)
+            score = np.vstack(batch["u"].to_numpy()) @ asked.T
+            np.round(score, DIGITS, out=score)
+            score += 0.0
+            # of each query the k-th best of these rows, and what is as good
+            least = np.maximum(reached, np.partition(score, -k, axis=0)[-k]) if len(batch) > k else reached
             row, place = np.nonzero(score >= least)
+            if not len(row):
+                continue
             more = pd.DataFrame({"place": place, "doc_id": batch["doc_id"].to_numpy()[row], "score": score[row, place]})
             held = pd.concat((held, more)) if len(held) else more
-            held = held.sort_values(["place", "score", "doc_id"], ascending=[True, False, True]).groupby("place").head(k)
+            groups = held.sort_values(["place", "score", "doc_id"], ascending=[True, False, True]).groupby("place")
+            held, last = groups.head(k), groups.nth(k - 1)
+            reached[last["place"].to_numpy()] = last["score"].to_numpy()
         if len(held):
             yield pd.DataFrame({"query_id": names[held["place"].to_numpy()], "doc_id": held["doc_id"].to_numpy(), "score": held["score"].to_numpy()})
 

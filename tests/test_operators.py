@@ -437,3 +437,24 @@ def test_tfidf_broadcasts_no_side_that_has_a_row_for_each_document(spark, tmp_pa
     for rows in (retrieve.tfidf_top(corpus, asked, text.char_ngrams, 5), retrieve.tfidf_hybrid(corpus, asked, 5)):
         rows.collect()
         assert max(broadcast_rows(rows._jdf.queryExecution().executedPlan())) < 400
+
+
+def test_a_worker_holds_a_bounded_block_of_scores():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    docs, asked = rng.integers(-3, 4, (3000, 8)) / 7.0, rng.integers(-3, 4, (2000, 8)) / 7.0
+    block = pd.DataFrame({"query_id": range(2000), "q": list(asked)})
+    batches = [pd.DataFrame({"doc_id": range(at, at + 1500), "u": list(docs[at : at + 1500])}) for at in (0, 1500)]
+    run = retrieve._best_of_block(block, 5)
+    tracemalloc.start()
+    (found,) = list(run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.round(docs @ asked.T, 6) + 0.0
+    for query in range(0, 2000, 37):
+        want = sorted(range(3000), key=lambda d: (-score[d, query], d))[:5]
+        assert found[found["query_id"] == query]["doc_id"].tolist() == want
+    assert peak < 60 << 20, peak
