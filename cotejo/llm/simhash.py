@@ -12,6 +12,10 @@ is crowded still, and could be without bound, is cut into blocks and every two b
 nothing is dropped and no group is unbounded. Within a key only a spanning forest of the links is
 emitted, nearest first, never all pairs.
 
+Where links are checked further and some fail, a forest may have spared one that would have passed. So
+groups that the check tears apart are compared once more, all fingerprints with all in blocks, and every
+link between two of their pieces is checked, until none is left or the pieces are one.
+
 ``near_duplicates`` links fingerprints of three-word shingles that differ in two bits.
 ``keep_one``, which filters a corpus, is after texts whose sets of five-word shingles have a
 similarity (Jaccard) of 0.8 or more: it takes several fingerprints of a text, lets each differ in
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import WORD_PATTERN, components, cut, may_be_among, table
+from cotejo.llm.common import WORD_PATTERN, components, cut, may_be_among, release_memory, table
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Distinct fingerprints of one key that are compared in one go; keys with more are split.
@@ -35,6 +39,8 @@ KEY_LIMIT = 2048
 #: Of the filter: words of a shingle, least similarity, fingerprints of a text, bits that each may
 #: differ in, and the limit of a key.
 WIDE_SHINGLE, SIMILARITY, RINGS, WIDE_DISTANCE, WIDE_LIMIT = 5, 0.8, 3, 9, 16_384
+#: Fingerprints that a forest compares at once, and nodes and shingles of a block of a torn group.
+CELLS, TORN_NODES, TORN_SHINGLES = 1 << 18, 1_024, 1 << 18
 #: Levels of keys, and the free bits up to which a key can't be crowded without bound.
 LEVELS, BOUNDED_BITS = 3, 15
 
@@ -132,6 +138,7 @@ def _prints_udf(shingle: int, rings: int):
         for text in texts:
             joined, hashes = _shingled(text, shingle)
             out.append(([_majority(_mixed(hashes, ring)) for ring in range(rings)], xxhash.xxh128_digest(joined)))
+        release_memory()
         return pd.DataFrame(out, columns=["fps", "digest"])
 
     return F.pandas_udf(run, "fps array<long>, digest binary")
@@ -147,7 +154,7 @@ def forest(prints: np.ndarray, nodes: np.ndarray, chain: list[tuple[int, int]])
     root = np.arange(size)
     found: list[tuple[int, int]] = []
     longer = chain[min(2, len(chain) - 1)]
-    step = max(1, (1 << 20) // max(1, size))
+    step = max(1, CELLS // max(1, size))
     for at in range(0, size, step):
         apart = prints[at : at + step, None] ^ prints[None, at:]
         i, j = np.nonzero(np.bitwise_count(apart & np.uint64(longer[0])) <= longer[1])
@@ -180,6 +187,7 @@ def _forest_udf(ring: Ring):
             chain = ring.chains[ring.keys[k]["start"]]
             links = forest(np.asarray(some, dtype=np.int64).view(np.uint64), np.asarray(names, dtype=np.int64), chain)
             out.append([{"a": a, "b": b} for a, b in links])
+        release_memory()
         return pd.Series(out)
 
     return F.pandas_udf(run, _LINKS)
@@ -246,11 +254,74 @@ def near_duplicates(docs: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def mended(verified: DataFrame, failed: DataFrame, nodes: DataFrame, distance: int, similarity: float, block_nodes: int = TORN_NODES, block_shingles: int = TORN_SHINGLES) -> DataFrame:
+    """Edges (a, b) with the components of all links within the distance that have the similarity.
+
+    ``verified`` and ``failed`` are a spanning forest's links (a, b) of ``nodes`` (node, fps, s: its shingles), with
+    and without the similarity. Where no failed link has its ends in different components of the verified ones,
+    they are all there is. Other components are compared with those that failed links lead to: blocks of
+    their nodes meet in every pair, so a task holds two blocks whatever a group's size.
+    """
+    pieces = cut(components(verified))
+    own = lambda side: pieces.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
+    apart = failed.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    apart = cut(apart)
+    stars = pieces.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if apart.isEmpty():
+        return stars
+    torn = components(apart).select(F.col("node").alias("piece"), F.col("root").alias("torn"))
+    members = nodes.join(pieces, "node", "left").withColumn("piece", F.coalesce("root", "node")).join(torn, "piece").select("torn", "piece", "node", "fps", "s")
+    sizes = members.groupBy("torn").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum(F.size("s")) / block_shingles)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "torn").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+    placed = placed.select("torn", "piece", "node", "fps", "s", "block", F.explode(pair).alias("pair")).select("*", "pair.low", "pair.high").drop("pair")
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        own = (group["block"] == group["low"]).to_numpy()
+        left = np.flatnonzero(own)
+        right = left if group["low"].iloc[0] == group["high"].iloc[0] else np.flatnonzero(~own)
+        found = links_between(group["piece"].to_numpy(), np.stack(group["fps"].to_numpy()).view(np.uint64), group["s"].tolist(), left, right, distance, similarity)
+        release_memory()
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    more = placed.groupBy("torn", "low", "high").applyInPandas(between, "a long, b long")
+    return stars.unionByName(more.distinct())
+
+
+def links_between(pieces: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of pieces with a link within the distance that has the similarity, as a spanning forest.
+
+    Rows ``left`` meet rows ``right``, or each other if both are the same; a row has its piece, fingerprints (of
+    all rings) and distinct shingles.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    names, places = np.unique(np.concatenate([np.asarray(s, dtype=np.int64) for s in sets]), return_inverse=True)
+    has = np.zeros(len(names), bool)
+    root = np.unique(pieces, return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
+    for k, i in enumerate(left.tolist()):
+        rest = left[k + 1 :] if right is left else right
+        near = (np.bitwise_count(prints[rest] ^ prints[i]) <= distance).any(axis=1)
+        others = rest[near & (root[rest] != root[i])]
+        mine = places[ends[i] - sizes[i] : ends[i]]
+        has[mine] = True
+        for j in others.tolist():
+            if root[j] == root[i]:
+                continue
+            both = np.count_nonzero(has[places[ends[j] - sizes[j] : ends[j]]])
+            if both >= (sizes[i] + sizes[j] - both) * similarity:
+                found.append((int(pieces[i]), int(pieces[j])))
+                root[root == root[j]] = root[i]
+        has[mine] = False
+    return found
+
+
 def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distance: int, key_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, hash, node) and verified links (a, b) between nodes.
+    """Rows (doc_id, hash, node) and links (a, b) that connect nodes.
 
-    hash is the text's; a node is a sequence of words. Linked are nodes that some ring's
-    fingerprints connect and whose sets of shingles have the similarity.
+    hash is the text's; a node is a sequence of words. Connected are nodes by links within the
+    distance in some ring whose sets of shingles have the similarity, all of them.
     """
     prints = docs.select("doc_id", F.xxhash64("text").alias("hash"), _prints_udf(shingle, rings)("text").alias("p")).select("doc_id", "hash", "p.fps", "p.digest")
     prints = cut(prints)
@@ -272,8 +343,9 @@ def similar(docs: DataFrame, shingle: int, similarity: float, rings: int, distan
     sets = cut(sets)
     pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select("a", "b")
-    return prints.join(nodes.select("digest", "node"), "digest").select("doc_id", "hash", "node"), cut(verified)
+    judged = cut(pairs.select("a", "b", (both >= (F.size("sa") + F.size("sb") - both) * similarity).alias("holds")))
+    edges = mended(judged.where("holds").select("a", "b"), judged.where("not holds").select("a", "b"), sets.join(nodes.select("node", "fps"), "node"), distance, similarity)
+    return prints.join(nodes.select("digest", "node"), "digest").select("doc_id", "hash", "node"), cut(edges)
 
 
 def shingle_set(text: Column, shingle: int) -> Column:

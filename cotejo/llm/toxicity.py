@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import cut, fold, table
+from cotejo.llm.common import cut, fold, release_memory, table
 
 #: Most labelled rows that the lexicon and the calibration are fitted on.
 SAMPLE = 20_000
@@ -44,6 +44,8 @@ SUPPORT = 5
 #: Word beginnings of these lengths are candidates besides whole words.
 PREFIXES = (3, 4, 5, 6)
 HELD_OUT_FOLD = 5
+#: Counts that a worker holds before it hands them on.
+HELD = 50_000
 
 # General word lists of the five tags.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown worthless pathetic disgusting dumb imbecile vermin filth jerk idiota estúpido imbécil basura dummkopf abschaum crétin connard ordure".split()
@@ -239,10 +241,12 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 entries |= {f"{w[:k]}*" for w in words if len(w) > k}
             kind = 2 * int(part) + int(toxic)
             sums.update((e, kind) for e in entries)
-            if len(sums) > 200_000:
+            if len(sums) > HELD:
                 yield counted()
                 sums.clear()
     yield counted()
+    sums.clear()
+    release_memory()
 
 
 class Evidence:
@@ -301,7 +305,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, choices: tup
     grammars = [[Grammar(known.lexicon(*choice, without=k)) for choice in choices] for k in range(FOLDS)]
 
     def of_other_folds(texts: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([[x for g in grammars[k] for x in features(t, g)] for t, k in zip(texts, parts, strict=True)])
+        out = pd.Series([[x for g in grammars[k] for x in features(t, g)] for t, k in zip(texts, parts, strict=True)])
+        release_memory()
+        return out
 
     # numbers of at most SAMPLE rows
     read = rows.select("doc_id", "toxic", "fold", F.pandas_udf(of_other_folds, T.ArrayType(T.DoubleType()))("text", "fold").alias("x")).orderBy("doc_id").collect()
@@ -314,6 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, choices: tup
 def _score_udf(grammar: Grammar):
     def run(texts: pd.Series) -> pd.Series:
         rows = np.array([features(t, grammar) for t in texts]).reshape(len(texts), len(PRIOR))
+        release_memory()
         return pd.Series(probability(rows, grammar.coefficients))
 
     return F.pandas_udf(run, T.DoubleType())

@@ -603,6 +603,49 @@ def test_one_of_each_group_of_similar_texts_stays(spark, sf_dir):
         assert could >= went >= 0.9 * could > 0
 
 
+def test_no_link_of_a_torn_group_is_lost(spark):
+    """In clusters around the similarity forests hold links that fail; those that they spared in their place are found."""
+    rng = random.Random(8)
+    made = []
+    for c in range(12):
+        base = [f"c{c}w{k}" for k in range(150)]
+        for n in range(20):
+            changed = set(rng.sample(range(150), 2))
+            made.append(" ".join(f"x{n}" if k in changed else w for k, w in enumerate(base)))
+    rows = list(enumerate(made))
+    prints = [[simhash._majority(simhash._mixed(simhash._shingled(t, simhash.WIDE_SHINGLE)[1], ring)) % (1 << 64) for ring in range(simhash.RINGS)] for t in made]
+    sets = word_sets(rows)
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    near = lambda i, j: any((a ^ b).bit_count() <= simhash.WIDE_DISTANCE for a, b in zip(prints[i], prints[j], strict=True))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if near(i, j)]
+    links = [p for p in pairs if alike(*p)]
+    assert 0 < len(links) < len(pairs)
+    group = clusters(range(len(rows)), links)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(group.values()) and len(kept) < len(rows)
+
+
+def test_blocks_of_a_torn_group_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2, (60, 1)) * 7 + rng.integers(0, 8, (60, 1))
+    sets = [sorted(set(rng.integers(0, 14, 9).tolist())) for _ in range(60)]
+    nodes = spark.createDataFrame([(k, [int(prints[k, 0])], sets[k]) for k in range(60)], "node long, fps array<long>, s array<long>")
+    close = [(i, j) for i in range(60) for j in range(i) if (int(prints[i, 0]) ^ int(prints[j, 0])).bit_count() <= 2]
+    links = [(i, j) for i, j in close if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j]))]
+    forest, group = [], {k: k for k in range(60)}  # a forest of the close ones, as fingerprints give it
+    for i, j in close:
+        if group[i] != group[j]:
+            forest.append((i, j))
+            group = {k: group[j] if g == group[i] else g for k, g in group.items()}
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    verified, failed = [e for e in forest if e in set(links)], [e for e in forest if e not in set(links)]
+    want = clusters(range(60), links)
+    assert want != clusters(range(60), verified)
+    for limits in ({}, {"block_nodes": 7}, {"block_shingles": 40}):
+        edges = simhash.mended(frame(verified), frame(failed), nodes, 2, 0.6, **limits)
+        assert clusters(range(60), [(r["a"], r["b"]) for r in edges.collect()]) == want
+
+
 def test_rows_are_judged_by_text_not_by_id(spark):
     rows = [(5, "one text that is not like the other", "a"), (5, "quite another text, with other words in it", "b"), (7, "ONE text  that is not like the other", "c"), (None, "without id", "d"), (None, "without  id", "e"), (3, "same id and text", "y"), (3, "same id and text", "x")]
     rows += [(8, None, "n"), (9, "", "m"), (10, " \t ", "o")]
