@@ -153,7 +153,8 @@ def embed(corpus: DataFrame, provider: EmbeddingProvider, batch: int = BATCH) ->
                 out[k] = vector
         return pd.Series(out)
 
-    made = F.pandas_udf(run, T.ArrayType(T.DoubleType()))(text)
+    # a filter on vectors must not be moved below the call: it would embed every text twice, once in the few tasks that read the table
+    made = F.pandas_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()(text)
     if "embedding" not in corpus.columns:
         return corpus.withColumn("embedding", made)
     valid = valid_vector(F.col("embedding"), provider.dimension)
