@@ -25,6 +25,11 @@ def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | Non
 
     ``doc_type`` and ``doc_category`` name columns that take precedence over what the text shows.
     """
+    return weighted(rerank_parts(rows, doc_type, doc_category, **dictionaries), weights, bonus)
+
+
+def rerank_parts(rows: DataFrame, doc_type: str | None = None, doc_category: str | None = None, **dictionaries) -> DataFrame:
+    """What ``rerank`` reads from texts, without the weights: the parts of the score, doc_type and intent."""
     order = Window.partitionBy("query_id")
     rows = rows.withColumn("parsed", taxonomy.parse_query(F.col("query"), **dictionaries))
     rows = rows.withColumn("doc", taxonomy.classify_doc(F.col("text"), F.col("parsed.model_numbers"), *[F.col(c) if c else None for c in (doc_category, doc_type)], **dictionaries))
@@ -38,13 +43,19 @@ def rerank(rows: DataFrame, doc_type: str | None = None, doc_category: str | Non
         F.coalesce(F.col("doc.category") == F.col("parsed.main_category"), F.lit(False)).cast("int").alias("category_boost"),
         ((F.col("parsed.intent") == "EQUIPAMENTO") & (F.col("doc.doc_type") == "ACESSORIO")).cast("int").alias("accessory_penalty"),
         (numbers & ~F.col("doc.has_model")).cast("int").alias("missing_model_penalty"),
-        F.when(F.lit(bonus) & (F.size("parsed.accessory_terms") > 0) & (F.col("doc.doc_type") == "EQUIPAMENTO"), F.least(F.lit(BONUS_MOST), BONUS_STEP * named)).otherwise(0.0).alias("accessory_bonus"),
+        F.when((F.size("parsed.accessory_terms") > 0) & (F.col("doc.doc_type") == "EQUIPAMENTO"), F.least(F.lit(BONUS_MOST), BONUS_STEP * named)).otherwise(0.0).alias("accessory_bonus"),
     )
+    return rows.withColumn("doc_type", F.col("doc.doc_type")).withColumn("intent", F.col("parsed.intent")).drop("parsed", "doc")
+
+
+def weighted(rows: DataFrame, weights: dict = WEIGHTS, bonus: bool = True) -> DataFrame:
+    """Adds final_score to the parts of a score; without ``bonus`` accessories that both name count nothing."""
+    rows = rows if bonus else rows.withColumn("accessory_bonus", F.lit(0.0))
     total = (
         weights["bm25"] * F.col("bm25_norm") + weights["model"] * F.col("model_boost") + weights["category"] * F.col("category_boost") + F.col("accessory_bonus")
         - weights["accessory"] * F.col("accessory_penalty") - weights["missing_model"] * F.col("missing_model_penalty")
     )
-    return rows.withColumn("final_score", F.round(F.greatest(F.lit(0.0), total), DIGITS)).withColumn("doc_type", F.col("doc.doc_type")).withColumn("intent", F.col("parsed.intent")).drop("parsed", "doc")
+    return rows.withColumn("final_score", F.round(F.greatest(F.lit(0.0), total), DIGITS))
 
 
 def guard_first(ranked: DataFrame) -> DataFrame:

@@ -493,9 +493,10 @@ _RATE = "round(avg(CASE WHEN {} = 1 THEN (doc_type = intent OR intent = 'INDEFIN
 SELECT name, {_RATE.format('rank')} AS plain, {_RATE.format('guarded_rank')} AS guarded FROM guarded GROUP BY name""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries whose first result is of the wanted type, by weight set, with and without the guard."""
-    candidates, out = cut(_candidates(spark, sf_dir)), None
+    # texts are parsed once for all sets of weights
+    parts_of, out = cut(rerank.rerank_parts(_candidates(spark, sf_dir)).drop("query", "text")), None
     for name, *values in GRID:
-        scored = rerank.guard_first(rerank.rerank(candidates, weights=dict(zip(rerank.WEIGHTS, values, strict=True)), bonus=name != "No Accessory Bonus"))
+        scored = rerank.guard_first(rerank.weighted(parts_of, dict(zip(rerank.WEIGHTS, values, strict=True)), bonus=name != "No Accessory Bonus"))
         good = ((F.col("doc_type") == F.col("intent")) | (F.col("intent") == "INDEFINIDO")).cast("double")
         rate = scored.agg(*[F.round(F.avg(F.when(F.col(c) == 1, good)), 6).alias(n) for n, c in (("plain", "rank"), ("guarded", "guarded_rank"))])
         rate = rate.select(F.lit(name).alias("name"), "plain", "guarded")

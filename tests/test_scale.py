@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cotejo.operators import embed, retrieve
+from cotejo.operators import embed, rerank, retrieve
 from cotejo.plans import retrieval_queries as queries
 from cotejo.session import cut
 
@@ -14,3 +14,16 @@ def test_texts_are_embedded_once_and_not_where_the_table_is_read(spark):
     plan = embed.embed(rows, embed.StandIn(4)).where(retrieve.valid_vector(F.col("embedding"), 4))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.index("ArrowEvalPython") < plan.index("Exchange")
+
+
+def test_weights_share_the_parts_of_a_score(spark, sf_dir, monkeypatch):
+    rows = queries._candidates(spark, sf_dir)
+    parts = cut(rerank.rerank_parts(rows))
+    for bonus in (True, False):
+        weights = {**rerank.WEIGHTS, "bm25": 0.7}
+        assert not rerank.rerank(rows, weights=weights, bonus=bonus).exceptAll(rerank.weighted(parts, weights, bonus).select(rerank.rerank(rows).columns)).count()
+    times = []
+    parse = rerank.taxonomy.parse_query
+    monkeypatch.setattr(rerank.taxonomy, "parse_query", lambda *a, **k: times.append(1) or parse(*a, **k))
+    queries.weight_grid(spark, sf_dir)
+    assert len(times) == 1
