@@ -3,8 +3,8 @@
 Both lexical scores are sums over a query's terms of the term's weight in the query and its impact in
 the document. An index holds the impacts:
 
-    blocks  (bucket, term, segment, n, most, doc_ids, impacts)  partitioned by bucket, ordered by term and segment
-    terms   (bucket, term, df, idf)                             the same
+    blocks  (bucket, term, segment, n, most, doc_ids, impacts)  partitioned by bucket, each file of few segments and ordered by term
+    terms   (bucket, term, df, idf)                             partitioned by bucket, ordered by term
     docs    (doc_id, doc_len)
     vocabulary (term, ord), for misspelt words
     manifest  kind, version, parameters, rows and checksums; written last
@@ -40,6 +40,8 @@ VERSION = 2
 BUCKETS, SEGMENT = 16, 1_024
 #: Most terms or segments that are named in a scan's filter; more are joined.
 LISTED = 1_000
+#: Tokens whose postings are grouped in one task, about.
+TASK_TOKENS = 1_000_000
 _TABLES = ("blocks", "terms", "docs", "vocabulary")
 
 
@@ -78,11 +80,12 @@ def _segments(docs: DataFrame, segment: int) -> Callable[[Column, Column], Colum
 
 
 def _write_blocks(postings: DataFrame, path: str, buckets: int) -> None:
-    """Blocks of ``postings`` (doc_id, segment, term, impact)."""
+    """Blocks of ``postings`` (doc_id, segment, term, impact), which are dealt out by segment."""
     entry = F.sort_array(F.collect_list(F.struct("doc_id", "impact")))
     blocks = postings.groupBy(_bucket(F.col("term"), buckets).alias("bucket"), "term", "segment").agg(F.count("*").alias("n"), F.max("impact").alias("most"), entry.alias("e"))
     blocks = blocks.select("bucket", "term", "segment", "n", "most", F.col("e.doc_id").alias("doc_ids"), F.col("e.impact").alias("impacts"))
-    ordered = blocks.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
+    # blocks are written where they are made: each file has few segments and is in order of terms
+    ordered = blocks.sortWithinPartitions("bucket", "term", "segment")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
 
 
@@ -126,13 +129,23 @@ def _prepared(corpus: DataFrame, tokens: Column, path: str, segment: int) -> tup
     return docs, found, _segments(docs, segment)
 
 
+def _dealt(rows: DataFrame, tokens: int) -> DataFrame:
+    """Rows dealt out by segment, to tasks of about as many tokens however many there are."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)), "segment")
+
+
 def build_bm25(corpus: DataFrame, path: str, k1: float = K1, b: float = B, min_token: int = MIN_TOKEN, buckets: int = BUCKETS, segment: int = SEGMENT) -> Stored:
     """Stores the BM25 impacts of ``corpus`` (doc_id, text; ids without repeats) at a path all executors share."""
     spark = corpus.sparkSession
-    docs, found, place = _prepared(corpus, t.bm25_tokens(F.coalesce("text", F.lit(""))), path, segment)
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
+    tokens = t.bm25_tokens(F.coalesce("text", F.lit("")))
+    docs, _, place = _prepared(corpus, tokens, path, segment)
+    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens")).first()
+    # a text is shorter than its postings, so texts are shuffled by their segments and postings are made and grouped where they arrive
+    dealt = _dealt(corpus.select("doc_id", "text", place(F.col("doc_id"), F.size(tokens).cast("long")).alias("segment")), stats["tokens"])
+    listed = dealt.select("doc_id", "segment", tokens.alias("tokens"))
+    found = listed.select("doc_id", "segment", F.size("tokens").cast("long").alias("doc_len"), F.explode(t.counted(F.col("tokens"))).alias("e")).select("doc_id", "segment", "doc_len", "e.term", "e.tf")
     impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / stats["avgdl"]))
-    _write_blocks(found.where(F.length("term") >= min_token).select("doc_id", place(F.col("doc_id"), F.col("doc_len")).alias("segment"), "term", impact.alias("impact")), path, buckets)
+    _write_blocks(found.where(F.length("term") >= min_token).select("doc_id", "segment", "term", impact.alias("impact")), path, buckets)
     df = _opened(spark, path, "blocks").groupBy("term").agg(F.sum("n").alias("df"))
     _write_terms(df, F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), path, buckets)
     meta = {"n": stats["n"], "avgdl": stats["avgdl"], "k1": k1, "b": b, "min_token": min_token, "buckets": buckets, "segment": segment}
@@ -146,7 +159,8 @@ def build_tfidf(corpus: DataFrame, path: str, grams: Callable[[Column], Column],
     terms = _write_terms(found.groupBy("term").agg(F.count("*").alias("df")), F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0, path, buckets)
     raw = found.join(kept_apart(terms.select("term", "idf")), "term").select("doc_id", "doc_len", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     raw = raw.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id"))))
-    _write_blocks(raw.select("doc_id", place(F.col("doc_id"), F.col("doc_len")).alias("segment"), "term", (F.col("raw") / F.col("norm")).alias("impact")), path, buckets)
+    impacts = raw.select("doc_id", place(F.col("doc_id"), F.col("doc_len")).alias("segment"), "term", (F.col("raw") / F.col("norm")).alias("impact"))
+    _write_blocks(_dealt(impacts, docs.agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]), path, buckets)
     return _finished(corpus, path, "tfidf", {"n": n, "grams": name, "buckets": buckets, "segment": segment})
 
 

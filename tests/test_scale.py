@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cotejo.operators import embed, rerank, retrieve
+from cotejo.operators import embed, index, rerank, retrieve, stored
 from cotejo.plans import retrieval_queries as queries
 from cotejo.session import cut
 
@@ -27,3 +27,15 @@ def test_weights_share_the_parts_of_a_score(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(rerank.taxonomy, "parse_query", lambda *a, **k: times.append(1) or parse(*a, **k))
     queries.weight_grid(spark, sf_dir)
     assert len(times) == 1
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    made, write = [], stored._write_blocks
+    monkeypatch.setattr(stored, "_write_blocks", lambda postings, *a: made.append(postings) or write(postings, *a))
+    docs = spark.createDataFrame([(k, f"the word {k % 7} the end {k % 3}") for k in range(60)], "doc_id long, text string")
+    got = stored.build_bm25(docs, str(tmp_path / "index"), segment=8)
+    grouped = made[0].groupBy("term", "segment").count()._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange hash") == 1 and "Exchange range" not in grouped
+    plain = index.build(docs)
+    assert got.blocks.agg(F.sum("n")).first()[0] == plain.postings.count()
+    assert {tuple(r) for r in got.terms.select("term", "df").collect()} == {tuple(r) for r in plain.terms.collect()}
