@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import taxonomy, text
-from cotejo.operators.index import small
+from cotejo.operators.index import BROADCAST_ROWS, small
 from cotejo.session import cut
 
 QUOTE_COLUMNS = ("row_idx", "description", "supplier", "source", "brand", "price", "life_months", "maintenance")
@@ -30,7 +30,16 @@ def medians(values: DataFrame, *keys: str, most: int = MEDIAN_VALUES) -> DataFra
     range that holds the middle is kept, again and again until it is small. So no task ranks more
     than ``most`` values, however many a key has.
     """
-    counted = cut(values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c")))
+    return medians_of(counted_values(values, *keys), *keys, most=most)
+
+
+def counted_values(values: DataFrame, *keys: str) -> DataFrame:
+    """(keys, value, c): how often a key has each value of column value, without nulls; written, to be read several times."""
+    return cut(values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("c")))
+
+
+def medians_of(counted: DataFrame, *keys: str, most: int = MEDIAN_VALUES) -> DataFrame:
+    """``medians`` of values that were counted."""
     sizes = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("m"))
     hot = cut(sizes.where(F.col("m") > most).select(*keys, "n"))
     none = F.lit(0).cast("long").alias("below")
@@ -95,6 +104,16 @@ def distinct_in_order(rows: DataFrame, key: str, columns: list[str], order: str)
     return seen.groupBy(key).agg(*lists)
 
 
+def _with_key(quotes: DataFrame) -> DataFrame:
+    """Adds equipment_id, the normalised description: rows are read several times, so where few descriptions differ each is normalised once."""
+    key = text.normalize_key(F.col("description"))
+    known = cut(quotes.where("description is not null").select("description").distinct().limit(BROADCAST_ROWS + 1))
+    if small(known) is known:
+        return quotes.withColumn("equipment_id", key)
+    keys = cut(known.select(F.col("description").alias("_of"), key.alias("equipment_id")))
+    return quotes.join(F.broadcast(keys), quotes["description"] == keys["_of"], "left").drop("_of")
+
+
 def aggregate_quotes(quotes: DataFrame) -> DataFrame:
     """One row a product of quote rows (QUOTE_COLUMNS; numbers as Brazilian text).
 
@@ -103,16 +122,19 @@ def aggregate_quotes(quotes: DataFrame) -> DataFrame:
     for medians and provenance lists, equal values of a product are one row first.
     """
     price, life, kept_up = (text.parse_br_number(F.col(c)) for c in ("price", "life_months", "maintenance"))
-    rows = quotes.withColumn("equipment_id", text.normalize_key(F.col("description"))).where("equipment_id <> ''")
+    rows = _with_key(quotes).where("equipment_id <> ''")
     used = {"price": F.when(price > 0, price), "life_months": F.when(life > 0, life), "maintenance": F.when(as_fraction(kept_up) >= 0, as_fraction(kept_up))}
     rows = rows.select("row_idx", "equipment_id", "description", "supplier", "source", "brand", *[x.alias(f"u_{name}") for name, x in used.items()])
     numbers = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"u_{name}").alias("value")) for name in used]))
-    middle = medians(rows.select("equipment_id", numbers.alias("x")).select("equipment_id", "x.metric", "x.value"), "equipment_id", "metric")
+    # numbers are read from their texts once: all metrics come from the counted values
+    counted = counted_values(rows.select("equipment_id", numbers.alias("x")).select("equipment_id", "x.metric", "x.value"), "equipment_id", "metric")
+    middle = medians_of(counted, "equipment_id", "metric")
     middle = middle.groupBy("equipment_id").agg(*[F.max(F.when(F.col("metric") == name, F.col("median"))).alias(f"m_{name}") for name in used])
-    parts = [x for name in used for x in (F.avg(f"u_{name}").alias(f"a_{name}"), F.min(f"u_{name}").alias(f"l_{name}"), F.max(f"u_{name}").alias(f"h_{name}"), F.count(f"u_{name}").alias(f"n_{name}"))]
+    spans = counted.groupBy("equipment_id", "metric").agg((F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("a"), F.min("value").alias("l"), F.max("value").alias("h"), F.sum("c").alias("n"))
+    spans = spans.groupBy("equipment_id").agg(*[F.max(F.when(F.col("metric") == name, F.col(x))).alias(f"{x}_{name}") for name in used for x in ("a", "l", "h", "n")])
     first = F.struct("supplier", "source", "brand")
-    grouped = rows.groupBy("equipment_id").agg(F.trim(F.min_by("description", "row_idx")).alias("title"), F.min("row_idx").alias("first_row"), F.count("*").alias("rows"), *parts, F.min_by(first, "row_idx").alias("first"))
-    joined = grouped.join(middle, "equipment_id", "left").join(distinct_in_order(rows, "equipment_id", ["supplier", "source", "brand"], "row_idx"), "equipment_id", "left")
+    grouped = rows.groupBy("equipment_id").agg(F.trim(F.min_by("description", "row_idx")).alias("title"), F.min("row_idx").alias("first_row"), F.count("*").alias("rows"), F.min_by(first, "row_idx").alias("first"))
+    joined = grouped.join(middle, "equipment_id", "left").join(spans, "equipment_id", "left").fillna(0, [f"n_{name}" for name in used]).join(distinct_in_order(rows, "equipment_id", ["supplier", "source", "brand"], "row_idx"), "equipment_id", "left")
     none = F.array().cast("array<string>")
     # struct<display, mean, median, min, max, n> over the kept values; display is the median
     metrics = [F.struct(*[F.col(f"{x}_{name}").alias(label) for x, label in (("m", "display"), ("a", "mean"), ("m", "median"), ("l", "min"), ("h", "max"), ("n", "n"))]).alias(name) for name in used]
@@ -139,6 +161,8 @@ def number_documents(products: DataFrame, order: str = "first_row") -> DataFrame
     for name in ("text", "semantic_text"):
         if name in products.columns:
             products = products.where(F.trim(F.coalesce(name, F.lit(""))) != "")
+    # made once for the borders, the sizes and the places
+    products = cut(products)
     ranges = max(8, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = products.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)])).first()[0]
     splits = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cotejo.operators import embed, index, rerank, retrieve, stored
+from cotejo.operators import aggregate, embed, index, rerank, retrieve, stored
 from cotejo.plans import retrieval_queries as queries
 from cotejo.session import cut
 
@@ -39,3 +39,29 @@ def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
     plain = index.build(docs)
     assert got.blocks.agg(F.sum("n")).first()[0] == plain.postings.count()
     assert {tuple(r) for r in got.terms.select("term", "df").collect()} == {tuple(r) for r in plain.terms.collect()}
+
+
+def _quotes(spark, names):
+    rows = [(k, names[k % len(names)], f"s{k % 3}", "BID 1", "b", f"{k % 5},50", "12" if k % 2 else None, None) for k in range(30)]
+    return spark.createDataFrame(rows, "row_idx long, description string, supplier string, source string, brand string, price string, life_months string, maintenance string")
+
+
+def test_few_descriptions_are_normalised_once_each(spark, monkeypatch):
+    given = _quotes(spark, ["MOP Á!", "mop a!", None, "!", "BALDE"])
+    few = {r["equipment_id"]: r for r in aggregate.aggregate_quotes(given).collect()}
+    assert set(few) == {"mop a", "balde"}
+    plan = aggregate._with_key(given)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
+    monkeypatch.setattr(aggregate, "small", lambda df: df)
+    many = {r["equipment_id"]: r for r in aggregate.aggregate_quotes(given).collect()}
+    assert many == few
+    row = few["balde"]  # rows 4, 9, ...: price 4,50 each; life where the number is odd
+    assert row["price"].asDict() == {"display": 4.5, "mean": 4.5, "median": 4.5, "min": 4.5, "max": 4.5, "n": 6}
+    assert row["life_months"]["n"] == 3 and row["maintenance"]["n"] == 0 and row["maintenance"]["mean"] is None
+
+
+def test_products_are_made_once_before_they_are_numbered(spark):
+    numbered = aggregate.number_documents(aggregate.aggregate_quotes(_quotes(spark, ["MOP", "BALDE"])))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert [r["id"] for r in numbered.orderBy("first_row").collect()] == ["DOC_00000", "DOC_00001"]
