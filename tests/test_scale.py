@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from cotejo.operators import aggregate, embed, index, rerank, retrieve, stored
+from cotejo.plans import catalog
 from cotejo.plans import retrieval_queries as queries
 from cotejo.session import cut
 
@@ -65,3 +67,29 @@ def test_products_are_made_once_before_they_are_numbered(spark):
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
     assert [r["id"] for r in numbered.orderBy("first_row").collect()] == ["DOC_00000", "DOC_00001"]
+
+
+def _broadcast_rows(spark, run):
+    """Rows of every broadcast in all that a run executes, its checkpoints too."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    wait = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    wait()
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    run()
+    wait()
+    ran = store.executionsList()
+    found = []
+    for execution in {ran.apply(k).executionId() for k in range(ran.size())} - before:
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            counts = [node.metrics().apply(k) for k in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []
+            found += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["shadow_comparison"])
+def test_no_step_of_a_search_broadcasts_a_row_for_each_document(spark, tmp_path, name):
+    # few names and many ids, in a file whose size says little of the rows that are made of it
+    spark.range(600).selectExpr("id AS p_partkey", "concat('red widget ', id % 7) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    rows = _broadcast_rows(spark, lambda: catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert rows and max(rows) < 500
