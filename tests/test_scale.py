@@ -87,7 +87,7 @@ def _broadcast_rows(spark, run):
     return found
 
 
-@pytest.mark.parametrize("name", ["shadow_comparison", "tfidf_hybrid_topk", "shadow_search"])
+@pytest.mark.parametrize("name", ["shadow_comparison", "tfidf_hybrid_topk", "shadow_search", "smart_search"])
 def test_no_step_of_a_search_broadcasts_a_row_for_each_document(spark, tmp_path, name):
     # few names and many ids, in a file whose size says little of the rows that are made of it
     spark.range(600).selectExpr("id AS p_partkey", "concat('red widget ', id % 7) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
